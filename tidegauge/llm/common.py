@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Word characters are digits, ASCII letters (lower-cased) and every byte of a non-ASCII character.
@@ -44,6 +45,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """A broadcast hint if the rows of a table that was ``cut`` stay below ``limit`` bytes; the planner's choice otherwise."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, as UTF-8 bytes."""
     return text.translate(_ALNUM).split() if text else []
