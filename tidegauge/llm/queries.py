@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegauge.llm.common import table
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -26,6 +33,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +61,12 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND p
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.pii import digest, find_pii
+
+    return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 #: (host, path, verdict): fixed values.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -70,6 +89,12 @@ SELECT page_id, host, path, split_part(hit, '|', 1) AS rule, coalesce(split_part
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.secretscan import digest, scan_secrets
+
+    return digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.licenses import scan_licenses
 
@@ -104,10 +129,14 @@ FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_pii": op2_pii,
     "op3_urlfilter": op3_urlfilter,
+    "op4_secrets": op4_secrets,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
+    "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
