@@ -1,4 +1,8 @@
-"""Corpus cleaning as a chain of stages, each written as Parquet and read again as the next one's documents."""
+"""Corpus cleaning as a chain of stages, each written as Parquet and read again as the next one's documents.
+
+Toxic documents go first, so that no later stage counts them; near copies go before decontamination and sanitising,
+which then see each text once; packing turns what is left into training windows.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +10,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.llm.common import cut, table
+from tidegauge.llm.decontaminate import clean
+from tidegauge.llm.neardup import drop_near_duplicates
+from tidegauge.llm.packing import pack
+from tidegauge.llm.pii import sanitise
+from tidegauge.llm.toxicity import drop_toxic
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of whatever documents are left."""
-    import public_tokenizers
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic by a model of the labels."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 of its five-word shingles."""
+    return drop_near_duplicates(docs, words=5, percent=80)
+
 
-    from tidegauge.llm.packing import pack
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold benchmark passages."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and terms that give it away replaced or cut."""
+    return sanitise(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in windows."""
+    import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack_stage)]
-#: Language models and tokenizers are beyond SQL; tests compare the stages with brute force instead.
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal-data", personal_data),
+    ("packing", packing),
+]
+#: A fitted model and a tokenizer are beyond SQL; tests compare the stages with brute force instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    from tidegauge.llm.common import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
