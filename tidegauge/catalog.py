@@ -1,10 +1,514 @@
-"""Registered queries of the engine and their DuckDB counterparts."""
+"""Registered queries of the engine, each beside its DuckDB counterpart where SQL can express it.
+
+A column list such as "symbol ts:t slope:d n:i" names what both sides return: t a time as text, d a double rounded
+to eight places (e: ten), i a long, anything else as it is.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge import oracles as O
+from tidegauge.config import Config
+from tidegauge.functions.frames import order, rolling
+from tidegauge.operators import analytics as A
+from tidegauge.operators import backtest as B
+from tidegauge.operators import features as X
+from tidegauge.operators import folds
+from tidegauge.operators import regimes as R
+from tidegauge.plans.analysis import labelled
+from tidegauge.schema import EXPOSURE_MAPS, REGIMES, ReboundProfile
+from tidegauge.sources import bars as S
+from tidegauge.sources.sinks import daily_projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+CFG = Config()
+FUZZY = [R.fuzzy_name(r) for r in REGIMES]
+HORIZONS = (5, 10)
+GROUPS = {"indices": ("A",), "mega_cap_tech": ("N",), "crypto": ("R",)}
+
+
+def _columns(spec: str) -> list[tuple[str, str]]:
+    return [(c.split(":")[0], c.split(":")[1] if ":" in c else "") for c in spec.split()]
+
+
+def shown(df: DataFrame, spec: str) -> DataFrame:
+    as_spark = {
+        "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "d": lambda c: F.round(F.col(c).cast("double"), 8), "e": lambda c: F.round(F.col(c).cast("double"), 10),
+        "i": lambda c: F.col(c).cast("long"), "": F.col,
+    }
+    return df.select(*[as_spark[k](c).alias(c) for c, k in _columns(spec)])
+
+
+def shown_sql(source: str, spec: str, ctes: str = "") -> str:
+    as_sql = {"t": "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}", "d": "round(CAST({0} AS DOUBLE), 8) + 0.0 AS {0}", "e": "round(CAST({0} AS DOUBLE), 10) + 0.0 AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "": "{0}"}
+    more = f",\n{ctes}" if ctes else ""
+    return f"WITH {O.BASE}{more}\nSELECT {', '.join(as_sql[k].format(c) for c, k in _columns(spec))} FROM ({source}) AS final"
+
+
+def register(name: str, spec: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None = None, ctes: str = "") -> None:
+    QUERIES[name] = lambda spark, sf_dir: shown(make(spark, sf_dir), spec)
+    if sql is not None:
+        ORACLES[name] = shown_sql(sql, spec, ctes)
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.numbered(S.with_returns(S.daily_bars(spark, sf_dir)))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(S.daily_bars(spark, sf_dir), CFG)
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(S.hourly_bars(spark, sf_dir), CFG)
+
+
+# --- sources -----------------------------------------------------------------------------------------------------
+
+OHLC = "symbol ts:t open:d high:d low:d close:d volume:d"
+register("bars_daily", OHLC, S.daily_bars, "SELECT * FROM li")
+register("bars_hourly", OHLC, S.hourly_bars, "SELECT * FROM ev")
+register(
+    "bars_ticks", OHLC,
+    lambda s, d: S.tick_bars(s.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "symbol").where("value is not null"), "value"),
+    """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, {'t': ts, 'e': event_id}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {'t': ts, 'e': event_id}) AS close,
+       count(*) AS volume FROM events WHERE value IS NOT NULL GROUP BY 1, 2""",
+)
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with holes and repeated rows, for the cleaning operators."""
+    b = X.numbered(S.hourly_bars(spark, sf_dir)).withColumn("close", F.when(F.col("rn") % 7 != 3, F.col("close")))
+    again = b.where("rn % 11 = 5").withColumn("volume", F.col("volume") + 1)
+    return b.unionByName(again).withColumn("_o", F.col("volume"))
+
+
+GAPPY = """gap AS (SELECT symbol, ts, open, high, low, CASE WHEN rn % 7 <> 3 THEN close END AS close, volume, rn FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ev)),
+ded AS (SELECT * FROM gap)"""
+for _fill, _close in (
+    ("ffill", f"last_value(close IGNORE NULLS) OVER {O.ALL}"),
+    ("interpolate", None),
+):
+    if _close is None:
+        _close = f"""coalesce(close, a + (b - a) * CAST(rn - lo AS DOUBLE) / nullif(hi - lo, 0), a)"""
+        _sql = f"""SELECT symbol, ts, open, {_close} AS close, volume FROM (SELECT *, last_value(close IGNORE NULLS) OVER {O.ALL} AS a, last_value(CASE WHEN close IS NOT NULL THEN rn END IGNORE NULLS) OVER {O.ALL} AS lo,
+          first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b,
+          first_value(CASE WHEN close IS NOT NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM ded)"""
+    else:
+        _sql = f"SELECT symbol, ts, open, {_close} AS close, volume FROM ded"
+    register(f"bars_{_fill}_dedup", "symbol ts:t open:d close:d volume:d", lambda s, d, fill=_fill: S.clean(gappy(s, d), fill, "_o"), _sql, GAPPY)
+register("log_returns", "symbol ts:t log_price:d log_return:d return:d", returns, 'SELECT *, ret AS "return" FROM lab_a')
+ORACLES["log_returns"] = ORACLES["log_returns"].replace("CAST(return AS DOUBLE), 8) + 0.0 AS return", 'CAST("return" AS DOUBLE), 8) + 0.0 AS "return"')
+register("latest_price", "symbol ts:t close:d", lambda s, d: S.latest_price(S.daily_bars(s, d)), "SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS close FROM li GROUP BY 1")
+SYMBOLS = ("AAPL", "^GSPC", "BRL=X", "GC=F", "BTC-USD", "BTCUSDT", "ETHUSDT", "EUR-USD", "ETHBTC", "SOLUSD", "bad symbol", "USDT", " msft ")
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
+    s = F.col("symbol")
+    return df.select("symbol", S.source_type(s).alias("source"), S.valid_symbol(s).alias("valid"), S.normalise_symbol(s).alias("normalised"))
+
+
+_T = "|".join(S.CRYPTO_TICKERS)
+_F = ",".join(f"'{f}'" for f in S.FIAT)
+register(
+    "symbol_source_detection", "symbol source valid normalised", symbols,
+    f"""SELECT symbol, source, CASE source WHEN 'crypto' THEN regexp_full_match(u, '[A-Z]{{2,10}}(USDT|BUSD|BTC|ETH|BNB|USD)') ELSE regexp_full_match(u, '[\\^]?[A-Z0-9.\\-]{{1,10}}(=[XF])?') END AS valid,
+       CASE WHEN len(string_split(u, '-')) = 2 AND split_part(u, '-', 1) <> '' AND split_part(u, '-', 2) IN ({_F}) AND NOT regexp_full_match(split_part(u, '-', 1), '{_T}') THEN replace(u, '-', '') || '=X' ELSE u END AS normalised
+       FROM (SELECT symbol, upper(trim(symbol)) AS u, CASE WHEN regexp_matches(upper(trim(symbol)), '(USDT|BUSD)$') OR regexp_full_match(upper(trim(symbol)), '({_T})USD') OR regexp_full_match(upper(trim(symbol)), '({_T})({_T})') THEN 'crypto' ELSE 'stock' END AS source
+       FROM (SELECT unnest([{",".join(f"'{s}'" for s in SYMBOLS)}]) AS symbol))""",
+)
+
+# --- trend and volatility ----------------------------------------------------------------------------------------
+
+trend = lambda s, d: X.trend_features(S.daily_bars(s, d), CFG)
+register("rolling_ols_slope", "symbol ts:t slope:d", lambda s, d: returns(s, d).withColumn("slope", X.ols_slope("log_price", 20)), "SELECT * FROM lab_b")
+register("trend_strength", "symbol ts:t trend_strength:d trend_regime", trend, "SELECT * FROM lab_d")
+register(
+    "trend_consistency", "symbol ts:t trend_strength_ma:d trend_acceleration:d trend_consistency:d", trend,
+    f"""SELECT *, avg(trend_strength) OVER {O.roll(5)} AS trend_strength_ma, slope - lag(slope) OVER ({O.P}) AS trend_acceleration,
+       CASE WHEN len(codes) > 0 THEN CAST(len(list_filter(codes, lambda x: x = codes[-1])) AS DOUBLE) / len(codes) END AS trend_consistency
+       FROM (SELECT *, list(CASE WHEN trend_regime <> 'Unknown' THEN trend_regime END) FILTER (WHERE trend_regime <> 'Unknown') OVER {O.roll(20)} AS codes FROM lab_d)""",
+)
+register(
+    "trend_summary", "symbol mean:d std:d min:d max:d current:d share_up:d share_down:d share_sideways:d", lambda s, d: X.trend_summary(trend(s, d)),
+    """SELECT symbol, avg(trend_strength) AS mean, stddev_samp(trend_strength) AS std, min(trend_strength) AS min, max(trend_strength) AS max, arg_max(trend_strength, ts) FILTER (WHERE trend_strength IS NOT NULL) AS current,
+       avg(CASE WHEN trend_regime <> 'Unknown' THEN CAST(trend_regime = 'Up' AS INT) END) AS share_up, avg(CASE WHEN trend_regime <> 'Unknown' THEN CAST(trend_regime = 'Down' AS INT) END) AS share_down,
+       avg(CASE WHEN trend_regime <> 'Unknown' THEN CAST(trend_regime = 'Sideways' AS INT) END) AS share_sideways FROM lab_d GROUP BY 1""",
+)
+register("volatility_features", "symbol ts:t realized_variance:d volatility:d volatility_percentile:d volatility_baseline:d volatility_regime vol_of_vol:d volatility_change:d volatility_zscore:d", labels, "SELECT * FROM lab")
+register("realized_volatility", "symbol ts:t realized_volatility:d", labels, "SELECT *, sqrt(realized_variance) AS realized_volatility FROM lab")
+register(
+    "parkinson_volatility", "symbol ts:t parkinson:d", lambda s, d: returns(s, d).withColumn("parkinson", X.parkinson(20)),
+    f"SELECT symbol, ts, {O.gate(f'sqrt(avg(pow(ln(high / low), 2)) OVER {O.roll(20)} / (4 * ln(2)))', 'close', 10, O.roll(20))} AS parkinson FROM li",
+)
+register(
+    "true_range", "symbol ts:t true_range:d", lambda s, d: returns(s, d).withColumn("true_range", X.true_range()),
+    f"SELECT symbol, ts, greatest(high - low, abs(high - lag(close) OVER ({O.P})), abs(low - lag(close) OVER ({O.P}))) AS true_range FROM li",
+)
+ATR = f"""num AS (SELECT symbol, ts, row_number() OVER ({O.P}) AS rn, greatest(high - low, abs(high - lag(close) OVER ({O.P})), abs(low - lag(close) OVER ({O.P}))) AS tr FROM li),
+ema AS MATERIALIZED (WITH RECURSIVE step AS (SELECT symbol, ts, rn, tr AS atr FROM num WHERE rn = 1 UNION ALL SELECT n.symbol, n.ts, n.rn, s.atr + (n.tr - s.atr) / 14 FROM step s JOIN num n ON n.symbol = s.symbol AND n.rn = s.rn + 1) SELECT * FROM step)"""
+register("atr", "symbol ts:t atr:d", lambda s, d: folds.average_true_range(returns(s, d), CFG), "SELECT * FROM ema", ATR)
+register(
+    "vol_clusters", "symbol start_ts:t end_ts:t length:i mean_volatility:d max_volatility:d min_volatility:d first_close:d last_close:d", lambda s, d: X.volatility_clusters(labels(s, d)),
+    f"""SELECT symbol, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS length, avg(volatility) AS mean_volatility, max(volatility) AS max_volatility, min(volatility) AS min_volatility, arg_min(close, ts) AS first_close, arg_max(close, ts) AS last_close
+       FROM (SELECT *, rn - sum(CASE WHEN volatility_percentile > 0.7 THEN 1 ELSE 0 END) OVER {O.ALL} AS run FROM lab) WHERE volatility_percentile > 0.7 GROUP BY symbol, run""",
+)
+register(
+    "vol_summary", "symbol mean:d std:d min:d max:d current:d mean_vol_of_vol:d share_high:d", lambda s, d: X.volatility_summary(labels(s, d)),
+    """SELECT symbol, avg(volatility) AS mean, stddev_samp(volatility) AS std, min(volatility) AS min, max(volatility) AS max, arg_max(volatility, ts) FILTER (WHERE volatility IS NOT NULL) AS current, avg(vol_of_vol) AS mean_vol_of_vol,
+       avg(CASE WHEN volatility_regime <> 'Unknown' THEN CAST(volatility_regime = 'High' AS INT) END) AS share_high FROM lab GROUP BY 1""",
+)
+
+# --- labels ------------------------------------------------------------------------------------------------------
+
+register("crisp_regime", "symbol ts:t trend_regime volatility_regime regime regime_name", labels, "SELECT * FROM lab")
+register("crisp_regime_hourly", "symbol ts:t regime", hourly, "SELECT * FROM evlab")
+register(
+    "regime_code", "symbol ts:t code:i", lambda s, d: labels(s, d).withColumn("code", R.regime_code(F.col("regime"))),
+    "SELECT *, coalesce(list_position([" + ",".join(f"'{r}'" for r in REGIMES) + "], regime), 0) - 1 AS code FROM lab",
+)
+register(
+    "regime_statistics", "symbol regime n:i share:d mean_return:d std_return:d avg_volatility:d avg_trend_strength:d",
+    lambda s, d: labels(s, d).groupBy("symbol", "regime").agg(F.count("*").alias("n"), F.avg("log_return").alias("mean_return"), F.stddev_samp("log_return").alias("std_return"), F.avg("volatility").alias("avg_volatility"), F.avg("trend_strength").alias("avg_trend_strength")).withColumn("share", F.col("n") / F.sum("n").over(X.whole())),
+    """SELECT symbol, regime, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY symbol) AS share, avg(log_return) AS mean_return, stddev_samp(log_return) AS std_return, avg(volatility) AS avg_volatility, avg(trend_strength) AS avg_trend_strength
+       FROM lab GROUP BY symbol, regime""",
+)
+fuzzy = lambda s, d: R.fuzzy_features(labels(s, d), CFG)
+percentile_fuzzy = lambda s, d: R.fuzzy_features(labels(s, d), Config(fuzzy_source="percentile"))
+FZ = "symbol ts:t " + " ".join(f"{f}:d" for f in FUZZY) + " fuzzy_primary_regime fuzzy_confidence:d fuzzy_entropy:d"
+register("fuzzy_memberships", FZ, fuzzy, "SELECT * FROM fz")
+register("fuzzy_memberships_percentile", FZ, percentile_fuzzy, "SELECT * FROM fzp")
+register(
+    "fuzzy_summary", "symbol regime mean_membership:d current:d primary_share:d", lambda s, d: R.fuzzy_summary(percentile_fuzzy(s, d)),
+    " UNION ALL ".join(f"SELECT symbol, '{r}' AS regime, avg({f}) AS mean_membership, arg_max({f}, ts) AS current, avg(CAST(fuzzy_primary_regime = '{r}' AS INT)) AS primary_share FROM fzp GROUP BY 1" for r, f in zip(REGIMES, FUZZY, strict=True)),
+)
+register(
+    "fuzzy_nowcast", "symbol ts:t fuzzy_primary_regime fuzzy_confidence:d prob_up:d prob_sideways:d prob_down:d prob_lowvol:d prob_highvol:d", lambda s, d: R.fuzzy_nowcast(percentile_fuzzy(s, d)),
+    "SELECT *, " + ", ".join(f"{' + '.join(f for r, f in zip(REGIMES, FUZZY, strict=True) if p in r)} AS prob_{p.lower()}" for p in ("Up", "Sideways", "Down", "LowVol", "HighVol")) + " FROM fzp QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
+)
+register(
+    "quality_flags", "symbol ts:t calibration_observations:i warmup_bars:i warmup_complete causal_mode valid_signal", lambda s, d: R.quality_flags(labels(s, d), CFG),
+    "SELECT *, rn AS calibration_observations, 252 AS warmup_bars, rn >= 252 AS warmup_complete, true AS causal_mode, rn >= 252 AND trend_strength IS NOT NULL AND volatility IS NOT NULL AND volatility_percentile IS NOT NULL AND regime <> 'Unknown' AS valid_signal FROM lab",
+)
+ADAPTIVE = f"""ada AS (SELECT *, CASE WHEN count(trend_strength) OVER {O.prev(252)} >= 126 THEN greatest(quantile_cont(trend_strength, 0.7) OVER {O.prev(252)}, 0.1) END AS adaptive_upper,
+  CASE WHEN count(trend_strength) OVER {O.prev(252)} >= 126 THEN least(quantile_cont(trend_strength, 0.3) OVER {O.prev(252)}, -0.1) END AS adaptive_lower,
+  CASE WHEN count(volatility) OVER {O.prev(252)} >= 126 THEN quantile_cont(volatility, 0.67) OVER {O.prev(252)} END AS adaptive_vol_threshold FROM lab),
+adl AS (SELECT *, CASE WHEN trend_strength IS NULL OR adaptive_upper IS NULL THEN 'Unknown' WHEN trend_strength > adaptive_upper THEN 'Up' WHEN trend_strength < adaptive_lower THEN 'Down' ELSE 'Sideways' END AS regime_adaptive,
+  CASE WHEN volatility IS NULL OR adaptive_vol_threshold IS NULL THEN 'Unknown' WHEN volatility > adaptive_vol_threshold THEN 'High' ELSE 'Low' END AS regime_vol_adaptive FROM ada)"""
+register("adaptive_thresholds", "symbol ts:t adaptive_upper:d adaptive_lower:d regime_adaptive", lambda s, d: R.adaptive_regime(labels(s, d), CFG), "SELECT * FROM adl", ADAPTIVE)
+register("adaptive_vol_regime", "symbol ts:t adaptive_vol_threshold:d regime_vol_adaptive", lambda s, d: R.adaptive_volatility(labels(s, d)), "SELECT * FROM adl", ADAPTIVE)
+DWELL = f"""dw1 AS (SELECT *, rn - row_number() OVER (PARTITION BY symbol, trend_regime ORDER BY ts) AS isl FROM lab),
+dw2 AS (SELECT *, count(*) OVER (PARTITION BY symbol, trend_regime, isl) AS len, min(rn) OVER (PARTITION BY symbol, trend_regime, isl) AS rn0, min(CASE WHEN trend_regime <> 'Unknown' THEN rn END) OVER (PARTITION BY symbol) AS first_at FROM dw1),
+dw AS (SELECT *, CASE WHEN trend_regime = 'Unknown' THEN 'Unknown' ELSE last_value(CASE WHEN trend_regime <> 'Unknown' AND (len >= 5 OR rn0 = first_at) THEN trend_regime END IGNORE NULLS) OVER {O.ALL} END AS regime_dwell FROM dw2)"""
+register("min_dwell", "symbol ts:t trend_regime regime_dwell", lambda s, d: R.min_dwell(labels(s, d), "trend_regime", 5), "SELECT * FROM dw", DWELL)
+
+# --- tail risk and long memory -----------------------------------------------------------------------------------
+
+TAIL_CFG = Config(tail_window=60)
+tail = lambda s, d: X.tail_features(S.daily_bars(s, d), TAIL_CFG)
+_W = O.roll(60)
+TAIL = f"""tl1 AS (SELECT *, list(-log_return) FILTER (WHERE log_return IS NOT NULL) OVER {_W} AS ls, list(coalesce(log_return, 0.0)) OVER {_W} AS rs, count(log_return) OVER {_W} AS n, count(*) OVER {_W} AS nr,
+  quantile_cont(-log_return, 0.95) OVER {_W} AS v, kurtosis(log_return) OVER {_W} AS k FROM lab_a),
+tl2 AS (SELECT *, list_reverse_sort(list_filter(ls, lambda x: x > 0)) AS pos FROM tl1),
+tl3 AS (SELECT *, least(len(pos), greatest(5, CAST(floor(len(pos) * 0.1) AS BIGINT))) AS hk FROM tl2),
+tl4 AS (SELECT *, list_avg(list_transform(pos[1:hk], lambda x: ln(x / pos[hk]))) AS hm FROM tl3),
+tl5 AS (SELECT symbol, ts, close, n, nr, v, k, ls, pos, hm, list_transform(generate_series(1, len(rs)), lambda i: list_product(list_transform(rs[1:i], lambda x: 1 + x))) AS eq FROM tl4),
+tl AS (SELECT *, CASE WHEN n >= 30 THEN v END AS loss_var, CASE WHEN n >= 30 THEN list_avg(list_filter(ls, lambda x: x >= v)) END AS loss_cvar, CASE WHEN n >= 30 AND len(pos) >= 5 AND hm > 0 THEN 1 / hm END AS tail_index,
+  CASE WHEN n >= 30 THEN k END AS excess_kurtosis, close / max(close) OVER {O.ALL} - 1 AS drawdown,
+  CASE WHEN nr >= 30 THEN least(0.0, list_min(list_transform(generate_series(1, len(eq)), lambda i: eq[i] / list_max(eq[1:i]) - 1))) END AS rolling_max_drawdown FROM tl5),
+sv AS (SELECT *, CASE WHEN loss_cvar IS NULL AND tail_index IS NULL AND rolling_max_drawdown IS NULL THEN 'Unknown'
+  WHEN coalesce(loss_cvar >= 0.04, false) OR coalesce(tail_index <= 3, false) OR coalesce(rolling_max_drawdown <= -0.15, false) THEN 'Fragile'
+  WHEN coalesce(loss_cvar >= 0.02, false) OR coalesce(tail_index <= 4, false) OR coalesce(rolling_max_drawdown <= -0.07, false) THEN 'Stressed' ELSE 'Resilient' END AS survival_regime,
+  list_avg(list_filter([least(greatest(loss_cvar / 0.04, 0), 1), least(greatest(3.0 / tail_index, 0), 1), least(greatest(rolling_max_drawdown / -0.15, 0), 1)], lambda x: x IS NOT NULL)) AS survival_score FROM tl)"""
+_SV = """list_avg(list_filter([CASE WHEN loss_cvar IS NOT NULL THEN least(greatest(loss_cvar / 0.04, 0.0), 1.0) END, CASE WHEN tail_index IS NOT NULL THEN least(greatest(3.0 / tail_index, 0.0), 1.0) END,
+  CASE WHEN rolling_max_drawdown IS NOT NULL THEN least(greatest(rolling_max_drawdown / -0.15, 0.0), 1.0) END], lambda x: x IS NOT NULL))"""
+TAIL = TAIL[: TAIL.rindex("list_avg(list_filter([least")] + _SV + " AS survival_score FROM tl)"
+register("var_rolling", "symbol ts:t loss_var:d loss_cvar:d", tail, "SELECT * FROM tl", TAIL)
+register("hill_index", "symbol ts:t tail_index:d", tail, "SELECT * FROM tl", TAIL)
+register("excess_kurtosis", "symbol ts:t excess_kurtosis:d", tail, "SELECT * FROM tl", TAIL)
+register("drawdowns", "symbol ts:t rolling_max_drawdown:d drawdown:d", tail, "SELECT * FROM tl", TAIL)
+register("survival", "symbol ts:t survival_regime survival_score:d", tail, "SELECT * FROM sv", TAIL)
+HURST_CFG = Config(hurst_window=100, hurst_step=5)
+register("hurst_rolling", "symbol ts:t hurst:d hurst_regime lo_modified_rs:d lo_memory_regime hurst_confirmed_regime hurst_change:d hurst_ma:d", lambda s, d: folds.hurst_features(returns(s, d), HURST_CFG))
+register("hurst_summary", "symbol mean:d std:d current:d share_trending:d share_reverting:d", lambda s, d: folds.hurst_summary(folds.hurst_features(returns(s, d), HURST_CFG)))
+register("hurst_rs_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="rs", hurst_step=5)))
+register("dfa_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="dfa", hurst_step=5)))
+
+
+def with_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in exponent that SQL can compute too, for the filter that follows it: how one-sided the window's returns are."""
+    frame = rolling(20)
+    one_sided = F.try_divide(F.abs(F.sum("log_return").over(frame)), F.sum(F.abs("log_return")).over(frame))
+    return labels(spark, sf_dir).withColumn("hurst", F.when(F.count("log_return").over(frame) >= 10, 0.4 + one_sided))
+
+
+FRACTAL = f"""hu AS (SELECT *, CASE WHEN count(log_return) OVER {O.roll(20)} >= 10 THEN 0.4 + abs(sum(log_return) OVER {O.roll(20)}) / nullif(sum(abs(log_return)) OVER {O.roll(20)}, 0) END AS hurst FROM lab),
+fm0 AS (SELECT *, CASE WHEN hurst > 0.55 THEN 1.0 ELSE 0.0 END AS raw FROM hu),
+fm AS (SELECT *, CASE WHEN avg(raw) OVER {O.roll(5)} >= 0.5 THEN 1.0 ELSE 0.0 END AS fractal_mask FROM fm0),
+fr AS (SELECT *, first_value(close) OVER ({O.P}) * exp(sum(fractal_mask * coalesce(log_return, 0)) OVER {O.ALL}) AS fractal_price, fractal_mask * log_return AS fractal_returns FROM fm)"""
+fractal = lambda s, d: X.fractal_features(with_persistence(s, d), CFG)
+register(
+    "fractal_filter", "symbol ts:t fractal_mask:d fractal_price:d fractal_returns:d cumulative_fractal_returns:d fractal_trend_strength:d fractal_volatility:d fractal_efficiency:d", fractal,
+    f"""SELECT *, sum(fractal_returns) OVER {O.ALL} AS cumulative_fractal_returns, trend_strength * fractal_mask AS fractal_trend_strength, nullif(volatility * fractal_mask, 0) AS fractal_volatility,
+       coalesce(sum(fractal_returns) OVER (PARTITION BY symbol) / nullif(sum(log_return) OVER (PARTITION BY symbol), 0), 0) AS fractal_efficiency FROM fr""", FRACTAL,
+)
+register(
+    "fractal_segments", "symbol start_ts:t end_ts:t length:i avg_hurst:d min_hurst:d max_hurst:d price_change:d", lambda s, d: X.fractal_segments(with_persistence(s, d)),
+    f"""SELECT symbol, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS length, avg(hurst) AS avg_hurst, min(hurst) AS min_hurst, max(hurst) AS max_hurst, arg_max(close, ts) / arg_min(close, ts) - 1 AS price_change
+       FROM (SELECT *, rn - sum(raw) OVER {O.ALL} AS run FROM fm0) WHERE raw = 1 GROUP BY symbol, run HAVING count(*) >= 5""", FRACTAL,
+)
+register(
+    "fractal_summary", "symbol coverage:d fractal_return:d total_return:d sharpe:d", lambda s, d: X.fractal_summary(fractal(s, d)),
+    "SELECT symbol, avg(fractal_mask) AS coverage, sum(fractal_returns) AS fractal_return, sum(log_return) AS total_return, avg(nullif(fractal_returns, 0)) / stddev_samp(nullif(fractal_returns, 0)) AS sharpe FROM fr GROUP BY 1", FRACTAL,
+)
+
+# --- folds -------------------------------------------------------------------------------------------------------
+
+register("ewma_trend", "symbol ts:t trend_strength_ewma:d", lambda s, d: folds.ewma_trend(returns(s, d), CFG))
+register("ewm_volatility", "symbol ts:t volatility:d", lambda s, d: folds.ewm_volatility(returns(s, d), CFG))
+register("ewma_halflife_grid", "symbol halflife:d mse best", lambda s, d: folds.halflife_grid(returns(s, d)))
+register("bocpd", "symbol ts:t bocpd_run_length:d bocpd_change_prob:d bocpd_recent_prob:d", lambda s, d: folds.bocpd(returns(s, d), CFG))
+register("dsm_bocpd", "symbol ts:t bocpd_run_length:d bocpd_change_prob:d", lambda s, d: folds.dsm_bocpd(returns(s, d), CFG))
+register("markov_variance", "symbol ts:t markov_prob_high:d markov_prob_smooth:d markov_state", lambda s, d: folds.markov(returns(s, d)))
+register("markov_parameters", "symbol variance_low variance_high stay_low:d stay_high:d loglik:d converged", lambda s, d: folds.markov_parameters(returns(s, d)))
+
+
+def implied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily volatility index made of the bars' own realised volatility over five bars."""
+    b = returns(spark, sf_dir)
+    return b.select("symbol", F.to_date("ts").alias("date"), (F.sqrt(F.avg(F.col("log_return") * F.col("log_return")).over(rolling(5))) * 252**0.5).alias("implied_vol")).where("implied_vol is not null")
+
+
+register(
+    "implied_vol_join", "symbol ts:t log_return:d implied_vol:d", lambda s, d: folds.implied_vol(returns(s, d), implied(s, d)),
+    f"""SELECT a.symbol, a.ts, a.log_return, b.implied_vol FROM lab_a a LEFT JOIN (SELECT symbol, CAST(ts AS DATE) AS date, sqrt(avg(log_return * log_return) OVER {O.roll(5)}) * sqrt(252) AS implied_vol FROM lab_a) b
+       ON a.symbol = b.symbol AND CAST(a.ts AS DATE) = b.date""",
+)
+register("markov_multivariate", "symbol ts:t markov_prob_high:d markov_state markov_model", lambda s, d: folds.markov(folds.implied_vol(returns(s, d), implied(s, d)), second="implied_vol"))
+register("consensus_events", "symbol ts:t consensus_event", lambda s, d: folds.consensus(folds.markov(folds.dsm_bocpd(returns(s, d), CFG)), CFG))
+register("risk_guard", "symbol ts:t raw_overlay overlay_active overlay_stop overlay_expired", lambda s, d: folds.risk_guard(B.overlay_signals(labels(s, d), ReboundProfile(True)), 5, -0.03))
+
+# --- forward returns ---------------------------------------------------------------------------------------------
+
+FWD = ",\n".join(f"f{h} AS (SELECT *, {h} AS horizon, lead(close, {h}) OVER ({O.P}) / close - 1 AS r FROM fz)" for h in (1, 5, 10, 20)) + ",\nfw AS (SELECT * FROM f5 UNION ALL SELECT * FROM f10)"
+DIST = """count(r) AS count, avg(r) AS mean, median(r) AS median, stddev_samp(r) AS std, min(r) AS min, max(r) AS max, CASE WHEN count(r) >= 3 THEN skewness(r) END AS skew, CASE WHEN count(r) >= 4 THEN kurtosis(r) END AS kurtosis,
+  quantile_cont(r, 0.05) AS p5, quantile_cont(r, 0.25) AS p25, quantile_cont(r, 0.75) AS p75, quantile_cont(r, 0.95) AS p95, 100 * avg(CAST(r > 0 AS INT)) AS positive_pct, avg(r) / nullif(stddev_samp(r), 0) AS sharpe,
+  CASE WHEN sqrt(avg(CASE WHEN r < 0 THEN r * r END)) > 0 THEN avg(r) / sqrt(avg(CASE WHEN r < 0 THEN r * r END)) WHEN avg(r) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS sortino"""
+DIST_SPEC = "count:i mean:d median:d std:d min:d max:d skew:d kurtosis:d p5:d p25:d p75:d p95:d positive_pct:d sharpe:d sortino:d"
+register(
+    "forward_returns", "symbol ts:t fwd_5d_return:d fwd_5d_cumulative:d fwd_10d_return:d fwd_10d_cumulative:d", lambda s, d: A.forward_returns(returns(s, d), HORIZONS),
+    f"SELECT symbol, ts, " + ", ".join(f"lead(close, {h}) OVER ({O.P}) / close - 1 AS fwd_{h}d_return, lead(close, {h}) OVER ({O.P}) / close AS fwd_{h}d_cumulative" for h in HORIZONS) + " FROM li",
+)
+register(
+    "forward_stats_by_regime", f"horizon:i regime {DIST_SPEC}", lambda s, d: A.forward_stats(labels(s, d), HORIZONS),
+    f"SELECT horizon, regime, {DIST} FROM fw WHERE r IS NOT NULL AND regime <> 'Unknown' GROUP BY 1, 2 UNION ALL SELECT horizon, 'Overall' AS regime, {DIST} FROM fw WHERE r IS NOT NULL GROUP BY 1", FWD,
+)
+register(
+    "conditional_forward", f"horizon:i {DIST_SPEC}", lambda s, d: A.conditional_forward(labels(s, d), F.col("volatility_percentile") > 0.8, HORIZONS),
+    f"SELECT horizon, {DIST} FROM fw WHERE r IS NOT NULL AND volatility_percentile > 0.8 GROUP BY 1", FWD,
+)
+register(
+    "fuzzy_weighted_forward", "horizon:i regime weight:d mean:d std:d sharpe:d", lambda s, d: A.fuzzy_forward(percentile_fuzzy(s, d), HORIZONS),
+    " UNION ALL ".join(
+        f"SELECT horizon, '{r}' AS regime, sum({f}) AS weight, sum({f} * r) / sum({f}) AS mean, sqrt(greatest(sum({f} * r * r) / sum({f}) - pow(sum({f} * r) / sum({f}), 2), 0)) AS std, (sum({f} * r) / sum({f})) / nullif(sqrt(greatest(sum({f} * r * r) / sum({f}) - pow(sum({f} * r) / sum({f}), 2), 0)), 0) AS sharpe FROM fw WHERE r IS NOT NULL GROUP BY 1"
+        for r, f in zip(REGIMES, FUZZY, strict=True)
+    ), FWD.replace("FROM fz)", "FROM fzp)"),
+)
+register(
+    "best_worst_regime", "horizon:i best_regime best_mean:d worst_regime worst_mean:d", lambda s, d: A.best_and_worst(A.forward_stats(labels(s, d), HORIZONS)),
+    "SELECT horizon, arg_max(regime, m) AS best_regime, max(m) AS best_mean, arg_min(regime, m) AS worst_regime, min(m) AS worst_mean FROM (SELECT horizon, regime, avg(r) AS m FROM fw WHERE r IS NOT NULL AND regime <> 'Unknown' GROUP BY 1, 2) GROUP BY 1", FWD,
+)
+
+# --- transitions -------------------------------------------------------------------------------------------------
+
+TRANS = f"""tp AS (SELECT regime AS from_regime, lead(regime) OVER ({O.P}) AS to_regime FROM lab),
+tc AS (SELECT from_regime, to_regime, count(*) AS n FROM tp WHERE to_regime IS NOT NULL AND from_regime <> 'Unknown' AND to_regime <> 'Unknown' GROUP BY 1, 2),
+tn AS (SELECT from_regime AS x FROM tc UNION SELECT to_regime FROM tc),
+tm AS (SELECT a.x AS from_regime, b.x AS to_regime, coalesce(n, 0) AS n, coalesce(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY a.x), 0), 0) AS p FROM tn a CROSS JOIN tn b LEFT JOIN tc ON a.x = from_regime AND b.x = to_regime)"""
+matrix = lambda s, d: A.transition_matrix(labels(s, d))
+register("transition_matrix", "from_regime to_regime n:i p:d", matrix, "SELECT * FROM tm", TRANS)
+register("n_step_transition", "from_regime to_regime p:d", lambda s, d: A.n_step(matrix(s, d), 3), "SELECT a.from_regime, c.to_regime, sum(a.p * b.p * c.p) AS p FROM tm a JOIN tm b ON a.to_regime = b.from_regime JOIN tm c ON b.to_regime = c.from_regime GROUP BY 1, 2", TRANS)
+register("persistence", "regime persistence:d expected_duration:d", lambda s, d: A.persistence(matrix(s, d)), "SELECT from_regime AS regime, p AS persistence, 1 / (1 - p) AS expected_duration FROM tm WHERE from_regime = to_regime", TRANS)
+register(
+    "regime_cycles", "cycle length:i strength:d", lambda s, d: A.cycles(matrix(s, d), 0.02),
+    """SELECT a.from_regime || ' -> ' || a.to_regime || ' -> ' || a.from_regime AS cycle, 2 AS length, a.p * b.p AS strength FROM tm a JOIN tm b ON a.to_regime = b.from_regime AND b.to_regime = a.from_regime WHERE a.p > 0.02 AND b.p > 0.02 AND a.from_regime < a.to_regime
+       UNION ALL SELECT a.from_regime || ' -> ' || a.to_regime || ' -> ' || b.to_regime || ' -> ' || a.from_regime, 3, a.p * b.p * c.p FROM tm a JOIN tm b ON a.to_regime = b.from_regime JOIN tm c ON b.to_regime = c.from_regime AND c.to_regime = a.from_regime
+       WHERE a.p > 0.02 AND b.p > 0.02 AND c.p > 0.02 AND a.from_regime < a.to_regime AND a.from_regime < b.to_regime AND a.to_regime <> b.to_regime""", TRANS,
+)
+register("transition_entropy", "from_regime entropy:d", lambda s, d: A.row_entropy(matrix(s, d)), "SELECT from_regime, sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) AS entropy FROM tm GROUP BY 1", TRANS)
+register("transition_counts", "from_regime to_regime n:i share:d", lambda s, d: A.transition_changes(labels(s, d)), "SELECT *, n / sum(n) OVER () AS share FROM tc WHERE from_regime <> to_regime", TRANS)
+register("stationary_distribution", "regime share:d", lambda s, d: A.stationary(matrix(s, d)))
+register("mean_first_passage", "from_regime to_regime steps:d", lambda s, d: A.first_passage(matrix(s, d)))
+
+# --- segments ----------------------------------------------------------------------------------------------------
+
+SEGS = f"""sg1 AS (SELECT *, CASE WHEN regime <> 'Unknown' AND regime IS DISTINCT FROM lag(regime) OVER ({O.P}) THEN 1 ELSE 0 END AS b1,
+  CASE WHEN regime <> 'Unknown' AND regime IS DISTINCT FROM last_value(CASE WHEN regime <> 'Unknown' THEN regime END IGNORE NULLS) OVER ({O.P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS b2 FROM lab),
+sg2 AS (SELECT *, sum(b1) OVER {O.ALL} AS s1, sum(b2) OVER {O.ALL} AS s2 FROM sg1 )"""
+_SEG = """SELECT symbol, any_value(regime) AS regime, min(rn) AS start_rn, max(rn) AS end_rn, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS length, arg_min(close, rn) AS start_price, arg_max(close, rn) AS end_price,
+  arg_max(close, rn) / arg_min(close, rn) - 1 AS price_change, sum(log_return) AS log_return, avg(log_return) AS mean_return, stddev_samp(log_return) AS return_std, avg(volatility) AS avg_volatility, sum(volume) AS volume
+  FROM sg2 WHERE regime <> 'Unknown' GROUP BY symbol, {}"""
+SEGS += ",\nseg AS (" + _SEG.format("s1") + "),\nsegb AS (" + _SEG.format("s2") + ")"
+SEG_SPEC = "symbol regime start_rn:i end_rn:i start_ts:t end_ts:t length:i start_price:d end_price:d price_change:d log_return:d mean_return:d return_std:d avg_volatility:d volume:d"
+closed = lambda s, d: A.segments(labels(s, d))
+register("segments_close", SEG_SPEC, closed, "SELECT * FROM seg", SEGS)
+register("segments_bridge", SEG_SPEC, lambda s, d: A.segments(labels(s, d), gap="bridge"), "SELECT * FROM segb", SEGS)
+register(
+    "segment_stats", "regime count:i avg_length:d median_length:d max_length:i total_days:i avg_return:d win_rate_pct:d avg_volatility:d", lambda s, d: A.segment_statistics(closed(s, d)),
+    "SELECT regime, count(*) AS count, avg(length) AS avg_length, median(length) AS median_length, max(length) AS max_length, sum(length) AS total_days, avg(price_change) AS avg_return, 100 * avg(CAST(price_change > 0 AS INT)) AS win_rate_pct, avg(avg_volatility) AS avg_volatility FROM seg GROUP BY 1", SEGS,
+)
+register(
+    "segment_topk", "kind symbol regime start_ts:t length:i price_change:d", lambda s, d: A.top_segments(closed(s, d)),
+    " UNION ALL ".join(f"(SELECT '{k}' AS kind, symbol, regime, start_ts, length, price_change FROM seg ORDER BY {o}, symbol, start_rn LIMIT 5)" for k, o in (("best", "price_change DESC"), ("worst", "price_change"), ("longest", "length DESC"))), SEGS,
+)
+register(
+    "segment_transitions", "from_regime to_regime n:i avg_return_change:d avg_length_before:d", lambda s, d: A.segment_transitions(closed(s, d)),
+    "SELECT regime AS from_regime, nx AS to_regime, count(*) AS n, avg(np - price_change) AS avg_return_change, avg(length) AS avg_length_before FROM (SELECT *, lead(regime) OVER (PARTITION BY symbol ORDER BY start_rn) AS nx, lead(price_change) OVER (PARTITION BY symbol ORDER BY start_rn) AS np FROM seg) WHERE nx IS NOT NULL GROUP BY 1, 2", SEGS,
+)
+
+# --- back-test ---------------------------------------------------------------------------------------------------
+
+MET = "observations:i start_date:t end_date:t strategy_return:d gross_strategy_return:d buy_hold_return:d excess_return:d total_transaction_cost:d turnover:d mean_exposure:d latest_regime latest_position:d max_drawdown_strategy:d max_drawdown_buy_hold:d bull_share:d bear_share:d sideways_share:d high_vol_share:d low_vol_share:d market_story strategy_posture relative_result"
+register(
+    "backtest_daily", "symbol ts:t asset_return:d target_exposure:d position:d turnover:d gross_return:d cost:d strategy_return:d",
+    lambda s, d: B.positions(labels(s, d), B.exposure(F.col("regime_name")), 1, 10.0), "SELECT * FROM posc",
+)
+register("backtest_metrics", f"symbol {MET}", lambda s, d: B.backtest(labels(s, d), cost_bps=10.0), "SELECT * FROM met")
+WINDOWED = O.metrics("mw", "(SELECT * FROM posc WHERE ts >= TIMESTAMP '1998-01-01' AND ts <= TIMESTAMP '1999-12-31')", "regime_name")
+register("backtest_window", f"symbol {MET}", lambda s, d: B.backtest(labels(s, d), cost_bps=10.0, start="1998-01-01", end="1999-12-31"), "SELECT * FROM mw", WINDOWED)
+register(
+    "backtest_narrative", "symbol headline",
+    lambda s, d: B.narrative(B.backtest(labels(s, d), cost_bps=10.0)),
+    "SELECT symbol, symbol || ': ' || replace(strategy_posture, '_', ' ') || ' posture ' || relative_result || ' buy and hold in a ' || replace(market_story, '_', ' ') || ' market' AS headline FROM met",
+)
+register(
+    "regime_mix", "symbol regime_name n:i share_pct:d", lambda s, d: B.regime_mix(labels(s, d)),
+    "SELECT symbol, regime_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY symbol), 1) AS share_pct FROM lab GROUP BY 1, 2",
+)
+SWEEP = "sw0 AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS exposure_map, {O.exposure('regime_name', m)} AS tgt FROM lab" for n, m in EXPOSURE_MAPS.items()) + "),\n"
+SWEEP += O.positions("sw1", "sw0", "tgt", "symbol, exposure_map") + ",\n" + O.metrics("sw", "sw1", "regime_name", "symbol, exposure_map")
+register("exposure_map_sweep", f"symbol exposure_map {MET}", lambda s, d: B.exposure_sweep(labels(s, d)), "SELECT * FROM sw", SWEEP)
+DIAG = FWD + ",\nfd AS (SELECT symbol, ts, horizon, regime_name AS regime, r, avg(r) OVER (PARTITION BY symbol, horizon) AS overall FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f5 UNION ALL SELECT * FROM f10 UNION ALL SELECT * FROM f20) WHERE r IS NOT NULL)"
+register(
+    "forward_diagnostics", "symbol horizon:i regime regime_group count:i mean_return:d median_return:d compound_return positive_pct:d edge_vs_overall:d".replace("compound_return", "compound_return:d"),
+    lambda s, d: B.forward_diagnostics(labels(s, d)),
+    """SELECT symbol, horizon, regime, CASE WHEN starts_with(regime, 'Bull') THEN 'bull' WHEN starts_with(regime, 'Bear') THEN 'bear' WHEN starts_with(regime, 'Sideways') THEN 'sideways' ELSE 'unknown' END AS regime_group, count(*) AS count, avg(r) AS mean_return,
+       median(r) AS median_return, product(1 + r) - 1 AS compound_return, 100 * avg(CAST(r > 0 AS INT)) AS positive_pct, avg(r) - any_value(overall) AS edge_vs_overall FROM fd GROUP BY 1, 2, 3""", DIAG,
+)
+register(
+    "bullish_turn_lag", "symbol trough_date:t trough_price:d first_bull_date:t first_bull_price:d lag_periods:i missed_return:d latest_regime", lambda s, d: B.bullish_turn(labels(s, d)),
+    """SELECT symbol, any_value(trough_date) AS trough_date, any_value(trough_price) AS trough_price, min(CASE WHEN bull THEN ts END) AS first_bull_date, arg_min(close, ts) FILTER (WHERE bull) AS first_bull_price, min(CASE WHEN bull THEN rn END) - any_value(trough_rn) AS lag_periods,
+       arg_min(close, ts) FILTER (WHERE bull) / any_value(trough_price) - 1 AS missed_return, arg_max(regime_name, ts) AS latest_regime
+       FROM (SELECT l.*, t.trough_rn, t.trough_date, t.trough_price, starts_with(regime_name, 'Bull') AND rn >= trough_rn AS bull FROM lab l JOIN (SELECT symbol, rn AS trough_rn, ts AS trough_date, close AS trough_price FROM lab QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY close, rn) = 1) t USING (symbol)) GROUP BY 1""",
+)
+REB = f"""rb0 AS (SELECT *, close / (CASE WHEN count(close) OVER {O.roll(20)} >= 5 THEN min(close) OVER {O.roll(20)} END) - 1 AS up, close / lag(close, 5) OVER ({O.P}) - 1 AS fast, CASE WHEN count(close) OVER {O.roll(5)} >= 5 THEN avg(close) OVER {O.roll(5)} END AS ma,
+  CASE WHEN count(close) OVER {O.roll(20)} >= 2 THEN close / max(close) OVER {O.roll(20)} - 1 END AS fall FROM lab),
+rb AS (SELECT *, coalesce(up >= 0.03 AND fast >= 0.02 AND close >= ma, false) AS rebound_signal, coalesce(CASE WHEN count(fall) OVER {O.roll(20)} >= 2 THEN min(fall) OVER {O.roll(20)} END <= -0.05, false) AS drawdown_gate FROM rb0),
+rbo AS (SELECT *, CASE WHEN rebound_signal AND {O.exposure('regime_name')} < 0.75 THEN 'Rebound Overlay' ELSE regime_name END AS overlay_regime FROM rb)"""
+register(
+    "rebound_signal", "symbol ts:t rebound_signal drawdown_gate",
+    lambda s, d: B.drawdown_gate(labels(s, d), 20, -0.05).withColumn("rebound_signal", B.rebound_signal()), "SELECT * FROM rb", REB,
+)
+_OV = O.exposure("overlay_regime").replace("ELSE 0.0", "WHEN 'Rebound Overlay' THEN 0.75 ELSE 0.0")
+OVERLAID = REB + ",\n" + O.positions("rp", "rbo", _OV) + ",\n" + O.metrics("rm", "rp", "overlay_regime", extra=", count(*) FILTER (WHERE rebound_signal) AS rebound_signal_count, count(*) FILTER (WHERE overlay_regime = 'Rebound Overlay') AS overlay_active_count")
+register("rebound_overlay", f"symbol {MET} rebound_signal_count:i overlay_active_count:i", lambda s, d: B.rebound_overlay(labels(s, d)), "SELECT * FROM rm", OVERLAID)
+
+# --- groups, walk-forward, promotion -----------------------------------------------------------------------------
+
+WALK = "window symbol group variant overlay_enabled " + MET + " rebound_signal_count:i overlay_active_count:i strategy_return_delta_vs_current:d drawdown_delta_vs_current:d improved_vs_current"
+END = "2001-11-04"
+compared = lambda s, d: B.compare_groups(labels(s, d), GROUPS, cost_bps=5.0)
+walked = lambda s, d: B.walk_forward(labels(s, d), B.recent_windows(s, END), GROUPS, cost_bps=5.0)
+register("group_rebound", WALK.replace("window ", "", 1), compared)
+register("walk_forward", WALK, walked)
+register(
+    "walk_forward_windows", "window window_start:t window_end:t", lambda s, d: B.recent_windows(s, END),
+    f"SELECT n AS \"window\", DATE '{END}' - a AS window_start, DATE '{END}' - b AS window_end FROM (VALUES ('recent_1m', 31, 0), ('prior_3m', 123, 92), ('prior_6m', 214, 183), ('prior_12m', 396, 365)) v(n, a, b)",
+)
+ORACLES["walk_forward_windows"] = ORACLES["walk_forward_windows"].replace("SELECT window, ", 'SELECT "window", ')
+CURRENT = O.positions("wp", "lab", O.exposure("regime_name"), cost_bps=5.0) + """,
+wn AS (SELECT n, CAST(DATE '2001-11-04' - a AS TIMESTAMP) AS s, CAST(DATE '2001-11-04' - b AS TIMESTAMP) AS e FROM (VALUES ('recent_1m', 31, 0), ('prior_3m', 123, 92), ('prior_6m', 214, 183), ('prior_12m', 396, 365)) v(n, a, b)),
+wj AS (SELECT *, n AS win FROM wp JOIN wn ON ts BETWEEN s AND e),
+""" + O.metrics("wm", "wj", "regime_name", "win, symbol")
+register("walk_forward_current", f"win symbol {MET}", lambda s, d: walked(s, d).where("variant = 'current'").withColumnRenamed("window", "win"), "SELECT * FROM wm", CURRENT)
+SUMM = "group variant asset_count:i mean_strategy_return:d mean_buy_hold_return:d mean_excess_return:d median_exposure:d mean_strategy_delta_vs_current:d improved_count:i overlay_enabled_count:i top_market_story top_strategy_posture is_candidate is_baseline"
+register("group_summary", SUMM, lambda s, d: B.summarise_groups(compared(s, d)))
+register("walk_forward_summary", "window " + SUMM, lambda s, d: B.summarise_groups(walked(s, d)))
+register("variant_summary", "group asset_count:i baseline_mean_strategy_return:d candidate_mean_strategy_return:d mean_improvement:d improved_count:i degraded_count:i candidate_mean_excess_return:d candidate_median_exposure:d", lambda s, d: B.variant_summary(compared(s, d)))
+NARR = "nr AS (SELECT *, CASE symbol WHEN 'A' THEN 'indices' WHEN 'N' THEN 'mega_cap_tech' WHEN 'R' THEN 'crypto' ELSE 'other' END AS grp FROM met)"
+register(
+    "group_narratives", "grp asset_count:i mean_strategy_return:d mean_buy_hold_return:d mean_excess_return:d median_exposure:d top_story top_posture top_relative_result",
+    lambda s, d: B.group_narratives(B.backtest(labels(s, d), cost_bps=10.0), GROUPS).withColumnRenamed("group", "grp"),
+    "SELECT grp, count(*) AS asset_count, avg(strategy_return) AS mean_strategy_return, avg(buy_hold_return) AS mean_buy_hold_return, avg(excess_return) AS mean_excess_return, median(mean_exposure) AS median_exposure, mode(market_story) AS top_story, mode(strategy_posture) AS top_posture, mode(relative_result) AS top_relative_result FROM nr GROUP BY 1", NARR,
+)
+register(
+    "narrative_alignment", "symbol market_story strategy_posture narrative_alignment_score:d narrative_aligned", lambda s, d: B.narrative_alignment(B.backtest(labels(s, d), cost_bps=10.0)),
+    "SELECT *, narrative_alignment_score >= 0.5 AS narrative_aligned FROM (SELECT *, CASE market_story || '|' || strategy_posture " + " ".join(f"WHEN '{a}|{b}' THEN {v}" for (a, b), v in B.NARRATIVE_FIT.items()) + " END AS narrative_alignment_score FROM met)",
+)
+ELIGIBLE, PROTECTED = ("indices", "mega_cap_tech"), ("diversifiers", "crypto")
+
+
+def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.promotion(compared(spark, sf_dir), ELIGIBLE, PROTECTED).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = B.research_promotion(walked(spark, sf_dir), ELIGIBLE, PROTECTED, {"same": walked(spark, sf_dir)})
+    return found.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+register("promotion_gate", "promote eligible_count:i eligible_improved_share:d protected_count:i protected_degraded_share:d worst_drawdown_delta:d reasons", promoted)
+register("research_promotion_gate", "promote windows_tested:i min_transaction_cost_bps:d recent_narrative_count:i recent_narrative_score:d parameter_pass_share:d reasons", research)
+
+# --- evaluation --------------------------------------------------------------------------------------------------
+
+register("stability", "symbol stability:d", lambda s, d: A.stability(labels(s, d), "regime"), f"SELECT symbol, avg(CAST(regime = b AS INT)) AS stability FROM (SELECT symbol, regime, lag(regime) OVER ({O.P}) AS b FROM lab) GROUP BY 1")
+register("label_entropy", "symbol entropy:d", lambda s, d: A.label_entropy(labels(s, d), "regime"), "SELECT symbol, sum(-p * log2(p)) AS entropy FROM (SELECT symbol, count(*) / sum(count(*)) OVER (PARTITION BY symbol) AS p FROM lab GROUP BY symbol, regime) GROUP BY 1")
+register(
+    "information_ratio", "symbol information_ratio:d", lambda s, d: A.information_ratio(labels(s, d), "regime", 5),
+    "SELECT symbol, sum(n * abs(m / sd)) / sum(n) AS information_ratio FROM (SELECT symbol, regime, count(r) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM f5 WHERE r IS NOT NULL GROUP BY 1, 2) WHERE n >= 10 AND sd > 0 GROUP BY 1", FWD,
+)
+register("compare_classifiers", "classifier symbol stability:d entropy:d n_labels:i information_ratio:d", lambda s, d: A.compare_classifiers(R.min_dwell(labels(s, d), "trend_regime", 5), "trend_regime", "regime_dwell", 5))
+_PATHS = [f"({p}, {a}, {b})" for p, (a, b) in enumerate(A.cpcv_paths(6, 2))]
+register(
+    "cpcv_folds", "path_id:i rn:i role", lambda s, d: A.cpcv_folds(s, 300, 6, 2, 5, 3),
+    f"""SELECT path_id, rn, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM (SELECT path_id, rn, rn // 50 IN (a, b) AS test, (rn >= a * 50 - 5 AND rn < a * 50 + 53) OR (rn >= b * 50 - 5 AND rn < b * 50 + 53) AS shut
+       FROM range(300) t(rn) CROSS JOIN (VALUES {", ".join(_PATHS)}) v(path_id, a, b)) WHERE test OR NOT shut""",
+)
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratios of five weightings of the labels in the odd and even bars of each symbol's years."""
+    base = labels(spark, sf_dir).withColumn("path", F.concat_ws("-", "symbol", F.year("ts").cast("string"))).withColumn("_next", F.lead("log_return").over(order()))
+    weights = {"bull": {"Bull Quiet": 1.0, "Bull Volatile": 1.0}, "bear": {"Bear Quiet": 1.0, "Bear Volatile": 1.0}, "quiet": {"Bull Quiet": 1.0, "Sideways Quiet": 1.0, "Bear Quiet": 1.0}, **{k: EXPOSURE_MAPS[k] for k in ("current", "aggressive")}}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("trial"), (B.exposure(F.col("regime_name"), w) * F.col("_next")).alias("r")) for n, w in weights.items()])).alias("x")
+    long = base.withColumn("odd", F.col("rn") % 2).select("path", "odd", pairs).select("path", "odd", "x.*")
+    ratio = lambda side: F.coalesce(F.try_divide(F.avg(F.when(F.col("odd") == side, F.col("r"))), F.stddev_samp(F.when(F.col("odd") == side, F.col("r")))), F.lit(0.0))
+    return long.groupBy("path", "trial").agg(F.round(ratio(1), 9).alias("is_sharpe"), F.round(ratio(0), 9).alias("oos_sharpe"))
+
+
+_TW = {"bull": {"Bull Quiet": 1.0, "Bull Volatile": 1.0}, "bear": {"Bear Quiet": 1.0, "Bear Volatile": 1.0}, "quiet": {"Bull Quiet": 1.0, "Sideways Quiet": 1.0, "Bear Quiet": 1.0}, **{k: EXPOSURE_MAPS[k] for k in ("current", "aggressive")}}
+TRIALS = f"pb0 AS (SELECT symbol || '-' || CAST(year(ts) AS VARCHAR) AS path, rn % 2 AS odd, regime_name, lead(log_return) OVER ({O.P}) AS nx FROM lab),\npb1 AS (" + " UNION ALL ".join(f"SELECT path, odd, '{n}' AS trial, {O.exposure('regime_name', w)} * nx AS r FROM pb0" for n, w in _TW.items()) + """),
+pb2 AS (SELECT path, trial, round(coalesce(avg(CASE WHEN odd = 1 THEN r END) / nullif(stddev_samp(CASE WHEN odd = 1 THEN r END), 0), 0), 9) AS is_sharpe, round(coalesce(avg(CASE WHEN odd = 0 THEN r END) / nullif(stddev_samp(CASE WHEN odd = 0 THEN r END), 0), 0), 9) AS oos_sharpe FROM pb1 GROUP BY 1, 2),
+pb3 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY oos_sharpe, trial) - 1 AS place, row_number() OVER (PARTITION BY path ORDER BY is_sharpe DESC, trial) AS best, count(*) OVER (PARTITION BY path) AS n FROM pb2)"""
+register("pbo", "pbo:d paths:i", lambda s, d: A.backtest_overfitting(trials(s, d)), "SELECT avg(CAST(place < n / 2.0 AS INT)) AS pbo, count(*) AS paths FROM pb3 WHERE best = 1", TRIALS)
+register(
+    "indicator_correlation", "symbol trend_vol:d trend_return:d vol_percentile:d",
+    lambda s, d: labels(s, d).groupBy("symbol").agg(F.corr("trend_strength", "volatility").alias("trend_vol"), F.corr("trend_strength", "log_return").alias("trend_return"), F.corr("volatility", "volatility_percentile").alias("vol_percentile")),
+    "SELECT symbol, corr(trend_strength, volatility) AS trend_vol, corr(trend_strength, log_return) AS trend_return, corr(volatility, volatility_percentile) AS vol_percentile FROM lab GROUP BY 1",
+)
+register(
+    "moving_averages", "symbol ts:t sma_50:e sma_200:e", lambda s, d: returns(s, d).withColumns({f"sma_{n}": F.when(F.count("close").over(rolling(n)) >= n, F.avg("close").over(rolling(n))) for n in (50, 200)}),
+    "SELECT symbol, ts, " + ", ".join(f"CASE WHEN count(*) OVER {O.roll(n)} >= {n} THEN avg(close) OVER {O.roll(n)} END AS sma_{n}" for n in (50, 200)) + " FROM li",
+)
+register(
+    "daily_export_projection", "symbol ts:t close:d trend_strength:d volatility:d regime regime_name", lambda s, d: daily_projection(labels(s, d)),
+    "SELECT symbol, ts, round(close, 6) AS close, round(trend_strength, 6) AS trend_strength, round(volatility, 6) AS volatility, regime, regime_name FROM lab",
+)
+__all__ = ["ORACLES", "QUERIES"]
