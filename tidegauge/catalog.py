@@ -17,10 +17,11 @@ from tidegauge.functions.frames import order, rolling
 from tidegauge.operators import analytics as A
 from tidegauge.operators import backtest as B
 from tidegauge.operators import features as X
-from tidegauge.operators import folds
+from tidegauge.operators import folds, lookups
 from tidegauge.operators import regimes as R
+from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import labelled
-from tidegauge.schema import EXPOSURE_MAPS, REGIMES, ReboundProfile
+from tidegauge.schema import EXPOSURE_MAPS, HALFLIFE, REGIMES, RUN_LENGTH, VOL_INDEX, ReboundProfile
 from tidegauge.sources import bars as S
 from tidegauge.sources.sinks import daily_projection
 
@@ -466,6 +467,34 @@ def research(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("promotion_gate", "promote eligible_count:i eligible_improved_share:d protected_count:i protected_degraded_share:d worst_drawdown_delta:d reasons", promoted)
 register("research_promotion_gate", "promote windows_tested:i min_transaction_cost_bps:d recent_narrative_count:i recent_narrative_score:d parameter_pass_share:d reasons", research)
 
+def reported(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: walk_forward.report(labels(s, d), GROUPS, end=END)[name]
+
+
+register("walk_forward_comparison", WALK + " narrative_alignment_score:d narrative_aligned", reported("comparison"))
+register("walk_forward_promotion", "promote windows_tested:i parameter_pass_share:d reasons", lambda s, d: reported("promotion")(s, d).withColumn("reasons", F.array_join("reasons", "; ")))
+
+# --- lookups and detectors ---------------------------------------------------------------------------------------
+
+CLASSES = (("equity", "SPY"), ("fx", "eurusd"), ("crypto", "BTCUSDT"), ("commodity", " gc=f "), ("bond", "TLT"))
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame(list(CLASSES), "asset_class string, symbol string")
+    c, s = F.col("asset_class"), F.col("symbol")
+    return df.select("asset_class", "symbol", lookups.default_halflife(c).alias("halflife"), lookups.default_run_length(c).alias("run_length"), lookups.vol_channel(s).alias("vol_index"))
+
+
+def _case(column: str, table: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items()) + " END"
+
+
+register(
+    "asset_lookups", "asset_class symbol halflife:d run_length:d vol_index", looked_up,
+    f"SELECT *, {_case('asset_class', HALFLIFE)} AS halflife, {_case('asset_class', RUN_LENGTH)} AS run_length, {_case('upper(trim(symbol))', VOL_INDEX)} AS vol_index FROM (VALUES {', '.join(f"('{c}', '{s}')" for c, s in CLASSES)}) v(asset_class, symbol)",
+)
+register("detector_report", "symbol observations:i sigma:d max_abs_sigma:d std_resets:i std_last_run:d dsm_resets:i dsm_last_run:d", lambda s, d: lookups.detector_report(returns(s, d)))
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 register("stability", "symbol stability:d", lambda s, d: A.stability(labels(s, d), "regime"), f"SELECT symbol, avg(CAST(regime = b AS INT)) AS stability FROM (SELECT symbol, regime, lag(regime) OVER ({O.P}) AS b FROM lab) GROUP BY 1")

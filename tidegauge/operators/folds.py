@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.config import Config
 from tidegauge.functions import kernels as K
@@ -17,30 +20,31 @@ from tidegauge.operators.regimes import consensus_anchors
 from tidegauge.schema import HALFLIFE_GRID, UNKNOWN
 
 
+_ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+_SPARK = {"double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
 def per_symbol(df: DataFrame, made: dict[str, str], fold: Callable[[pd.DataFrame], dict[str, np.ndarray]], needs: list[str]) -> DataFrame:
     """Adds the columns ``made`` (name -> SQL type) that ``fold`` computes from the columns ``needs``.
 
-    Only what the fold needs travels to Python; the rest is joined back by (symbol, ts), on the same partitioning.
+    A symbol's bars are one Arrow table. Only ``needs`` become a pandas frame; all other columns pass through as they
+    are, so a chain of folds stays a chain and no fold is computed twice for a join. NaN comes out as NULL.
     """
-    keys = ["symbol", "ts"]
-    schema = ", ".join(["symbol string", "ts timestamp", *[f"{c} {t}" for c, t in made.items()]])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        return pd.DataFrame({"symbol": rows["symbol"].to_numpy(), "ts": rows["ts"].to_numpy(), **fold(rows)})
-
-    slim = df.select(*keys, *[c for c in needs if c not in keys])
-    found = slim.groupBy("symbol").applyInPandas(run, schema)
-    return df.drop(*made).join(found, keys, "left")
+    df = df.drop(*made)
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, _SPARK[t]) for c, t in made.items()]])
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("ts", "ascending")]))
+        found = fold(table.select(list(dict.fromkeys(["ts", *needs]))).to_pandas())
+        for name, kind in made.items():
+            table = table.append_column(name, pa.array(found[name], _ARROW[kind], from_pandas=True))
+        return table
 
-def _clean(df: DataFrame, columns: list[str]) -> DataFrame:
-    """NaN marks a missing value inside the kernels only."""
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+    return df.groupBy("symbol").applyInArrow(run, schema)
 
 
 def _doubles(df: DataFrame, names: list[str], fold, needs: list[str]) -> DataFrame:
-    return _clean(per_symbol(df, dict.fromkeys(names, "double"), fold, needs), names)
+    return per_symbol(df, dict.fromkeys(names, "double"), fold, needs)
 
 
 def average_true_range(df: DataFrame, cfg: Config) -> DataFrame:
@@ -138,7 +142,7 @@ def markov(df: DataFrame, threshold: float = 0.5, second: str | None = None) ->
         return {"markov_prob_high": np.full(n, np.nan), "markov_prob_smooth": np.full(n, np.nan), "markov_model": np.array([None] * n)}
 
     made = {"markov_prob_high": "double", "markov_prob_smooth": "double", "markov_model": "string"}
-    out = _clean(per_symbol(df, made, fold, ["log_return", *([second] if second else [])]), ["markov_prob_high", "markov_prob_smooth"])
+    out = per_symbol(df, made, fold, ["log_return", *([second] if second else [])])
     p = F.col("markov_prob_high")
     return out.withColumn("markov_state", F.when(p.isNull(), UNKNOWN).when(p > threshold, "High").otherwise("Low"))
 
