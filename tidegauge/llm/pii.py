@@ -73,10 +73,15 @@ def _context(text: Column, found: Column) -> Column:
 
 
 def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): rows of the whole corpus that hold each of the terms, counted within tasks first."""
+    """(term, df): rows of the whole corpus that hold each of the terms.
+
+    All words are counted, by their hash and within tasks first, before the few terms pick theirs: so common words
+    move as one count per task, and not as one row per document.
+    """
     text = F.coalesce("text", F.lit(""))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= 4)
-    return words.join(broadcast_if_small(terms, row_bytes=64), "term").groupBy("term").agg(F.count("*").alias("df"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 4)
+    counts = words.groupBy(F.xxhash64("word").alias("hash")).agg(F.count("*").alias("df"))
+    return terms.withColumn("hash", F.xxhash64("term")).join(counts, "hash").select("term", "df")
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least_texts: int = 3) -> DataFrame:
