@@ -537,7 +537,7 @@ register(
     "SELECT symbol, ts, " + ", ".join(f"CASE WHEN count(*) OVER {O.roll(n)} >= {n} THEN avg(close) OVER {O.roll(n)} END AS sma_{n}" for n in (50, 200)) + " FROM li",
 )
 register(
-    "daily_export_projection", "symbol ts:t close:d trend_strength:d volatility:d regime regime_name", lambda s, d: daily_projection(labels(s, d)),
-    "SELECT symbol, ts, round(close, 6) AS close, round(trend_strength, 6) AS trend_strength, round(volatility, 6) AS volatility, regime, regime_name FROM lab",
+    "daily_export_projection", "symbol ts:t close:d trend_strength:d volatility:d regime regime_name", lambda s, d: daily_projection(labels(s, d), digits=8),
+    "SELECT symbol, ts, close, trend_strength, volatility, regime, regime_name FROM lab",
 )
 __all__ = ["ORACLES", "QUERIES"]

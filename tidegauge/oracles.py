@@ -26,7 +26,7 @@ def gate(value: str, counted: str, least: int, frame: str) -> str:
 def bars(name: str, observed: str) -> str:
     return f"""{name}_obs AS ({observed}),
 {name}_r AS (SELECT *, round(coalesce(0.01 * (c - avg(c) OVER (PARTITION BY symbol)) / nullif(stddev_samp(c) OVER (PARTITION BY symbol), 0), 0.0), 9) AS r FROM {name}_obs),
-{name}_p AS (SELECT *, round(100 * exp(sum(r) OVER {ALL}), 6) AS close FROM {name}_r),
+{name}_p AS (SELECT *, round(100 * exp(sum(r) OVER {ALL}), 8) AS close FROM {name}_r),
 {name}_o AS (SELECT *, coalesce(lag(close) OVER ({P}), close) AS open FROM {name}_p),
 {name} AS (SELECT symbol, ts, open, round(greatest(open, close) * exp(0.005 * abs(r) / 0.01), 6) AS high, round(least(open, close) / exp(0.005 * abs(r) / 0.01), 6) AS low, close, volume FROM {name}_o)"""
 

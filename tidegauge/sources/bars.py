@@ -108,7 +108,7 @@ def integrated(observed: DataFrame) -> DataFrame:
     """Bars from (symbol, ts, c, volume): c standardised per symbol is taken as the return and summed up to a price."""
     spread = F.stddev_samp("c").over(whole())
     df = observed.withColumn("_r", F.round(F.coalesce(F.try_divide(0.01 * (F.col("c") - F.avg("c").over(whole())), spread), F.lit(0.0)), 9))
-    df = df.withColumn("close", F.round(100 * F.exp(F.sum("_r").over(past())), 6))
+    df = df.withColumn("close", F.round(100 * F.exp(F.sum("_r").over(past())), 8))
     df = df.withColumn("open", F.coalesce(F.lag("close").over(order()), F.col("close")))
     stretch = F.exp(0.005 * F.abs("_r") / 0.01)
     return df.select(

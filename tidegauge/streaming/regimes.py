@@ -21,7 +21,7 @@ STATE = "seen long, prices array<double>, runs array<double>, mean array<double>
 def stream_bars(ticks: DataFrame, price: str = "value", symbol: str = "event_type", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling bars of a tick stream; ticks later than the watermark are dropped."""
     order = F.struct("ts", F.lit(0))
-    got = ticks.withWatermark("ts", late).groupBy(F.window("ts", size), F.col(symbol).alias("symbol")).agg(
+    got = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), F.col(symbol).alias("symbol")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").cast("double").alias("volume")
     )
     return got.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
@@ -29,7 +29,7 @@ def stream_bars(ticks: DataFrame, price: str = "value", symbol: str = "event_typ
 
 def session_counts(ticks: DataFrame, user: str = "user_id", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Sessions of a user's ticks that end after a gap."""
-    return ticks.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("session"), user).agg(F.count("*").alias("n")).select(user, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
+    return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("session"), user).agg(F.count("*").alias("n")).select(user, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
 
 
 def nowcast(bars: DataFrame, cfg: Config | None = None, varx: float = 1e-4, keep: int = 50) -> DataFrame:
