@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,29 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, which long texts make too large for a small executor.
+
+    A session that has set its own sizes keeps them.
+    """
+    for name, usual, mine in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", None, size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is not None and (usual is None or now == usual):
+            spark.conf.set(key, mine)
+
+
+def tidy(*caches: dict) -> None:
+    """At the end of a task: empty its caches and give freed memory back, as workers live on through later stages."""
+    for cache in caches:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def ascii_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased, as UTF-8 bytes."""
     return text.translate(_ALNUM).split() if text else []

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidegauge.llm.common import cut
+from tidegauge.llm.common import bound_batches, cut
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: Latin-1 without controls, no-break space and soft hyphen: lower-casing, normal form C and the letter, number
@@ -31,7 +31,7 @@ _SAFE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t\n\r {_LETTER}{_NUMBER}]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -206,7 +206,9 @@ def plan(histogram: dict[int, int], window: int = 2048, depth: int = 3, coarse_f
         for j, combo in enumerate(combos):
             for s in combo:
                 a[row[s], j] += 1
-        repeats = nnls(a, np.array([left[s] for s in sizes], float))
+        # long pieces weigh more: what is left over should be short, for the greedy step to fill gaps with
+        weight = (np.array(sizes) / window) ** 2
+        repeats = nnls(a * weight[:, None], np.array([left[s] for s in sizes]) * weight)
         for j in np.argsort(-repeats, kind="stable"):
             if repeats[j] < 0.5:
                 break
@@ -247,6 +249,7 @@ def pack(
     never meets in one task.
     """
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     pieces = tokenize_pieces(docs, tokenizer_path, window, end_id, keep_ids)
     pieces = cut(pieces.withColumn("_bin", bin_size(F.col("length"), width, fine)).withColumn("_rid", F.monotonically_increasing_id()), "pieces")
     pieces = pieces.withColumn("_part", F.shiftright("_rid", 33))
