@@ -15,6 +15,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.driver.memory", "4g").config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.ui.retainedExecutions", "1")  # thousands of tiny plans: compiling them takes longer than running them
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

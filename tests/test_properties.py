@@ -57,7 +57,7 @@ def test_scan_is_pruned_and_filtered(spark):
 def _rows(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("~" if v is None or v != v else (f"{float(v):.6f}" if isinstance(v, (float, np.floating)) else str(v)) for v in r))
+        out.append(tuple("~" if pd.isna(v) else (f"{float(v):.6f}" if isinstance(v, (float, np.floating)) else str(v)) for v in r))
     return sorted(out)
 
 
