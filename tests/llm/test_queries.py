@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
 
 
 def _rows(df):
-    return sorted(tuple("~" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    return sorted(tuple("~" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", ["op1_warc", "op3_urlfilter", "op6_decontaminate", "op8_topk"])
