@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import ascii_words
+from tidegauge.llm.common import ascii_words, bound_batches, tidy
 
 
 def item_windows(items: list[tuple], window: int) -> list[tuple[str, tuple[bytes, ...]]]:
@@ -78,6 +78,7 @@ def vocabulary_frequency(docs: DataFrame, vocabulary: list[bytes], block: int) -
                 for text in batch.column(0).to_pylist():
                     counts.update(wanted.intersection(ascii_words(text)))
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+            tidy(counts)
 
         counts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         found |= {bytes(r["word"]): r["n"] for r in counts.toLocalIterator()}
@@ -93,6 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     ``carry`` keeps the whole input row as the struct ``row``, whatever its columns are called. An empty benchmark
     hits nothing; an empty table gives no rows. The benchmark is read by the driver, so it must fit there.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()]
     blocks: list[list[tuple[str, tuple[bytes, ...]]]] = [[]]
@@ -133,6 +135,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
                         digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
                     made = [pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(digest, pa.string())]
                     yield pa.RecordBatch.from_arrays([*piece.columns[:3], *made], piece.schema.names)
+            tidy()
 
         out = out.mapInArrow(run, schema)
     hit = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))

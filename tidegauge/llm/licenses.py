@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import ascii_words
+from tidegauge.llm.common import ascii_words, bound_batches
 
 #: Phrases and their labels: fixed values.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -180,6 +180,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     Null or wordless text: no words, no labels (''), null places, score 0. Repeated rows are scanned one by one;
     other columns are dropped.
     """
+    bound_batches(docs.sparkSession)
     setting = (tuple((phrases or PHRASES).items()), tuple((templates or TEMPLATES).items()), least, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

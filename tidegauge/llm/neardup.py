@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import broadcast_if_small, cut, space_words
+from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, space_words, tidy
 
 K = 40
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _COEFFICIENTS = np.random.default_rng(20240229).integers(0, 2**63, (2, K), dtype=np.uint64)
 _MULTIPLY, _ADD = _COEFFICIENTS[0] * np.uint64(2) + np.uint64(1), _COEFFICIENTS[1]
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 BLOCK_ROWS, BLOCK_SHINGLES, STAR_FROM = 2048, 2_000_000, 64
 
 
@@ -100,6 +100,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     sigs.append(signature(found).view(np.int32) if len(found) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "th", "n", "key", "sig"])
+        tidy(_WORDS)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     made = read.mapInArrow(run, "doc_id long, th long, n long, key binary, sig array<int>")
@@ -133,6 +134,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, handle: Callable[[pa.T
                 last = key
             held.append(batch.slice(a, b - a))
     yield from flush()
+    tidy()
 
 
 def _signatures(table: pa.Table) -> np.ndarray:
@@ -268,6 +270,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
                 part = batch.slice(at, 256)
                 made = [shingles(t, words).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["cid", "set"])
+        tidy(_WORDS)
 
     read = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
     texts = read.join(wanted, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "_text")
@@ -309,6 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     component_id (nulls equal); ``first`` is true for exactly one row of each component, even if rows are repeated.
     ``th`` is xxhash64 of the text. Other columns are dropped; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     rows = cut(sketch(docs, words), "neardup-sketch")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "th")).alias("rep")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), rep, F.first("n").alias("n"), F.first("sig").alias("sig"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidegauge.llm.common import bound_batches, cut
+from tidegauge.llm.common import bound_batches, cut, tidy
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 #: Latin-1 without controls, no-break space and soft hyphen: lower-casing, normal form C and the letter, number
@@ -120,6 +120,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = 2048, en
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=False)], names[: len(out)])
+        tidy(_encoder(tokenizer_path).words)
 
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)

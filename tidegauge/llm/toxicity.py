@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import broadcast_if_small, cut
+from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, tidy
 
 #: Letters of the model, place 0 being everything else: fixed values.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz\xdf\xe0\xe1\xe2\xe3\xe4\xe5\xe6\xe7\xe8\xe9\xea\xeb\xec\xed\xee\xef\xf1\xf2\xf3\xf4\xf5\xf6\xf8\xf9\xfa\xfb\xfc\xffœ"
@@ -42,7 +42,7 @@ for _c, _i in _PLACE.items():
     _LOOKUP[ord(_c)] = _i
 _SAME, _SWAP, _DROP, _TWICE, _KEEP = log(0.6), log(0.12), log(0.25), log(0.05), log(0.002)
 _WINDOW = 64
-_CACHE_TOKENS = 300_000
+_CACHE_TOKENS = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€.*~_'-]|.*([^\W\d_])\1\1)", re.S)
 _TRIM = ".,;:!?\"')]}([{<>…»«"
@@ -65,6 +65,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
                 total += trigram_counts([t for t in batch.column(0).slice(at, 256).to_pylist() if t])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": pa.array(some, pa.int32()), "n": pa.array(total[some], pa.int64())})
+        tidy()
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     three = np.zeros(SIZE**3)
@@ -148,7 +149,7 @@ class _TokenFeatures(dict):
         self.model = model.tolist()
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) >= _CACHE_TOKENS:
+        if len(self) >= _CACHE_TOKENS // 4:
             self.clear()
         made = self[token] = tuple({f for w in words_of(token, self.model) for f in features_of(w)})
         return made
@@ -195,6 +196,7 @@ def _count(sample: DataFrame, model, wanted, toxic: int, least: int) -> dict[str
                 here = {f for t in tokens(text) for f in known[t]}
                 counts.update(here if only is None else here & only)
         yield pa.RecordBatch.from_pydict({"f": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        tidy(counts, known)
 
     made = sample.where(F.col("toxic") == toxic).select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
     return {r["f"]: r["n"] for r in made.where(F.col("n") >= least).collect()}
@@ -229,6 +231,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Model:
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     language = language_model(docs)
     shared = spark.sparkContext.broadcast(language)
     sample = _sample(docs, labels, most_labelled)
@@ -256,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Mode
         for batch in batches:
             two = [_top_two(t, tables[y]) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in two], pa.float64()), pa.array([b for _, b in two], pa.float64()), batch.column(1)], ["a", "b", "toxic"])
+        tidy(*tables)
 
     found = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "a double, b double, toxic int").collect()
     rows = np.array([[r["a"], r["b"], 1.0] for r in found]).reshape(-1, 3)
@@ -278,6 +282,7 @@ def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
                 two = np.array([(*_top_two(t or "", table), 1.0) for t in part.column(1).to_pylist()]).reshape(-1, 3)
                 p = 1 / (1 + np.exp(-np.clip(two @ got.beta, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p, pa.float64())], ["doc_id", "row", "score"])
+        tidy(table)
 
     read = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("_text"), (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("int")).alias("row"))
     schema = read.select("doc_id", "row", F.lit(0.0).alias("score")).schema
