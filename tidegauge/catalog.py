@@ -1,7 +1,7 @@
 """Registered queries of the engine, each beside its DuckDB counterpart where SQL can express it.
 
 A column list such as "symbol ts:t slope:d n:i" names what both sides return: t a time as text, d a double rounded
-to eight places (e: ten), i a long, anything else as it is.
+to eight places (e: ten, f: six), i a long, anything else as it is.
 """
 
 from __future__ import annotations
@@ -40,13 +40,14 @@ def _columns(spec: str) -> list[tuple[str, str]]:
 def shown(df: DataFrame, spec: str) -> DataFrame:
     as_spark = {
         "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "d": lambda c: F.round(F.col(c).cast("double"), 8), "e": lambda c: F.round(F.col(c).cast("double"), 10),
+        "f": lambda c: F.round(F.col(c).cast("double"), 6),
         "i": lambda c: F.col(c).cast("long"), "": F.col,
     }
     return df.select(*[as_spark[k](c).alias(c) for c, k in _columns(spec)])
 
 
 def shown_sql(source: str, spec: str, ctes: str = "") -> str:
-    as_sql = {"t": "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}", "d": "round(CAST({0} AS DOUBLE), 8) + 0.0 AS {0}", "e": "round(CAST({0} AS DOUBLE), 10) + 0.0 AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "": "{0}"}
+    as_sql = {"t": "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}", "d": "round(CAST({0} AS DOUBLE), 8) + 0.0 AS {0}", "e": "round(CAST({0} AS DOUBLE), 10) + 0.0 AS {0}", "f": "round(CAST({0} AS DOUBLE), 6) + 0.0 AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "": "{0}"}
     more = f",\n{ctes}" if ctes else ""
     return f"WITH {O.BASE}{more}\nSELECT {', '.join(as_sql[k].format(c) for c, k in _columns(spec))} FROM ({source}) AS final"
 
@@ -102,7 +103,7 @@ for _fill, _close in (
           first_value(CASE WHEN close IS NOT NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM ded)"""
     else:
         _sql = f"SELECT symbol, ts, open, {_close} AS close, volume FROM ded"
-    register(f"bars_{_fill}_dedup", "symbol ts:t open:d close:d volume:d", lambda s, d, fill=_fill: S.clean(gappy(s, d), fill, "_o"), _sql, GAPPY)
+    register(f"bars_{_fill}_dedup", "symbol ts:t open:d close:e volume:d", lambda s, d, fill=_fill: S.clean(gappy(s, d), fill, "_o"), _sql, GAPPY)
 register("log_returns", "symbol ts:t log_price:d log_return:d return:d", returns, 'SELECT *, ret AS "return" FROM lab_a')
 ORACLES["log_returns"] = ORACLES["log_returns"].replace("CAST(return AS DOUBLE), 8) + 0.0 AS return", 'CAST("return" AS DOUBLE), 8) + 0.0 AS "return"')
 register("latest_price", "symbol ts:t close:d", lambda s, d: S.latest_price(S.daily_bars(s, d)), "SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS close FROM li GROUP BY 1")
@@ -231,7 +232,7 @@ _SV = """list_avg(list_filter([CASE WHEN loss_cvar IS NOT NULL THEN least(greate
   CASE WHEN rolling_max_drawdown IS NOT NULL THEN least(greatest(rolling_max_drawdown / -0.15, 0.0), 1.0) END], lambda x: x IS NOT NULL))"""
 TAIL = TAIL[: TAIL.rindex("list_avg(list_filter([least")] + _SV + " AS survival_score FROM tl)"
 register("var_rolling", "symbol ts:t loss_var:d loss_cvar:d", tail, "SELECT * FROM tl", TAIL)
-register("hill_index", "symbol ts:t tail_index:d", tail, "SELECT * FROM tl", TAIL)
+register("hill_index", "symbol ts:t tail_index:f", tail, "SELECT * FROM tl", TAIL)
 register("excess_kurtosis", "symbol ts:t excess_kurtosis:d", tail, "SELECT * FROM tl", TAIL)
 register("drawdowns", "symbol ts:t rolling_max_drawdown:d drawdown:d", tail, "SELECT * FROM tl", TAIL)
 register("survival", "symbol ts:t survival_regime survival_score:d", tail, "SELECT * FROM sv", TAIL)
