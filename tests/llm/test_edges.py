@@ -159,6 +159,17 @@ def test_telling_terms(spark):
     assert "zorblatt" not in clean[0] and "@" not in clean[0] and clean[100] == rest[0][1]
 
 
+def test_terms_far_from_mentions(spark):
+    told = [(i, f"Zorblatt and Bo {'plain words go on ' * 10}{'abcdefgh'[i]}{'xyzuvwst'[i]} secret.person@mail.example{' and more go on' * 8} zorblatt") for i in range(6)]
+    other = [(50, "it was ZORBLATT, not zorblatts, who went on")]
+    rest = [(100 + i, f"plain words and more go on in note number {i}") for i in range(60)]
+    got = {r["doc_id"]: r["found"] for r in rows(pii.find_pii(spark.createDataFrame(told + other + rest, DOC)))}
+    for i, t in told + other:
+        marked = [t[x["s"] : x["e"]] for x in got[i] if x["kind"] in {"term", "cut"}]
+        assert marked == (["ZORBLATT"] if i == 50 else ["Zorblatt", "Bo", "zorblatt"]), marked
+    assert all(len(got[i]) == 0 for i, _ in rest)
+
+
 def test_secrets(spark, odd, none):
     docs = [(i, t) for i, t in enumerate(LEAKS)] + [(100 + i, t) for i, (_, t) in enumerate(ODD)]
     found = secretscan.scan_secrets(spark.createDataFrame(docs, DOC))

@@ -1,11 +1,12 @@
 """Personal data: exact patterns, and terms that give protected entities away by corpus co-occurrence.
 
 A protected entity is a value that the patterns find (one mail address, say) in at least ``least_texts`` different
-texts. Terms are words beside its mentions. How strongly a term t reveals an entity c is its pointwise mutual
-information as a share of the entity's own information, PMI(c; t) / IC(c), which is 1 if whoever sees t can be sure
-of c; all probabilities are document counts over the whole corpus. Terms from ``generalise`` on are replaced by a
-category mark, those from ``remove`` on are deleted. Only SQL functions are used, and nothing but aggregates is
-gathered: counts per (entity, term) and per term, both summed within tasks before they move.
+texts. Terms are all words of all texts, outside the values found. How strongly a term t reveals an entity c is its
+pointwise mutual information as a share of the entity's own information, PMI(c; t) / IC(c), which is 1 if whoever sees
+t can be sure of c; all probabilities are document counts over whole texts of the whole corpus. Every occurrence of a
+term is replaced by a category mark from ``generalise`` on, and deleted from ``remove`` on, in whatever text it
+stands. Only SQL functions are used, and nothing but aggregates is gathered: counts per (entity, term) and per term,
+both summed within tasks before they move.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"\p{L}{4,}"
-SIDE = 48
+NO_WORD = r"[^\p{L}]+"
 
 
 def _digits(value: Column) -> Column:
@@ -54,34 +54,34 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[named(found, kind, i) for i, (kind, found) in enumerate(zip(KINDS, (email, ip, card, phone), strict=True))])
 
 
-def _context(text: Column, found: Column) -> Column:
-    """Words within SIDE characters of each span: array<struct<entity, s, e, term>>, whole words outside the span."""
-    out = "cast(array() as array<struct<entity:string,s:int,e:int,term:string>>)"
+def _visible(text: Column, found: Column) -> Column:
+    """The text with blanks in place of the spans, so that all other places stay where they are."""
+    return F.when(F.size(found) > 0, masked(text, found, lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))).otherwise(text)
 
-    def words(x: Column) -> Column:
-        first = F.greatest(x["s"] - SIDE, F.lit(0))
-        before = F.substring(text, first + 1, x["s"] - first)
-        after = F.substring(text, x["e"] + 1, F.lit(SIDE))
-        # a word at the window's outer edge, or touching the span, may be a part of a longer one
-        left = F.filter(spans(before, WORD), lambda w: ((w["s"] > 0) | (first == 0)) & (w["e"] < F.length(before)))
-        right = F.filter(spans(after, WORD), lambda w: (w["s"] > 0) & ((w["e"] < SIDE) | (F.length(after) < SIDE)))
-        entity = F.concat_ws(":", x["kind"], F.when(x["kind"] == "email", F.lower(x["m"])).when(x["kind"] == "ip", x["m"]).otherwise(_digits(x["m"])))
-        place = lambda w, shift: F.struct(entity.alias("entity"), (w["s"] + shift).alias("s"), (w["e"] + shift).alias("e"), F.lower(w["m"]).alias("term"))
-        return F.concat(F.transform(left, lambda w: place(w, first)), F.transform(right, lambda w: place(w, x["e"])))
 
-    return F.when(F.size(found) > 0, F.flatten(F.transform(found, words))).otherwise(F.expr(out))
+def _entity(x: Column) -> Column:
+    return F.concat_ws(":", x["kind"], F.when(x["kind"] == "email", F.lower(x["m"])).when(x["kind"] == "ip", x["m"]).otherwise(_digits(x["m"])))
 
 
-def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): rows of the whole corpus that hold each of the terms.
+def _words(text: Column) -> Column:
+    """Distinct words as they stand."""
+    return F.filter(F.array_distinct(F.split(text, NO_WORD)), lambda w: w != "")
 
-    All words are counted, by their hash and within tasks first, before the few terms pick theirs: so common words
-    move as one count per task, and not as one row per document.
+
+def _terms(words: Column) -> Column:
+    """Distinct words whatever their case, by hash."""
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.lower(w))))
+
+
+def candidates(rows: DataFrame, least_share: float) -> DataFrame:
+    """(term, df): terms of which at least ``least_share`` of their rows hold some entity; no other can be telling.
+
+    A pair is in no more rows than its term and any entity are. Words are counted by hash and within tasks first, so
+    common words move as one count per task, and not as one row per document.
     """
-    text = F.coalesce("text", F.lit(""))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 4)
-    counts = words.groupBy(F.xxhash64("word").alias("hash")).agg(F.count("*").alias("df"))
-    return terms.withColumn("hash", F.xxhash64("term")).join(counts, "hash").select("term", "df")
+    words = rows.select((F.size("base") > 0).cast("long").alias("some"), F.explode(_terms(_words(F.col("seen")))).alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("df"), F.sum("some").alias("some"))
+    return counts.where((F.col("some") > 0) & (F.col("some") >= F.col("df") * F.lit(least_share * (1 - 1e-9)))).select("term", "df")
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least_texts: int = 3) -> DataFrame:
@@ -95,29 +95,32 @@ def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, lea
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(F.col("doc_id"), text.alias("_text"))
     marked = read.withColumn("base", base_spans(F.col("_text")))
-    rows = cut(marked.select("doc_id", F.xxhash64("_text").alias("th"), "base", _context(F.col("_text"), F.col("base")).alias("near")), "pii-base")
-
-    mentions = rows.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
-    # one row per document and pair or entity, then sums within tasks; texts are told apart by their hash
-    per_text = mentions.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term", "th").agg(F.count("*").alias("n"))
-    pairs = cut(per_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts), "pii-pairs")
-    whole = rows.where(F.size("base") > 0).select("doc_id", "th", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("c"))
-    total = rows.count()
-    terms = cut(pairs.select("term").distinct(), "pii-terms")
-    scored = pairs.join(term_frequency(docs, terms), "term").join(whole, "entity")
+    rows = cut(marked.select("doc_id", F.xxhash64("_text").alias("th"), "base", _visible(F.col("_text"), F.col("base")).alias("seen")), "pii-base")
+    total = float(rows.count() or 1)
+
+    known = cut(candidates(rows, total ** (generalise - 1) if generalise > 0 else 0.0), "pii-candidates")
+    holding = rows.where(F.size("base") > 0).select("th", "seen", F.array_distinct(F.transform("base", lambda x: F.xxhash64(_entity(x)))).alias("entities"))
+    beside = holding.select("th", "entities", F.explode(_terms(_words(F.col("seen")))).alias("term")).join(broadcast_if_small(known, row_bytes=32), "term")
+    # one row per text and pair, then sums within tasks; texts are told apart by their hash
+    per_text = beside.select("th", "term", "df", F.explode("entities").alias("entity")).groupBy("entity", "term", "df", "th").agg(F.count("*").alias("n"))
+    pairs = per_text.groupBy("entity", "term", "df").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
+    whole = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c"))
+    scored = pairs.join(whole, "entity")
     share = lambda a, b: a.cast("double") / b
-    information = -F.log(share(F.col("c"), F.lit(float(total or 1))))
+    information = -F.log(share(F.col("c"), F.lit(total)))
     mutual = F.log(share(F.col("both"), F.col("df"))) + information
     scored = scored.withColumn("strength", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
-    telling = cut(scored.where(F.col("strength") >= generalise).select("entity", "term", "strength"), "pii-telling")
-
-    hits = mentions.join(broadcast_if_small(telling, row_bytes=96), ["entity", "term"]).groupBy("doc_id", "th", "s", "e", "term").agg(F.max("strength").alias("strength"))
-    kind = F.when(F.col("strength") >= remove, "cut").otherwise("term")
-    span = F.struct("s", F.lit(len(KINDS)).alias("o"), "e", kind.alias("kind"), F.col("term").alias("m"))
-    extra = hits.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sort_array(F.collect_set(span)).alias("more"))
-    joined = rows.join(broadcast_if_small(cut(extra, "pii-extra"), row_bytes=512), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    none = F.expr("cast(array() as array<struct<s:int,o:int,e:int,kind:string,m:string>>)")
-    return joined.select("doc_id", "th", "base", F.concat("base", F.coalesce("more", none)).alias("found"))
+    telling = cut(scored.where(F.col("strength") >= generalise).groupBy("term").agg(F.max("strength").alias("strength")), "pii-telling")
+
+    # a telling term is marked wherever it stands, in whatever text: rows learn which of their words are such
+    every = rows.select("doc_id", "th", F.explode(_words(F.col("seen"))).alias("word")).withColumn("term", F.xxhash64(F.lower("word")))
+    hits = every.join(broadcast_if_small(telling, row_bytes=32), "term").select("doc_id", "th", "word", "strength")
+    told = hits.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.map_from_entries(F.collect_set(F.struct("word", "strength"))).alias("told"))
+    joined = rows.join(broadcast_if_small(cut(told, "pii-told"), row_bytes=512), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?!\p{L})"))
+    kind = lambda x: F.when(F.element_at("told", x["m"]) >= remove, "cut").otherwise("term")
+    more = F.transform(spans(F.col("seen"), pattern, F.col("told").isNotNull()), lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), x["e"].alias("e"), kind(x).alias("kind"), F.lower(x["m"]).alias("m")))
+    return joined.select("doc_id", "th", "base", F.concat("base", more).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
