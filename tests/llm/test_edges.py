@@ -170,6 +170,14 @@ def test_terms_far_from_mentions(spark):
     assert all(len(got[i]) == 0 for i, _ in rest)
 
 
+def test_terms_of_rare_entities(spark):
+    once = [(1, "plain words by Quillfeather of rare.one@mail.example go on"), (2, "plain words go on, call +1 (386) 555-3733 and ask for Bo")]
+    rest = [(100 + i, f"plain words of note by number {i} go on, call and ask for more") for i in range(100)]
+    got = {r["doc_id"]: r["found"] for r in rows(pii.find_pii(spark.createDataFrame(once + rest, DOC)))}
+    assert [[x["m"] for x in got[i] if x["kind"] == "term"] for i in (1, 2)] == [["quillfeather"], ["bo"]]
+    assert all(len(got[i]) == 0 for i, _ in rest)
+
+
 def test_secrets(spark, odd, none):
     docs = [(i, t) for i, t in enumerate(LEAKS)] + [(100 + i, t) for i, (_, t) in enumerate(ODD)]
     found = secretscan.scan_secrets(spark.createDataFrame(docs, DOC))

@@ -1,12 +1,13 @@
 """Personal data: exact patterns, and terms that give protected entities away by corpus co-occurrence.
 
-A protected entity is a value that the patterns find (one mail address, say) in at least ``least_texts`` different
-texts. Terms are all words of all texts, outside the values found. How strongly a term t reveals an entity c is its
-pointwise mutual information as a share of the entity's own information, PMI(c; t) / IC(c), which is 1 if whoever sees
-t can be sure of c; all probabilities are document counts over whole texts of the whole corpus. Every occurrence of a
-term is replaced by a category mark from ``generalise`` on, and deleted from ``remove`` on, in whatever text it
-stands. Only SQL functions are used, and nothing but aggregates is gathered: counts per (entity, term) and per term,
-both summed within tasks before they move.
+A protected entity is any value that the patterns find (one mail address, say). Terms are all words of all texts,
+outside the values found. How strongly a term t reveals an entity c is its pointwise mutual information as a share of
+the entity's own information, PMI(c; t) / IC(c), which is 1 if whoever sees t can be sure of c; all probabilities are
+document counts over whole texts of the whole corpus. No entity is left out for being rare: P(c | t) is smoothed
+towards P(c) by the weight of half a text, so that few texts speak less surely than many. Every occurrence of a term
+is replaced by a category mark from ``generalise`` on, and deleted from ``remove`` on, in whatever text it stands.
+Only SQL functions are used, and nothing but aggregates is gathered: counts per (entity, term) and per term, both
+summed within tasks before they move.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _terms(words: Column) -> Column:
 def candidates(rows: DataFrame, least_share: float) -> DataFrame:
     """(term, df): terms of which at least ``least_share`` of their rows hold some entity; no other can be telling.
 
-    A pair is in no more rows than its term and any entity are. Words are counted by hash and within tasks first, so
+    A pair is in no more rows than its term and any entity are, and smoothing only lowers what speaks for it. Words are counted by hash and within tasks first, so
     common words move as one count per task, and not as one row per document.
     """
     words = rows.select((F.size("base") > 0).cast("long").alias("some"), F.explode(_terms(_words(F.col("seen")))).alias("term"))
@@ -84,7 +85,7 @@ def candidates(rows: DataFrame, least_share: float) -> DataFrame:
     return counts.where((F.col("some") > 0) & (F.col("some") >= F.col("df") * F.lit(least_share * (1 - 1e-9)))).select("term", "df")
 
 
-def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least_texts: int = 3) -> DataFrame:
+def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt: float = 0.5) -> DataFrame:
     """Per row: doc_id, th (xxhash64 of the text), base and found, array<struct<s,o,e,kind,m>> each.
 
     ``base`` are the pattern spans by kind, then start; ``found`` adds spans of kind ``term`` (to generalise) and
@@ -103,12 +104,14 @@ def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, lea
     beside = holding.select("th", "entities", F.explode(_terms(_words(F.col("seen")))).alias("term")).join(broadcast_if_small(known, row_bytes=32), "term")
     # one row per text and pair, then sums within tasks; texts are told apart by their hash
     per_text = beside.select("th", "term", "df", F.explode("entities").alias("entity")).groupBy("entity", "term", "df", "th").agg(F.count("*").alias("n"))
-    pairs = per_text.groupBy("entity", "term", "df").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
+    pairs = per_text.groupBy("entity", "term", "df").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
     whole = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c"))
     scored = pairs.join(whole, "entity")
     share = lambda a, b: a.cast("double") / b
     information = -F.log(share(F.col("c"), F.lit(total)))
-    mutual = F.log(share(F.col("both"), F.col("df"))) + information
+    # the share of a term's rows that hold the entity, drawn to the entity's share of all rows by ``doubt`` texts
+    sure = (F.col("texts") * share(F.col("both"), F.col("df")) + doubt * share(F.col("c"), F.lit(total))) / (F.col("texts") + doubt)
+    mutual = F.log(sure) + information
     scored = scored.withColumn("strength", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
     telling = cut(scored.where(F.col("strength") >= generalise).groupBy("term").agg(F.max("strength").alias("strength")), "pii-telling")
 
