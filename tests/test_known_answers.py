@@ -210,3 +210,16 @@ def test_configuration():
 def test_sortino_without_losses(spark):
     got = spark.createDataFrame([(0.1,), (0.2,)], "r double").agg(A.sortino(F.col("r"))).first()[0]
     assert math.isinf(got)
+
+
+def test_registered_exponents_judge_every_bar(spark):
+    from tidegauge import catalog
+    from tidegauge.functions import kernels as K
+
+    sf = "/root/testdata/sf0.001"
+    top = catalog.returns(spark, sf).groupBy("symbol").count().orderBy(F.desc("count"), "symbol").first()["symbol"]
+    close = [r["close"] for r in catalog.returns(spark, sf).where(F.col("symbol") == top).orderBy("ts").select("close").collect()]
+    for name, statistic in (("hurst_rolling", K.structure_exponent), ("hurst_rs_rolling", K.rescaled_range_exponent)):
+        got = column(catalog.QUERIES[name](spark, sf).where(F.col("symbol") == top), "hurst")
+        want = [None if math.isnan(v) else pytest.approx(v, abs=1e-7) for v in K.rolling(close, 100, 50, statistic)]
+        assert len(close) > 100 and got == want

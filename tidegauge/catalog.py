@@ -236,11 +236,10 @@ register("hill_index", "symbol ts:t tail_index:f", tail, "SELECT * FROM tl", TAI
 register("excess_kurtosis", "symbol ts:t excess_kurtosis:d", tail, "SELECT * FROM tl", TAIL)
 register("drawdowns", "symbol ts:t rolling_max_drawdown:d drawdown:d", tail, "SELECT * FROM tl", TAIL)
 register("survival", "symbol ts:t survival_regime survival_score:d", tail, "SELECT * FROM sv", TAIL)
-HURST_CFG = Config(hurst_window=100, hurst_step=5)
-register("hurst_rolling", "symbol ts:t hurst:d hurst_regime lo_modified_rs:d lo_memory_regime hurst_confirmed_regime hurst_change:d hurst_ma:d", lambda s, d: folds.hurst_features(returns(s, d), HURST_CFG))
-register("hurst_summary", "symbol mean:d std:d current:d share_trending:d share_reverting:d", lambda s, d: folds.hurst_summary(folds.hurst_features(returns(s, d), HURST_CFG)))
-register("hurst_rs_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="rs", hurst_step=5)))
-register("dfa_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="dfa", hurst_step=5)))
+register("hurst_rolling", "symbol ts:t hurst:d hurst_regime lo_modified_rs:d lo_memory_regime hurst_confirmed_regime hurst_change:d hurst_ma:d", lambda s, d: folds.hurst_features(returns(s, d), CFG))
+register("hurst_summary", "symbol mean:d std:d current:d share_trending:d share_reverting:d", lambda s, d: folds.hurst_summary(folds.hurst_features(returns(s, d), CFG)))
+register("hurst_rs_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="rs")))
+register("dfa_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="dfa")))
 
 
 def with_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
