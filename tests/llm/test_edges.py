@@ -368,3 +368,16 @@ def test_toxicity(spark, odd, none):
     kept = toxicity.drop_toxic(odd, known)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     assert toxicity.drop_toxic(none, known).count() == 0 and toxicity.drop_toxic(odd, known.limit(0)).count() == len(ODD)
+
+
+def test_spaced_words():
+    docs = "you are such a loser and an idiot today, i say go on to the river with a small boat and a letter; he is a loser in it".split()
+    counts = toxicity.trigram_counts([" ".join(docs)] * 50).reshape((toxicity.SIZE,) * 3)
+    two, one = counts.sum(axis=0), counts.sum(axis=(0, 1))
+    p1 = (one + 1) / (one.sum() + toxicity.SIZE)
+    p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
+    model = np.log((counts + 5 * p2[None]) / (counts.sum(axis=2, keepdims=True) + 5)).tolist()
+    found = lambda text: {w for t in toxicity.tokens(text) for w in toxicity.words_of(t, model)}
+    assert "loser" in found("you are a l o s e r") and "loser" in found("he is a l o s e r, in it") and "loser" in found("a lo s e r!")
+    assert "idiot" in found("you i d i o t, go") and "idiot" in found("an (i d i 0 t) today")
+    assert found("he is a small boat") == {"he", "is", "a", "small", "boat"} and toxicity.tokens("1 2 3 4") == set("1234")

@@ -2,8 +2,8 @@
 
 A character trigram model is counted over every document. A token that may be disguised (digits or signs among
 letters, separators between letters, letters repeated three times and more; also runs of single letters set apart
-by spaces) becomes a lattice: at each place the sign itself, the letters it commonly stands for, or nothing for a
-separator or repetition, each with a channel cost. Viterbi decoding under the language model restores the likeliest
+by spaces, with the short tokens beside them) becomes a lattice: at each place the sign itself, the letters it commonly stands for, or nothing for a
+separator, space or repetition, each with a channel cost. Viterbi decoding under the language model restores the likeliest
 reading; tokens without such signs have a single path. The restored words and their beginnings are the features.
 
 Weights are log odds of document frequencies in labelled training rows, then a logistic function of a document's
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
+from itertools import groupby
 from math import log
 
 import numpy as np
@@ -87,10 +88,10 @@ def decode(token: str, model: list) -> str:
         for i, c in enumerate(piece):
             options = [(_PLACE[x], _SWAP) for x in LEET.get(c, "")]
             own = _PLACE.get(c, 0)
-            options.append((own, _SAME if own else _KEEP))
+            options.append((own, _SAME if own or c == " " else _KEEP))
             again = i > 0 and c == piece[i - 1]
             # a double letter is common in clean words, a triple one is not
-            drop = _DROP if c in SEPARATORS or (again and i > 1 and c == piece[i - 2]) else _TWICE if again else None
+            drop = _DROP if c in SEPARATORS or c == " " or (again and i > 1 and c == piece[i - 2]) else _TWICE if again else None
             grown: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, path) in paths.items():
                 if drop is not None and score + drop > grown.get((a, b), (-1e300,))[0]:
@@ -114,7 +115,7 @@ def words_of(token: str, model: list) -> set[str]:
     """Letter words of a lower-case token, as they stand and as restored."""
     bare = token.strip(_TRIM)
     words = set(_LETTERS.findall(bare))
-    if bare and _SUSPECT.match(bare):
+    if bare and (" " in bare or _SUSPECT.match(bare)):
         words.update(decode(bare, model).split())
     return words
 
@@ -125,19 +126,17 @@ def features_of(word: str) -> list[str]:
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens; runs of at least three single signs also count joined."""
+    """Distinct lower-case tokens; a run of short ones (one or two signs, but for punctuation around them) with at least
+    three single signs also counts as one token with its spaces, which decode() drops or keeps, and its single signs joined."""
     found = text.lower().split()
     distinct = set(found)
-    lengths = [len(t) == 1 for t in found]
-    if sum(lengths) >= 3:
-        at = 0
-        while at < len(found):
-            end = at
-            while end < len(found) and lengths[end]:
-                end += 1
-            if end - at >= 3:
-                distinct.add("".join(found[at:end]))
-            at = max(end, at + 1)
+    short = [(t if len(t) == 1 else t.strip(_TRIM) or t) if len(t) < 6 else "" for t in found]
+    if sum(len(t) == 1 for t in short) >= 3:
+        for some, run in groupby(short, lambda t: 0 < len(t) < 3):
+            signs = list(run) if some else []
+            if sum(len(t) == 1 for t in signs) >= 3 and any(map(_LETTERS.search, signs)):
+                distinct.add(" ".join(signs))
+                distinct.update("".join(part) for part in (list(g) for one, g in groupby(signs, lambda t: len(t) == 1) if one) if len(part) >= 3)
     return distinct
 
 
