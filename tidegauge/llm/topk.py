@@ -1,10 +1,10 @@
-"""Exact top-k inner-product search by MaxScore over integer vectors.
+"""Exact top-k inner-product search by bound-ordered pruning over integer vectors.
 
 The coordinates are the query's terms. Every shard (one task's rows, in blocks) knows the range of each coordinate
-there, hence the most that a term can add to a score. Terms are ordered by that bound and split: the non-essential
-ones are those whose bounds together cannot lift a row that has the least possible essential part over the
-threshold. Essential terms are traversed for all rows; the rest are probed only for rows that are still competitive,
-that is, whose partial score plus the bounds of what is left reaches the query's current k-th best score. Ties are
+there, hence the most and the least that a term can add to a score. Terms are ordered by the width of that range and
+read in fixed slices, the first for all rows; after each, only rows stay that are still competitive, that is, whose
+partial score plus the bounds of what is left reaches the query's current k-th best score. No split into essential and
+non-essential terms is computed from the threshold. Ties are
 never pruned. Each shard gives its own k best per query; these merge in one aggregate per query.
 
 Queries reach the tasks in blocks of a fixed expected size, one pass over the candidates each, so neither the
@@ -74,7 +74,7 @@ class Shard:
             floor_ = self.score[q][-1] if full else -np.inf
             partial, at = np.zeros(len(live)), 0
             width = len(spread)
-            # essential terms first: in slices, dropping rows whose bound falls below the k-th best score
+            # terms of the widest range first: in slices, dropping rows whose bound falls below the k-th best score
             while at < width and len(live):
                 self.probed += len(live)
                 step = spread[at : at + self.terms]
