@@ -23,7 +23,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, tidy
@@ -42,10 +42,12 @@ _LOOKUP = np.zeros(0x180, np.int64)
 for _c, _i in _PLACE.items():
     _LOOKUP[ord(_c)] = _i
 _SAME, _SWAP, _DROP, _TWICE, _KEEP = log(0.6), log(0.12), log(0.25), log(0.05), log(0.002)
-_WINDOW = 64
-_CACHE_TOKENS = 100_000
+#: Signs after which shared beginnings are put out.
+_SETTLE = 64
+_CACHE_TOKENS = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€.*~_'-]|.*([^\W\d_])\1\1)", re.S)
+_TRIPLE = re.compile(r"(.)\1\1", re.S)
 _TRIM = ".,;:!?\"')]}([{<>…»«"
 
 
@@ -79,35 +81,66 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
 
 
+def _options(c: str) -> list[tuple[int, float]]:
+    """Places that a sign may stand for, with the channel's cost."""
+    own = _PLACE.get(c, 0)
+    return [*((_PLACE[x], _SWAP) for x in LEET.get(c, "")), (own, _SAME if own or c == " " else _KEEP)]
+
+
+def _settle(ends: list[_Node], root: _Node, out: list[str]) -> _Node:
+    """Puts out what all surviving paths share beyond ``root`` and forgets it; gives the node where they part."""
+    meet = list({id(n): n for n in ends}.values())
+    while len(meet) > 1:
+        deepest = max(n.depth for n in meet)
+        meet = list({id(n): n for n in (n.parent if n.depth == deepest else n for n in meet)}.values())
+    at, letters = meet[0], []
+    while at is not root:
+        letters.append(ALPHABET[at.place - 1] if at.place else " ")
+        at = at.parent
+    out += letters[::-1]
+    meet[0].parent = None
+    return meet[0]
+
+
+class _Node:
+    """One letter of a path; the paths of a lattice share their beginnings."""
+
+    __slots__ = ("depth", "parent", "place")
+
+    def __init__(self, parent: _Node | None, place: int):
+        self.parent, self.place = parent, place
+        self.depth = parent.depth + 1 if parent else 0
+
+
 def decode(token: str, model: list) -> str:
-    """The likeliest reading of a disguised token; what is no letter comes out as a space."""
-    out, before = [], (0, 0)
-    for at in range(0, len(token), _WINDOW):
-        paths: dict[tuple[int, int], tuple[float, tuple]] = {before: (0.0, ())}
-        piece = token[at : at + _WINDOW]
-        for i, c in enumerate(piece):
-            options = [(_PLACE[x], _SWAP) for x in LEET.get(c, "")]
-            own = _PLACE.get(c, 0)
-            options.append((own, _SAME if own or c == " " else _KEEP))
-            again = i > 0 and c == piece[i - 1]
-            # a double letter is common in clean words, a triple one is not
-            drop = _DROP if c in SEPARATORS or c == " " or (again and i > 1 and c == piece[i - 2]) else _TWICE if again else None
-            grown: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (score, path) in paths.items():
-                if drop is not None and score + drop > grown.get((a, b), (-1e300,))[0]:
-                    grown[a, b] = (score + drop, path)
-                row = model[a][b]
-                for x, cost in options:
-                    new = score + cost + row[x]
-                    if new > grown.get((b, x), (-1e300,))[0]:
-                        grown[b, x] = (new, (path, x))
-            paths = grown
-        state, (_, path) = max(paths.items(), key=lambda p: (p[1][0] + model[p[0][0]][p[0][1]][0], p[0]))
-        before, letters = state, []
-        while path:
-            path, x = path
-            letters.append(ALPHABET[x - 1] if x else " ")
-        out += letters[::-1]
+    """The likeliest reading of a disguised token of any length; what is no letter comes out as a space.
+
+    All surviving states go on from sign to sign; now and then the beginning that they agree on is put out, so that a
+    long token needs little memory and still gets its best path.
+    """
+    out: list[str] = []
+    root = _Node(None, 0)
+    paths: dict[tuple[int, int], tuple[float, _Node]] = {(0, 0): (0.0, root)}
+    before = earlier = ""
+    for i, c in enumerate(token):
+        # a double letter is common in clean words, a triple one is not
+        drop = _DROP if c in SEPARATORS or c == " " or (c == before and c == earlier) else _TWICE if c == before else None
+        options = _options(c)
+        best: dict[tuple[int, int], tuple[float, _Node, int]] = {}
+        for (a, b), (score, node) in paths.items():
+            if drop is not None and score + drop > best.get((a, b), (-1e300,))[0]:
+                best[a, b] = (score + drop, node, -1)
+            row = model[a][b]
+            for x, cost in options:
+                new = score + cost + row[x]
+                if new > best.get((b, x), (-1e300,))[0]:
+                    best[b, x] = (new, node, x)
+        paths = {state: (score, node if x < 0 else _Node(node, x)) for state, (score, node, x) in best.items()}
+        earlier, before = before, c
+        if i % _SETTLE == _SETTLE - 1:
+            root = _settle([node for _, node in paths.values()], root, out)
+    last = max(paths.items(), key=lambda p: (p[1][0] + model[p[0][0]][p[0][1]][0], p[0]))
+    _settle([last[1][1]], root, out)
     return "".join(out)
 
 
@@ -130,8 +163,9 @@ def tokens(text: str) -> set[str]:
     three single signs also counts as one token with its spaces, which decode() drops or keeps, and its single signs joined."""
     found = text.lower().split()
     distinct = set(found)
-    short = [(t if len(t) == 1 else t.strip(_TRIM) or t) if len(t) < 6 else "" for t in found]
-    if sum(len(t) == 1 for t in short) >= 3:
+    ones = {t for t in distinct if len(t) == 1 or (len(t) < 6 and len(t.strip(_TRIM) or t) == 1)}
+    if ones and sum(map(ones.__contains__, found)) >= 3:
+        short = [(t if len(t) == 1 else t.strip(_TRIM) or t) if len(t) < 6 else "" for t in found]
         for some, run in groupby(short, lambda t: 0 < len(t) < 3):
             signs = list(run) if some else []
             if sum(len(t) == 1 for t in signs) >= 3 and any(map(_LETTERS.search, signs)):
@@ -148,24 +182,40 @@ class _TokenFeatures(dict):
         self.model = model.tolist()
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) >= _CACHE_TOKENS // 4:
+        if len(self) >= _CACHE_TOKENS // 2:
             self.clear()
         made = self[token] = tuple({f for w in words_of(token, self.model) for f in features_of(w)})
         return made
 
 
 class _TokenWeights(dict):
-    """Token -> highest weight among its features."""
+    """Token -> highest weight among its features; tokens that need no decoding are looked up and not kept."""
 
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
         super().__init__()
-        self.features, self.weights = _TokenFeatures(model), weights
-
-    def __missing__(self, token: str) -> float:
+        self.model = model.tolist()
+        self.whole = {f: w for f, w in weights.items() if not f.endswith("-")}
+        self.begins = {f[:-1]: w for f, w in weights.items() if f.endswith("-")}
+
+    def of_word(self, word: str) -> float:
+        most, n = self.whole.get(word, 0.0), len(word)
+        if n > 4:
+            begins = self.begins
+            most = max(most, begins.get(word[:4], 0.0))
+            if n > 5:
+                most = max(most, begins.get(word[:5], 0.0), begins.get(word[:6], 0.0) if n > 6 else 0.0)
+        return most
+
+    def of(self, token: str) -> float:
+        bare = token.strip(_TRIM)
+        if bare.isalpha() and not _TRIPLE.search(bare):
+            return self.of_word(bare)
+        return self[bare] if bare else 0.0
+
+    def __missing__(self, bare: str) -> float:
         if len(self) >= _CACHE_TOKENS:
             self.clear()
-        made = self[token] = max((self.weights.get(f, 0.0) for f in self.features.__missing__(token)), default=0.0)
-        self.features.clear()
+        made = self[bare] = max(map(self.of_word, words_of(bare, self.model)), default=0.0)
         return made
 
 
@@ -217,7 +267,7 @@ def _fit(rows: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _top_two(text: str, weights: _TokenWeights) -> tuple[float, float]:
-    top = nlargest(2, map(weights.__getitem__, tokens(text)))
+    top = nlargest(2, filter(None, map(weights.of, tokens(text))))
     return (*top, 0.0, 0.0)[:2]
 
 
@@ -265,30 +315,33 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Mode
     return Model(language, weights, _fit(rows, np.array([r["toxic"] for r in found], float)))
 
 
-def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """Per row: doc_id, held_out, score (0 to 1), predicted (1 from 0.5); with ``carry`` the input row as struct ``row``.
-
-    Null text scores as an empty one. Rows are scored one by one, repeated ones alike; nothing but the text counts.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(text: Column, model: Model) -> Column:
+    """Score (0 to 1) of each text; null scores as empty. Only texts go to Python, and only scores come back."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         got = shared.value
         table = _TokenWeights(got.language, got.weights)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                two = np.array([(*_top_two(t or "", table), 1.0) for t in part.column(1).to_pylist()]).reshape(-1, 3)
-                p = 1 / (1 + np.exp(-np.clip(two @ got.beta, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p, pa.float64())], ["doc_id", "row", "score"])
+            two = [_top_two(t, table) for at in range(0, len(batch), 256) for t in batch.slice(at, 256).to_pylist()]
+            rows = np.array([(*ab, 1.0) for ab in two]).reshape(-1, 3)
+            yield pa.array(1 / (1 + np.exp(-np.clip(rows @ got.beta, -30, 30))), pa.float64())
         tidy(table)
 
-    read = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("_text"), (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("int")).alias("row"))
-    schema = read.select("doc_id", "row", F.lit(0.0).alias("score")).schema
-    made = read.mapInArrow(run, schema)
-    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), *["row"] * carry)
+    return run(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, held_out, score (0 to 1), predicted (1 from 0.5).
+
+    Null text scores as an empty one. Rows are scored one by one, repeated ones alike; nothing but the text counts.
+    """
+    bound_batches(docs.sparkSession)
+    made = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(F.col("text"), model).alias("score"))
+    return made.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with their columns as they were."""
-    return score(docs, fit(docs, labels, **options), carry=True).where("predicted = 0").select("row.*")
+    return docs.where(score_of(F.col("text"), fit(docs, labels, **options)) < 0.5)
