@@ -3,145 +3,130 @@
 A benchmark window is ``window`` consecutive words of an item (a shorter item is one window). Words are ordered by
 rarity, that is by the number of documents that hold them, counted over the whole corpus. For containment of all
 words, the necessary prefix of a window is its one rarest word: a document without it cannot hold the window. So
-documents are probed only where such a word stands; its place in the window fixes where the window would start
-(positional bound) and end (length bound), and the words between are then compared exactly.
+documents join windows only on that word; its place in the window fixes where the window would start (positional
+bound) and end (length bound), and the words between are then compared exactly.
 
-The benchmark index is sent to the tasks in blocks of at most ``block_words`` words, each a pass of its own over the
-same partition, pipelined without any shuffle; a benchmark of any size therefore needs bounded memory.
+Everything is a join of tables, the benchmark included. While the windows are few (their size is counted), they are
+broadcast, each document's words are looked up as they are split, and nothing but hits leaves the task. Beyond that
+only (row key, place, word hash) of the documents is shuffled, and the texts are met again for the final comparison.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import ascii_words, bound_batches, tidy
-
-
-def item_windows(items: list[tuple], window: int) -> list[tuple[str, tuple[bytes, ...]]]:
-    """(item id as string, words) of every window; items without words have none, a null id counts as ''."""
-    out = []
-    for item_id, text in items:
-        words = ascii_words(None if text is None else text.encode())
-        name = "" if item_id is None else str(item_id)
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            out.append((name, tuple(words[at : at + window])))
-    return out
-
-
-def build_index(windows: list[tuple[str, tuple[bytes, ...]]], df: dict[bytes, int]) -> dict[bytes, list]:
-    """Necessary prefix word -> [(its place in the window, {window words: item ids})] grouped by place and length."""
-    index: dict[bytes, dict] = defaultdict(dict)
-    for name, words in windows:
-        at = min(range(len(words)), key=lambda i: (df.get(words[i], 0), words[i], i))
-        index[words[at]].setdefault((at, len(words)), {}).setdefault(words, set()).add(name)
-    return {w: [(at, n, same) for (at, n), same in places.items()] for w, places in index.items()}
-
-
-def probe(words: list[bytes], index: dict[bytes, list]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Intervals [start, end) of the document's words that windows cover, and the items that they belong to."""
-    spans, items = [], set()
-    for at, word in enumerate(words):
-        if word in index:
-            for place, n, same in index[word]:
-                start = at - place
-                if start >= 0 and start + n <= len(words):
-                    found = same.get(tuple(words[start : start + n]))
-                    if found:
-                        spans.append((start, start + n))
-                        items |= found
-    return spans, items
-
-
-def _covered(spans: list[tuple[int, int]]) -> int:
-    total = end = 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
-def vocabulary_frequency(docs: DataFrame, vocabulary: list[bytes], block: int) -> dict[bytes, int]:
-    """Documents that hold each word of the vocabulary, over the whole corpus."""
-    found: dict[bytes, int] = {}
-    for at in range(0, len(vocabulary), block):
-        wanted = frozenset(vocabulary[at : at + block])
-
-        def run(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            counts: Counter = Counter()
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    counts.update(wanted.intersection(ascii_words(text)))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
-            tidy(counts)
-
-        counts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        found |= {bytes(r["word"]): r["n"] for r in counts.toLocalIterator()}
-    return found
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_words: int = 2_000_000, carry: bool = False) -> DataFrame:
+from tidegauge.llm.common import cut
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words, once A-Z are lower-cased.
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of windows that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def words_of(text: Column) -> Column:
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased; none for null."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), NO_WORD), "")
+
+
+def _broadcast(df: DataFrame, row_bytes: int, limit: int) -> tuple[DataFrame, bool]:
+    small = df.count() * row_bytes <= limit
+    return (F.broadcast(df) if small else df), small
+
+
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct (words, item) of every window; items without words have none, a null id counts as ''."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
+    return items.select("item", "w", F.explode(starts).alias("at")).select(F.slice("w", F.col("at"), window).alias("words"), "item").distinct()
+
+
+def rarities(docs: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
+    """(h, df): documents that hold each window word that any holds, by hash, over the whole corpus."""
+    wanted, _ = _broadcast(cut(windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("h")).distinct(), "windows-words"), 16, limit)
+    here = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).select(F.xxhash64("word").alias("h"))
+    return here.join(wanted, "h").groupBy("h").agg(F.count("*").alias("df"))
+
+
+def prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(h, place, words): the rarest word of each distinct window, by hash, and its place; windows with a word that no
+    document holds are gone."""
+    ranked = windows.select("words").distinct().select("words", F.posexplode("words").alias("place", "word")).withColumn("h", F.xxhash64("word"))
+    first = ranked.join(rarity, "h").groupBy("words").agg(F.min(F.struct("df", "word", "place", "h")).alias("least"), F.count("*").alias("known"))
+    return first.where(F.col("known") == F.size("words")).select("least.h", "least.place", "words")
+
+
+def occurrences(docs: DataFrame, index: DataFrame, window: int, limit: int) -> DataFrame:
+    """(doc_id, th, n_words, start, words): places of the documents where a window stands, from 0."""
+    row_bytes = 64 + 24 * window
+    index, small = _broadcast(index, row_bytes, limit)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
+    start, n = F.col("pos") - F.col("place"), F.size("words")
+    fits = (start >= 0) & (start + n <= F.col("n_words"))
+    same = F.slice("w", F.col("start") + 1, n) == F.col("words")
+    each = rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
+    each = each.select("doc_id", "th", *["w"] * small, F.size("w").alias("n_words"), "pos", F.xxhash64("word").alias("h"))
+    found = each.join(index, "h").where(fits).withColumn("start", start)
+    if not small:
+        # texts stay at home while words travel, and meet the few places left over
+        found = cut(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "start", "words").distinct(), "windows-places")
+        found = found.join(rows.withColumn("n_words", F.size("w")), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return found.where(same).select("doc_id", "th", "n_words", "start", "words")
+
+
+def _covered(spans: Column) -> Column:
+    """Words inside any of the spans, which are sorted by start."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["end"]))).alias("n"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["n"])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, th, n_words, n_hit, items): the documents that hold any window; items are sorted."""
+    windows = cut(item_windows(benchmark, window), "windows-all")
+    index = cut(prefixes(windows, rarities(docs, windows, limit)), "windows-prefixes")
+    found = cut(occurrences(docs, index, window, limit), "windows-found")
+    span = F.struct(F.col("start").alias("s"), (F.col("start") + F.size("words")).alias("e"))
+    spans = found.groupBy("doc_id", "th", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    named = found.select("doc_id", "th", "words").distinct().join(windows, "words").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = named.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "items")
+    both = spans.join(named, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return cut(both.select(F.col("doc_id").alias("id"), "th", "n_words", _covered(F.col("spans")).alias("n_hit"), "items"), "windows-hits")
+
+
+def _contaminated(n_hit: Column, n_words: Column, percent: int) -> Column:
+    return (n_hit > 0) & (100 * n_hit >= percent * n_words)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted array), items_sha256, contaminated.
 
     A word is hit if it lies inside any occurrence of a window; a document is contaminated if at least one word and
     at least ``percent`` per cent of its words are hit. Null or wordless text has no words and no hits. Repeated
-    rows are judged one by one; equal windows of several items count for each; other columns are dropped, but
-    ``carry`` keeps the whole input row as the struct ``row``, whatever its columns are called. An empty benchmark
-    hits nothing; an empty table gives no rows. The benchmark is read by the driver, so it must fit there.
+    rows are judged one by one; equal windows of several items count for each; other columns are dropped. An empty
+    benchmark hits nothing; an empty table gives no rows. Windows of more than ``limit`` bytes are not broadcast.
     """
-    bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    items = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    blocks: list[list[tuple[str, tuple[bytes, ...]]]] = [[]]
-    used = 0
-    for part in item_windows(items, window):
-        if used > block_words:
-            blocks.append([])
-            used = 0
-        blocks[-1].append(part)
-        used += len(part[1])
-    vocabulary = sorted({w for part in blocks for _, words in part for w in words})
-    df = vocabulary_frequency(docs, vocabulary, block_words) if vocabulary else {}
-
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("int")
-    out = docs.select(
-        F.col("doc_id"), F.col("text").cast("binary").alias("_text"), row.alias("row"), F.expr("cast(array() as array<int>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("items"),
-        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit("").alias("items_sha256"),
+    found = hits(docs, benchmark, window, limit)
+    found, _ = _broadcast(found, 512, limit)
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_th"), F.size(words_of(F.col("text"))).cast("long").alias("_n"))
+    joined = rows.join(found, (rows["_th"] == found["th"]) & rows["doc_id"].eqNullSafe(found["id"]), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
+    return joined.select(
+        "doc_id", F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), _contaminated(n_hit, F.col("_n"), percent).alias("contaminated"),
     )
-    schema = out.schema
-    for part in blocks:
-        shared = spark.sparkContext.broadcast(build_index(part, df))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for first in range(0, batch.num_rows, 256):
-                    piece = batch.slice(first, 256)
-                    all_spans, all_items, n_words, n_hit, digest = [], [], [], [], []
-                    for text, flat, names in zip(*(piece.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
-                        words = ascii_words(text)
-                        spans, found = probe(words, index)
-                        spans = sorted({*spans, *zip(flat[::2], flat[1::2], strict=True)})
-                        names = sorted(found.union(names))
-                        all_spans.append([x for ab in spans for x in ab])
-                        all_items.append(names)
-                        n_words.append(len(words))
-                        n_hit.append(_covered(spans))
-                        digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-                    made = [pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(digest, pa.string())]
-                    yield pa.RecordBatch.from_arrays([*piece.columns[:3], *made], piece.schema.names)
-            tidy()
-
-        out = out.mapInArrow(run, schema)
-    hit = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "items_sha256", hit.alias("contaminated"), *["row"] * carry)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they were."""
-    return decontaminate(docs, benchmark, carry=True, **options).where(~F.col("contaminated")).select("row.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **options) -> DataFrame:
+    """The documents that are not contaminated, with their columns as they were, whatever those are called.
+
+    A document below ``percent`` keeps the benchmark passages it holds.
+    """
+    found = hits(docs, benchmark, **options).where(_contaminated(F.col("n_hit"), F.col("n_words"), percent)).select("id", "th").distinct()
+    found, _ = _broadcast(found, 48, options.get("limit", BROADCAST_BYTES))
+    return docs.join(found, (F.xxhash64(docs["text"]) == found["th"]) & docs["doc_id"].eqNullSafe(found["id"]), "left_anti")
