@@ -26,6 +26,12 @@ def odd(spark):
     return spark.createDataFrame(extra, DOC + ", row string, n int, score double")
 
 
+@pytest.fixture(scope="module")
+def clashing(odd):
+    """The odd rows with extra columns called as the operators call theirs."""
+    return odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate("stays _id _th _nd_id _nd_th _pii_id _pii_th _pii_found th found base told key id _text row_ rid cid".split())])
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], DOC)
@@ -132,15 +138,15 @@ LEAKS = [
 ]
 
 
-def test_personal_data(spark, odd, none):
+def test_personal_data(spark, odd, clashing, none):
     docs = [(i, t) for i, t in enumerate(TRICKY)] + [(100 + i, t) for i, (_, t) in enumerate(ODD)]
     got = {r["doc_id"]: r for r in rows(pii.digest(pii.find_pii(spark.createDataFrame(docs, DOC))))}
     for i, t in docs:
         r = got[i]
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"], r["spans"]) == brute.pii(t), t
     assert pii.find_pii(none).count() == 0 and pii.find_pii(odd).count() == len(ODD)
-    clean = pii.sanitise(odd)
-    assert clean.columns == odd.columns and clean.count() == len(ODD)
+    clean = pii.sanitise(clashing)
+    assert clean.columns == clashing.columns and clean.count() == len(ODD)
     text = {r["doc_id"]: r["text"] for r in rows(clean)}
     assert text[1] is None and text[4] == LONG and text[7] == ODD[6][1].replace("x@y.zz", "<email>")
 
@@ -178,6 +184,16 @@ def test_terms_of_rare_entities(spark):
     assert all(len(got[i]) == 0 for i, _ in rest)
 
 
+def test_repeated_rows_of_personal_data(spark):
+    texts = [f"words stand here: zorblatt writes from secret.person@mail.example and nothing more follows {'xyzuvwst'[i]}" for i in range(6)]
+    rest = [(100 + i, f"filler words stand here and nothing more follows in note number {i}") for i in range(60)]
+    for times in (1, 3):
+        docs = [(i, t) for i, t in enumerate(texts)] * times + rest * times
+        got = rows(pii.find_pii(spark.createDataFrame(docs, DOC)))
+        marked = [sorted(x["m"] for x in r["found"] if x["kind"] in {"term", "cut"}) for r in got if r["doc_id"] < 6]
+        assert len(marked) == 6 * times and all("zorblatt" in m for m in marked)
+
+
 def test_secrets(spark, odd, none):
     docs = [(i, t) for i, t in enumerate(LEAKS)] + [(100 + i, t) for i, (_, t) in enumerate(ODD)]
     found = secretscan.scan_secrets(spark.createDataFrame(docs, DOC))
@@ -263,11 +279,13 @@ def test_decontamination(spark, odd, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = [(1, a), (2, "x " + " ".join(a.split()[3:16]) + " y"), (3, " ".join(a.split()[3:15])), (4, "a short, ITEM here"), (5, "the " * 40), (6, None), (7, LONG + a), (8, "short item " * 3 + "zz " * 200)]
     df = spark.createDataFrame(docs, DOC)
-    for block in (2_000_000, 20):
-        got = {r["doc_id"]: r for r in rows(decontaminate.decontaminate(df, bench, block_words=block))}
+    for limit in (32 << 20, 0):
+        got = {r["doc_id"]: r for r in rows(decontaminate.decontaminate(df, bench, limit=limit))}
         for i, t in docs:
             r = got[i]
             assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == brute_hits(t, items), i
+    clash = df.select("*", *[F.lit(1).alias(c) for c in ("id", "th", "w", "n_words", "start", "words", "items", "_id")])
+    assert {r["doc_id"] for r in rows(decontaminate.clean(clash, bench))} == {i for i, t in docs if not brute_hits(t, items)[4]}
     kept = decontaminate.clean(odd, bench)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     assert decontaminate.clean(none, bench).count() == 0 and decontaminate.decontaminate(df, bench.limit(0)).where("contaminated").count() == 0
@@ -322,11 +340,11 @@ def test_near_duplicates(spark, words, monkeypatch):
     assert left.columns == df.columns and sorted(r["doc_id"] for r in rows(left)) == sorted(d for d, (_, _, kept) in want.items() if kept)
 
 
-def test_repeated_rows_of_near_duplicates(spark, odd, none):
+def test_repeated_rows_of_near_duplicates(spark, odd, clashing, none):
     got = rows(neardup.near_duplicates(odd, words=2))
     assert len(got) == len(ODD) and sum(r["first"] for r in got if r["doc_id"] in (5, 6)) == 1
     assert [r["component_id"] for r in got if r["doc_id"] == 6] == [5]
-    assert sorted(str(r["doc_id"]) for r in rows(neardup.drop_near_duplicates(odd))) == sorted(["1", "2", "3", "4", "5", "7", "None"])
+    assert sorted(str(r["doc_id"]) for r in rows(neardup.drop_near_duplicates(clashing))) == sorted(["1", "2", "3", "4", "5", "7", "None"])
     assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
 
 

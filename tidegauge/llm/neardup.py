@@ -330,16 +330,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, with its columns as they were: that of the smallest doc_id."""
+    """One row of each component, with its columns as they were, whatever those are called: that of the smallest doc_id."""
     found = near_duplicates(docs, words, percent)
     fate = cut(found.groupBy("doc_id", "th").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "neardup-fate")
-    here = docs.withColumns({"_nd_id": F.col("doc_id").cast("long"), "_nd_th": F.xxhash64("text")})
-    fate = fate.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stays")
-    same = (F.col("_nd_th") == F.col("_th")) & F.col("_nd_id").eqNullSafe(F.col("_id"))
-    marked = here.join(broadcast_if_small(fate, row_bytes=48), same, "left")
-    once = marked.where(F.col("stays").isNull())
-    again = marked.where(F.col("stays")).dropDuplicates(["_nd_id", "_nd_th"])
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    fate = broadcast_if_small(fate, row_bytes=48)
+    same = (F.xxhash64(docs["text"]) == fate["th"]) & docs["doc_id"].cast("long").eqNullSafe(fate["doc_id"])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    marked = docs.join(fate, same, "left").select(row.alias("row"), fate["doc_id"].alias("id"), fate["th"], fate["stays"])
+    again = marked.where("stays").dropDuplicates(["id", "th"])
+    return marked.where("stays is null").unionByName(again).select("row.*")
 
 
 __all__ = ["components", "drop_near_duplicates", "links", "near_duplicates", "shingles", "signature", "sketch"]

@@ -133,15 +133,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """The same rows and columns; spans in ``text`` become <email>, <ip>, <card>, <phone> or <term>, or go (cut)."""
+    """The same rows and columns, whatever those are called; spans in ``text`` become <email>, <ip>, <card>, <phone> or
+    <term>, or go (cut)."""
     found = find_pii(docs, **options).where(F.size("found") > 0).dropDuplicates(["doc_id", "th"])
-    found = cut(found.select(F.col("doc_id").alias("_pii_id"), F.col("th").alias("_pii_th"), F.col("found").alias("_pii_found")), "pii-found")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (F.xxhash64(text) == F.col("_pii_th")) & F.col("doc_id").eqNullSafe(F.col("_pii_id"))
-    joined = docs.join(broadcast_if_small(found, row_bytes=512), same, "left")
+    found = broadcast_if_small(cut(found.select("doc_id", "th", "found"), "pii-found"), row_bytes=512)
+    text = docs["text"]
+    same = (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == found["th"]) & docs["doc_id"].eqNullSafe(found["doc_id"])
     mark = lambda x: F.when(x["kind"] == "cut", "").otherwise(F.concat(F.lit("<"), x["kind"], F.lit(">")))
-    clean = F.when(F.col("_pii_found").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_pii_found"), mark))
-    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(found["found"].isNull(), text).otherwise(masked(text, found["found"], mark))
+    return docs.join(found, same, "left").select(*[clean.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
 
 
 __all__ = ["KINDS", "base_spans", "digest", "find_pii", "sanitise"]
