@@ -98,7 +98,7 @@ def test_promotion_reasons(spark):
     rows = [("w1", "A", "indices", "group_rebound", 10, False, -0.05, -0.1, "risk_on_rebound", "defensive", 0.0)]
     df = spark.createDataFrame(rows, "window string, symbol string, group string, variant string, observations int, improved_vs_current boolean, drawdown_delta_vs_current double, strategy_return_delta_vs_current double, market_story string, strategy_posture string, transaction_cost_bps double")
     got = backtest.research_promotion(df, ("indices",), ("crypto",)).first()
-    assert not got["promote"] and "insufficient non-empty walk-forward windows" in got["reasons"] and "parameter stability checks missing" in got["reasons"] and "candidate drawdown worsened beyond threshold" in got["reasons"]
+    assert not got["promote"] and "windows: too few tested" in got["reasons"] and "stability: no neighbours tested" in got["reasons"] and "drawdown: deeper than allowed" in got["reasons"]
 
 
 def test_implied_vol_and_fallback(spark):

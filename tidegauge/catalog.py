@@ -21,7 +21,7 @@ from tidegauge.operators import folds, lookups
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import labelled
-from tidegauge.schema import EXPOSURE_MAPS, HALFLIFE, REGIMES, RUN_LENGTH, VOL_INDEX, ReboundProfile
+from tidegauge.schema import EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
 from tidegauge.sources import bars as S
 from tidegauge.sources.sinks import daily_projection
 
@@ -48,8 +48,9 @@ def shown(df: DataFrame, spec: str) -> DataFrame:
 
 def shown_sql(source: str, spec: str, ctes: str = "") -> str:
     as_sql = {"t": "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}", "d": "round(CAST({0} AS DOUBLE), 8) + 0.0 AS {0}", "e": "round(CAST({0} AS DOUBLE), 10) + 0.0 AS {0}", "f": "round(CAST({0} AS DOUBLE), 6) + 0.0 AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "": "{0}"}
+    quoted = [as_sql[kind].format(f'"{c}"') for c, kind in _columns(spec)]  # some names are SQL words
     more = f",\n{ctes}" if ctes else ""
-    return f"WITH {O.BASE}{more}\nSELECT {', '.join(as_sql[k].format(c) for c, k in _columns(spec))} FROM ({source}) AS final"
+    return f"WITH {O.BASE}{more}\nSELECT {', '.join(quoted)} FROM ({source}) AS final"
 
 
 def register(name: str, spec: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None = None, ctes: str = "") -> None:
@@ -84,28 +85,32 @@ register(
 
 
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars with holes and repeated rows, for the cleaning operators."""
-    b = X.numbered(S.hourly_bars(spark, sf_dir)).withColumn("close", F.when(F.col("rn") % 7 != 3, F.col("close")))
-    again = b.where("rn % 11 = 5").withColumn("volume", F.col("volume") + 1)
-    return b.unionByName(again).withColumn("_o", F.col("volume"))
+    """Hourly bars with holes and repeated rows, for the cleaning operators: the repeat arrives later, with another close."""
+    b = X.numbered(S.hourly_bars(spark, sf_dir)).withColumn("close", F.when(F.col("rn") % 7 != 3, F.col("close"))).withColumn("arrived", F.lit(1))
+    again = b.where("rn % 11 = 5").withColumns({"close": F.col("close") / 2, "volume": F.col("volume") + 1, "arrived": F.lit(2)})
+    unknown = b.where("rn % 13 = 6").withColumns({"close": F.lit(1.0), "arrived": F.lit(None).cast("int")})
+    return b.unionByName(again).unionByName(unknown)
 
 
-GAPPY = """gap AS (SELECT symbol, ts, open, high, low, CASE WHEN rn % 7 <> 3 THEN close END AS close, volume, rn FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ev)),
-ded AS (SELECT * FROM gap)"""
+GAPPY = """gap AS (SELECT symbol, ts, open, high, low, CASE WHEN rn % 7 <> 3 THEN close END AS close, volume, rn, 1 AS arrived FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ev)),
+dup AS (SELECT * FROM gap UNION ALL SELECT symbol, ts, open, high, low, close / 2, volume + 1, rn, 2 FROM gap WHERE rn % 11 = 5 UNION ALL SELECT symbol, ts, open, high, low, 1.0, volume, rn, NULL FROM gap WHERE rn % 13 = 6),
+ded AS (SELECT * FROM dup QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY arrived NULLS LAST) = 1)"""
 for _fill, _close in (
     ("ffill", f"last_value(close IGNORE NULLS) OVER {O.ALL}"),
     ("interpolate", None),
+    ("drop", ""),
 ):
-    if _close is None:
+    if _close == "":
+        _sql = "SELECT * FROM ded WHERE close IS NOT NULL"
+    elif _close is None:
         _close = f"""coalesce(close, a + (b - a) * CAST(rn - lo AS DOUBLE) / nullif(hi - lo, 0), a)"""
         _sql = f"""SELECT symbol, ts, open, {_close} AS close, volume FROM (SELECT *, last_value(close IGNORE NULLS) OVER {O.ALL} AS a, last_value(CASE WHEN close IS NOT NULL THEN rn END IGNORE NULLS) OVER {O.ALL} AS lo,
           first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b,
           first_value(CASE WHEN close IS NOT NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM ded)"""
     else:
         _sql = f"SELECT symbol, ts, open, {_close} AS close, volume FROM ded"
-    register(f"bars_{_fill}_dedup", "symbol ts:t open:d close:e volume:d", lambda s, d, fill=_fill: S.clean(gappy(s, d), fill, "_o"), _sql, GAPPY)
+    register(f"bars_{_fill}_dedup", "symbol ts:t open:d close:e volume:d", lambda s, d, fill=_fill: S.clean(gappy(s, d), fill, "arrived"), _sql, GAPPY)
 register("log_returns", "symbol ts:t log_price:d log_return:d return:d", returns, 'SELECT *, ret AS "return" FROM lab_a')
-ORACLES["log_returns"] = ORACLES["log_returns"].replace("CAST(return AS DOUBLE), 8) + 0.0 AS return", 'CAST("return" AS DOUBLE), 8) + 0.0 AS "return"')
 register("latest_price", "symbol ts:t close:d", lambda s, d: S.latest_price(S.daily_bars(s, d)), "SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS close FROM li GROUP BY 1")
 SYMBOLS = ("AAPL", "^GSPC", "BRL=X", "GC=F", "BTC-USD", "BTCUSDT", "ETHUSDT", "EUR-USD", "ETHBTC", "SOLUSD", "bad symbol", "USDT", " msft ")
 
@@ -271,9 +276,26 @@ register(
 
 # --- folds -------------------------------------------------------------------------------------------------------
 
-register("ewma_trend", "symbol ts:t trend_strength_ewma:d", lambda s, d: folds.ewma_trend(returns(s, d), CFG))
-register("ewm_volatility", "symbol ts:t volatility:d", lambda s, d: folds.ewm_volatility(returns(s, d), CFG))
-register("ewma_halflife_grid", "symbol halflife:d mse best", lambda s, d: folds.halflife_grid(returns(s, d)))
+EWM = f"ew AS MATERIALIZED (SELECT symbol, ts, log_return AS x, row_number() OVER ({O.P}) AS n FROM lab_a WHERE log_return IS NOT NULL)"
+EWMA = EWM + ",\n" + O.ewm_std("ewt", "ew", f"(1 - exp(-ln(2.0) / {CFG.ewma_halflife}))", False, 2)
+register(
+    "ewma_trend", "symbol ts:t trend_strength_ewma:d", lambda s, d: folds.ewma_trend(returns(s, d), CFG),
+    "SELECT l.symbol, l.ts, CASE WHEN e.ewm IS NOT NULL THEN l.slope / greatest(e.ewm, 1e-8) END AS trend_strength_ewma FROM lab_b l LEFT JOIN (SELECT ew.symbol, ew.ts, ewm FROM ew JOIN ewt USING (symbol, n)) e ON l.symbol = e.symbol AND l.ts = e.ts", EWMA,
+)
+EWMV = EWM + ",\n" + O.ewm_std("ewv", "ew", f"(2.0 / {CFG.volatility_window + 1})", True, CFG.volatility_window // 2)
+register(
+    "ewm_volatility", "symbol ts:t volatility:d", lambda s, d: folds.ewm_volatility(returns(s, d), CFG),
+    "SELECT l.symbol, l.ts, e.ewm AS volatility FROM lab_a l LEFT JOIN (SELECT ew.symbol, ew.ts, ewm FROM ew JOIN ewv USING (symbol, n)) e ON l.symbol = e.symbol AND l.ts = e.ts", EWMV,
+)
+GRID = EWM + f""",
+gx AS MATERIALIZED (SELECT symbol, h, 1 - exp(-ln(2.0) / h) AS a, x, n FROM ew CROSS JOIN (VALUES {", ".join(f"({float(h)})" for h in HALFLIFE_GRID)}) v(h)),
+""" + O.ewm_std("gw", "gx", "s.a", False, 2, "symbol, h") + """,
+ge AS (SELECT g.symbol, g.h, pow(g.ewm * g.ewm - x.x * x.x, 2) AS e FROM gw g JOIN gx x ON g.symbol = x.symbol AND g.h = x.h AND x.n = g.n + 1 WHERE g.n > 30),
+gm AS (SELECT symbol, h, avg(e) AS mse FROM ge WHERE symbol IN (SELECT symbol FROM ew GROUP BY 1 HAVING count(*) >= 80) GROUP BY 1, 2)"""
+register(
+    "ewma_halflife_grid", "symbol halflife:d mse_e8:f best", lambda s, d: folds.halflife_grid(returns(s, d)).withColumn("mse_e8", F.col("mse") * 1e8),
+    "SELECT symbol, h AS halflife, mse * 1e8 AS mse_e8, row_number() OVER (PARTITION BY symbol ORDER BY mse, h) = 1 AS best FROM gm", GRID,
+)
 register("bocpd", "symbol ts:t bocpd_run_length:d bocpd_change_prob:d bocpd_recent_prob:d", lambda s, d: folds.bocpd(returns(s, d), CFG))
 register("dsm_bocpd", "symbol ts:t bocpd_run_length:d bocpd_change_prob:d", lambda s, d: folds.dsm_bocpd(returns(s, d), CFG))
 register("markov_variance", "symbol ts:t markov_prob_high:d markov_prob_smooth:d markov_state", lambda s, d: folds.markov(returns(s, d)))
@@ -293,7 +315,11 @@ register(
 )
 register("markov_multivariate", "symbol ts:t markov_prob_high:d markov_state markov_model", lambda s, d: folds.markov(folds.implied_vol(returns(s, d), implied(s, d)), second="implied_vol"))
 register("consensus_events", "symbol ts:t consensus_event", lambda s, d: folds.consensus(folds.markov(folds.dsm_bocpd(returns(s, d), CFG)), CFG))
-register("risk_guard", "symbol ts:t raw_overlay overlay_active overlay_stop overlay_expired", lambda s, d: folds.risk_guard(B.overlay_signals(labels(s, d), ReboundProfile(True)), 5, -0.03))
+register(
+    "risk_guard", "symbol ts:t raw_overlay overlay_active overlay_stop overlay_expired", lambda s, d: folds.risk_guard(B.overlay_signals(labels(s, d), ReboundProfile(True)), 5, -0.03),
+    "SELECT s.symbol, s.ts, s.raw_overlay, g.held AS overlay_active, g.stopped AS overlay_stop, g.expired AS overlay_expired FROM rg_s s JOIN rg USING (symbol, rn)".replace("JOIN rg ", "JOIN rg g "),
+    O.overlay_signals("rg_s", ReboundProfile(True)) + ",\n" + O.guarded("rg", "rg_s", 5, -0.03),
+)
 
 # --- forward returns ---------------------------------------------------------------------------------------------
 
@@ -344,8 +370,20 @@ register(
 )
 register("transition_entropy", "from_regime entropy:d", lambda s, d: A.row_entropy(matrix(s, d)), "SELECT from_regime, sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) AS entropy FROM tm GROUP BY 1", TRANS)
 register("transition_counts", "from_regime to_regime n:i share:d", lambda s, d: A.transition_changes(labels(s, d)), "SELECT *, n / sum(n) OVER () AS share FROM tc WHERE from_regime <> to_regime", TRANS)
-register("stationary_distribution", "regime share:d", lambda s, d: A.stationary(matrix(s, d)))
-register("mean_first_passage", "from_regime to_regime steps:d", lambda s, d: A.first_passage(matrix(s, d)))
+POWERS = TRANS + ",\nmp0 AS MATERIALIZED (SELECT from_regime AS i, to_regime AS j, p FROM tm)" + "".join(f",\nmp{k + 1} AS MATERIALIZED (SELECT a.i, b.j, sum(a.p * b.p) AS p FROM mp{k} a JOIN mp{k} b ON a.j = b.i GROUP BY 1, 2)" for k in range(12))
+register("stationary_distribution", "regime share:d", lambda s, d: A.stationary(matrix(s, d)), "SELECT j AS regime, sum(p) / sum(sum(p)) OVER () AS share FROM mp12 GROUP BY 1", POWERS)
+PASSAGE = TRANS + """,
+fq0 AS MATERIALIZED (SELECT t.x AS t, from_regime AS i, to_regime AS j, p FROM tm CROSS JOIN tn t WHERE from_regime <> t.x AND to_regime <> t.x),
+fs0 AS MATERIALIZED (SELECT t.x AS t, i.x AS i, 1.0::DOUBLE AS v FROM tn t JOIN tn i ON i.x <> t.x)""" + "".join(
+    f""",
+fs{k + 1} AS MATERIALIZED (SELECT s.t, s.i, any_value(s.v) + coalesce(sum(q.p * r.v), 0) AS v FROM fs{k} s LEFT JOIN fq{k} q ON q.t = s.t AND q.i = s.i LEFT JOIN fs{k} r ON r.t = s.t AND r.i = q.j GROUP BY 1, 2),
+fq{k + 1} AS MATERIALIZED (SELECT a.t, a.i, b.j, sum(a.p * b.p) AS p FROM fq{k} a JOIN fq{k} b ON a.t = b.t AND a.j = b.i GROUP BY 1, 2, 3)"""
+    for k in range(16)
+)
+register(
+    "mean_first_passage", "from_regime to_regime steps:f", lambda s, d: A.first_passage(matrix(s, d)),
+    "SELECT i AS from_regime, t AS to_regime, v AS steps FROM fs16 UNION ALL SELECT x, x, 0.0 FROM tn", PASSAGE,
+)
 
 # --- segments ----------------------------------------------------------------------------------------------------
 
@@ -423,25 +461,54 @@ register("rebound_overlay", f"symbol {MET} rebound_signal_count:i overlay_active
 # --- groups, walk-forward, promotion -----------------------------------------------------------------------------
 
 WALK = "window symbol group variant overlay_enabled " + MET + " rebound_signal_count:i overlay_active_count:i strategy_return_delta_vs_current:d drawdown_delta_vs_current:d improved_vs_current"
-END = "2001-11-04"
-compared = lambda s, d: B.compare_groups(labels(s, d), GROUPS, cost_bps=5.0)
-walked = lambda s, d: B.walk_forward(labels(s, d), B.recent_windows(s, END), GROUPS, cost_bps=5.0)
-register("group_rebound", WALK.replace("window ", "", 1), compared)
-register("walk_forward", WALK, walked)
-register(
-    "walk_forward_windows", "window window_start:t window_end:t", lambda s, d: B.recent_windows(s, END),
-    f"SELECT n AS \"window\", DATE '{END}' - a AS window_start, DATE '{END}' - b AS window_end FROM (VALUES ('recent_1m', 31, 0), ('prior_3m', 123, 92), ('prior_6m', 214, 183), ('prior_12m', 396, 365)) v(n, a, b)",
-)
-ORACLES["walk_forward_windows"] = ORACLES["walk_forward_windows"].replace("SELECT window, ", 'SELECT "window", ')
-CURRENT = O.positions("wp", "lab", O.exposure("regime_name"), cost_bps=5.0) + """,
-wn AS (SELECT n, CAST(DATE '2001-11-04' - a AS TIMESTAMP) AS s, CAST(DATE '2001-11-04' - b AS TIMESTAMP) AS e FROM (VALUES ('recent_1m', 31, 0), ('prior_3m', 123, 92), ('prior_6m', 214, 183), ('prior_12m', 396, 365)) v(n, a, b)),
-wj AS (SELECT *, n AS win FROM wp JOIN wn ON ts BETWEEN s AND e),
-""" + O.metrics("wm", "wj", "regime_name", "win, symbol")
+COST = 5.0
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.compare_groups(labels(spark, sf_dir), GROUPS, cost_bps=COST)
+
+
+def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.recent_windows(spark, walk_forward.common_end(S.daily_bars(spark, sf_dir)))
+
+
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.walk_forward(labels(spark, sf_dir), recent(spark, sf_dir), GROUPS, cost_bps=COST)
+
+
+def windowed(name: str, profiles: dict[str, ReboundProfile]) -> str:
+    """Bars and metrics of both variants inside the recent windows."""
+    return O.group_bars(f"{name}_b", GROUPS, profiles, COST) + f",\n{name}_j AS (SELECT * FROM {name}_b JOIN wn ON ts BETWEEN window_start AND window_end),\n" + O.group_metrics(name, f"{name}_j", COST, "win, symbol")
+
+
+_SPECS = ", ".join(f"('{n}', {a}, {b})" for n, a, b in WALK_FORWARD_WINDOWS)
+ENDS = f"""last AS (SELECT CAST(min(m) AS DATE) AS d FROM (SELECT max(ts) AS m FROM li GROUP BY symbol)),
+wn AS (SELECT n AS win, CAST(d - a AS TIMESTAMP) AS window_start, CAST(d - b AS TIMESTAMP) AS window_end FROM last CROSS JOIN (VALUES {_SPECS}) v(n, a, b))"""
+NAMED = '*, grp AS "group"'
+GROUPED = O.group_bars("gb", GROUPS, REBOUND_PROFILES, COST) + ",\n" + O.group_metrics("gc", "gb", COST)
+WALKED = ENDS + ",\n" + windowed("wf", REBOUND_PROFILES)
+register("group_rebound", WALK.replace("window ", "", 1), compared, f"SELECT {NAMED} FROM gc", GROUPED)
+register("walk_forward", WALK, walked, f'SELECT {NAMED}, win AS "window" FROM wf', WALKED)
+register("walk_forward_windows", "window window_start:t window_end:t", recent, 'SELECT *, win AS "window" FROM wn', ENDS)
+CURRENT = ENDS + ",\n" + O.positions("wp", "lab", O.exposure("regime_name"), cost_bps=COST) + ",\nwj AS (SELECT * FROM wp JOIN wn ON ts BETWEEN window_start AND window_end),\n" + O.metrics("wm", "wj", "regime_name", "win, symbol")
 register("walk_forward_current", f"win symbol {MET}", lambda s, d: walked(s, d).where("variant = 'current'").withColumnRenamed("window", "win"), "SELECT * FROM wm", CURRENT)
 SUMM = "group variant asset_count:i mean_strategy_return:d mean_buy_hold_return:d mean_excess_return:d median_exposure:d mean_strategy_delta_vs_current:d improved_count:i overlay_enabled_count:i top_market_story top_strategy_posture is_candidate is_baseline"
-register("group_summary", SUMM, lambda s, d: B.summarise_groups(compared(s, d)))
-register("walk_forward_summary", "window " + SUMM, lambda s, d: B.summarise_groups(walked(s, d)))
-register("variant_summary", "group asset_count:i baseline_mean_strategy_return:d candidate_mean_strategy_return:d mean_improvement:d improved_count:i degraded_count:i candidate_mean_excess_return:d candidate_median_exposure:d", lambda s, d: B.variant_summary(compared(s, d)))
+
+
+def summary_sql(source: str, keys: str) -> str:
+    return f"""SELECT {keys}, count(DISTINCT symbol) AS asset_count, avg(strategy_return) AS mean_strategy_return, avg(buy_hold_return) AS mean_buy_hold_return, avg(excess_return) AS mean_excess_return, median(mean_exposure) AS median_exposure,
+       avg(strategy_return_delta_vs_current) AS mean_strategy_delta_vs_current, count(*) FILTER (WHERE improved_vs_current) AS improved_count, count(*) FILTER (WHERE overlay_enabled) AS overlay_enabled_count, mode(market_story) AS top_market_story,
+       mode(strategy_posture) AS top_strategy_posture, variant = 'group_rebound' AS is_candidate, variant = 'current' AS is_baseline FROM {source} GROUP BY ALL"""
+
+
+register("group_summary", SUMM, lambda s, d: B.summarise_groups(compared(s, d)), summary_sql("gc", 'grp AS "group", variant'), GROUPED)
+register("walk_forward_summary", "window " + SUMM, lambda s, d: B.summarise_groups(walked(s, d)), summary_sql("wf", 'win AS "window", grp AS "group", variant'), WALKED)
+register(
+    "variant_summary", "group asset_count:i baseline_mean_strategy_return:d candidate_mean_strategy_return:d mean_improvement:d improved_count:i degraded_count:i candidate_mean_excess_return:d candidate_median_exposure:d", lambda s, d: B.variant_summary(compared(s, d)),
+    """SELECT a.grp AS "group", count(*) AS asset_count, avg(a.strategy_return) AS baseline_mean_strategy_return, avg(b.strategy_return) AS candidate_mean_strategy_return, avg(b.strategy_return - a.strategy_return) AS mean_improvement,
+       count(*) FILTER (WHERE b.strategy_return > a.strategy_return) AS improved_count, count(*) FILTER (WHERE b.strategy_return < a.strategy_return) AS degraded_count, avg(b.excess_return) AS candidate_mean_excess_return, median(b.mean_exposure) AS candidate_median_exposure
+       FROM gc a JOIN gc b ON a.symbol = b.symbol AND a.variant = 'current' AND b.variant = 'group_rebound' GROUP BY 1""", GROUPED,
+)
 NARR = "nr AS (SELECT *, CASE symbol WHEN 'A' THEN 'indices' WHEN 'N' THEN 'mega_cap_tech' WHEN 'R' THEN 'crypto' ELSE 'other' END AS grp FROM met)"
 register(
     "group_narratives", "grp asset_count:i mean_strategy_return:d mean_buy_hold_return:d mean_excess_return:d median_exposure:d top_story top_posture top_relative_result",
@@ -455,24 +522,60 @@ register(
 ELIGIBLE, PROTECTED = ("indices", "mega_cap_tech"), ("diversifiers", "crypto")
 
 
-def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.promotion(compared(spark, sf_dir), ELIGIBLE, PROTECTED).withColumn("reasons", F.array_join("reasons", "; "))
+def gate_sql(name: str, source: str) -> str:
+    """The basic promotion figures, and whether each gate holds."""
+    listed = lambda groups: ", ".join(f"'{g}'" for g in groups)
+    return f"""{name}_c AS (SELECT *, grp IN ({listed(ELIGIBLE)}) AS mine, grp IN ({listed(PROTECTED)}) AS safe FROM {source} WHERE variant = 'group_rebound'),
+{name} AS (SELECT *, eligible_count > 0 AS k1, eligible_improved_share >= 0.6 AS k2, protected_degraded_share <= 0 AS k3, worst_drawdown_delta >= -0.02 AS k4 FROM (
+  SELECT count(*) FILTER (WHERE mine) AS eligible_count, coalesce(avg(CAST(improved_vs_current AS INT)) FILTER (WHERE mine), 0.0) AS eligible_improved_share, count(*) FILTER (WHERE safe) AS protected_count,
+  coalesce(avg(CAST(strategy_return_delta_vs_current < 0 AS INT)) FILTER (WHERE safe), 0.0) AS protected_degraded_share, coalesce(min(drawdown_delta_vs_current), 0.0) AS worst_drawdown_delta FROM {name}_c))"""
 
 
-def research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.research_promotion(walked(spark, sf_dir), ELIGIBLE, PROTECTED, {"same": walked(spark, sf_dir)})
-    return found.withColumn("reasons", F.array_join("reasons", "; "))
+def research_sql(name: str, source: str) -> str:
+    """The further figures over windows and narratives, and whether each further gate holds."""
+    fit = "CASE market_story || '|' || strategy_posture " + " ".join(f"WHEN '{a}|{b}' THEN {v}" for (a, b), v in B.NARRATIVE_FIT.items()) + " END"
+    listed = ", ".join(f"'{g}'" for g in ELIGIBLE)
+    return gate_sql(f"{name}_g", source) + f""",
+{name}_n AS (SELECT count(DISTINCT win) FILTER (WHERE variant = 'group_rebound') AS windows_tested, coalesce(min(transaction_cost_bps) FILTER (WHERE variant = 'group_rebound'), 0.0) AS min_transaction_cost_bps,
+  count(*) FILTER (WHERE variant = 'group_rebound' AND win = 'recent_1m') AS recent_narrative_count, coalesce(avg({fit}) FILTER (WHERE variant = 'group_rebound' AND win = 'recent_1m'), 0.0) AS recent_narrative_score,
+  coalesce(avg({fit}) FILTER (WHERE variant = 'current' AND win = 'recent_1m'), 0.0) AS current_narrative_score FROM {source} WHERE grp IN ({listed})),
+{name}_h AS (SELECT *, windows_tested >= 3 AS k5, min_transaction_cost_bps >= 5.0 AS k6, recent_narrative_count > 0 AS k7 FROM {name}_g CROSS JOIN {name}_n),
+{name} AS (SELECT *, NOT k7 OR recent_narrative_score >= 0.7 AS k8, NOT k7 OR recent_narrative_score < 0.7 OR recent_narrative_score + 1e-12 >= current_narrative_score AS k9 FROM {name}_h)"""
+
 
+_GATES = ("eligible: nothing observed", "eligible: too few improved", "protected: too many lost", "drawdown: deeper than allowed", "windows: too few tested", "costs: tested below the required rate", "narrative: nothing recent", "narrative: poor fit", "narrative: worse fit than the baseline", "stability: too few neighbours pass")
+
+
+def reasons_sql(n: int) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT k{i} THEN '{g}' END" for i, g in enumerate(_GATES[:n], 1)) + "], lambda x: x IS NOT NULL), '; ') AS reasons, " + " AND ".join(f"k{i}" for i in range(1, n + 1)) + " AS promote"
+
+
+def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.promotion(compared(spark, sf_dir), ELIGIBLE, PROTECTED).withColumn("reasons", F.array_join("reasons", "; "))
 
-register("promotion_gate", "promote eligible_count:i eligible_improved_share:d protected_count:i protected_degraded_share:d worst_drawdown_delta:d reasons", promoted)
-register("research_promotion_gate", "promote windows_tested:i min_transaction_cost_bps:d recent_narrative_count:i recent_narrative_score:d parameter_pass_share:d reasons", research)
 
 def reported(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: walk_forward.report(labels(s, d), GROUPS, end=END)[name]
+    return lambda s, d: walk_forward.report(labels(s, d), GROUPS, ELIGIBLE, PROTECTED, COST, end=walk_forward.common_end(S.daily_bars(s, d)))[name]
 
 
-register("walk_forward_comparison", WALK + " narrative_alignment_score:d narrative_aligned", reported("comparison"))
-register("walk_forward_promotion", "promote windows_tested:i parameter_pass_share:d reasons", lambda s, d: reported("promotion")(s, d).withColumn("reasons", F.array_join("reasons", "; ")))
+def research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, windows = labels(spark, sf_dir), recent(spark, sf_dir)
+    run = lambda profiles: B.walk_forward(bars, windows, GROUPS, profiles, COST)
+    found = B.research_promotion(run(REBOUND_PROFILES), ELIGIBLE, PROTECTED, {n: run(p) for n, p in CHANGED.items()})
+    return found.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+CHANGED = {n: {g: walk_forward.neighbours(p)[n] if p.enabled else p for g, p in REBOUND_PROFILES.items()} for n in NEIGHBOURS}
+RESEARCH = WALKED + ",\n" + research_sql("rs", "wf") + "".join(f",\n{windowed(f'v{i}', p)},\n{research_sql(f'vs{i}', f'v{i}')}" for i, p in enumerate(CHANGED.values()))
+_PASS = " + ".join(f"(SELECT CAST({' AND '.join(f'k{j}' for j in range(1, 10))} AS INT) FROM vs{i})" for i in range(len(CHANGED)))
+RESEARCH += f",\nrp AS (SELECT *, parameter_pass_share >= 0.67 AS k10 FROM (SELECT *, ({_PASS}) / {float(len(CHANGED))} AS parameter_pass_share FROM rs))"
+register("promotion_gate", "promote eligible_count:i eligible_improved_share:d protected_count:i protected_degraded_share:d worst_drawdown_delta:d reasons", promoted, f"SELECT *, {reasons_sql(4)} FROM pg", GROUPED + ",\n" + gate_sql("pg", "gc"))
+register("research_promotion_gate", "promote windows_tested:i min_transaction_cost_bps:d recent_narrative_count:i recent_narrative_score:d parameter_pass_share:d reasons", research, f"SELECT *, {reasons_sql(10)} FROM rp", RESEARCH)
+register("walk_forward_promotion", "promote windows_tested:i parameter_pass_share:d reasons", lambda s, d: reported("promotion")(s, d).withColumn("reasons", F.array_join("reasons", "; ")), f"SELECT *, {reasons_sql(10)} FROM rp", RESEARCH)
+register(
+    "walk_forward_comparison", WALK + " narrative_alignment_score:d narrative_aligned", reported("comparison"),
+    f"""SELECT {NAMED}, win AS "window", coalesce(narrative_alignment_score >= 0.5, false) AS narrative_aligned FROM (SELECT *, CASE market_story || '|' || strategy_posture {" ".join(f"WHEN '{a}|{b}' THEN {v}" for (a, b), v in B.NARRATIVE_FIT.items())} END AS narrative_alignment_score FROM wf)""", WALKED,
+)
 
 # --- lookups and detectors ---------------------------------------------------------------------------------------
 
@@ -503,7 +606,19 @@ register(
     "information_ratio", "symbol information_ratio:d", lambda s, d: A.information_ratio(labels(s, d), "regime", 5),
     "SELECT symbol, sum(n * abs(m / sd)) / sum(n) AS information_ratio FROM (SELECT symbol, regime, count(r) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM f5 WHERE r IS NOT NULL GROUP BY 1, 2) WHERE n >= 10 AND sd > 0 GROUP BY 1", FWD,
 )
-register("compare_classifiers", "classifier symbol stability:d entropy:d n_labels:i information_ratio:d", lambda s, d: A.compare_classifiers(R.min_dwell(labels(s, d), "trend_regime", 5), "trend_regime", "regime_dwell", 5))
+COMPARED = DWELL + f",\ncf AS (SELECT *, lead(close, 5) OVER ({O.P}) / close - 1 AS r, lag(trend_regime) OVER ({O.P}) AS b0, lag(regime_dwell) OVER ({O.P}) AS b1 FROM dw)"
+
+
+def classifier_sql(name: str, label: str, before: str) -> str:
+    return f"""SELECT '{name}' AS classifier, a.symbol, stability, entropy, n_labels, information_ratio FROM (SELECT symbol, avg(CAST({label} = {before} AS INT)) AS stability, count(DISTINCT {label}) AS n_labels FROM cf GROUP BY 1) a
+       JOIN (SELECT symbol, sum(-p * log2(p)) AS entropy FROM (SELECT symbol, count(*) / sum(count(*)) OVER (PARTITION BY symbol) AS p FROM cf GROUP BY symbol, {label}) GROUP BY 1) e ON a.symbol = e.symbol
+       LEFT JOIN (SELECT symbol, sum(n * abs(m / sd)) / sum(n) AS information_ratio FROM (SELECT symbol, {label}, count(r) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM cf WHERE r IS NOT NULL GROUP BY 1, 2) WHERE n >= 10 AND sd > 0 GROUP BY 1) i ON a.symbol = i.symbol"""
+
+
+register(
+    "compare_classifiers", "classifier symbol stability:d entropy:d n_labels:i information_ratio:d", lambda s, d: A.compare_classifiers(R.min_dwell(labels(s, d), "trend_regime", 5), "trend_regime", "regime_dwell", 5),
+    classifier_sql("baseline", "trend_regime", "b0") + " UNION ALL " + classifier_sql("candidate", "regime_dwell", "b1"), COMPARED,
+)
 _PATHS = [f"({p}, {a}, {b})" for p, (a, b) in enumerate(A.cpcv_paths(6, 2))]
 register(
     "cpcv_folds", "path_id:i rn:i role", lambda s, d: A.cpcv_folds(s, 300, 6, 2, 5, 3),

@@ -310,25 +310,40 @@ def _backward(like: np.ndarray, trans: np.ndarray, filtered: np.ndarray, scale:
     return posterior, trans * (filtered[:-1].T @ arrive)
 
 
+def _first_loss(price: np.ndarray, entry: int, last: int, stop_loss: float) -> int | None:
+    """First bar after ``entry``, up to ``last``, whose return since entry is at or below the stop."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for a in range(entry + 1, last + 1, 256):
+            hit = np.flatnonzero(price[a : min(a + 256, last + 1)] / price[entry] - 1 <= stop_loss)
+            if len(hit):
+                return a + int(hit[0])
+    return None
+
+
 def risk_guard(signal: np.ndarray, price: np.ndarray, max_holding: int | None, stop_loss: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(held, stopped, expired) per bar of trades that open on a signal.
+    """(held, stopped, expired) per bar, from whole trades.
 
-    A trade ends on a bar where its loss reaches the stop, where it has been held ``max_holding`` bars, or without a
-    signal; after a stop or expiry no trade opens on that same bar.
+    A trade opens on the first free bar of a signal run. It ends before the earliest of: the first bar without signal,
+    the bar ``max_holding`` later, the first bar at or below the stop. An ending bar tells whether stop and age apply
+    there; if either does, the next trade opens after that bar at the earliest. An entry price of zero or NaN never stops.
     """
+    if max_holding is not None and max_holding < 1:
+        raise ValueError(f"max_holding is {max_holding}, but a trade lasts one bar at least")
+    if stop_loss is not None and stop_loss > 0:
+        raise ValueError(f"stop_loss is {stop_loss}, but a stop is a loss")
     n = len(signal)
-    held, stopped, expired = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
-    entry, age = None, 0
-    for i, (on, p) in enumerate(zip(signal.tolist(), price.tolist(), strict=True)):
-        if entry is not None:
-            stopped[i] = stop_loss is not None and p / entry - 1 <= stop_loss
-            expired[i] = max_holding is not None and age >= max_holding
-            if stopped[i] or expired[i] or not on:
-                entry, age = None, 0
-        if entry is None and on and not (stopped[i] or expired[i]):
-            entry = p
-        held[i] = entry is not None
-        age += held[i]
+    held, stopped, expired = (np.zeros(n, bool) for _ in range(3))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], signal, [False]]).astype(np.int8)))
+    for begin, off in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        entry = begin
+        while entry < off:
+            aged = n if max_holding is None else entry + max_holding
+            loss = None if stop_loss is None else _first_loss(price, entry, min(off, aged, n - 1), stop_loss)
+            end = min(off, aged) if loss is None else loss
+            held[entry:end] = True
+            if end < n:
+                stopped[end], expired[end] = end == loss, end == aged
+            entry = end + 1
     return held, stopped, expired
 
 

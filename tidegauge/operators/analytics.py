@@ -154,7 +154,7 @@ def dense(matrix: DataFrame) -> tuple[list[str], np.ndarray]:
     return labels, out
 
 
-def stationary(matrix: DataFrame, rounds: int = 1000, tolerance: float = 1e-8) -> DataFrame:
+def stationary(matrix: DataFrame, rounds: int = 100_000, tolerance: float = 1e-14) -> DataFrame:
     """Long-run share of each regime, by power iteration from equal shares."""
     labels, p = dense(matrix)
     x = np.full(len(labels), 1 / max(1, len(labels)))

@@ -237,29 +237,50 @@ def group_of(symbol: Column, groups: dict[str, tuple[str, ...]]) -> Column:
     return lookup(F.upper(F.trim(symbol)), known, "other") if known else F.lit("other")
 
 
+#: What a bar has for each variant beside its asset_return.
+_OF_VARIANT = ("position", "gross_return", "turnover", "cost", "strategy_return")
+
+
 def group_bars(df: DataFrame, groups: dict[str, tuple[str, ...]], profiles: dict[str, ReboundProfile] | None = None, regime: str = "regime_name", cost_bps: float = 0.0) -> DataFrame:
     """Bars of both variants, 'current' and 'group_rebound', each symbol under its group's profile.
 
-    Positions do not depend on the windows that are evaluated later, so they are computed once per variant.
+    One pass over the bars: the signals of each profile are columns that a bar takes by its group, all over the same
+    partitioning, one fold guards the trades of all groups, and both variants' positions stand in one row before they
+    become two. Positions do not depend on the windows that are evaluated later.
     """
     profiles = profiles or REBOUND_PROFILES
     df = df.withColumn("group", group_of(F.col("symbol"), groups))
-    current = positions(df, exposure(F.col(regime)), 1, cost_bps).withColumns({"variant": F.lit("current"), "overlay_enabled": F.lit(False), "evaluated_regime": F.col(regime)})
-    current = current.withColumns({c: F.lit(False) for c in COUNTED})
-    parts = [current]
-    named_ = [g for g in groups if g in profiles]
-    for name in [*named_, "other"]:
-        mine = df.where(F.col("group") == name) if name != "other" else df.where(~F.col("group").isin(*named_)) if named_ else df
-        p = profiles.get(name, profiles.get("other", ReboundProfile(False)))
-        if p.enabled:
-            made = overlay_bars(mine, p, regime, cost_bps).withColumn("evaluated_regime", F.col("overlay_regime")).drop("overlay_regime")
-        else:
-            made = positions(mine, exposure(F.col(regime)), 1, cost_bps).withColumn("evaluated_regime", F.col(regime)).withColumns({c: F.lit(False) for c in COUNTED})
-        parts.append(made.withColumns({"variant": F.lit("group_rebound"), "overlay_enabled": F.lit(p.enabled)}))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rest = profiles.get("other", ReboundProfile(False))
+    live = [(F.col("group") == g, profiles[g]) for g in groups if g in profiles and profiles[g].enabled]
+    if rest.enabled:
+        live.append((~F.col("group").isin(*[g for g in groups if g in profiles]), rest))
+
+    def mine(value, without=None) -> Column:
+        """The value of the profile that the bar's group lives under."""
+        out = F.when(F.lit(False), without)
+        for test, p in live:
+            out = out.when(test, value(p))
+        return out.otherwise(without)
+
+    flags = ("rebound_signal", "drawdown_gate", "survival_gate", "raw_overlay")
+    for p in dict.fromkeys(p for _, p in live):
+        df = overlay_signals(df, p, regime)
+        df = df.withColumn(f"_of_{list(dict.fromkeys(q for _, q in live)).index(p)}", F.struct(*flags)).drop(*flags)
+    known = list(dict.fromkeys(p for _, p in live))
+    df = df.withColumns({f: F.coalesce(mine(lambda p, f=f: F.col(f"_of_{known.index(p)}.{f}")), F.lit(False)) for f in flags}).drop(*[f"_of_{i}" for i in range(len(known))])
+    df = df.withColumn("overlay_enabled", F.coalesce(mine(lambda p: F.lit(True)), F.lit(False)))
+    guards = {"_hold": mine(lambda p: F.lit(p.max_holding).cast("double")), "_stop": mine(lambda p: F.lit(p.stop_loss).cast("double"))}
+    df = folds.risk_guard(df.withColumns(guards), "_hold", "_stop").drop("_hold", "_stop")
+    df = df.withColumn("overlay_regime", F.when(F.col("overlay_active"), OVERLAY).otherwise(F.col(regime)))
+    weight = F.when(F.col("overlay_active"), mine(lambda p: F.least(F.greatest(F.lit(float(p.rebound_exposure)), F.lit(0.0)), F.lit(1.0)))).otherwise(exposure(F.col(regime)))
+    df = positions(df, exposure(F.col(regime)), 1, cost_bps).withColumn("_now", F.struct(*_OF_VARIANT))
+    df = positions(df, weight, 1, cost_bps).withColumn("_new", F.struct(*_OF_VARIANT))
+
+    def variant(name: str, of: str, label: str, counted: bool) -> Column:
+        return F.struct(F.lit(name).alias("variant"), F.col(label).alias("evaluated_regime"), (F.col("overlay_enabled") & counted).alias("overlay_enabled"), *[F.col(f"{of}.{c}").alias(c) for c in _OF_VARIANT], *[(F.col(c) & counted).alias(c) for c in COUNTED])
+
+    both = F.explode(F.array(variant("current", "_now", regime, False), variant("group_rebound", "_new", "overlay_regime", True))).alias("_v")
+    return df.select("symbol", "ts", "close", "group", "asset_return", both).select("symbol", "ts", "close", "group", "asset_return", "_v.*")
 
 
 def _compared(daily: DataFrame, keys: tuple[str, ...], cost_bps: float) -> DataFrame:
@@ -298,11 +319,8 @@ def walk_forward(df: DataFrame, windows: DataFrame, groups: dict[str, tuple[str,
 
 
 def first_mode(c: str) -> Column:
-    """The most frequent value, ties to the alphabetically first."""
-    counted = F.transform(F.array_distinct(F.collect_list(c)), lambda x: x)
-    values = F.collect_list(c)
-    ranked = F.transform(counted, lambda x: F.struct((-F.size(F.filter(values, lambda y: y == x))).alias("n"), x.alias("v")))
-    return F.array_min(ranked)["v"]
+    """The most frequent value, ties to the alphabetically first; counts per value are all that is kept of a group."""
+    return F.mode(c, True)
 
 
 def summarise_groups(compared: DataFrame) -> DataFrame:
@@ -354,10 +372,10 @@ def promotion(compared: DataFrame, eligible: tuple[str, ...], protected: tuple[s
         F.coalesce(F.min(F.when(c, F.col("drawdown_delta_vs_current"))), F.lit(0.0)).alias("worst_drawdown_delta"),
     )
     gates = [
-        (F.col("eligible_count") > 0, "no eligible group observations"),
-        (F.col("eligible_improved_share") >= least_improved, "eligible improvement share below threshold"),
-        (F.col("protected_degraded_share") <= most_degraded, "protected groups degraded"),
-        (F.col("worst_drawdown_delta") >= worst_drawdown, "candidate drawdown worsened beyond threshold"),
+        (F.col("eligible_count") > 0, "eligible: nothing observed"),
+        (F.col("eligible_improved_share") >= least_improved, "eligible: too few improved"),
+        (F.col("protected_degraded_share") <= most_degraded, "protected: too many lost"),
+        (F.col("worst_drawdown_delta") >= worst_drawdown, "drawdown: deeper than allowed"),
     ]
     return _gated(got, gates)
 
@@ -393,11 +411,11 @@ def research_promotion(
         return _gated(
             joined,
             [
-                (F.col("windows_tested") >= least_windows, "insufficient non-empty walk-forward windows"),
-                (F.lit(least_cost_bps <= 0) | (F.col("min_transaction_cost_bps") >= least_cost_bps), "transaction cost check below required bps"),
-                (seen, "no recent narrative observations"),
-                (~seen | (fit >= least_narrative), "recent narrative alignment below threshold"),
-                (~seen | (fit < least_narrative) | (fit + 1e-12 >= F.col("current_narrative_score")), "candidate narrative alignment worse than current"),
+                (F.col("windows_tested") >= least_windows, "windows: too few tested"),
+                (F.lit(least_cost_bps <= 0) | (F.col("min_transaction_cost_bps") >= least_cost_bps), "costs: tested below the required rate"),
+                (seen, "narrative: nothing recent"),
+                (~seen | (fit >= least_narrative), "narrative: poor fit"),
+                (~seen | (fit < least_narrative) | (fit + 1e-12 >= F.col("current_narrative_score")), "narrative: worse fit than the baseline"),
             ],
             earlier=True,
         )
@@ -408,6 +426,6 @@ def research_promotion(
         row = once(found).select(F.lit(name).alias("parameters"), "promote")
         passed = row if passed is None else passed.unionByName(row)
     if passed is None:
-        return _gated(result.withColumn("parameter_pass_share", F.lit(0.0)), [(F.lit(False), "parameter stability checks missing")], earlier=True)
+        return _gated(result.withColumn("parameter_pass_share", F.lit(0.0)), [(F.lit(False), "stability: no neighbours tested")], earlier=True)
     share = passed.agg(F.avg(F.col("promote").cast("double")).alias("parameter_pass_share"))
-    return _gated(result.join(F.broadcast(share), how="cross"), [(F.col("parameter_pass_share") >= least_stable, "parameter stability pass share below threshold")], earlier=True)
+    return _gated(result.join(F.broadcast(share), how="cross"), [(F.col("parameter_pass_share") >= least_stable, "stability: too few neighbours pass")], earlier=True)

@@ -164,10 +164,22 @@ def markov_parameters(df: DataFrame) -> DataFrame:
     return df.select("symbol", "ts", "log_return").groupBy("symbol").applyInPandas(run, schema)
 
 
-def implied_vol(df: DataFrame, vol: DataFrame) -> DataFrame:
-    """Adds implied_vol of the bar's date from (symbol, date, implied_vol) or (date, implied_vol)."""
+#: Rows of a volatility table that are broadcast at most: a few thousand instruments over decades.
+MOST_VOL_ROWS = 1_000_000
+
+
+def implied_vol(df: DataFrame, vol: DataFrame, as_of_days: int = 0) -> DataFrame:
+    """Adds implied_vol of the bar's date from (symbol, date, implied_vol) or (date, implied_vol).
+
+    A bar without a value on its date takes the latest one of the ``as_of_days`` days before. The table is broadcast
+    if its rows are few (they are counted), so that bars stay dealt by symbol; of repeated keys the largest value counts.
+    """
     keys = ["symbol", "date"] if "symbol" in vol.columns else ["date"]
-    return df.withColumn("date", F.to_date("ts")).join(vol.select(*keys, "implied_vol"), keys, "left").drop("date")
+    day = F.explode(F.sequence(F.lit(0), F.lit(as_of_days))) if as_of_days else F.lit(0)
+    seen = vol.where(F.col("implied_vol").isNotNull()).select(*keys, "implied_vol", day.alias("age")).withColumn("date", F.date_add("date", F.col("age")))
+    seen = seen.groupBy(*keys).agg(F.max_by("implied_vol", F.struct(-F.col("age"), F.col("implied_vol"))).alias("implied_vol"))
+    seen = F.broadcast(seen) if vol.count() * (as_of_days + 1) <= MOST_VOL_ROWS else seen
+    return df.withColumn("date", F.to_date("ts")).join(seen, keys, "left").drop("date")
 
 
 def consensus(df: DataFrame, cfg: Config) -> DataFrame:
@@ -182,14 +194,20 @@ def consensus(df: DataFrame, cfg: Config) -> DataFrame:
     return per_symbol(df, {"consensus_event": "boolean"}, fold, ["rn", "consensus_anchor"]).drop("consensus_anchor", "bocpd_fire", "markov_fire")
 
 
-def risk_guard(df: DataFrame, max_holding: int | None, stop_loss: float | None, signal: str = "raw_overlay") -> DataFrame:
-    """overlay_active, overlay_stop, overlay_expired of trades on a signal column."""
+def risk_guard(df: DataFrame, max_holding: int | str | None, stop_loss: float | str | None, signal: str = "raw_overlay") -> DataFrame:
+    """overlay_active, overlay_stop, overlay_expired of trades on a signal column.
+
+    The limits are numbers, or names of columns that hold one value per symbol (null for no limit).
+    """
+    named = [c for c in (max_holding, stop_loss) if isinstance(c, str)]
 
     def fold(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-        held, stopped, expired = K.risk_guard(rows[signal].fillna(False).to_numpy(bool), rows["close"].to_numpy(float), max_holding, stop_loss)
-        return {"overlay_active": held, "overlay_stop": stopped, "overlay_expired": expired}
+        limit = lambda c: c if not isinstance(c, str) else None if pd.isna(rows[c].iloc[0]) else float(rows[c].iloc[0])
+        hold = limit(max_holding)
+        found = K.risk_guard(rows[signal].fillna(False).to_numpy(bool), rows["close"].to_numpy(float), None if hold is None else int(hold), limit(stop_loss))
+        return dict(zip(("overlay_active", "overlay_stop", "overlay_expired"), found, strict=True))
 
-    return per_symbol(df, dict.fromkeys(("overlay_active", "overlay_stop", "overlay_expired"), "boolean"), fold, [signal, "close"])
+    return per_symbol(df, dict.fromkeys(("overlay_active", "overlay_stop", "overlay_expired"), "boolean"), fold, [signal, "close", *named])
 
 
 def hurst_features(df: DataFrame, cfg: Config) -> DataFrame:

@@ -5,7 +5,7 @@ Used only to check results: every registered query has its own final SELECT over
 
 from __future__ import annotations
 
-from tidegauge.schema import DEFAULT_EXPOSURE, REGIME_NAMES, REGIMES
+from tidegauge.schema import DEFAULT_EXPOSURE, REGIME_NAMES, REGIMES, ReboundProfile
 
 P = "PARTITION BY symbol ORDER BY ts"
 ALL = f"({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -111,6 +111,72 @@ def metrics(name: str, source: str, regime: str, keys: str = "symbol", extra: st
   CASE WHEN strategy_return - buy_hold_return > 0.01 THEN 'outperformed' WHEN strategy_return - buy_hold_return < -0.01 THEN 'lagged' ELSE 'matched' END AS relative_result FROM {name}_g)"""
 
 
+def guarded(name: str, source: str, hold: int, stop: float) -> str:
+    """Trades on raw_overlay of a materialised source, bar by bar: held, stopped, expired."""
+    stopped = f"(g.entry IS NOT NULL AND coalesce(s.close / g.entry - 1 <= {stop}, false))"
+    expired = f"(g.entry IS NOT NULL AND g.age >= {hold})"
+    return f"""{name} AS MATERIALIZED (WITH RECURSIVE g AS (
+  SELECT symbol, rn, raw_overlay AS held, false AS stopped, false AS expired, CASE WHEN raw_overlay THEN close END AS entry, 1 AS age FROM {source} WHERE rn = 1
+  UNION ALL
+  SELECT symbol, rn, held, stopped, expired, CASE WHEN held THEN coalesce(entry, close) END, CASE WHEN entry IS NULL THEN 1 ELSE age + 1 END FROM (
+    SELECT s.symbol, s.rn, s.close, g.entry, g.age, {stopped} AS stopped, {expired} AS expired, s.raw_overlay AND NOT {stopped} AND NOT {expired} AS held FROM g JOIN {source} s ON s.symbol = g.symbol AND s.rn = g.rn + 1))
+  SELECT * FROM g)"""
+
+
+FLAGS = ("rebound_signal", "drawdown_gate", "survival_gate", "raw_overlay", "overlay_active", "overlay_stop", "overlay_expired")
+
+
+def overlay_signals(name: str, p: ReboundProfile, where: str = "true") -> str:
+    """The labelled bars with the signals of a profile that looks at no survival label."""
+    fast, low, gate_ = roll(p.fast_window), roll(p.drawdown_lookback), roll(p.drawdown_gate_lookback)
+    fell = f"coalesce(CASE WHEN count(fall) OVER {gate_} >= 2 THEN min(fall) OVER {gate_} END <= {p.min_prior_drawdown}, false)" if p.require_prior_drawdown else "true"
+    return f"""{name}_a AS (SELECT *, close / {gate("min(close) OVER " + low, "close", p.fast_window, low)} - 1 AS up, close / lag(close, {p.fast_window}) OVER ({P}) - 1 AS fast, {gate("avg(close) OVER " + fast, "close", p.fast_window, fast)} AS ma,
+  CASE WHEN count(close) OVER {gate_} >= 2 THEN close / max(close) OVER {gate_} - 1 END AS fall FROM lab WHERE {where}),
+{name}_b AS (SELECT *, coalesce(up >= {p.min_rebound} AND fast >= {p.min_fast_return} AND close >= ma, false) AS rebound_signal, {fell} AS drawdown_gate, true AS survival_gate FROM {name}_a),
+{name} AS MATERIALIZED (SELECT *, rebound_signal AND drawdown_gate AND {exposure("regime_name")} < {p.rebound_exposure} AS raw_overlay FROM {name}_b)"""
+
+
+def group_bars(name: str, groups: dict[str, tuple[str, ...]], profiles: dict[str, ReboundProfile], cost_bps: float) -> str:
+    """Bars of both variants with their group; every symbol is in one of the groups or in 'other', which has no overlay."""
+    quoted = lambda members: ", ".join(f"'{m}'" for m in members)
+    group = "CASE " + " ".join(f"WHEN symbol IN ({quoted(m)}) THEN '{g}'" for g, m in groups.items()) + " ELSE 'other' END"
+    same = "symbol, ts, rn, close, asset_return, position, gross_return, turnover, cost, strategy_return"
+    none = ", ".join(f"false AS {f}" for f in FLAGS)
+    ctes = [positions(f"{name}_now", "lab", exposure("regime_name"), cost_bps=cost_bps)]
+    plain = f"SELECT {same}, regime_name AS evaluated_regime, {group} AS grp, '{{}}' AS variant, false AS overlay_enabled, {none} FROM {name}_now"
+    parts = [plain.format("current")]
+    live = {g: m for g, m in groups.items() if profiles[g].enabled}
+    for i, (g, members) in enumerate(live.items()):
+        n, p = f"{name}_{i}", profiles[g]
+        weight = exposure("evaluated_regime").replace("ELSE 0.0", f"WHEN 'Rebound Overlay' THEN {p.rebound_exposure} ELSE 0.0")
+        joined = f"SELECT s.*, g.held AS overlay_active, g.stopped AS overlay_stop, g.expired AS overlay_expired, CASE WHEN g.held THEN 'Rebound Overlay' ELSE s.regime_name END AS evaluated_regime FROM {n}_s s JOIN {n}_g g USING (symbol, rn)"
+        ctes += [overlay_signals(f"{n}_s", p, f"symbol IN ({quoted(members)})"), guarded(f"{n}_g", f"{n}_s", p.max_holding, p.stop_loss), f"{n}_j AS ({joined})", positions(f"{n}_p", f"{n}_j", weight, cost_bps=cost_bps)]
+        parts.append(f"SELECT {same}, evaluated_regime, '{g}' AS grp, 'group_rebound' AS variant, true AS overlay_enabled, {', '.join(FLAGS)} FROM {n}_p")
+    away = ", ".join(quoted(m) for m in live.values())
+    parts.append(plain.format("group_rebound") + (f" WHERE symbol NOT IN ({away})" if away else ""))
+    return ",\n".join([*ctes, f"{name} AS (" + "\nUNION ALL ".join(parts) + ")"])
+
+
+def group_metrics(name: str, source: str, cost_bps: float, keys: str = "symbol") -> str:
+    """Metrics of both variants with counts and differences, per symbol, and per window if it is among the keys."""
+    counts = "".join(f", count(*) FILTER (WHERE {f}) AS {f}_count" for f in FLAGS)
+    current = lambda c: f"{c} - max(CASE WHEN variant = 'current' THEN {c} END) OVER (PARTITION BY {keys})"
+    return metrics(f"{name}_m", source, "evaluated_regime", f"{keys}, grp, variant, overlay_enabled", counts) + f""",
+{name} AS (SELECT *, {cost_bps} AS transaction_cost_bps, {current("strategy_return")} AS strategy_return_delta_vs_current, {current("max_drawdown_strategy")} AS drawdown_delta_vs_current,
+  variant = 'group_rebound' AND {current("strategy_return")} > 0 AS improved_vs_current FROM {name}_m)"""
+
+
+def ewm_std(name: str, source: str, alpha: str, adjust: bool, least: int, keys: str = "symbol") -> str:
+    """ewm of a materialised source (keys, n from 1, x): weighted deviation from raw moments."""
+    same = " AND ".join(f"s.{k} = r.{k}" for k in keys.split(", "))
+    own = ", ".join(f"s.{k}" for k in keys.split(", "))
+    a = f"(1 - {alpha})"
+    w = "1.0" if adjust else alpha
+    return f"""{name} AS MATERIALIZED (WITH RECURSIVE r AS (SELECT {keys}, n, 1.0::DOUBLE AS s0, x AS s1, x * x AS s2, 1.0::DOUBLE AS q FROM {source} WHERE n = 1
+  UNION ALL SELECT {own}, s.n, r.s0 * {a} + {w}, r.s1 * {a} + {w} * s.x, r.s2 * {a} + {w} * s.x * s.x, r.q * {a} * {a} + {w} * {w} FROM r JOIN {source} s ON {same} AND s.n = r.n + 1)
+  SELECT {keys}, n, CASE WHEN n >= {least} AND s0 * s0 > q THEN sqrt(greatest(0.0, (s2 / s0 - (s1 / s0) * (s1 / s0)) * s0 * s0 / (s0 * s0 - q))) END AS ewm FROM r)"""
+
+
 BASE = ",\n".join(
     [
         bars("li", "SELECT l_returnflag AS symbol, date_trunc('day', l_shipdate) AS ts, round(avg(l_extendedprice / l_quantity), 6) AS c, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2"),

@@ -8,19 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators import backtest as B
-from tidegauge.schema import REBOUND_PROFILES, WALK_FORWARD_WINDOWS, ReboundProfile
+from tidegauge.schema import NEIGHBOURS, REBOUND_PROFILES, WALK_FORWARD_WINDOWS, ReboundProfile
 
 
-def neighbours(p: ReboundProfile) -> dict[str, ReboundProfile]:
-    """Three changed profiles: less exposure, slower confirmation, stricter risk limits."""
-    return {
-        "lower_exposure": replace(p, rebound_exposure=max(0.0, min(p.rebound_exposure, 0.50))),
-        "slower_confirmation": replace(p, fast_window=p.fast_window + 2, drawdown_lookback=p.drawdown_lookback + 10, min_rebound=p.min_rebound + 0.02, min_fast_return=p.min_fast_return + 0.01),
-        "stricter_risk_gate": replace(
-            p, require_prior_drawdown=True, drawdown_gate_lookback=p.drawdown_gate_lookback + 10, min_prior_drawdown=min(p.min_prior_drawdown, -0.08),
-            max_holding=max(1, (p.max_holding or 5) - 2), stop_loss=min(p.stop_loss if p.stop_loss is not None else -0.03, -0.04),
-        ),
-    }
+#: Least value of parameters that count bars or exposure.
+_FLOORS = {"rebound_exposure": 0.0, "fast_window": 1, "drawdown_lookback": 1, "drawdown_gate_lookback": 1, "max_holding": 1}
+_CHANGES = {"add": lambda now, amount: now + amount, "cap": min, "set": lambda now, amount: amount}
+
+
+def neighbours(profile: ReboundProfile) -> dict[str, ReboundProfile]:
+    """The profile under each set of changes in NEIGHBOURS; what a profile leaves open starts from the usual value."""
+    usual = ReboundProfile(profile.enabled)
+
+    def changed(name: str, how: str, amount: float | bool) -> float | bool:
+        now = getattr(profile, name)
+        value = _CHANGES[how](getattr(usual, name) if now is None else now, amount)
+        return max(_FLOORS[name], value) if name in _FLOORS else value
+
+    return {variant: replace(profile, **{name: changed(name, *change) for name, change in changes.items()}) for variant, changes in NEIGHBOURS.items()}
 
 
 def common_end(df: DataFrame) -> str:
@@ -40,7 +45,7 @@ def report(
     windows = B.recent_windows(df.sparkSession, end or common_end(df), specs)
     run = lambda changed: B.walk_forward(df, windows, groups, changed, cost_bps)
     comparison = run(profiles)
-    variants = {name: run({g: neighbours(p)[name] if p.enabled else p for g, p in profiles.items()}) for name in ("lower_exposure", "slower_confirmation", "stricter_risk_gate")}
+    variants = {name: run({g: neighbours(p)[name] if p.enabled else p for g, p in profiles.items()}) for name in NEIGHBOURS}
     return {
         "comparison": B.narrative_alignment(comparison),
         "summary": B.summarise_groups(comparison),

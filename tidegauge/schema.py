@@ -74,7 +74,7 @@ LO_BANDS = {0.90: (0.861, 1.747), 0.95: (0.809, 1.862), 0.99: (0.721, 2.098)}
 
 @dataclass(frozen=True)
 class ReboundProfile:
-    """Rebound overlay parameters of one asset group; a disabled profile still has all of them."""
+    """Rebound overlay parameters of one asset group; a disabled profile still has all of them. Defaults: fixed values."""
 
     enabled: bool
     rebound_exposure: float = 0.75
@@ -100,3 +100,10 @@ REBOUND_PROFILES = {
     "crypto": ReboundProfile(False, rebound_exposure=0.50, fast_window=7, drawdown_lookback=30, min_rebound=0.08, min_fast_return=0.04),
     "other": ReboundProfile(False),
 }
+
+# Neighbouring profiles, as (what to do, amount) per parameter: fixed values.
+NEIGHBOURS = {
+    "lower_exposure": {"rebound_exposure": ("cap", 0.50)},
+    "slower_confirmation": {"fast_window": ("add", 2), "drawdown_lookback": ("add", 10), "min_rebound": ("add", 0.02), "min_fast_return": ("add", 0.01)},
+    "stricter_risk_gate": {"require_prior_drawdown": ("set", True), "drawdown_gate_lookback": ("add", 10), "min_prior_drawdown": ("cap", -0.08), "max_holding": ("add", -2), "stop_loss": ("cap", -0.04)},
+}

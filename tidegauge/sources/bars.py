@@ -63,18 +63,22 @@ def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
 
 
 def clean(df: DataFrame, fill: str = "ffill", arrival: str | None = None) -> DataFrame:
-    """One row per symbol and time (the first by ``arrival``), gaps filled forward, dropped or interpolated, missing columns made up.
+    """One row per symbol and time, gaps filled forward, dropped or interpolated, missing columns made up.
 
-    A missing volume column is 0, a missing price column is the close. Rows without symbol or time go.
+    Of repeated rows the first stays: by the column ``arrival`` (nulls last), or without one in the order of the scan
+    (file by file, as Spark reads them; give ``arrival`` where the order of files says nothing). A missing volume
+    column is 0, a missing price column is the close. Rows without symbol or time go.
     """
     have = set(df.columns)
+    if arrival is None:
+        df = df.withColumn("_arrival", F.monotonically_increasing_id())
     for c in ("open", "high", "low"):
         if c not in have:
             df = df.withColumn(c, F.col("close"))
     if "volume" not in have:
         df = df.withColumn("volume", F.lit(0.0))
-    first = W.partitionBy("symbol", "ts").orderBy(arrival or "close")
-    df = df.where("symbol is not null and ts is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    first = W.partitionBy("symbol", "ts").orderBy(F.col(arrival or "_arrival").asc_nulls_last())
+    df = df.where("symbol is not null and ts is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_arrival")
     values = ["open", "high", "low", "close", "volume"]
     if fill == "drop":
         return df.dropna(subset=values)
