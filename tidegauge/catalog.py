@@ -21,7 +21,7 @@ from tidegauge.operators import folds, lookups
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import labelled
-from tidegauge.schema import EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
+from tidegauge.schema import EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, LO_BANDS, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
 from tidegauge.sources import bars as S
 from tidegauge.sources.sinks import daily_projection
 
@@ -241,20 +241,41 @@ register("hill_index", "symbol ts:t tail_index:f", tail, "SELECT * FROM tl", TAI
 register("excess_kurtosis", "symbol ts:t excess_kurtosis:d", tail, "SELECT * FROM tl", TAIL)
 register("drawdowns", "symbol ts:t rolling_max_drawdown:d drawdown:d", tail, "SELECT * FROM tl", TAIL)
 register("survival", "symbol ts:t survival_regime survival_score:d", tail, "SELECT * FROM sv", TAIL)
-register("hurst_rolling", "symbol ts:t hurst:d hurst_regime lo_modified_rs:d lo_memory_regime hurst_confirmed_regime hurst_change:d hurst_ma:d", lambda s, d: folds.hurst_features(returns(s, d), CFG))
-register("hurst_summary", "symbol mean:d std:d current:d share_trending:d share_reverting:d", lambda s, d: folds.hurst_summary(folds.hurst_features(returns(s, d), CFG)))
+_HW, _HMOST = CFG.hurst_window, min(100, CFG.hurst_window // 2)
+_LOW, _HIGH = CFG.hurst_range
+_BANDS = LO_BANDS[CFG.lo_confidence]
+#: Deviations of the differences at each lag inside the window, the slope over lags, and Lo's statistic from lists.
+HURST = "hs AS (" + "\nUNION ALL ".join(f"SELECT symbol, rn, {lag} AS lag, stddev_pop(d) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {_HW - 1 - lag} PRECEDING AND CURRENT ROW) AS sd FROM (SELECT symbol, rn, close - lag(close, {lag}) OVER ({O.P}) AS d FROM lab_a)" for lag in range(2, _HMOST)) + f"""),
+hx AS (SELECT symbol, rn, 2 * regr_slope(0.5 * ln(sd), ln(lag)) AS hurst FROM hs WHERE sd > 0 AND rn >= {max(20, _HW // 2)} AND lag < least(100, least(rn, {_HW}) // 2) GROUP BY 1, 2 HAVING count(*) >= 2),
+lo1 AS (SELECT symbol, rn, list(log_return) FILTER (WHERE log_return IS NOT NULL) OVER {O.roll(_HW)} AS x, count(log_return) OVER {O.roll(_HW)} AS n FROM lab_a),
+lo2 AS (SELECT symbol, rn, n, CAST(floor(pow(n, 1.0 / 3) + 1e-12) AS INT) AS q, list_transform(x, lambda v: v - list_avg(x)) AS d FROM lo1 WHERE n >= {max(20, _HW // 2)}),
+lo3 AS (SELECT *, list_sum(list_transform(d, lambda v: v * v)) / n + 2.0 / n * list_sum(list_transform(generate_series(1, q), lambda j: (1 - j / (q + 1.0)) * list_sum(list_transform(generate_series(j + 1, n), lambda i: d[i] * d[i - j])))) AS v,
+  list_transform(generate_series(1, n), lambda i: list_sum(d[1:i])) AS walk FROM lo2),
+lx AS (SELECT symbol, rn, CASE WHEN v > 0 THEN (list_max(walk) - list_min(walk)) / sqrt(v * n) END AS lo_modified_rs FROM lo3),
+hl AS (SELECT *, CASE WHEN hurst IS NULL THEN 'Unknown' WHEN hurst > {_HIGH} THEN 'Trending' WHEN hurst < {_LOW} THEN 'Mean-Reverting' ELSE 'Random' END AS hurst_regime,
+  CASE WHEN lo_modified_rs IS NULL THEN 'Unknown' WHEN lo_modified_rs > {_BANDS[1]} THEN 'Long-Memory' WHEN lo_modified_rs < {_BANDS[0]} THEN 'Anti-Persistent' ELSE 'Short-Memory' END AS lo_memory_regime
+  FROM (SELECT a.symbol, a.ts, hurst, lo_modified_rs FROM lab_a a LEFT JOIN hx ON a.symbol = hx.symbol AND a.rn = hx.rn LEFT JOIN lx ON a.symbol = lx.symbol AND a.rn = lx.rn))"""
+register(
+    "hurst_rolling", "symbol ts:t hurst:d hurst_regime lo_modified_rs:d lo_memory_regime hurst_confirmed_regime hurst_change:d hurst_ma:d", lambda s, d: folds.hurst_features(returns(s, d), CFG),
+    f"""SELECT *, CASE WHEN hurst_regime = 'Unknown' OR lo_memory_regime = 'Unknown' THEN 'Unknown' WHEN hurst_regime = 'Random' THEN 'Random' WHEN hurst_regime = 'Trending' AND lo_memory_regime = 'Long-Memory' THEN 'Trending'
+       WHEN hurst_regime = 'Mean-Reverting' AND lo_memory_regime = 'Anti-Persistent' THEN 'Mean-Reverting' ELSE 'Short-Memory' END AS hurst_confirmed_regime, hurst - lag(hurst) OVER ({O.P}) AS hurst_change, avg(hurst) OVER {O.roll(20)} AS hurst_ma FROM hl""", HURST,
+)
+register(
+    "hurst_summary", "symbol mean:d std:d current:d share_trending:d share_reverting:d", lambda s, d: folds.hurst_summary(folds.hurst_features(returns(s, d), CFG)),
+    """SELECT symbol, avg(hurst) AS mean, stddev_samp(hurst) AS std, arg_max(hurst, ts) FILTER (WHERE hurst IS NOT NULL) AS current, coalesce(count(*) FILTER (WHERE hurst_regime = 'Trending') / nullif(count(*) FILTER (WHERE hurst_regime <> 'Unknown'), 0), 0) AS share_trending,
+       coalesce(count(*) FILTER (WHERE hurst_regime = 'Mean-Reverting') / nullif(count(*) FILTER (WHERE hurst_regime <> 'Unknown'), 0), 0) AS share_reverting FROM hl GROUP BY 1""", HURST,
+)
 register("hurst_rs_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="rs")))
 register("dfa_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="dfa")))
 
 
 def with_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in exponent that SQL can compute too, for the filter that follows it: how one-sided the window's returns are."""
-    frame = rolling(20)
-    one_sided = F.try_divide(F.abs(F.sum("log_return").over(frame)), F.sum(F.abs("log_return")).over(frame))
-    return labels(spark, sf_dir).withColumn("hurst", F.when(F.count("log_return").over(frame) >= 10, 0.4 + one_sided))
+    """Labelled bars with the rolling exponent."""
+    return folds.hurst(labels(spark, sf_dir), CFG)
 
 
-FRACTAL = f"""hu AS (SELECT *, CASE WHEN count(log_return) OVER {O.roll(20)} >= 10 THEN 0.4 + abs(sum(log_return) OVER {O.roll(20)}) / nullif(sum(abs(log_return)) OVER {O.roll(20)}, 0) END AS hurst FROM lab),
+FRACTAL = HURST + f""",
+hu AS (SELECT l.*, hx.hurst FROM lab l LEFT JOIN hx ON l.symbol = hx.symbol AND l.rn = hx.rn),
 fm0 AS (SELECT *, CASE WHEN hurst > 0.55 THEN 1.0 ELSE 0.0 END AS raw FROM hu),
 fm AS (SELECT *, CASE WHEN avg(raw) OVER {O.roll(5)} >= 0.5 THEN 1.0 ELSE 0.0 END AS fractal_mask FROM fm0),
 fr AS (SELECT *, first_value(close) OVER ({O.P}) * exp(sum(fractal_mask * coalesce(log_return, 0)) OVER {O.ALL}) AS fractal_price, fractal_mask * log_return AS fractal_returns FROM fm)"""

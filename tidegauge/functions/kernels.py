@@ -149,6 +149,67 @@ def rolling(values: np.ndarray, window: int, least: int, statistic) -> np.ndarra
     return out
 
 
+#: Rows whose windows are laid out side by side at a time.
+_ROWS = 16_384
+
+
+def _full_windows(values: np.ndarray, window: int, least: int, one, many) -> np.ndarray:
+    """rolling(), with ``many`` for blocks of windows that are full and complete, and ``one`` for the others."""
+    values = np.asarray(values, float)
+    out = np.full(len(values), np.nan)
+    here = np.concatenate([[0], np.cumsum(np.isfinite(values))])
+    full = np.zeros(len(values), bool)
+    if len(values) >= window:
+        full[window - 1 :] = here[window:] - here[:-window] == window
+        rows = np.lib.stride_tricks.sliding_window_view(values, window)
+        at = np.flatnonzero(full)
+        for a in range(0, len(at), _ROWS):
+            some = at[a : a + _ROWS]
+            out[some] = many(rows[some - window + 1])
+    for i in np.flatnonzero(~full).tolist():
+        a = max(0, i + 1 - window)
+        if here[i + 1] - here[a] >= least:
+            out[i] = one(values[a : i + 1])
+    return out
+
+
+def _structure_of_rows(x: np.ndarray) -> np.ndarray:
+    """structure_exponent of each row of complete windows."""
+    lags = np.arange(2, min(100, x.shape[1] // 2))
+    if x.shape[1] < 10 or len(lags) < 2:
+        return np.full(len(x), np.nan)
+    tau = np.stack([np.std(x[:, lag:] - x[:, :-lag], axis=1) for lag in lags.tolist()], axis=1)
+    good = tau > 0
+    u, v = np.where(good, np.log(lags), 0.0), np.where(good, 0.5 * np.log(np.where(good, tau, 1.0)), 0.0)
+    n = good.sum(axis=1)
+    some = np.maximum(n, 1)[:, None]
+    du = np.where(good, u - u.sum(axis=1, keepdims=True) / some, 0.0)
+    dv = np.where(good, v - v.sum(axis=1, keepdims=True) / some, 0.0)
+    return np.where(n >= 2, 2.0 * (du * dv).sum(axis=1) / np.where(n >= 2, (du * du).sum(axis=1), 1.0), np.nan)
+
+
+def rolling_structure(values: np.ndarray, window: int, least: int) -> np.ndarray:
+    """structure_exponent of every trailing window."""
+    return _full_windows(values, window, least, structure_exponent, _structure_of_rows)
+
+
+def rolling_lo(values: np.ndarray, window: int, least: int, lags: int | None = None) -> np.ndarray:
+    """lo_statistic of every trailing window."""
+
+    def many(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        q = min(int(np.floor(n ** (1 / 3) + 1e-12)) if lags is None else lags, n - 1)
+        d = x - x.mean(axis=1, keepdims=True)
+        variance = (d * d).sum(axis=1) / n
+        for j in range(1, q + 1):
+            variance = variance + 2 / n * (1 - j / (q + 1)) * (d[:, j:] * d[:, :-j]).sum(axis=1)
+        walk = np.cumsum(d, axis=1)
+        good = variance > 0
+        return np.where(good, (walk.max(axis=1) - walk.min(axis=1)) / np.sqrt(np.where(good, variance, 1.0) * n), np.nan)
+
+    return _full_windows(values, window, least, lambda x: lo_statistic(x, lags), many) if window >= 10 else rolling(values, window, least, lambda x: lo_statistic(x, lags))
+
+
 def stepped(values: np.ndarray, window: int, step: int, statistic) -> np.ndarray:
     """The statistic of the ``window`` rows before every ``step``-th row, carried forward between them."""
     out, last = np.full(len(values), np.nan), math.nan

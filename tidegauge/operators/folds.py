@@ -87,6 +87,8 @@ def hurst(df: DataFrame, cfg: Config) -> DataFrame:
 
     def fold(rows: pd.DataFrame) -> dict[str, np.ndarray]:
         x = rows["close"].to_numpy(float)
+        if cfg.hurst_step == 1 and cfg.hurst_method == "structure":
+            return {"hurst": K.rolling_structure(x, w, max(20, w // 2))}
         return {"hurst": K.stepped(x, w, cfg.hurst_step, statistic) if cfg.hurst_step > 1 else K.rolling(x, w, max(20, w // 2), statistic)}
 
     return _doubles(df, ["hurst"], fold, ["close"])
@@ -95,8 +97,7 @@ def hurst(df: DataFrame, cfg: Config) -> DataFrame:
 def lo_rescaled_range(df: DataFrame, cfg: Config) -> DataFrame:
     """lo_modified_rs of the log returns."""
     w = cfg.hurst_window
-    statistic = lambda x: K.lo_statistic(x, cfg.lo_lags)
-    return _doubles(df, ["lo_modified_rs"], lambda r: {"lo_modified_rs": K.rolling(r["log_return"].to_numpy(), w, max(20, w // 2), statistic)}, ["log_return"])
+    return _doubles(df, ["lo_modified_rs"], lambda r: {"lo_modified_rs": K.rolling_lo(r["log_return"].to_numpy(), w, max(20, w // 2), cfg.lo_lags)}, ["log_return"])
 
 
 def bocpd(df: DataFrame, cfg: Config) -> DataFrame:
