@@ -74,7 +74,7 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidegauge.llm.urlfilter import judge
 
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, verdict)")
     return judge(table(spark, sf_dir, "pages"), rules)
 
 
