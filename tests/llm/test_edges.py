@@ -301,17 +301,38 @@ def test_decontamination(spark, odd, none):
 def test_top_k(spark):
     g = np.random.default_rng(0)
     vectors = [(i, [float(v) for v in g.normal(size=8)]) for i in range(301)] + [(400, None), (500, [1.0, None] + [0.0] * 6), (600, [float("nan")] * 8), (700, [float("inf")] * 8), (None, [1.0] * 8), (301, [0.5] * 8), (302, [0.5] * 8), (800, [])]
-    df = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, score int")
-    good = {i: np.floor(1024 * np.array(v, np.float32).astype(float)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in good if i % 100 == 0):
-        dot = lambda a, b: int((a[: min(len(a), len(b))] * b[: min(len(a), len(b))]).sum())
-        best = sorted((-dot(good[q], good[c]), c) for c in good if c != q)[:10]
-        want |= {(q, r, c, -s) for r, (s, c) in enumerate(best, 1)}
+    vectors += [(100, [float(v) for v in g.normal(size=8)]), (13, [3.0] * 8), (13, [3.0] * 8), (200, vectors[200][1])]
+    df = spark.createDataFrame([(*v, 1, 2, 3) for v in vectors], "vec_id long, embedding array<float>, score int, own int, query_id int")
+    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float))) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    dot = lambda a, b: int((a[: min(len(a), len(b))] * b[: min(len(a), len(b))]).sum())
+    for q, (i, a) in enumerate(good):
+        if i % 100 == 0:
+            best = sorted((-dot(a, b), j) for c, (j, b) in enumerate(good) if c != q)[:10]
+            want += [(i, r, c, -s) for r, (s, c) in enumerate(best, 1)]
     is_query = F.pmod(F.col("vec_id"), F.lit(100)) == 0
-    for block in (1024, 2):
-        assert {tuple(r) for r in rows(topk.top_k(df, is_query, block=block))} == want
+    for block in (16 << 20, 600):
+        assert sorted(tuple(r) for r in rows(topk.top_k(df, is_query, block_bytes=block))) == sorted(want)
     assert topk.top_k(df.limit(0), is_query).count() == 0
+    far = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in sorted(rows(topk.top_k(far, is_query)), key=lambda r: r["rank"])] == [(1, 2**63 - 1024), (2, -(2**63))]
+
+
+def test_probes_fall():
+    """Few terms carry most of these scores: the others are probed for few rows, and results equal a plain scan."""
+    g = np.random.default_rng(3)
+    weight = np.array([400.0, 300, 200] + [4.0] * 29)
+    data = np.floor(g.normal(size=(6000, 32)) * weight)
+    queries = np.floor(g.normal(size=(20, 32)) * weight)
+    shard = topk.Shard(np.arange(-20, 0), queries, 10)
+    for at in range(0, 6000, 1000):
+        some = np.arange(at, at + 1000)
+        shard.add(some, some, data[some])
+    for q in range(20):
+        score = data @ queries[q]
+        best = np.lexsort((np.arange(6000), -score))[:10]
+        assert shard.vec[q].tolist() == best.tolist() and shard.score[q].tolist() == score[best].tolist()
+    assert shard.probed < 0.3 * shard.full
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------
