@@ -126,6 +126,33 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_broken_archives(spark, tmp_path):
+    end = "\r\n\r\n"
+    good = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: {}\r\nContent-Length: 5\r\n\r\nhello" + end
+    files = {
+        "absurd": good.format(1) + f"WARC/1.0\r\nX-Page-Id: 2\r\nContent-Length: {2**62}{end}x{end}" + good.format(3),
+        "beyond": good.format(4) + f"WARC/1.0\r\nX-Page-Id: 5\r\nContent-Length: 90{end}x{end}" + good.format(6),
+        "later": "junk " + good.format(7), "unstated": good.format(8) + f"WARC/1.0\r\nX-Page-Id: 9{end}" + good.format(10), "empty": "",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(text.encode())
+    for segment in (64 << 20, 30):
+        got = {r["page_id"]: r for r in rows(warc.read_warc(spark, str(tmp_path), segment))}
+        assert set(got) == {1, 2, 4, 5, 8, 9}
+        assert all(got[i]["payload_bytes"] == 5 and got[i]["payload_digest"] == hashlib.sha256(b"hello").hexdigest() for i in (1, 4, 8))
+        assert all(got[i]["payload_bytes"] is None and got[i]["payload_digest"] is None and not got[i]["verified"] for i in (2, 5, 9))
+
+
+def test_archive_headers(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"http://a/{i}", "y" * 200) for i in (3, 1, 2)], "page_id long, url string, html string")
+    warc.write_warc(df, str(tmp_path / "w"))
+    records = [r for f in (tmp_path / "w").glob("part-*") for r in f.read_bytes().decode().split("WARC/1.0\r\n")[1:]]
+    head = [dict(line.split(": ", 1) for line in r.split("\r\n\r\n")[0].split("\r\n")) for r in records]
+    by_id = {h["X-Page-Id"]: h for h in head}
+    assert all(h["WARC-Record-ID"].startswith("<urn:uuid:") and len(h["WARC-Record-ID"]) == 47 and h["WARC-Date"].endswith("Z") for h in head) and len({h["WARC-Record-ID"] for h in head}) == 3
+    assert "WARC-Profile" not in by_id["1"] and all(by_id[i]["WARC-Profile"] == warc.PROFILE and by_id[i]["WARC-Refers-To"] == by_id["1"]["WARC-Record-ID"] for i in "23")
+
+
 # --- personal data and secrets -----------------------------------------------------------------------------------
 
 TRICKY = [
