@@ -278,17 +278,42 @@ def test_urls(spark):
 
 
 def test_licences(spark, odd, none):
-    texts = ["Under the MIT License, and the Apache License.", "gnu General public\nlicense license mit license", "mitlicense", *licenses.TEMPLATES.values(), None, "", LONG]
+    texts = ["Under the MIT License, and the Apache License.", "gnu General public\nlicense license mit license", "mitlicense", *(t for _, t in licenses.TEMPLATES), None, "", LONG]
     got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), DOC)))}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.phrases(t), t
-    for i, label in enumerate(licenses.TEMPLATES, 3):
+    for i, (label, _) in enumerate(licenses.TEMPLATES, 3):
         assert label in got[i]["labels"].split(",") and got[i]["score"] == 1
     assert got[len(texts) - 1]["labels"] == "" and got[len(texts) - 1]["score"] == 0
     assert licenses.scan_licenses(none).count() == 0 and licenses.scan_licenses(odd).count() == len(ODD)
 
 
+def test_runs_inside_longer_runs_of_other_templates(spark):
+    """Every run that a template cannot continue is found, whatever longer run of another one holds it."""
+    templates = (("A", "a b c d e f g h"), ("B", "c d e f x y z w"))
+    alone, beside = (licenses.Scanner({}, t, 4, 0.6).scan(b"b c d e f g q x y z w".split())[1] for t in (templates[1:], templates))
+    assert alone["B"] == beside["B"] == 1.0
+    g = np.random.default_rng(4)
+    for _ in range(150):
+        texts = [" ".join(g.choice(list("abc"), int(g.integers(1, 12)))) for _ in range(int(g.integers(1, 5)))]
+        doc = [c.encode() for c in g.choice(list("abcx"), int(g.integers(0, 40)))]
+        scanner = licenses.Scanner({}, tuple((str(i), t) for i, t in enumerate(texts)), 2, 0.6)
+        got = {(k, *r) for k, found in scanner.runs(doc, list(scanner.automaton.statistics(doc))).items() for r in found}
+        want = set()
+        for k, t in enumerate(texts):
+            w = t.encode().split()
+            for i in range(len(doc)):
+                for j in range(len(w)):
+                    n = 0
+                    while i - n >= 0 and j - n >= 0 and doc[i - n] == w[j - n]:
+                        n += 1
+                    more = i + 1 < len(doc) and j + 1 < len(w) and doc[i + 1] == w[j + 1]
+                    if n >= min(2, len(w)) and not more:
+                        want.add((k, i - n + 1, j - n + 1, n))
+        assert got == want
+
+
 def brute_hits(text, items):
     w = brute.words(text)
     hit, found = set(), set()

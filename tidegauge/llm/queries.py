@@ -96,9 +96,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from tidegauge.llm.licenses import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["first"], x["end"])), ",")
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("spans", listed)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
