@@ -230,7 +230,26 @@ def test_secrets(spark, odd, none):
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == brute.secrets(t)[:4], t
         assert set(brute.secrets(t)[4].split(",")) - {""} <= set(r["spans"].split(","))
     assert "github:0:40" in got[9]["spans"] and secretscan.scan_secrets(none).count() == 0
-    assert secretscan.scan_secrets(odd, carry=True).select("row.row", "found").count() == len(ODD)
+    assert secretscan.scan_secrets(odd).count() == len(ODD)
+
+
+def test_trigram_index(spark):
+    """Postings hold the texts of their trigram, over many blocks; only texts that satisfy a rule's query come back."""
+    rule = secretscan.BASE_RULES[0]
+    query = secretscan.trigram_query(rule.pattern)
+    grams = sorted({g for clause in query for wanted in clause for g in wanted})
+    texts = [*LEAKS, *LEAKS, "pas ass ssw swo wor ord", "nothing", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), DOC).withColumn("th", F.xxhash64("text"))
+    index = secretscan.build_index(df, grams, block_texts=3)
+    hashes = {r["th"]: (r["text"] or "").lower() for r in rows(df)}
+    got = {}
+    for r in rows(index):
+        assert len(r["posting"]) == len(set(r["posting"]))
+        got.setdefault(r["gram"], set()).update(r["posting"])
+    assert index.select("block").distinct().count() > 3
+    assert got == {g: have for g in grams if (have := {h for h, t in hashes.items() if g in t})}
+    found = {r["th"]: r["rules"] for r in rows(secretscan.look_up(index, [query]))}
+    assert found == {h: 1 for h, t in hashes.items() if all(any(all(g in t for g in wanted) for wanted in clause) for clause in query)}
 
 
 def test_trigram_queries_never_miss():

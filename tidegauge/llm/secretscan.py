@@ -1,14 +1,17 @@
-"""Secret scan by a trigram index: Boolean trigram queries from each rule's expression, then verification.
+"""Secret scan by a trigram inverted index: Boolean trigram queries from each rule's expression, then verification.
 
 From the parse tree of a rule's regular expression follows a query over trigrams, of the form AND of ORs of ANDs,
-that every text with a match satisfies. The index has a posting bitmap per document over the trigrams of all rules
-(the others can't matter); it is partitioned by document, so intersecting postings is a bitwise test next to the
-text that a hit is verified on, and nothing is shuffled. A rule without mandatory trigrams scans every text.
+that every text with a match satisfies. One search of each text gives the trigrams of all rules that it holds (the
+others can't matter), and the index that is written from them has, for each block of texts and each trigram, a
+posting list of text hashes. Equal texts are one entry. Rules intersect and unite the posting lists of a block; the
+texts that remain, and no others, are searched for the rule's expression. A rule without mandatory trigrams scans
+every text. Blocks are drawn by hash, so no list outgrows its block, however common a trigram or a text is.
 Everything on the data's path is SQL functions; only the rules are analysed in Python.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -18,6 +21,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import broadcast_if_small, cut
 from tidegauge.llm.native import listed, named, spans
 
 #: A query is a conjunction of disjunctions of trigram sets; no disjunctions at all means "any text".
@@ -121,25 +125,41 @@ def trigram_query(pattern: str) -> Query:
     return query if exact is None else _any_of(exact)
 
 
-def index_columns(low: Column, grams: list[str]) -> list[Column]:
-    """Posting bitmaps of a lower-cased document: bit i % 62 of word i // 62 says that it holds trigram i."""
-    words = []
-    for at in range(0, len(grams), 62):
-        bits = [F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(grams[at : at + 62])]
-        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
-    return words
+def _one_of(grams: list[str]) -> str:
+    """An expression that stands before each place of any of the trigrams and captures it; sorted by first sign."""
+    by_first: dict[str, list[str]] = {}
+    for g in sorted(grams):
+        by_first.setdefault(g[0], []).append(re.escape(g[1:]))
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(tails)})" for c, tails in by_first.items()) + "))"
 
 
-def _holds(query: Query, grams: list[str], words: list[Column]) -> Column:
-    """Intersection and union of postings, bitwise."""
-    number = {g: i for i, g in enumerate(grams)}
+def build_index(docs: DataFrame, grams: list[str], block_texts: int = 4096) -> DataFrame:
+    """(block, gram, posting): the sorted hashes of a block's texts that hold the trigram, whatever the case of letters."""
+    blocks = max(1, -(-docs.count() // block_texts))
+    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    held = docs.select(F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(_one_of(grams)), F.lit(1)))).alias("gram"))
+    lists = held.groupBy(F.pmod(F.xxhash64("th"), F.lit(blocks)).alias("block"), "gram").agg(F.sort_array(F.collect_set("th")).alias("posting"))
+    return cut(lists, "secret-postings")
 
-    def all_of(wanted: frozenset[str]) -> Column:
-        masks = [sum(1 << (number[g] % 62) for g in wanted if number[g] // 62 == w) for w in range(len(words))]
-        return reduce(lambda a, b: a & b, [word.bitwiseAND(F.lit(m)) == F.lit(m) for word, m in zip(words, masks, strict=True) if m])
 
-    tests = [reduce(lambda a, b: a | b, [all_of(w) for w in clause]) for clause in query]
-    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+def look_up(index: DataFrame, queries: list[Query]) -> DataFrame:
+    """(th, rules): for each text hash that satisfies any of the queries, their bits."""
+    none = F.expr("cast(array() as array<long>)")
+    block = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "posting"))).alias("of"))
+
+    def both(lists: list[Column]) -> Column:
+        return reduce(F.array_intersect, lists)
+
+    def texts(query: Query) -> Column:
+        posting = lambda g: F.coalesce(F.try_element_at("of", F.lit(g)), none)
+        return both([reduce(F.array_union, [both([posting(g) for g in sorted(wanted)]) for wanted in clause]) for clause in query])
+
+    def marked(query: Query, bit: int) -> Column:
+        return F.transform(texts(query), lambda th: F.struct(th.alias("th"), F.lit(bit).cast("long").alias("rule")))
+
+    hits = [marked(q, 1 << i) for i, q in enumerate(queries) if q]
+    found = block.select(F.explode(F.concat(*hits)).alias("x")).select("x.*")
+    return cut(found.groupBy("th").agg(F.bit_or("rule").alias("rules")), "secret-candidates")
 
 
 def _verified(text: Column, rule: Rule, candidate: Column) -> Column:
@@ -153,23 +173,25 @@ def _verified(text: Column, rule: Rule, candidate: Column) -> Column:
     return F.transform(paired, lambda p: p["x"])
 
 
-def scan_secrets(docs: DataFrame, base: list[Rule] | None = None, more: list[Rule] | None = None, carry: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, base: list[Rule] | None = None, more: list[Rule] | None = None) -> DataFrame:
     """Per row: doc_id, base (sorted spans of the base rules), found (those of all rules), each array<struct<s,o,e,kind,m>>.
 
     Spans count code points, the end is exclusive; they sort by start, then by rule order. Null text is empty and has
-    none. Repeated rows are scanned one by one. Other columns are dropped, or with ``carry`` come as struct ``row``.
+    none. Repeated rows are scanned one by one. Other columns are dropped; an empty table gives no rows.
     """
     base, more = base or BASE_RULES, FORMAT_RULES if more is None else more
     rules = [*base, *more]
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for clause in q for wanted in clause for g in wanted})
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    read = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *row).withColumn("_low", F.lower("_text"))
-    words = index_columns(F.col("_low"), grams) if grams else []
-    indexed = read.withColumns({f"_w{i}": w for i, w in enumerate(words)})
-    held = [F.col(f"_w{i}") for i in range(len(words))]
-    found = [named(_verified(F.col("_text"), r, _holds(q, grams, held)), r.kind, i) for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
-    out = indexed.select("doc_id", F.sort_array(F.concat(*found)).alias("found"), *["row"] * carry)
+    read = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.xxhash64("text").alias("_th"))
+    if grams:
+        candidates = broadcast_if_small(look_up(build_index(docs, grams), queries), row_bytes=32)
+        read = read.join(candidates, F.col("_th") == F.col("th"), "left")
+    else:
+        read = read.withColumn("rules", F.lit(None).cast("long"))
+    wanted = lambda i, q: F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False)) if q else F.lit(True)
+    found = [named(_verified(F.col("_text"), r, wanted(i, q)), r.kind, i) for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
+    out = read.select("doc_id", F.sort_array(F.concat(*found)).alias("found"))
     return out.withColumn("base", F.filter("found", lambda x: x["o"] < len(base)))
 
 
@@ -179,4 +201,4 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
-__all__ = ["BASE_RULES", "FORMAT_RULES", "Rule", "digest", "scan_secrets", "trigram_query"]
+__all__ = ["BASE_RULES", "FORMAT_RULES", "Rule", "build_index", "digest", "look_up", "scan_secrets", "trigram_query"]
