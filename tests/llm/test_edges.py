@@ -428,7 +428,7 @@ def test_near_duplicates(spark, words, monkeypatch):
     docs = near_docs()
     df = spark.createDataFrame([(*d, 1, "k", "t") for d in docs], DOC + ", n int, key string, th string")
     want = brute.near_duplicates(docs, words, 80)
-    for block in (2048, 32):
+    for block in (2048, 32, 6):
         monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(neardup.near_duplicates(df, words=words))}
         assert got == want

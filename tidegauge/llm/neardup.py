@@ -6,14 +6,17 @@
    collide and go; a representative with fewer than ``T`` others cannot reach the match threshold and goes too.
 3. Prefix. For at least T common pairs, two signatures must share one among the (m - T + 1) rarest of their m pairs,
    in one global order (frequency, then pair). Only these prefixes are posted for the join.
-4. Merging. A bucket's members are split into blocks of bounded size and every pair of blocks is a task group, so
-   the hottest bucket is many small groups. Inside, collisions are counted over whole signatures; a pair is handled
-   only in the first prefix bucket that it shares, skipped if its sizes cannot reach the similarity, and kept from
-   ``T`` collisions on. In large groups the first member is compared with all, which connects most of them.
-5. Confirmation. The members of such pairs get their full sets, recomputed from the text, and the exact similarity
-   is tested. Pairs that are already connected inside the group are skipped: a group emits a spanning forest of its
-   links, at most one row per member, whatever the number of links.
-6. Components by alternating large-star and small-star rounds over the links, all as aggregates and joins.
+4. Merging. Inside a bucket, collisions are counted over whole signatures; a pair is handled only in the first prefix
+   bucket that it shares, skipped if its sizes cannot reach the similarity, and kept from ``T`` collisions on. In
+   large groups the first member is compared with all, which connects most of them.
+5. Hot buckets, those of more than a block of members, are never gathered. Their members are first tested against a
+   few centres, a block of members at a time with the centre beside it; a member tested in many buckets is tested
+   once. Members that reach the bucket's first centre over such links are connected and need no comparison among
+   themselves. The others, and only they, meet all members of the bucket, as pairs of blocks.
+6. Confirmation. The members of candidate pairs get their full sets, recomputed from the text, and the exact
+   similarity is tested. Pairs that are already connected inside the group are skipped: a group emits a spanning
+   forest of its links, at most one row per member, whatever the number of links.
+7. Components by alternating large-star and small-star rounds over the links, all as aggregates and joins.
 
 The similarity test is exact. The candidates are complete up to the chance that a pair has fewer than T equal
 coordinates of K. T lies four standard deviations below the mean for a pair at the bare threshold (21 of 40 at 0.8),
@@ -26,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, space_words, tidy
@@ -36,7 +39,7 @@ _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4
 _COEFFICIENTS = np.random.default_rng(20240229).integers(0, 2**63, (2, K), dtype=np.uint64)
 _MULTIPLY, _ADD = _COEFFICIENTS[0] * np.uint64(2) + np.uint64(1), _COEFFICIENTS[1]
 _CACHE_WORDS = 100_000
-BLOCK_ROWS, BLOCK_SHINGLES, STAR_FROM = 2048, 2_000_000, 64
+BLOCK_ROWS, BLOCK_SHINGLES, STAR_FROM, CENTRES = 1024, 2_000_000, 64, 4
 
 
 class _WordHash(dict):
@@ -144,19 +147,22 @@ def _signatures(table: pa.Table) -> np.ndarray:
 def candidate_pairs(table: pa.Table, percent: int, least_hits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, later rows it must be compared with) of one group: columns bkey, b1, b2, block, cid, n, mask, sig.
 
-    Rows are ordered by block, then cid; for two different blocks only pairs across them are handled here.
+    Rows are ordered by block, then cid. In a group of a hot bucket (b2 from 0 on) rows of block 0 are compared with
+    those of block 1 and with no others.
     """
     coordinate = np.int64(table.column("bkey")[0].as_py() >> 32)
-    across = table.column("b1")[0].as_py() != table.column("b2")[0].as_py()
-    block, n, mask = (table.column(c).to_numpy() for c in ("block", "n", "mask"))
+    across = table.column("b2")[0].as_py() >= 0
+    block, n, mask, cid = (table.column(c).to_numpy() for c in ("block", "n", "mask", "cid"))
     sig = _signatures(table)
     below = np.int64((1 << int(coordinate)) - 1)
     bits = np.int64(1) << np.arange(K, dtype=np.int64)
     for i in range(len(n) - 1):
-        later = np.arange(i + 1, len(n))
         star = i == 0 and len(n) > STAR_FROM
-        if across and not star:
-            later = later[block[i + 1 :] != block[i]]
+        later = np.arange(i + 1, len(n))
+        if across:
+            if block[i]:
+                break
+            later = later[(block[i + 1 :] == 1) & (cid[i + 1 :] != cid[i])]
         least, most = np.minimum(n[i], n[later]), np.maximum(n[i], n[later])
         later = later[100 * least >= percent * most]
         if not len(later):
@@ -188,6 +194,30 @@ def _flag(percent: int) -> Callable:
     return lambda batches: grouped(batches, 3, handle)
 
 
+def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each of some sets is as similar to the first one as a link asks; all are sorted and not empty."""
+    sizes = np.array([len(s) for s in others])
+    together = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, together), len(one) - 1)
+    common = np.add.reduceat((one[place] == together).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (len(one) + sizes - common)
+
+
+def _beside_centre(percent: int) -> Callable:
+    """(a, b) of the members of one block that are linked with the centre in its first row."""
+
+    def handle(table: pa.Table) -> pa.Table | None:
+        cid = table.column("cid").to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
+        hit = [_linked(sets[0], sets[at : at + 256], percent) for at in range(1, len(sets), 256)]
+        if not hit:
+            return None
+        found = cid[1:][np.concatenate(hit)]
+        return pa.table({"a": pa.array(np.full(len(found), cid[0]), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    return lambda batches: grouped(batches, 2, handle)
+
+
 def _confirm(percent: int) -> Callable:
     """A spanning forest of a group's links, tested on full sets."""
 
@@ -207,15 +237,10 @@ def _confirm(percent: int) -> Callable:
         links = []
         for i, later in candidate_pairs(table, percent, least_hits):
             mine = root(i)
-            later = np.array([j for j in later.tolist() if root(j) != mine])
+            later = np.array([j for j in later.tolist() if root(j) != mine], int)
             for at in range(0, len(later), 256):
                 some = later[at : at + 256]
-                sizes = np.array([len(sets[j]) for j in some])
-                together = np.concatenate([sets[j] for j in some])
-                place = np.minimum(np.searchsorted(sets[i], together), len(sets[i]) - 1)
-                common = np.add.reduceat((sets[i][place] == together).astype(np.int64), np.cumsum(sizes) - sizes)
-                linked = 100 * common >= percent * (len(sets[i]) + sizes - common)
-                for j in some[linked].tolist():
+                for j in some[_linked(sets[i], [sets[j] for j in some], percent)].tolist():
                     a, b = root(i), root(j)
                     if a != b:
                         parent[b] = a
@@ -228,8 +253,8 @@ def _confirm(percent: int) -> Callable:
     return lambda batches: grouped(batches, 3, handle)
 
 
-def bucket_rows(classes: DataFrame, least_hits: int) -> DataFrame:
-    """bkey, b1, b2, block, cid, n, mask, sig: one row per member, bucket and pair of blocks it takes part in."""
+def posted(classes: DataFrame, least_hits: int) -> DataFrame:
+    """(bkey, cid, n, mask, sig): one row per member and prefix bucket, written once per member before it is spread."""
     pair = F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     postings = classes.select("cid", F.posexplode("sig").alias("c", "v")).select("cid", pair.alias("pair"))
     counts = postings.groupBy("pair").agg(F.count("*").alias("f")).where("f > 1")
@@ -239,13 +264,61 @@ def bucket_rows(classes: DataFrame, least_hits: int) -> DataFrame:
     mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(bit(p)))
     heads = mine.select("cid", prefix.alias("prefix")).withColumn("mask", mask)
     rows = cut(heads.join(classes.select("cid", "n", "sig"), "cid"), "neardup-prefixes")
-    rows = rows.select("cid", "n", "mask", "sig", F.explode("prefix").alias("bkey"))
+    return rows.select(F.explode("prefix").alias("bkey"), "cid", "n", "mask", "sig")
+
+
+def bucket_sizes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bkey, members, blocks) of the buckets that one task can hold, and of the hot ones; buckets of one are gone."""
     sizes = rows.groupBy("bkey").agg(F.count("*").alias("members"), F.sum("n").alias("volume")).where("members > 1")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int")
-    rows = rows.join(sizes.select("bkey", blocks.alias("blocks")), "bkey")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("bkey", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "cid", "n", "mask", "sig")
+    sizes = cut(sizes.select("bkey", "members", blocks.alias("blocks")), "neardup-buckets")
+    return sizes.where("blocks = 1").select("bkey"), sizes.where("blocks > 1")
+
+
+def _block(cid: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(cid), F.col(blocks)).cast("int")
+
+
+def centre_links(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of exact links with centres, and the members (bkey, cid) that do not reach their bucket's first centre.
+
+    ``hot`` is (bkey, members, blocks, cid, n, mask, sig). Centres are drawn by hash, so buckets with the same members
+    mostly draw the same ones.
+    """
+    drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(i)), "cid"))["cid"] for i in range(CENTRES)]
+    centres = cut(hot.groupBy("bkey").agg(F.array_distinct(F.array(*drawn)).alias("centres")), "neardup-centres")
+    members = hot.select("bkey", "cid", "blocks").join(broadcast_if_small(centres, row_bytes=64), "bkey")
+    pairs = members.select("cid", "blocks", F.explode("centres").alias("centre")).where("cid <> centre")
+    pairs = pairs.groupBy("centre", "cid").agg(F.max("blocks").alias("blocks"))
+    pairs = cut(pairs, "neardup-tested")
+    parts = pairs.groupBy("centre").agg(F.max("blocks").alias("parts"))
+    parts = broadcast_if_small(cut(parts, "neardup-parts"), row_bytes=16)
+    sides = pairs.join(parts, "centre").select("centre", _block("cid", "parts").alias("part"), "cid", F.lit(1).alias("side"))
+    sides = sides.unionByName(parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("cid"), F.lit(0).alias("side")))
+    ready = sides.join(sets, "cid").select("centre", "part", "side", "cid", "set").repartition("centre", "part").sortWithinPartitions("centre", "part", "side", "cid")
+    found = cut(ready.mapInArrow(_beside_centre(percent), "a long, b long"), "neardup-centre-links")
+    # which of its bucket's centres each member is linked with, and which centres hang together over members
+    own = found.groupBy(F.col("b").alias("cid")).agg(F.collect_set("a").alias("linked"))
+    bits = F.aggregate(F.transform("centres", lambda c, i: F.when((c == F.col("cid")) | F.array_contains("linked", c), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda x, y: x.bitwiseOR(y))
+    marked = cut(members.join(own, "cid", "left").withColumn("linked", F.coalesce("linked", F.expr("cast(array() as array<long>)"))).select("bkey", "cid", bits.alias("bits")), "neardup-marked")
+    reach = F.lit(1)
+    grow = lambda have: F.aggregate("sets", have, lambda r, b: F.when(r.bitwiseAND(b) != 0, r.bitwiseOR(b)).otherwise(r))
+    for _ in range(CENTRES - 1):
+        reach = grow(reach)
+    reached = marked.groupBy("bkey").agg(F.collect_set("bits").alias("sets")).select("bkey", reach.alias("reach"))
+    left = marked.join(broadcast_if_small(cut(reached, "neardup-reach"), row_bytes=16), "bkey").where(F.col("bits").bitwiseAND(F.col("reach")) == 0)
+    return found, cut(left.select("bkey", "cid"), "neardup-left")
+
+
+def hot_rows(hot: DataFrame, left: DataFrame) -> DataFrame:
+    """Rows of the groups in which the members left over meet all members of their bucket, one pair of blocks each."""
+    some = left.groupBy("bkey").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("few"))
+    sized = hot.join(broadcast_if_small(cut(some, "neardup-left-sizes"), row_bytes=16), "bkey")
+    rest = [F.col(c) for c in ("cid", "n", "mask", "sig")]
+    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    all_of = sized.select("bkey", spread("few").alias("b1"), _block("cid", "blocks").alias("b2"), F.lit(1).alias("block"), *rest)
+    few = sized.join(left, ["bkey", "cid"]).select("bkey", _block("cid", "few").alias("b1"), spread("blocks").alias("b2"), F.lit(0).alias("block"), *rest)
+    return few.unionByName(all_of)
 
 
 _GROUP = "bkey long, b1 int, b2 int, block int, cid long, n long, mask long, sig array<int>"
@@ -255,13 +328,8 @@ def _by_group(rows: DataFrame) -> DataFrame:
     return rows.repartition("bkey", "b1", "b2").sortWithinPartitions("bkey", "b1", "b2", "block", "cid")
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives whose similarity reaches ``percent``: a spanning set of them."""
-    # A set of n members and a larger one have similarity n / (n + 1) at most: smaller sets link with equal ones only.
-    smallest = next((n for n in range(1, 101) if 100 * n >= percent * (n + 1)), 100)
-    rows = bucket_rows(classes.where(F.col("n") >= smallest), match_threshold(percent))
-    flagged = cut(_by_group(rows).mapInArrow(_flag(percent), _GROUP), "neardup-flagged")
-    wanted = cut(flagged.select("cid").distinct().join(classes.select("cid", "rep.doc_id", "rep.th"), "cid"), "neardup-wanted")
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cid, set) of the classes wanted (cid, doc_id, th), from the text of their representatives."""
     wanted = broadcast_if_small(wanted, row_bytes=64)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +343,33 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     read = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_text"))
     texts = read.join(wanted, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("cid", "_text")
     # repeated rows give the same set again
-    full = cut(texts.mapInArrow(sets, "cid long, set binary").groupBy("cid").agg(F.first("set").alias("set")), "neardup-sets")
+    return cut(texts.mapInArrow(sets, "cid long, set binary").groupBy("cid").agg(F.first("set").alias("set")), "neardup-sets")
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between class representatives whose similarity reaches ``percent``: a spanning set of them."""
+    # A set of n members and a larger one have similarity n / (n + 1) at most: smaller sets link with equal ones only.
+    smallest = next((n for n in range(1, 101) if 100 * n >= percent * (n + 1)), 100)
+    rows = posted(classes.where(F.col("n") >= smallest), match_threshold(percent))
+    small, large = bucket_sizes(rows)
+    many = not large.isEmpty()
+    beside = rows
+    if many:
+        large = broadcast_if_small(large, row_bytes=24)
+        beside = rows.join(large, "bkey", "left_anti")
+    plain = beside.join(small, "bkey").select("bkey", F.lit(0).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("block"), "cid", "n", "mask", "sig")
+    flagged = cut(_by_group(plain).mapInArrow(_flag(percent), _GROUP), "neardup-flagged")
+    wanted = flagged.select("cid")
+    if many:
+        hot = cut(rows.join(large, "bkey"), "neardup-hot")
+        wanted = wanted.union(hot.select("cid"))
+    full = full_sets(docs, cut(wanted.distinct().join(classes.select("cid", "rep.doc_id", "rep.th"), "cid"), "neardup-wanted"), words)
+    if many:
+        found, left = centre_links(hot, full, percent)
+        flagged = flagged.unionByName(cut(_by_group(hot_rows(hot, left)).mapInArrow(_flag(percent), _GROUP), "neardup-flagged-hot"))
     ready = _by_group(flagged.join(full, "cid").select(*[c.split()[0] for c in _GROUP.split(", ")], "set"))
-    return cut(ready.mapInArrow(_confirm(percent), "a long, b long").distinct(), "neardup-links")
+    confirmed = ready.mapInArrow(_confirm(percent), "a long, b long")
+    return cut((confirmed.union(found) if many else confirmed).distinct(), "neardup-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
