@@ -18,6 +18,10 @@ _ALNUM = bytes(
 )
 
 
+#: Bytes that a task holds of a table it writes before they go out.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,7 +48,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +57,7 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Smaller Arrow batches than Spark's default of 10,000 rows, which long texts make too large for a small executor.
 
     A session that has set its own sizes keeps them.
