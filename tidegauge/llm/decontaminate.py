@@ -21,13 +21,25 @@ from tidegauge.llm.common import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, once A-Z are lower-cased.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words in a text as it is, A-Z included in the words.
+NO_WORD_AS_IS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of windows that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
 
 
+def pieces_of(text: Column) -> Column:
+    """words_of(), with an empty string before or behind them where the text begins or ends otherwise."""
+    return F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), NO_WORD)
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased; none for null."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), NO_WORD), "")
+    return F.array_remove(pieces_of(text), "")
+
+
+def count_words(text: Column) -> Column:
+    """How many words words_of() has."""
+    return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), NO_WORD_AS_IS), "")).cast("long")
 
 
 def _broadcast(df: DataFrame, row_bytes: int, limit: int) -> tuple[DataFrame, bool]:
@@ -45,8 +57,9 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 def rarities(docs: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
     """(h, df): documents that hold each window word that any holds, by hash, over the whole corpus."""
     wanted, _ = _broadcast(cut(windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("h")).distinct(), "windows-words"), 16, limit)
-    here = docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).select(F.xxhash64("word").alias("h"))
-    return here.join(wanted, "h").groupBy("h").agg(F.count("*").alias("df"))
+    here = docs.select(F.explode(F.array_distinct(pieces_of(F.col("text")))).alias("word")).select(F.xxhash64("word").alias("h"))
+    found, _ = _broadcast(cut(here.join(wanted, "h").groupBy("h").agg(F.count("*").alias("df")), "windows-rarities"), 24, limit)
+    return found
 
 
 def prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
@@ -58,21 +71,24 @@ def prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, index: DataFrame, window: int, limit: int) -> DataFrame:
-    """(doc_id, th, n_words, start, words): places of the documents where a window stands, from 0."""
+    """(doc_id, th, n_words, start, words): places of the documents where a window stands.
+
+    Places count from 0, or from 1 in a text that does not begin with a word.
+    """
     row_bytes = 64 + 24 * window
     index, small = _broadcast(index, row_bytes, limit)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), pieces_of(F.col("text")).alias("w"))
     start, n = F.col("pos") - F.col("place"), F.size("words")
-    fits = (start >= 0) & (start + n <= F.col("n_words"))
+    fits = (start >= 0) & (start + n <= F.col("size"))
     same = F.slice("w", F.col("start") + 1, n) == F.col("words")
     each = rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
-    each = each.select("doc_id", "th", *["w"] * small, F.size("w").alias("n_words"), "pos", F.xxhash64("word").alias("h"))
+    each = each.select("doc_id", "th", *["w"] * small, F.size("w").alias("size"), "pos", F.xxhash64("word").alias("h"))
     found = each.join(index, "h").where(fits).withColumn("start", start)
     if not small:
         # texts stay at home while words travel, and meet the few places left over
         found = cut(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "start", "words").distinct(), "windows-places")
-        found = found.join(rows.withColumn("n_words", F.size("w")), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return found.where(same).select("doc_id", "th", "n_words", "start", "words")
+        found = found.join(rows, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return found.where(same).select("doc_id", "th", F.size(F.array_remove("w", "")).alias("n_words"), "start", "words")
 
 
 def _covered(spans: Column) -> Column:
@@ -112,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     """
     found = hits(docs, benchmark, window, limit)
     found, _ = _broadcast(found, 512, limit)
-    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_th"), F.size(words_of(F.col("text"))).cast("long").alias("_n"))
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_th"), count_words(F.col("text")).alias("_n"))
     joined = rows.join(found, (rows["_th"] == found["th"]) & rows["doc_id"].eqNullSafe(found["id"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))

@@ -39,7 +39,7 @@ _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4
 _COEFFICIENTS = np.random.default_rng(20240229).integers(0, 2**63, (2, K), dtype=np.uint64)
 _MULTIPLY, _ADD = _COEFFICIENTS[0] * np.uint64(2) + np.uint64(1), _COEFFICIENTS[1]
 _CACHE_WORDS = 100_000
-BLOCK_ROWS, BLOCK_SHINGLES, STAR_FROM, CENTRES = 1024, 2_000_000, 64, 4
+BLOCK_ROWS, BLOCK_SHINGLES, STAR_FROM, CENTRES = 512, 2_000_000, 64, 4
 
 
 class _WordHash(dict):
@@ -254,7 +254,7 @@ def _confirm(percent: int) -> Callable:
 
 
 def posted(classes: DataFrame, least_hits: int) -> DataFrame:
-    """(bkey, cid, n, mask, sig): one row per member and prefix bucket, written once per member before it is spread."""
+    """(bkey, cid, n, mask, sig): one row per member and prefix bucket, written, as several steps read some of it."""
     pair = F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     postings = classes.select("cid", F.posexplode("sig").alias("c", "v")).select("cid", pair.alias("pair"))
     counts = postings.groupBy("pair").agg(F.count("*").alias("f")).where("f > 1")
@@ -263,8 +263,8 @@ def posted(classes: DataFrame, least_hits: int) -> DataFrame:
     bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p, 32).cast("int"))
     mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(bit(p)))
     heads = mine.select("cid", prefix.alias("prefix")).withColumn("mask", mask)
-    rows = cut(heads.join(classes.select("cid", "n", "sig"), "cid"), "neardup-prefixes")
-    return rows.select(F.explode("prefix").alias("bkey"), "cid", "n", "mask", "sig")
+    rows = heads.join(classes.select("cid", "n", "sig"), "cid")
+    return cut(rows.select(F.explode("prefix").alias("bkey"), "cid", "n", "mask", "sig"), "neardup-prefixes")
 
 
 def bucket_sizes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -361,7 +361,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     flagged = cut(_by_group(plain).mapInArrow(_flag(percent), _GROUP), "neardup-flagged")
     wanted = flagged.select("cid")
     if many:
-        hot = cut(rows.join(large, "bkey"), "neardup-hot")
+        hot = rows.join(large, "bkey")
         wanted = wanted.union(hot.select("cid"))
     full = full_sets(docs, cut(wanted.distinct().join(classes.select("cid", "rep.doc_id", "rep.th"), "cid"), "neardup-wanted"), words)
     if many:
