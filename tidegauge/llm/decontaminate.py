@@ -7,16 +7,20 @@ documents join windows only on that word; its place in the window fixes where th
 bound) and end (length bound), and the words between are then compared exactly.
 
 Everything is a join of tables, the benchmark included. While the windows are few (their size is counted), they are
-broadcast, each document's words are looked up as they are split, and nothing but hits leaves the task. Beyond that
-only (row key, place, word hash) of the documents is shuffled, and the texts are met again for the final comparison.
+sent to the tasks, each document's words are looked up as they are split, and nothing but counts and hits leaves the
+task. Beyond that only (row key, place, word hash) of the documents is shuffled, and the texts are met again for the
+final comparison.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut
+from tidegauge.llm.common import ascii_words, bound_batches, cut, tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, once A-Z are lower-cased.
@@ -63,32 +67,76 @@ def rarities(docs: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
 
 
 def prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(h, place, words): the rarest word of each distinct window, by hash, and its place; windows with a word that no
-    document holds are gone."""
+    """(number, h, place, words): the rarest word of each distinct window, by hash, and its place; windows with a word
+    that no document holds are gone."""
     ranked = windows.select("words").distinct().select("words", F.posexplode("words").alias("place", "word")).withColumn("h", F.xxhash64("word"))
     first = ranked.join(rarity, "h").groupBy("words").agg(F.min(F.struct("df", "word", "place", "h")).alias("least"), F.count("*").alias("known"))
-    return first.where(F.col("known") == F.size("words")).select("least.h", "least.place", "words")
-
+    return first.where(F.col("known") == F.size("words")).select(F.monotonically_increasing_id().alias("number"), "least.h", "least.place", "words")
+
+
+def by_prefix(index: pa.Table) -> dict[bytes, list]:
+    """Rarest word -> [(its place, length, {window words: number})], of rows (number, place, words)."""
+    found: dict[bytes, dict] = {}
+    for number, place, words in zip(*(index.column(c).to_pylist() for c in ("number", "place", "words")), strict=True):
+        words = tuple(w.encode() for w in words)
+        found.setdefault(words[place], {}).setdefault((place, len(words)), {})[words] = number
+    return {word: [(place, n, same) for (place, n), same in places.items()] for word, places in found.items()}
+
+
+def probe(words: list[bytes], index: dict[bytes, list]) -> list[dict]:
+    """start and window number of every occurrence: entered at rarest words, bounded by place and length, compared."""
+    if index.keys().isdisjoint(words):
+        return []
+    found = []
+    for at, word in enumerate(words):
+        for place, n, same in index.get(word, ()):
+            start = at - place
+            number = same.get(tuple(words[start : start + n])) if 0 <= start <= len(words) - n else None
+            if number is not None:
+                found.append({"start": start, "number": number})
+    return found
 
-def occurrences(docs: DataFrame, index: DataFrame, window: int, limit: int) -> DataFrame:
-    """(doc_id, th, n_words, start, words): places of the documents where a window stands.
 
-    Places count from 0, or from 1 in a text that does not begin with a word.
-    """
-    row_bytes = 64 + 24 * window
-    index, small = _broadcast(index, row_bytes, limit)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), pieces_of(F.col("text")).alias("w"))
+def _scan_few(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    shared = docs.sparkSession.sparkContext.broadcast(by_prefix(index.select("number", "place", "words").toArrow()))
+    bound_batches(docs.sparkSession)
+    hits = pa.list_(pa.struct([("start", pa.int32()), ("number", pa.int64())]))
+
+    @F.arrow_udf("struct<n_words:long,hits:array<struct<start:int,number:long>>>")
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sizes, found = [], []
+            for at in range(0, len(batch), 256):
+                for text in batch.slice(at, 256).to_pylist():
+                    words = ascii_words(text)
+                    sizes.append(len(words))
+                    found.append(probe(words, shared.value))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(found, hits)], ["n_words", "hits"])
+        tidy()
+
+    looked = docs.select("doc_id", F.xxhash64("text").alias("th"), look(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("x"))
+    rows = cut(looked.select("doc_id", "th", "x.n_words", "x.hits"), "windows-scanned")
+    each = rows.select("doc_id", "th", "n_words", F.explode("hits").alias("x")).select("doc_id", "th", "n_words", "x.*")
+    return rows.select("doc_id", "th", "n_words"), each.join(F.broadcast(index.select("number", "words")), "number").drop("number")
+
+
+def _scan_many(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text"))
+    words = rows.select("doc_id", "th", words_of(F.col("text")).alias("w"))
+    each = words.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.posexplode("w").alias("pos", "word"))
     start, n = F.col("pos") - F.col("place"), F.size("words")
-    fits = (start >= 0) & (start + n <= F.col("size"))
-    same = F.slice("w", F.col("start") + 1, n) == F.col("words")
-    each = rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word"))
-    each = each.select("doc_id", "th", *["w"] * small, F.size("w").alias("size"), "pos", F.xxhash64("word").alias("h"))
-    found = each.join(index, "h").where(fits).withColumn("start", start)
-    if not small:
-        # texts stay at home while words travel, and meet the few places left over
-        found = cut(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "start", "words").distinct(), "windows-places")
-        found = found.join(rows, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return found.where(same).select("doc_id", "th", F.size(F.array_remove("w", "")).alias("n_words"), "start", "words")
+    near = each.withColumn("h", F.xxhash64("word")).join(index, "h").where((start >= 0) & (start + n <= F.col("n_words")))
+    # texts stay at home while words travel, and meet the few places left over
+    places = cut(near.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_words", start.alias("start"), "words").distinct(), "windows-places")
+    met = places.join(words, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = met.where(F.slice("w", F.col("start") + 1, n) == F.col("words")).select("doc_id", "th", "n_words", "start", "words")
+    return rows.select("doc_id", "th", count_words(F.col("text")).alias("n_words")), found
+
+
+def scan(docs: DataFrame, index: DataFrame, window: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_words) of every row, and (doc_id, th, n_words, start, words) of every place where a window stands."""
+    few = index.count() * (64 + 24 * window) <= limit
+    return _scan_few(docs, index) if few else _scan_many(docs, index)
 
 
 def _covered(spans: Column) -> Column:
@@ -101,17 +149,18 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["n"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, th, n_words, n_hit, items): the documents that hold any window; items are sorted."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_words) of every row, and (id, th, n_words, n_hit, items) of those that hold any window; items are sorted."""
     windows = cut(item_windows(benchmark, window), "windows-all")
     index = cut(prefixes(windows, rarities(docs, windows, limit)), "windows-prefixes")
-    found = cut(occurrences(docs, index, window, limit), "windows-found")
+    rows, found = scan(docs, index, window, limit)
+    found = cut(found, "windows-found")
     span = F.struct(F.col("start").alias("s"), (F.col("start") + F.size("words")).alias("e"))
     spans = found.groupBy("doc_id", "th", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     named = found.select("doc_id", "th", "words").distinct().join(windows, "words").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
     named = named.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "items")
     both = spans.join(named, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return cut(both.select(F.col("doc_id").alias("id"), "th", "n_words", _covered(F.col("spans")).alias("n_hit"), "items"), "windows-hits")
+    return rows, cut(both.select(F.col("doc_id").alias("id"), "th", "n_words", _covered(F.col("spans")).alias("n_hit"), "items"), "windows-hits")
 
 
 def _contaminated(n_hit: Column, n_words: Column, percent: int) -> Column:
@@ -126,9 +175,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     rows are judged one by one; equal windows of several items count for each; other columns are dropped. An empty
     benchmark hits nothing; an empty table gives no rows. Windows of more than ``limit`` bytes are not broadcast.
     """
-    found = hits(docs, benchmark, window, limit)
+    rows, found = hits(docs, benchmark, window, limit)
     found, _ = _broadcast(found, 512, limit)
-    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_th"), count_words(F.col("text")).alias("_n"))
+    rows = rows.select("doc_id", F.col("th").alias("_th"), F.col("n_words").alias("_n"))
     joined = rows.join(found, (rows["_th"] == found["th"]) & rows["doc_id"].eqNullSafe(found["id"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
@@ -143,6 +192,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **options) ->
 
     A document below ``percent`` keeps the benchmark passages it holds.
     """
-    found = hits(docs, benchmark, **options).where(_contaminated(F.col("n_hit"), F.col("n_words"), percent)).select("id", "th").distinct()
+    found = hits(docs, benchmark, **options)[1].where(_contaminated(F.col("n_hit"), F.col("n_words"), percent)).select("id", "th").distinct()
     found, _ = _broadcast(found, 48, options.get("limit", BROADCAST_BYTES))
     return docs.join(found, (F.xxhash64(docs["text"]) == found["th"]) & docs["doc_id"].eqNullSafe(found["id"]), "left_anti")
