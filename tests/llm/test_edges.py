@@ -495,3 +495,36 @@ def test_spaced_words():
     assert "loser" in found("you are a l o s e r") and "loser" in found("he is a l o s e r, in it") and "loser" in found("a lo s e r!")
     assert "idiot" in found("you i d i o t, go") and "idiot" in found("an (i d i 0 t) today")
     assert found("he is a small boat") == {"he", "is", "a", "small", "boat"} and toxicity.tokens("1 2 3 4") == set("1234")
+
+
+def every_reading(token, model):
+    """The best path through the whole lattice, from all paths."""
+    paths = [(0.0, (0, 0), "")]
+    for i, c in enumerate(token):
+        again, thrice = i > 0 and c == token[i - 1], i > 1 and c == token[i - 1] == token[i - 2]
+        drop = toxicity._DROP if c in toxicity.SEPARATORS + " " or thrice else toxicity._TWICE if again else None
+        grown = []
+        for score, (a, b), text in paths:
+            if drop is not None:
+                grown.append((score + drop, (a, b), text))
+            for x, cost in toxicity._options(c):
+                grown.append((score + cost + model[a][b][x], (b, x), text + (toxicity.ALPHABET[x - 1] if x else " ")))
+        paths = grown
+    return max(score + model[a][b][0] for score, (a, b), _ in paths), {text for score, (a, b), text in paths if score + model[a][b][0] >= max(s + model[p][q][0] for s, (p, q), _ in paths) - 1e-9}
+
+
+def test_decoding_finds_the_best_path(monkeypatch):
+    g = np.random.default_rng(6)
+    model = np.log(g.dirichlet(np.full(toxicity.SIZE, 0.3), (toxicity.SIZE, toxicity.SIZE)) + 1e-9).tolist()
+    tokens = ["".join(g.choice(list("1l@s$.o0 ee"), int(g.integers(1, 8)))) for _ in range(60)]
+    for settle in (64, 2):
+        monkeypatch.setattr(toxicity, "_SETTLE", settle)
+        for token in tokens:
+            assert toxicity.decode(token, model) in every_reading(token, model)[1], token
+    # states are carried over every border: a long token reads the same wherever beginnings are put out
+    long = "".join(g.choice(list("1l@s$.o0e"), 5000))
+    readings = set()
+    for settle in (3, 64, 10_000):
+        monkeypatch.setattr(toxicity, "_SETTLE", settle)
+        readings.add(toxicity.decode(long, model))
+    assert len(readings) == 1
