@@ -102,3 +102,39 @@ def test_halflife_grid_needs_enough_values():
 
 def test_cooldown():
     assert K.cooled_down(np.array([1, 5, 11, 30]), 10) == [1, 11, 30]
+
+
+def guarded_bar_by_bar(signal, price, hold, stop):
+    """The guard as a state machine, one bar at a time."""
+    entry, age, out = None, 0, []
+    for on, p in zip(signal, price, strict=True):
+        stopped = entry is not None and stop is not None and p / entry - 1 <= stop
+        expired = entry is not None and hold is not None and age >= hold
+        active = bool(on) and not stopped and not expired
+        entry, age = (entry if entry is not None else p, age + 1 if entry is not None else 1) if active else (None, 0)
+        out.append((active, stopped, expired))
+    return out
+
+
+def test_guard_equals_the_state_machine():
+    g = np.random.default_rng(0)
+    for _ in range(500):
+        n = int(g.integers(0, 40))
+        signal, price = g.random(n) < g.random(), 100 * np.exp(np.cumsum(g.normal(0, 0.02, n)))
+        hold, stop = (None if g.random() < 0.3 else int(g.integers(1, 8))), (None if g.random() < 0.3 else -float(g.random()) * 0.05)
+        assert list(zip(*(x.tolist() for x in K.risk_guard(signal, price, hold, stop)), strict=True)) == guarded_bar_by_bar(signal, price, hold, stop)
+    held = K.risk_guard(np.array([True, True]), np.array([0.0, 1.0]), None, -0.1)[0]
+    assert held.tolist() == [True, True]
+    for bad in ((0, -0.1), (3, 0.1)):
+        with pytest.raises(ValueError):
+            K.risk_guard(np.array([True]), np.array([1.0]), *bad)
+
+
+def test_blocks_of_windows_equal_single_windows():
+    g = np.random.default_rng(1)
+    x = 100 * np.exp(np.cumsum(g.normal(0, 0.01, 700)))
+    x[300], x[400:460] = np.nan, 100.0
+    r = np.diff(np.log(x))
+    assert np.allclose(K.rolling_structure(x, 100, 50), K.rolling(x, 100, 50, K.structure_exponent), equal_nan=True, atol=1e-10)
+    for lags in (None, 0, 7):
+        assert np.allclose(K.rolling_lo(r, 100, 50, lags), K.rolling(r, 100, 50, lambda v, lags=lags: K.lo_statistic(v, lags)), equal_nan=True, atol=1e-10)

@@ -451,6 +451,12 @@ register(
     "regime_mix", "symbol regime_name n:i share_pct:d", lambda s, d: B.regime_mix(labels(s, d)),
     "SELECT symbol, regime_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY symbol), 1) AS share_pct FROM lab GROUP BY 1, 2",
 )
+SUPPLIED = O.bars("ls", "SELECT CAST(l_suppkey AS VARCHAR) AS symbol, date_trunc('day', l_shipdate) AS ts, round(avg(l_extendedprice / l_quantity), 6) AS c, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2") + ",\n" + O.labelled("lsl", "ls")
+register(
+    "regime_mix_many", "symbol regime_name n:i share_pct:d", lambda s, d: B.regime_mix(labelled(S.daily_bars(s, d, "l_suppkey"), CFG)),
+    "SELECT symbol, regime_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY symbol), 1) AS share_pct FROM lsl GROUP BY 1, 2", SUPPLIED,
+)
+register("dsm_bocpd_many", "symbol ts:t bocpd_run_length:d bocpd_change_prob:d", lambda s, d: folds.dsm_bocpd(X.numbered(S.with_returns(S.daily_bars(s, d, "l_suppkey"))), CFG))
 SWEEP = "sw0 AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS exposure_map, {O.exposure('regime_name', m)} AS tgt FROM lab" for n, m in EXPOSURE_MAPS.items()) + "),\n"
 SWEEP += O.positions("sw1", "sw0", "tgt", "symbol, exposure_map") + ",\n" + O.metrics("sw", "sw1", "regime_name", "symbol, exposure_map")
 register("exposure_map_sweep", f"symbol exposure_map {MET}", lambda s, d: B.exposure_sweep(labels(s, d)), "SELECT * FROM sw", SWEEP)

@@ -120,10 +120,10 @@ def integrated(observed: DataFrame) -> DataFrame:
     )
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of unit prices by return flag."""
+def daily_bars(spark: SparkSession, sf_dir: str, key: str = "l_returnflag") -> DataFrame:
+    """Daily bars of unit prices by return flag, or by another key of the line items."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_quantity") > 0)
-    observed = items.groupBy(F.col("l_returnflag").alias("symbol"), F.date_trunc("day", "l_shipdate").alias("ts")).agg(
+    observed = items.groupBy(F.col(key).cast("string").alias("symbol"), F.date_trunc("day", "l_shipdate").alias("ts")).agg(
         F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("c"), F.sum("l_quantity").cast("double").alias("volume")
     )
     return integrated(observed)
