@@ -57,16 +57,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) ->
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Smaller Arrow batches than Spark's default of 10,000 rows, which long texts make too large for a small executor.
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m", scanned: int = 512) -> None:
+    """Smaller batches than Spark's defaults, which long texts make too large for a small executor: of Arrow (10,000
+    rows, no limit of bytes) and of the Parquet reader (4,096 rows).
 
     A session that has set its own sizes keeps them.
     """
-    for name, usual, mine in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", None, size)):
-        key = f"spark.sql.execution.arrow.{name}"
+    arrow = "spark.sql.execution.arrow"
+    for key, usual, mine in ((f"{arrow}.maxRecordsPerBatch", "10000", rows), (f"{arrow}.maxBytesPerBatch", None, size), ("spark.sql.parquet.columnarReaderBatchSize", "4096", scanned)):
         now = spark.conf.get(key, None)
         if now is not None and (usual is None or now == usual):
-            spark.conf.set(key, mine)
+            spark.conf.set(key, str(mine))
 
 
 def tidy(*caches: dict) -> None:
