@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import Config, available_profiles, with_profile
-from tidegauge.operators import backtest
+from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import Engine, Overlays
 from tidegauge.sources import sinks
 
@@ -46,9 +46,9 @@ def main(argv: list[str] | None = None) -> None:
     tables = engine.summaries(analysed)
     if args.walk_forward is not None:
         groups = {g: tuple(m.split(",")) for g, m in (x.split("=", 1) for x in args.walk_forward)}
-        end = str(analysed.agg(F.max("ts")).first()[0])
-        tables["walk_forward"] = engine.walk_forward(analysed, end, groups, args.cost_bps)
-        tables["walk_forward_summary"] = backtest.summarise_groups(tables["walk_forward"])
+        found = walk_forward.report(analysed, groups, cost_bps=args.cost_bps)
+        tables |= {"walk_forward": found["comparison"], "walk_forward_summary": found["summary"]}
+        tables["walk_forward_promotion"] = found["promotion"].withColumn("reasons", F.array_join("reasons", "; "))
     print(sinks.report(tables))
     if args.output:
         sinks.export_all(tables, analysed, args.output, not args.no_fuzzy)
