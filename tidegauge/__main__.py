@@ -19,6 +19,7 @@ def arguments() -> argparse.ArgumentParser:
     parser.add_argument("--symbols", nargs="*")
     parser.add_argument("--start")
     parser.add_argument("--end")
+    parser.add_argument("--period", help="without --start: how far back from --end, or from now, as 3mo or 1y")
     parser.add_argument("--profile", choices=available_profiles())
     parser.add_argument("--crypto", action="store_true", help="defaults for round-the-clock markets")
     parser.add_argument("--horizons", nargs="+", type=int, default=[5, 10])
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None) -> None:
     cfg = replace(with_profile(cfg, args.profile) if args.profile else cfg, horizons=tuple(args.horizons), min_dwell=args.min_dwell)
     spark = SparkSession.builder.appName("tidegauge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, cfg)
-    bars = engine.read(args.bars, symbols=args.symbols, start=args.start, end=args.end)
+    bars = engine.read(args.bars, required=True, symbols=args.symbols, start=args.start, end=args.end, period=args.period)
     analysed = engine.analyse(bars, Overlays(not args.no_fuzzy, args.adaptive, args.ewma, args.markov, args.bocpd, args.consensus)).persist()
     tables = engine.summaries(analysed)
     if args.walk_forward is not None:

@@ -17,7 +17,7 @@ from tidegauge.functions.frames import order, rolling
 from tidegauge.operators import analytics as A
 from tidegauge.operators import backtest as B
 from tidegauge.operators import features as X
-from tidegauge.operators import folds, lookups
+from tidegauge.operators import folds, lookups, outlook
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import labelled
@@ -182,7 +182,7 @@ register(
 )
 register(
     "regime_statistics", "symbol regime n:i share:d mean_return:d std_return:d avg_volatility:d avg_trend_strength:d",
-    lambda s, d: labels(s, d).groupBy("symbol", "regime").agg(F.count("*").alias("n"), F.avg("log_return").alias("mean_return"), F.stddev_samp("log_return").alias("std_return"), F.avg("volatility").alias("avg_volatility"), F.avg("trend_strength").alias("avg_trend_strength")).withColumn("share", F.col("n") / F.sum("n").over(X.whole())),
+    lambda s, d: A.regime_statistics(labels(s, d)),
     """SELECT symbol, regime, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY symbol) AS share, avg(log_return) AS mean_return, stddev_samp(log_return) AS std_return, avg(volatility) AS avg_volatility, avg(trend_strength) AS avg_trend_strength
        FROM lab GROUP BY symbol, regime""",
 )
@@ -373,6 +373,11 @@ register(
     "SELECT horizon, arg_max(regime, m) AS best_regime, max(m) AS best_mean, arg_min(regime, m) AS worst_regime, min(m) AS worst_mean FROM (SELECT horizon, regime, avg(r) AS m FROM fw WHERE r IS NOT NULL AND regime <> 'Unknown' GROUP BY 1, 2) GROUP BY 1", FWD,
 )
 
+register(
+    "forward_summary", "place:i regime count:i mean:d median:d std:d sharpe:d win_rate_pct:d min:d max:d", lambda s, d: A.forward_summary(A.forward_stats(labels(s, d), HORIZONS)),
+    f"SELECT row_number() OVER (ORDER BY mean DESC, regime) AS place, regime, count, mean, median, std, sharpe, positive_pct AS win_rate_pct, min, max FROM (SELECT regime, {DIST} FROM f5 WHERE r IS NOT NULL AND regime <> 'Unknown' GROUP BY 1)", FWD,
+)
+
 # --- transitions -------------------------------------------------------------------------------------------------
 
 TRANS = f"""tp AS (SELECT regime AS from_regime, lead(regime) OVER ({O.P}) AS to_regime FROM lab),
@@ -669,6 +674,21 @@ TRIALS = f"pb0 AS (SELECT symbol || '-' || CAST(year(ts) AS VARCHAR) AS path, rn
 pb2 AS (SELECT path, trial, round(coalesce(avg(CASE WHEN odd = 1 THEN r END) / nullif(stddev_samp(CASE WHEN odd = 1 THEN r END), 0), 0), 9) AS is_sharpe, round(coalesce(avg(CASE WHEN odd = 0 THEN r END) / nullif(stddev_samp(CASE WHEN odd = 0 THEN r END), 0), 0), 9) AS oos_sharpe FROM pb1 GROUP BY 1, 2),
 pb3 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY oos_sharpe, trial) - 1 AS place, row_number() OVER (PARTITION BY path ORDER BY is_sharpe DESC, trial) AS best, count(*) OVER (PARTITION BY path) AS n FROM pb2)"""
 register("pbo", "pbo:d paths:i", lambda s, d: A.backtest_overfitting(trials(s, d)), "SELECT avg(CAST(place < n / 2.0 AS INT)) AS pbo, count(*) AS paths FROM pb3 WHERE best = 1", TRIALS)
+PHASES = ", ".join(f"arg_max({f}, ts) AS {f}" for f in FUZZY)
+register(
+    "market_summary", "symbol ts:t trend_phase volatility_phase", lambda s, d: outlook.market_summary(fuzzy(s, d)),
+    f"""SELECT symbol, ts, CASE WHEN {FUZZY[REGIMES.index("Up-LowVol")]} + {FUZZY[REGIMES.index("Up-HighVol")]} > 0.6 THEN 'rising' WHEN {FUZZY[REGIMES.index("Down-LowVol")]} + {FUZZY[REGIMES.index("Down-HighVol")]} > 0.6 THEN 'falling' ELSE 'undecided' END AS trend_phase,
+       CASE WHEN {" + ".join(f for f, r in zip(FUZZY, REGIMES, strict=True) if r.endswith("HighVol"))} > 0.6 THEN 'high' ELSE 'contained' END AS volatility_phase FROM (SELECT symbol, max(ts) AS ts, {PHASES} FROM fz GROUP BY 1)""",
+)
+register(
+    "insights", "symbol insight value:d", lambda s, d: outlook.insights(labels(s, d)),
+    f"""SELECT symbol, insight, value FROM (SELECT symbol, unnest([
+         CASE WHEN up > 1.5 * down THEN {{'insight': 'mostly rising', 'value': up / n}} WHEN down > 1.5 * up THEN {{'insight': 'mostly falling', 'value': down / n}} END,
+         CASE WHEN recent > 1.2 * usual THEN {{'insight': 'volatility above its mean', 'value': recent / usual}} WHEN recent < 0.8 * usual THEN {{'insight': 'volatility below its mean', 'value': recent / usual}} END]) AS x
+       FROM (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE starts_with(regime, 'Up')) AS up, count(*) FILTER (WHERE starts_with(regime, 'Down')) AS down, avg(volatility) AS usual, arg_max(lately, ts) AS recent
+             FROM (SELECT *, avg(volatility) OVER {O.roll(20)} AS lately FROM lab) GROUP BY 1)), LATERAL (SELECT x.insight AS insight, x.value AS value) WHERE x IS NOT NULL""",
+)
+register("segment_hurst", "symbol seg:i regime length:i hurst:d", lambda s, d: folds.segment_hurst(labels(s, d)))
 register(
     "indicator_correlation", "symbol trend_vol:d trend_return:d vol_percentile:d",
     lambda s, d: labels(s, d).groupBy("symbol").agg(F.corr("trend_strength", "volatility").alias("trend_vol"), F.corr("trend_strength", "log_return").alias("trend_return"), F.corr("volatility", "volatility_percentile").alias("vol_percentile")),

@@ -50,6 +50,8 @@ class Config:
     ewma_halflife: float = 20.0
     bocpd_run_length: float = 100.0
     bocpd_df_cap: float | None = None
+    #: Runs of a smaller posterior mass are forgotten; None keeps all runs, which takes time quadratic in the bars.
+    bocpd_least_mass: float | None = None
     dsm_omega: float = 1.0
     dsm_bandwidth: float = 3.0
     dsm_varx: float | None = None

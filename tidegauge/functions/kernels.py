@@ -221,11 +221,14 @@ def stepped(values: np.ndarray, window: int, step: int, statistic) -> np.ndarray
     return out
 
 
-def bocpd(values: np.ndarray, run_length: float = 100.0, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0), df_cap: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bocpd(values: np.ndarray, run_length: float = 100.0, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0), df_cap: float | None = None, least_mass: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bayesian online change points under a normal-inverse-gamma model with constant hazard.
 
     Returns the likeliest run length, the mass on a run of 0 and the mass on runs of at most 5. The posterior of a
     run needs only how many values it has, their sum and their squares, so all runs come from prefix sums.
+
+    Without ``least_mass`` every run stays, and time grows with the square of the values. With it, runs of a smaller
+    posterior mass (but for a run of 0 and the likeliest one) are forgotten, which bounds the runs of a long series.
     """
     at, x = _present(values)
     n = len(x)
@@ -236,12 +239,12 @@ def bocpd(values: np.ndarray, run_length: float = 100.0, prior: tuple[float, flo
     dof = 2 * alpha if df_cap is None else np.minimum(2 * alpha, df_cap)
     norm = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in dof.tolist()]) - 0.5 * np.log(dof * math.pi)
     stay, leave = math.log1p(-1 / run_length), math.log(1 / run_length)
-    log_mass = np.zeros(1)
+    floor = -math.inf if least_mass is None else math.log(least_mass)
+    log_mass, k = np.zeros(1), np.zeros(1, np.int64)
     best, change, recent = np.empty(n), np.empty(n), np.empty(n)
     for t in range(n):
-        k = slice(0, t + 1)
         runs = r[k]
-        total, squares = s1[t] - s1[t::-1], s2[t] - s2[t::-1]
+        total, squares = s1[t] - s1[t - k], s2[t] - s2[t - k]
         mean = np.divide(total, runs, out=np.zeros_like(total), where=runs > 0)
         kappa = k0 + runs
         mu = (k0 * m0 + total) / kappa
@@ -254,10 +257,42 @@ def bocpd(values: np.ndarray, run_length: float = 100.0, prior: tuple[float, flo
         log_mass = np.concatenate([[reset], joint + stay])
         top = log_mass.max()
         log_mass = log_mass - (top + math.log(np.exp(log_mass - top).sum()))
-        best[t], change[t], recent[t] = log_mass.argmax(), math.exp(log_mass[0]), np.exp(log_mass[:6]).sum()
+        k = np.concatenate([[0], k + 1])
+        likeliest = log_mass.argmax()
+        best[t], change[t], recent[t] = k[likeliest], math.exp(log_mass[0]), np.exp(log_mass[k <= 5]).sum()
+        if least_mass is not None:
+            stays = log_mass >= floor
+            stays[[0, likeliest]] = True
+            k, log_mass = k[stays], log_mass[stays]
     return tuple(_spread(at, v, len(values)) for v in (best, change, recent))
 
 
+def dsm_step(v: float, state: tuple[np.ndarray, ...], hazard: float, varx: float, omega: float, bandwidth: float, prior: tuple[float, float], keep: int) -> tuple[float, float, tuple[np.ndarray, ...]]:
+    """One value of the robust detector: likeliest run length, mass on a run of 0 and the next state.
+
+    A state holds the surviving runs: lengths, means, precisions and log masses, likeliest first.
+    """
+    runs, mean, prec, mass = state
+    var = 1 / prec + varx
+    joint = mass - 0.5 * (np.log(2 * math.pi * var) + (v - mean) ** 2 / var)
+    top = joint.max()
+    reset = top + math.log(np.exp(joint - top).sum()) + math.log(hazard)
+    gain = 2 * omega * np.exp(-((v - mean) ** 2) / (bandwidth**2 * varx)) / varx**2
+    grown = prec + gain
+    mean = np.concatenate([[prior[0]], (prec * mean + gain * v) / grown])
+    prec, runs = np.concatenate([[1 / prior[1]], grown]), np.concatenate([[0.0], runs + 1])
+    mass = np.concatenate([[reset], joint + math.log1p(-hazard)])
+    order = np.argsort(-mass, kind="stable")[:keep]
+    top = mass[order[0]]
+    total = top + math.log(np.exp(mass[order] - top).sum())
+    return float(runs[order[0]]), math.exp(mass[0] - total), (runs[order], mean[order], prec[order], mass[order] - total)
+
+
+def dsm_start(prior: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """The state before the first value."""
+    return np.zeros(1), np.array([float(prior[0])]), np.array([1 / prior[1]]), np.zeros(1)
+
+
 def dsm_bocpd(
     values: np.ndarray, run_length: float = 100.0, varx: float = 1e-4, omega: float = 1.0, bandwidth: float = 3.0, prior_mean: float = 0.0, prior_var: float = 1.0, keep: int = 50
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -266,25 +301,11 @@ def dsm_bocpd(
     Only survivors are stored, so state and time per value are bounded by ``keep``.
     """
     at, x = _present(values)
-    stay, leave = math.log1p(-1 / run_length), math.log(1 / run_length)
-    runs, mean, prec, mass = np.zeros(1), np.array([prior_mean]), np.array([1 / prior_var]), np.zeros(1)
+    prior = (prior_mean, prior_var)
+    state = dsm_start(prior)
     best, change = np.empty(len(x)), np.empty(len(x))
     for t, v in enumerate(x.tolist()):
-        var = 1 / prec + varx
-        joint = mass - 0.5 * (np.log(2 * math.pi * var) + (v - mean) ** 2 / var)
-        top = joint.max()
-        reset = top + math.log(np.exp(joint - top).sum()) + leave
-        gain = 2 * omega * np.exp(-((v - mean) ** 2) / (bandwidth**2 * varx)) / varx**2
-        grown = prec + gain
-        mean = np.concatenate([[prior_mean], (prec * mean + gain * v) / grown])
-        prec = np.concatenate([[1 / prior_var], grown])
-        runs = np.concatenate([[0.0], runs + 1])
-        mass = np.concatenate([[reset], joint + stay])
-        order = np.argsort(-mass, kind="stable")[:keep]
-        top = mass[order[0]]
-        total = top + math.log(np.exp(mass[order] - top).sum())
-        best[t], change[t] = runs[order[0]], math.exp(mass[0] - total)
-        runs, mean, prec, mass = runs[order], mean[order], prec[order], mass[order] - total
+        best[t], change[t], state = dsm_step(v, state, 1 / run_length, varx, omega, bandwidth, prior, keep)
     return _spread(at, best, len(values)), _spread(at, change, len(values))
 
 

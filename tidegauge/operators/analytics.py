@@ -88,6 +88,21 @@ def best_and_worst(stats: DataFrame) -> DataFrame:
     )
 
 
+def forward_summary(stats: DataFrame, horizon: int = 5) -> DataFrame:
+    """One horizon's table: known regimes by falling mean (ties by label) with place, spread, ratio and win rate."""
+    known = stats.where((F.col("regime") != "Overall") & (F.col("horizon") == horizon))
+    place = F.row_number().over(W.partitionBy("horizon").orderBy(F.desc("mean"), "regime"))
+    return known.select(place.alias("place"), "regime", "count", "mean", "median", "std", "sharpe", F.col("positive_pct").alias("win_rate_pct"), "min", "max")
+
+
+def regime_statistics(df: DataFrame, regime: str = "regime") -> DataFrame:
+    """Per symbol and label: bars and their share, returns, volatility and trend strength."""
+    made = df.groupBy("symbol", F.col(regime).alias("regime")).agg(
+        F.count("*").alias("n"), F.avg("log_return").alias("mean_return"), F.stddev_samp("log_return").alias("std_return"), F.avg("volatility").alias("avg_volatility"), F.avg("trend_strength").alias("avg_trend_strength")
+    )
+    return made.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("symbol")))
+
+
 # --- transitions -------------------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tidegauge.config import Config
 from tidegauge.functions import kernels as K
 from tidegauge.functions.frames import order, half, ratio
+from tidegauge.operators.analytics import with_segments
 from tidegauge.operators.features import numbered, ols_slope, trend_strength, true_range
 from tidegauge.operators.regimes import consensus_anchors
 from tidegauge.schema import HALFLIFE_GRID, UNKNOWN
@@ -94,6 +95,28 @@ def hurst(df: DataFrame, cfg: Config) -> DataFrame:
     return _doubles(df, ["hurst"], fold, ["close"])
 
 
+def segment_hurst(df: DataFrame, method: str = "rs", least: int = 20, regime: str = "regime", gap: str = "close") -> DataFrame:
+    """(symbol, seg, regime, length, hurst) per segment: R/S of its closes or detrended fluctuation of their log changes.
+
+    Segments of fewer than ``least`` bars have no exponent.
+    """
+    if method not in ("rs", "dfa"):
+        raise ValueError(f"method is {method!r}, but segments are judged by 'rs' or 'dfa'")
+
+    def exponent(x: np.ndarray) -> float | None:
+        if len(x) < least:
+            return None
+        found = K.rescaled_range_exponent(x) if method == "rs" else K.dfa_exponent(np.diff(np.log(x[np.isfinite(x) & (x > 0)])))
+        return found if np.isfinite(found) else None
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(rows["symbol"].iloc[0], seg, g["label"].iloc[0], len(g), exponent(g["close"].to_numpy(float))) for seg, g in rows.sort_values("ts", kind="stable").groupby("seg")]
+        return pd.DataFrame(found, columns=["symbol", "seg", "regime", "length", "hurst"])
+
+    marked = with_segments(df, regime, gap).where("seg is not null").select("symbol", "ts", "seg", F.col(regime).alias("label"), "close")
+    return marked.groupBy("symbol").applyInPandas(run, "symbol string, seg long, regime string, length long, hurst double")
+
+
 def lo_rescaled_range(df: DataFrame, cfg: Config) -> DataFrame:
     """lo_modified_rs of the log returns."""
     w = cfg.hurst_window
@@ -103,7 +126,7 @@ def lo_rescaled_range(df: DataFrame, cfg: Config) -> DataFrame:
 def bocpd(df: DataFrame, cfg: Config) -> DataFrame:
     """bocpd_run_length, bocpd_change_prob and bocpd_recent_prob (mass on runs of at most five bars)."""
     names = ["bocpd_run_length", "bocpd_change_prob", "bocpd_recent_prob"]
-    return _doubles(df, names, lambda r: dict(zip(names, K.bocpd(r["log_return"].to_numpy(), cfg.bocpd_run_length, df_cap=cfg.bocpd_df_cap), strict=True)), ["log_return"])
+    return _doubles(df, names, lambda r: dict(zip(names, K.bocpd(r["log_return"].to_numpy(), cfg.bocpd_run_length, df_cap=cfg.bocpd_df_cap, least_mass=cfg.bocpd_least_mass), strict=True)), ["log_return"])
 
 
 def dsm_bocpd(df: DataFrame, cfg: Config) -> DataFrame:

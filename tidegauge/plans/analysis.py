@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.config import Config
-from tidegauge.operators import analytics, backtest, features, folds, regimes
+from tidegauge.operators import analytics, backtest, features, folds, outlook, regimes
 from tidegauge.schema import WALK_FORWARD_WINDOWS
-from tidegauge.sources.bars import clean, read_bars, with_returns
+from tidegauge.sources.bars import clean, read_bars, require_rows, with_returns
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,8 @@ def summaries(df: DataFrame, cfg: Config | None = None) -> dict[str, DataFrame]:
     stats = analytics.forward_stats(df, cfg.horizons)
     return {
         "segments": found,
+        "insights": outlook.insights(df),
+        **({"market_summary": outlook.market_summary(df)} if "fuzzy_primary_regime" in df.columns else {}),
         "segment_statistics": analytics.segment_statistics(found),
         "transitions": matrix,
         "persistence": analytics.persistence(matrix),
@@ -86,8 +88,10 @@ class Engine:
     def __init__(self, spark: SparkSession, cfg: Config | None = None):
         self.spark, self.cfg = spark, cfg or Config()
 
-    def read(self, path: str, **limits) -> DataFrame:
-        return clean(read_bars(self.spark, path, **limits), self.cfg.fill)
+    def read(self, path: str, required: bool = False, **limits) -> DataFrame:
+        """Clean bars within the limits of read_bars; with ``required`` a request without bars raises NoData now, not later."""
+        found = read_bars(self.spark, path, **limits)
+        return clean(require_rows(found, limits.get("symbols")) if required else found, self.cfg.fill)
 
     def analyse(self, bars: DataFrame, overlays: Overlays | None = None, implied: DataFrame | None = None) -> DataFrame:
         return run_analysis(bars, self.cfg, overlays, implied)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidegauge.functions.frames import order, past, whole
-from tidegauge.schema import BARS, CRYPTO_TICKERS
+from tidegauge.schema import BARS, CRYPTO_TICKERS, PERIODS
 
 #: Full-match symbol formats: fixed values.
 STOCK_PATTERN = r"^[\^]?[A-Z0-9.\-]{1,10}(=[XF])?$"
@@ -49,19 +49,43 @@ def normalise_symbol(symbol: Column) -> Column:
     return F.when(fx, F.concat(base, quote, F.lit("=X"))).otherwise(s)
 
 
-def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Bars of a path in any of Spark's formats; symbol and time limits are pushed into the scan."""
+def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, fmt: str = "parquet", period: str | None = None) -> DataFrame:
+    """Bars of a path in any of Spark's formats; symbol and time limits are pushed into the scan.
+
+    Without ``start`` a ``period`` (as 3mo; unknown ones mean 1y) counts back from ``end``, or from now. A requested
+    symbol that no source accepts raises InvalidSymbol.
+    """
+    if symbols:
+        asked = spark.createDataFrame([(s,) for s in symbols], "s string")  # as short as the request
+        refused = [r["s"] for r in asked.where(~valid_symbol(F.col("s"))).collect()]
+        if refused:
+            raise InvalidSymbol(f"no source accepts {', '.join(map(repr, refused))}")
     reader = spark.read.format(fmt)
     df = (reader.option("header", True).schema(BARS) if fmt == "csv" else reader.schema(BARS) if fmt == "json" else reader).load(path)
     if symbols is not None:
         df = df.where(F.col("symbol").isin([s.strip().upper() for s in symbols]))
     if start is not None:
         df = df.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    elif period is not None:
+        until = F.lit(end).cast("timestamp") if end is not None else F.current_timestamp()
+        df = df.where(F.col("ts") >= until - F.make_dt_interval(F.lit(PERIODS.get(period, PERIODS["1y"])[1])))
     if end is not None:
         df = df.where(F.col("ts") <= F.lit(end).cast("timestamp"))
     return df
 
 
+def require_rows(df: DataFrame, symbols: list[str] | None = None) -> DataFrame:
+    """The bars themselves if every requested symbol (without any: the table) has some; else NoData names what is missing."""
+    if symbols is None:
+        missing = [] if df.head(1) else ["any symbol"]
+    else:
+        here = {r["symbol"] for r in df.where(F.col("symbol").isin([s.strip().upper() for s in symbols])).select("symbol").distinct().collect()}  # at most the request
+        missing = [s for s in symbols if s.strip().upper() not in here]
+    if missing:
+        raise NoData(f"no bars of {', '.join(missing)}")
+    return df
+
+
 def clean(df: DataFrame, fill: str = "ffill", arrival: str | None = None) -> DataFrame:
     """One row per symbol and time, gaps filled forward, dropped or interpolated, missing columns made up.
 

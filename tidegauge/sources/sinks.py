@@ -47,16 +47,21 @@ def export_all(tables: dict[str, DataFrame], df: DataFrame, folder: str, fuzzy:
         write_table(flat, f"{folder}/{name}")
 
 
-def report(tables: dict[str, DataFrame]) -> str:
-    """A text report from the small tables: one line per regime, symbol or pair."""
+def report(tables: dict[str, DataFrame], most: int = 200) -> str:
+    """A text report from the small tables: one line per regime, symbol or pair; past ``most`` lines a section says how many are left out."""
     lines = ["MARKET REGIME REPORT", "=" * 80]
     for title, name, order, template in (
         ("Strategy", "backtest", "symbol", "{headline}\n    {interpretation}"),
+        ("Market", "market_summary", "symbol", "{symbol}: {summary}"),
+        ("Insights", "insights", "symbol", "{symbol}: {insight} ({value:.3f})"),
         ("Segments", "segment_statistics", "regime", "{regime:<18} n={count} mean length={avg_length:.1f} win rate={win_rate_pct:.1f}%"),
         ("Persistence", "persistence", "regime", "{regime:<18} stays with p={persistence:.3f}"),
         ("Forward returns", "best_and_worst", "horizon", "{horizon:>3} bars: best {best_regime} ({best_mean:.4f}), worst {worst_regime} ({worst_mean:.4f})"),
     ):
         lines += ["", title, "-" * len(title)]
         if name in tables:
-            lines += [template.format(**r.asDict()) for r in tables[name].orderBy(order).limit(200).collect()]
+            got = tables[name].orderBy(order).limit(most + 1).collect()
+            lines += [template.format(**r.asDict()) for r in got[:most]]
+            if len(got) > most:
+                lines.append(f"... and {tables[name].count() - most} more in the exported table")
     return "\n".join(lines)
