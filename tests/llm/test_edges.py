@@ -528,3 +528,19 @@ def test_decoding_finds_the_best_path(monkeypatch):
         monkeypatch.setattr(toxicity, "_SETTLE", settle)
         readings.add(toxicity.decode(long, model))
     assert len(readings) == 1
+
+
+def test_shared_dir_refuses_local_files_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidegauge.llm.common import shared_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k.rsplit(".", 2)[-2], default)), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("spark://x", checkpoint="/shared/c/")) == "/shared/c"
+    assert shared_dir(session("local[4]")) == "/tmp/checkpoints"
+    assert shared_dir(session("yarn", warehouse="hdfs://n/w")) == "hdfs://n/w/_checkpoints"
+    for where in ("file:/home/w", "/home/w"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session("yarn", warehouse=where))

@@ -29,15 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: spark.checkpoint.dir, or a substitute where that is unset.
 
-    Unset on a local master (tests) means /tmp/checkpoints; unset on a cluster means the warehouse,
-    which is shared by definition. Nothing is ever put in a machine-local folder of a cluster.
+    Unset on a local master (tests) means /tmp/checkpoints; unset on a cluster means the warehouse if that lies on a
+    file system of the cluster. A warehouse in local files is refused, as executors would not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
         return "/tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.split(":", 1)[0] == "file" or ":" not in warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_checkpoints"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
