@@ -444,6 +444,46 @@ def test_repeated_rows_of_near_duplicates(spark, odd, clashing, none):
     assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
 
 
+def test_growing_tables_stay_small_on_the_driver(spark, odd, monkeypatch):
+    """The largest table that is still broadcast takes no more than its limit as a relation; above it nothing changes."""
+    import inspect
+
+    asked, hint = [], neardup.broadcast_if_small
+    usual = inspect.signature(hint).parameters["limit"].default
+    page = spark._jvm.org.apache.spark.SparkEnv.get().memoryManager().pageSizeBytes()  # the last one need not be full
+
+    def spy(df, row_bytes, limit=usual):
+        if {"doc_id", "th"} <= set(df.columns):
+            asked.append((df.schema, row_bytes, limit))
+        return hint(df, row_bytes, limit)
+
+    monkeypatch.setattr(neardup, "broadcast_if_small", spy)
+    texts = [(i, " ".join(f"w{j}" for j in range(60)) + f" x{i % 3}") for i in range(6)]
+    df = spark.createDataFrame(texts, DOC)
+    want = sorted(r["doc_id"] for r in rows(neardup.drop_near_duplicates(df)))
+    assert want == [0] and {tuple(schema.names) for schema, _, _ in asked} == {("cid", "doc_id", "th"), ("doc_id", "th", "stays", "n")}
+    for schema, row_bytes, limit in asked:
+        n = limit // row_bytes
+        cols = [(F.xxhash64("id", F.lit(f.name)) if f.dataType.typeName() == "long" else F.col("id") % 2 == 0).alias(f.name) for f in schema]
+        table = spark.range(n).select(*cols)
+        other = spark.range(1).select(F.col("id").alias("_id"), F.xxhash64("id").alias("_th"))
+        joined = other.join(F.broadcast(table), (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan()
+        sizes, todo = [], [plan.executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() in ("ResultQueryStage", "BroadcastQueryStage"):
+                todo.append(node.plan())
+            if node.nodeName() == "BroadcastExchange":
+                sizes.append(node.metrics().apply("dataSize").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        assert len(sizes) == 1 and 0 < sizes[0] <= limit + page
+    monkeypatch.setattr(neardup, "broadcast_if_small", lambda df, *_, **__: df)
+    assert sorted(r["doc_id"] for r in rows(neardup.drop_near_duplicates(df))) == want
+    assert sorted(str(r["doc_id"]) for r in rows(neardup.drop_near_duplicates(odd))) == sorted(["1", "2", "3", "4", "5", "7", "None"])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 100), (5, 5), (41, 40), (200, 150), (150, 175)]
     got = {r["node"]: r["root"] for r in rows(neardup.components(spark.createDataFrame(edges, "a long, b long")))}

@@ -40,6 +40,9 @@ _COEFFICIENTS = np.random.default_rng(20240229).integers(0, 2**63, (2, K), dtype
 _MULTIPLY, _ADD = _COEFFICIENTS[0] * np.uint64(2) + np.uint64(1), _COEFFICIENTS[1]
 _CACHE_WORDS = 100_000
 BLOCK_ROWS, BLOCK_SHINGLES, STAR_FROM, CENTRES = 512, 2_000_000, 64, 4
+#: Of tables that grow with the corpus: what a row of (doc_id, th) and a value takes at most as a broadcast relation, and
+#: the bytes of such a relation. The driver holds it beside the collected rows and its serialised copy.
+RELATION_ROW, RELATION_BYTES = 160, 8 << 20
 
 
 class _WordHash(dict):
@@ -330,7 +333,7 @@ def _by_group(rows: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(cid, set) of the classes wanted (cid, doc_id, th), from the text of their representatives."""
-    wanted = broadcast_if_small(wanted, row_bytes=64)
+    wanted = broadcast_if_small(wanted, RELATION_ROW, RELATION_BYTES)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,7 +428,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """One row of each component, with its columns as they were, whatever those are called: that of the smallest doc_id."""
     found = near_duplicates(docs, words, percent)
     fate = cut(found.groupBy("doc_id", "th").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "neardup-fate")
-    fate = broadcast_if_small(fate, row_bytes=48)
+    fate = broadcast_if_small(fate, RELATION_ROW, RELATION_BYTES)
     same = (F.xxhash64(docs["text"]) == fate["th"]) & docs["doc_id"].cast("long").eqNullSafe(fate["doc_id"])
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     marked = docs.join(fate, same, "left").select(row.alias("row"), fate["doc_id"].alias("id"), fate["th"], fate["stays"])
