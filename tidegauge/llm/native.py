@@ -56,3 +56,10 @@ def masked(text: Column, found: Column, mark) -> Column:
         return F.struct(x["e"].alias("pos"), F.concat(acc["out"], F.substring(text, acc["pos"] + 1, x["s"] - acc["pos"]), mark(x)).alias("out"))
 
     return F.aggregate(apart, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+
+
+def word_count(text: Column) -> Column:
+    """How many runs ``[^\\x20\\x09-\\x0D]+`` the text holds; 0 for null. Parts between gaps, less the empty ends."""
+    blank = lambda c: c.rlike(r"^[\x20\x09-\x0D]").cast("int")
+    inner = F.size(F.split(text, r"[\x20\x09-\x0D]+", -1)) - blank(text) - blank(F.substring(text, -1, 1))
+    return F.when(F.length(text) > 0, F.greatest(inner, F.lit(0))).otherwise(0).cast("long")

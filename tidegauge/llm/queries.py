@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegauge.llm.common import table
 
@@ -17,8 +18,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from tidegauge.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
@@ -96,8 +95,6 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from tidegauge.llm.licenses import scan_licenses
 
     listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["first"], x["end"])), ",")
@@ -130,6 +127,82 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 """
 
+#: Knots (time, weight) of the schedules that sources take in turn; they integrate to 1, 2 and 3.
+MIX_SCHEDULES = [[(0, 1.5), (0.5, 1), (1, 0.5)], [(0, 2), (1, 2)], [(0, 2), (0.5, 3), (1, 4)]]
+
+
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.mixing import cyclic_schedule, digest, measure, mix
+
+    sized = measure(table(spark, sf_dir, "documents"))
+    return digest(mix(sized, cyclic_schedule(sized, MIX_SCHEDULES))).withColumn("position", F.round("position", 6))
+
+
+def _due_sql(y: str) -> str:
+    """The time at which a source of weight k (1, 2, 3) has given the share ``y`` of its target."""
+    rising = f"CASE WHEN {y} * 3 < 1.25 THEN {y} * 6 / (2 + sqrt(4 + 4 * {y} * 3)) ELSE 0.5 + 2 * ({y} * 3 - 1.25) / (3 + sqrt(9 + 4 * ({y} * 3 - 1.25))) END"
+    falling = f"CASE WHEN {y} < 0.625 THEN 2 * {y} / (1.5 + sqrt(2.25 - 2 * {y})) ELSE 0.5 + 2 * ({y} - 0.625) / (1 + sqrt(1 - 2 * ({y} - 0.625))) END"
+    return f"CASE k WHEN 1 THEN {falling} WHEN 2 THEN {y} ELSE {rising} END"
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS mark, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, 1 + place % 3 AS k, 3.0::DOUBLE * source_size / (1 + place % 3) AS ratio FROM s),
+b AS (SELECT *, sum(source_size) OVER () AS total, sum(k) OVER () AS weight, coalesce(sum(3 * source_size) OVER p, 0) AS used, coalesce(sum(k) OVER p, 0) AS heavy FROM w
+      WINDOW p AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, 3 * source_size <= CAST(k AS DOUBLE) * CAST(total - used AS DOUBLE) / CAST(weight - heavy AS DOUBLE) AS stops FROM b),
+f AS (SELECT *, total - coalesce(sum(CASE WHEN stops THEN 3 * source_size END) OVER (), 0) AS rest, weight - coalesce(sum(CASE WHEN stops THEN k END) OVER (), 0) AS unstopped FROM c),
+t AS (SELECT source, source_size, k, CASE WHEN stops THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(k AS DOUBLE) * CAST(rest AS DOUBLE) / CAST(unstopped AS DOUBLE) END AS target FROM f),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.k, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY mark, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, CAST(list_sum(list_transform([0, 1, 2], lambda i: greatest(least(floor(target) - first - i * source_size, size), 0))) AS BIGINT) AS taken FROM r)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round({_due_sql("(first / target)")}, 6) END AS position FROM g
+"""
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.fim import digest, fill_in_middle
+
+    return digest(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256(concat('1:', doc_id)) AS h FROM documents),
+k AS (SELECT doc_id, text, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i:i + 7] AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.trie import build, rebuilt
+
+    return build(*rebuilt(table(spark, sf_dir, "conversations"), F.crc32(F.col("conv_id").cast("string")) % 4, 20))
+
+
+#: CRC-32 of a decimal number mod 4, a bit at a time: a digit enters, then eight shifts follow.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: list_concat([CAST(ascii(x) AS BIGINT)], list_transform(range(8), lambda i: -1))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4"""
+OP13_SQL = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS key,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(key ORDER BY turn NULLS FIRST, key) AS keys, list(words ORDER BY turn NULLS FIRST, key) AS words FROM t GROUP BY c),
+h AS (SELECT *, CAST({_CRC_SQL} AS BIGINT) AS h FROM o),
+r AS (SELECT h.c, list_concat(coalesce(b.keys, [])[1:h], h.keys[h + 1:]) AS keys, list_concat(coalesce(b.words, [])[1:h], h.words[h + 1:]) AS words FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+m AS (SELECT c, d, len(keys) AS n, array_to_string(keys[1:d], ',') AS name, array_to_string(keys[1:d - 1], ',') AS above, words[d] AS w FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM r)),
+n AS (SELECT d, name, any_value(CASE WHEN d > 0 THEN above END) AS above, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(w), 0) * (count(*) - 1) AS own, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d) AS ends FROM m GROUP BY d, name),
+k AS (SELECT d - 1 AS d, above AS name, count(*) AS n_children FROM n WHERE d > 0 GROUP BY d, above),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent_conv_id FROM n LEFT JOIN k USING (d, name) LEFT JOIN (SELECT d + 1 AS d, name AS above, conv_id FROM n) p USING (d, above)),
+u AS (SELECT e, array_to_string(string_split(name, ',')[1:e], ',') AS name, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM a) GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, a.parent_conv_id, a.n_convs, a.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM a JOIN u ON u.e = a.d AND u.name = a.name
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
@@ -141,10 +214,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
+    "op12_fim": op12_fim,
+    "op13_trie": op13_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_urlfilter": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
     "op8_topk": OP8_SQL,
+    "op11_mixing": OP11_SQL,
+    "op12_fim": OP12_SQL,
+    "op13_trie": OP13_SQL,
 }
