@@ -13,12 +13,12 @@ def _rows(df):
     return sorted(tuple("~" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op3_urlfilter", "op6_decontaminate", "op8_topk"])
+@pytest.mark.parametrize("name", ["op1_warc", "op3_urlfilter", "op6_decontaminate", "op8_topk", "op11_mixing", "op12_fim", "op13_trie"])
 def test_equals_sql(spark, name):
     from tidegauge.llm import queries
 
     con = duckdb.connect()
-    for t in "documents embeddings pages benchmark".split():
+    for t in "documents embeddings pages benchmark conversations".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert _rows(queries.QUERIES[name](spark, SF).toPandas()) == _rows(con.execute(queries.ORACLES[name]).fetchdf())
 

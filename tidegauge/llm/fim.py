@@ -80,9 +80,10 @@ def fill_in_middle(docs: DataFrame, seed: str = "1:", unit: str = UNIT, keep: in
         tidy()
 
     own = [c for c in docs.columns if c not in ADDED]
+    made = "_" + max(own, key=len)  # longer than any column's name
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = docs.select(*[F.col(f"`{c}`") for c in own], cuts(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("_cut"))
-    return cut.select(*[F.col(f"`{c}`") for c in own], "_cut.*", arranged(text, F.col("_cut")).alias("output"))
+    cut = docs.select(*[F.col(f"`{c}`") for c in own], cuts(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias(made))
+    return cut.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"`{made}`")[c].alias(c) for c in ADDED[:4]], arranged(text, F.col(f"`{made}`")).alias("output"))
 
 
 def arranged(text: Column, cut: Column) -> Column:
