@@ -21,7 +21,7 @@ from tidegauge.operators import folds, lookups, outlook
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import labelled
-from tidegauge.schema import EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, LO_BANDS, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
+from tidegauge.schema import BETTER_BY, EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, LO_BANDS, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
 from tidegauge.sources import bars as S
 from tidegauge.sources.sinks import daily_projection
 
@@ -470,7 +470,7 @@ register(
     "forward_diagnostics", "symbol horizon:i regime regime_group count:i mean_return:d median_return:d compound_return positive_pct:d edge_vs_overall:d".replace("compound_return", "compound_return:d"),
     lambda s, d: B.forward_diagnostics(labels(s, d)),
     """SELECT symbol, horizon, regime, CASE WHEN starts_with(regime, 'Bull') THEN 'bull' WHEN starts_with(regime, 'Bear') THEN 'bear' WHEN starts_with(regime, 'Sideways') THEN 'sideways' ELSE 'unknown' END AS regime_group, count(*) AS count, avg(r) AS mean_return,
-       median(r) AS median_return, product(1 + r) - 1 AS compound_return, 100 * avg(CAST(r > 0 AS INT)) AS positive_pct, avg(r) - any_value(overall) AS edge_vs_overall FROM fd GROUP BY 1, 2, 3""", DIAG,
+       median(r) AS median_return, product(1 + r ORDER BY ts) - 1 AS compound_return, 100 * avg(CAST(r > 0 AS INT)) AS positive_pct, avg(r) - any_value(overall) AS edge_vs_overall FROM fd GROUP BY 1, 2, 3""", DIAG,
 )
 register(
     "bullish_turn_lag", "symbol trough_date:t trough_price:d first_bull_date:t first_bull_price:d lag_periods:i missed_return:d latest_regime", lambda s, d: B.bullish_turn(labels(s, d)),
@@ -537,8 +537,8 @@ register("group_summary", SUMM, lambda s, d: B.summarise_groups(compared(s, d)),
 register("walk_forward_summary", "window " + SUMM, lambda s, d: B.summarise_groups(walked(s, d)), summary_sql("wf", 'win AS "window", grp AS "group", variant'), WALKED)
 register(
     "variant_summary", "group asset_count:i baseline_mean_strategy_return:d candidate_mean_strategy_return:d mean_improvement:d improved_count:i degraded_count:i candidate_mean_excess_return:d candidate_median_exposure:d", lambda s, d: B.variant_summary(compared(s, d)),
-    """SELECT a.grp AS "group", count(*) AS asset_count, avg(a.strategy_return) AS baseline_mean_strategy_return, avg(b.strategy_return) AS candidate_mean_strategy_return, avg(b.strategy_return - a.strategy_return) AS mean_improvement,
-       count(*) FILTER (WHERE b.strategy_return > a.strategy_return) AS improved_count, count(*) FILTER (WHERE b.strategy_return < a.strategy_return) AS degraded_count, avg(b.excess_return) AS candidate_mean_excess_return, median(b.mean_exposure) AS candidate_median_exposure
+    f"""SELECT a.grp AS "group", count(*) AS asset_count, avg(a.strategy_return) AS baseline_mean_strategy_return, avg(b.strategy_return) AS candidate_mean_strategy_return, avg(b.strategy_return - a.strategy_return) AS mean_improvement,
+       count(*) FILTER (WHERE b.strategy_return - a.strategy_return > {BETTER_BY}) AS improved_count, count(*) FILTER (WHERE b.strategy_return - a.strategy_return < -{BETTER_BY}) AS degraded_count, avg(b.excess_return) AS candidate_mean_excess_return, median(b.mean_exposure) AS candidate_median_exposure
        FROM gc a JOIN gc b ON a.symbol = b.symbol AND a.variant = 'current' AND b.variant = 'group_rebound' GROUP BY 1""", GROUPED,
 )
 NARR = "nr AS (SELECT *, CASE symbol WHEN 'A' THEN 'indices' WHEN 'N' THEN 'mega_cap_tech' WHEN 'R' THEN 'crypto' ELSE 'other' END AS grp FROM met)"
@@ -560,7 +560,7 @@ def gate_sql(name: str, source: str) -> str:
     return f"""{name}_c AS (SELECT *, grp IN ({listed(ELIGIBLE)}) AS mine, grp IN ({listed(PROTECTED)}) AS safe FROM {source} WHERE variant = 'group_rebound'),
 {name} AS (SELECT *, eligible_count > 0 AS k1, eligible_improved_share >= 0.6 AS k2, protected_degraded_share <= 0 AS k3, worst_drawdown_delta >= -0.02 AS k4 FROM (
   SELECT count(*) FILTER (WHERE mine) AS eligible_count, coalesce(avg(CAST(improved_vs_current AS INT)) FILTER (WHERE mine), 0.0) AS eligible_improved_share, count(*) FILTER (WHERE safe) AS protected_count,
-  coalesce(avg(CAST(strategy_return_delta_vs_current < 0 AS INT)) FILTER (WHERE safe), 0.0) AS protected_degraded_share, coalesce(min(drawdown_delta_vs_current), 0.0) AS worst_drawdown_delta FROM {name}_c))"""
+  coalesce(avg(CAST(strategy_return_delta_vs_current < -{BETTER_BY} AS INT)) FILTER (WHERE safe), 0.0) AS protected_degraded_share, coalesce(min(drawdown_delta_vs_current), 0.0) AS worst_drawdown_delta FROM {name}_c))"""
 
 
 def research_sql(name: str, source: str) -> str:

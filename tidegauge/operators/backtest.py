@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tidegauge.functions.frames import order, finite, lookup, rolling
 from tidegauge.operators import folds
 from tidegauge.operators.features import numbered
-from tidegauge.schema import DEFAULT_EXPOSURE, EXPOSURE_MAPS, NARRATIVE_FIT, REBOUND_PROFILES, UNKNOWN, ReboundProfile
+from tidegauge.schema import BETTER_BY, DEFAULT_EXPOSURE, EXPOSURE_MAPS, NARRATIVE_FIT, REBOUND_PROFILES, UNKNOWN, ReboundProfile
 
 OVERLAY = "Rebound Overlay"
 
@@ -291,7 +291,7 @@ def _compared(daily: DataFrame, keys: tuple[str, ...], cost_bps: float) -> DataF
     current = lambda c: F.max(F.when(F.col("variant") == "current", F.col(c))).over(w)
     deltas = {"strategy_return": "strategy_return_delta_vs_current", "excess_return": "excess_return_delta_vs_current", "mean_exposure": "mean_exposure_delta_vs_current", "max_drawdown_strategy": "drawdown_delta_vs_current"}
     found = found.withColumns({out: F.col(c) - current(c) for c, out in deltas.items()})
-    return found.withColumn("improved_vs_current", (F.col("variant") == "group_rebound") & (F.col("strategy_return_delta_vs_current") > 0))
+    return found.withColumn("improved_vs_current", (F.col("variant") == "group_rebound") & (F.col("strategy_return_delta_vs_current") > BETTER_BY))
 
 
 def compare_groups(df: DataFrame, groups: dict[str, tuple[str, ...]], profiles: dict[str, ReboundProfile] | None = None, cost_bps: float = 0.0) -> DataFrame:
@@ -341,7 +341,7 @@ def variant_summary(compared: DataFrame, baseline: str = "current", candidate: s
     d = F.col("c") - F.col("b")
     return b.join(c, ["group", "symbol"]).groupBy("group").agg(
         F.count("*").alias("asset_count"), F.avg("b").alias("baseline_mean_strategy_return"), F.avg("c").alias("candidate_mean_strategy_return"), F.avg(d).alias("mean_improvement"),
-        F.count_if(d > 0).alias("improved_count"), F.count_if(d < 0).alias("degraded_count"), F.avg("excess_return").alias("candidate_mean_excess_return"), F.median("mean_exposure").alias("candidate_median_exposure"),
+        F.count_if(d > BETTER_BY).alias("improved_count"), F.count_if(d < -BETTER_BY).alias("degraded_count"), F.avg("excess_return").alias("candidate_mean_excess_return"), F.median("mean_exposure").alias("candidate_median_exposure"),
     )
 
 
@@ -365,7 +365,7 @@ def promotion(compared: DataFrame, eligible: tuple[str, ...], protected: tuple[s
         raise ValueError("shares must lie between 0 and 1")
     c = (F.col("variant") == "group_rebound") & (F.col("observations") > 0)
     mine, safe = c & F.col("group").isin(*eligible), c & F.col("group").isin(*protected)
-    worse = F.col("strategy_return_delta_vs_current") < 0
+    worse = F.col("strategy_return_delta_vs_current") < -BETTER_BY
     got = compared.agg(
         F.count_if(mine).alias("eligible_count"), F.coalesce(F.avg(F.when(mine, F.col("improved_vs_current").cast("double"))), F.lit(0.0)).alias("eligible_improved_share"),
         F.count_if(safe).alias("protected_count"), F.coalesce(F.avg(F.when(safe, worse.cast("double"))), F.lit(0.0)).alias("protected_degraded_share"),

@@ -5,7 +5,7 @@ Used only to check results: every registered query has its own final SELECT over
 
 from __future__ import annotations
 
-from tidegauge.schema import DEFAULT_EXPOSURE, REGIME_NAMES, REGIMES, ReboundProfile
+from tidegauge.schema import BETTER_BY, DEFAULT_EXPOSURE, REGIME_NAMES, REGIMES, ReboundProfile
 
 P = "PARTITION BY symbol ORDER BY ts"
 ALL = f"({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -99,8 +99,8 @@ def metrics(name: str, source: str, regime: str, keys: str = "symbol", extra: st
     share = lambda test: f"coalesce(100.0 * count(*) FILTER (WHERE {test}) / nullif(count({regime}), 0), 0.0)"
     return f"""{name}_e AS (SELECT *, product(1 + strategy_return) OVER {w} AS es, product(1 + asset_return) OVER {w} AS eb FROM {source}),
 {name}_d AS (SELECT *, es / max(es) OVER {w} - 1 AS ds, eb / max(eb) OVER {w} - 1 AS db FROM {name}_e),
-{name}_g AS (SELECT {keys}, count(*) AS observations, min(ts) AS start_date, max(ts) AS end_date, product(1 + strategy_return) - 1 AS strategy_return, product(1 + gross_return) - 1 AS gross_strategy_return,
-  product(1 + asset_return) - 1 AS buy_hold_return, sum(cost) AS total_transaction_cost, sum(turnover) AS turnover, avg(position) AS mean_exposure, arg_max({regime}, ts) AS latest_regime, arg_max(position, ts) AS latest_position,
+{name}_g AS (SELECT {keys}, count(*) AS observations, min(ts) AS start_date, max(ts) AS end_date, product(1 + strategy_return ORDER BY ts) - 1 AS strategy_return, product(1 + gross_return ORDER BY ts) - 1 AS gross_strategy_return,
+  product(1 + asset_return ORDER BY ts) - 1 AS buy_hold_return, sum(cost) AS total_transaction_cost, sum(turnover) AS turnover, avg(position) AS mean_exposure, arg_max({regime}, ts) AS latest_regime, arg_max(position, ts) AS latest_position,
   min(ds) AS max_drawdown_strategy, min(db) AS max_drawdown_buy_hold,
   {share(f"starts_with({regime}, 'Bull') OR starts_with({regime}, 'Up')")} AS bull_share, {share(f"starts_with({regime}, 'Bear') OR starts_with({regime}, 'Down')")} AS bear_share,
   {share(f"starts_with({regime}, 'Sideways')")} AS sideways_share, {share(f"ends_with({regime}, 'Volatile') OR ends_with({regime}, 'HighVol')")} AS high_vol_share,
@@ -163,7 +163,7 @@ def group_metrics(name: str, source: str, cost_bps: float, keys: str = "symbol")
     current = lambda c: f"{c} - max(CASE WHEN variant = 'current' THEN {c} END) OVER (PARTITION BY {keys})"
     return metrics(f"{name}_m", source, "evaluated_regime", f"{keys}, grp, variant, overlay_enabled", counts) + f""",
 {name} AS (SELECT *, {cost_bps} AS transaction_cost_bps, {current("strategy_return")} AS strategy_return_delta_vs_current, {current("max_drawdown_strategy")} AS drawdown_delta_vs_current,
-  variant = 'group_rebound' AND {current("strategy_return")} > 0 AS improved_vs_current FROM {name}_m)"""
+  variant = 'group_rebound' AND {current("strategy_return")} > {BETTER_BY} AS improved_vs_current FROM {name}_m)"""
 
 
 def ewm_std(name: str, source: str, alpha: str, adjust: bool, least: int, keys: str = "symbol") -> str:

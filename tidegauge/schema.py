@@ -22,6 +22,9 @@ REGIME_NAMES = {
     "Down-HighVol": "Bear Volatile",
 }
 UNKNOWN = "Unknown"
+#: One strategy's return is better or worse than another's only by more than this: products of the same returns may
+#: differ by rounding.
+BETTER_BY = 1e-9
 
 # Long-only weights per regime and the alternatives that a sweep compares: fixed values.
 DEFAULT_EXPOSURE = {"Bull Quiet": 1.0, "Bull Volatile": 0.75, "Sideways Quiet": 0.25, "Sideways Volatile": 0.0, "Bear Quiet": 0.0, "Bear Volatile": 0.0}
