@@ -17,7 +17,7 @@ from tidegauge.functions.frames import order, rolling
 from tidegauge.operators import analytics as A
 from tidegauge.operators import backtest as B
 from tidegauge.operators import features as X
-from tidegauge.operators import folds, lookups, outlook
+from tidegauge.operators import folds, lookups, outlook, scans
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import labelled
@@ -703,3 +703,62 @@ register(
     "SELECT symbol, ts, close, trend_strength, volatility, regime, regime_name FROM lab",
 )
 __all__ = ["ORACLES", "QUERIES"]
+
+
+# --- one long symbol ---------------------------------------------------------------------------------------------
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All event values as one symbol's ticks, in at least 32 blocks."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 0").groupBy("ts")
+    made = events.agg(F.round(F.avg("value"), 6).alias("close"), F.max("value").alias("high"), F.min("value").alias("low"))
+    return scans.with_returns(scans.blocked(made.select(F.lit("ALL").alias("symbol"), "ts", "high", "low", "close"), least=32))
+
+
+def tick_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden states of the ticks: calm returns have half their variance, wild ones four times as much."""
+    blocks = ticks(spark, sf_dir)
+    spread = F.round(F.var_samp("log_return"), 6)
+    matrix = F.array(*map(F.lit, (0.95, 0.05, 0.1, 0.9)))
+    given = blocks.groupBy("symbol").agg(spread.alias("v")).select("symbol", F.array(F.lit(0.0), F.lit(0.0)).alias("means"), F.array(0.5 * F.col("v"), 4 * F.col("v")).alias("variances"), matrix.alias("transition"), F.array(F.lit(0.5), F.lit(0.5)).alias("start"))
+    return scans.markov_filter(blocks, given)
+
+
+#: Weights older than this are below a rounding error; the SQL sums what is left outright, without a recurrence.
+_SEEN = 1000
+TICKS = f"""tk AS (SELECT 'ALL' AS symbol, ts, round(avg(value), 6) AS close, max(value) AS high, min(value) AS low FROM events WHERE value > 0 GROUP BY ts),
+tn AS (SELECT *, row_number() OVER o AS rn, ln(close) AS lp, ln(close) - ln(lag(close) OVER o) AS r, greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) AS tr FROM tk WINDOW o AS (ORDER BY ts)),
+tt AS (SELECT symbol, ts, rn, list(tr) OVER (ORDER BY ts ROWS BETWEEN {_SEEN - 1} PRECEDING AND CURRENT ROW) AS l FROM tn),
+tr AS (SELECT symbol, ts, rn - 1 AS n, list(r) OVER (ORDER BY ts ROWS BETWEEN {_SEEN - 1} PRECEDING AND CURRENT ROW) AS l FROM tn WHERE rn > 1)"""
+
+
+def _moments(alpha: str, first: str, new: str) -> str:
+    """The bias-corrected deviation of a list under weights that fall by age; the series' first value has its own."""
+    weight = f"pow(1 - {alpha}, len(l) - i) * CASE WHEN i = 1 AND n <= {_SEEN} THEN {first} ELSE {new} END"
+    total = lambda x: f"list_sum(list_transform(l, lambda x, i: {x}))"
+    return f"SELECT symbol, ts, n, {total(weight)} AS s0, {total(weight + ' * x')} AS s1, {total(weight + ' * x * x')} AS s2, {total(f'pow({weight}, 2)')} AS q FROM tr"
+
+
+_STD = "CASE WHEN n >= {} AND s0 * s0 > q THEN sqrt(greatest(0.0, (s2 / s0 - pow(s1 / s0, 2)) * s0 * s0 / (s0 * s0 - q))) END"
+_HALF = f"(1 - exp(-ln(2.0) / {CFG.ewma_halflife}))"
+register(
+    "ticks_atr", "symbol ts:t rn:i atr:d", lambda s, d: scans.average_true_range(ticks(s, d), CFG),
+    f"SELECT symbol, ts, rn, list_sum(list_transform(l, lambda x, i: x * pow(1 - 1.0 / {CFG.atr_window}, len(l) - i) * CASE WHEN i = 1 AND rn <= {_SEEN} THEN 1 ELSE 1.0 / {CFG.atr_window} END)) AS atr FROM tt", TICKS,
+)
+register(
+    "ticks_ewm_volatility", "symbol ts:t rn:i volatility:d", lambda s, d: scans.ewm_volatility(ticks(s, d), CFG),
+    f"SELECT t.symbol, t.ts, t.rn, {_STD.format(CFG.volatility_window // 2)} AS volatility FROM tn t LEFT JOIN tm USING (symbol, ts)", TICKS + f",\ntm AS ({_moments(f'2.0 / {CFG.volatility_window + 1}', '1', '1')})",
+)
+register(
+    "ticks_ewma_trend", "symbol ts:t rn:i trend_strength_ewma:d", lambda s, d: scans.ewma_trend(ticks(s, d), CFG),
+    f"""SELECT t.symbol, t.ts, t.rn, CASE WHEN {_STD.format(2)} IS NOT NULL AND count(lp) OVER w >= {CFG.trend_window // 2} THEN regr_slope(lp, rn) OVER w / greatest({_STD.format(2)}, 1e-8) END AS trend_strength_ewma
+       FROM tn t LEFT JOIN tm USING (symbol, ts) WINDOW w AS (ORDER BY t.ts ROWS BETWEEN {CFG.trend_window - 1} PRECEDING AND CURRENT ROW)""", TICKS + f",\ntm AS ({_moments(_HALF, '1', _HALF)})",
+)
+register(
+    "ticks_markov_filter", "symbol ts:t rn:i markov_prob_high:d", tick_chain,
+    # the chain forgets by 0.85 a step, so 400 steps from any start are the whole past
+    """SELECT t.symbol, t.ts, t.rn, CASE WHEN l IS NOT NULL THEN list_reduce(list_prepend(CASE WHEN len(l) < 400 THEN CAST(-0.5 AS DOUBLE) ELSE 0.5 END, l),
+         lambda p, x: CASE WHEN p < 0 THEN -p * x / (-p * x + 1 + p) ELSE (p * 0.9 + (1 - p) * 0.05) * x / ((p * 0.9 + (1 - p) * 0.05) * x + p * 0.1 + (1 - p) * 0.95) END) END AS markov_prob_high
+       FROM tn t LEFT JOIN (SELECT ts, list(x) OVER (ORDER BY ts ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS l FROM tx) USING (ts)""",
+    TICKS + ",\ntx AS (SELECT ts, exp(-r * r / (8 * v) + r * r / v) / sqrt(8.0) AS x FROM tn, (SELECT round(var_samp(r), 6) AS v FROM tn) WHERE r IS NOT NULL)",
+)
