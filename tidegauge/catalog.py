@@ -17,10 +17,10 @@ from tidegauge.functions.frames import order, rolling
 from tidegauge.operators import analytics as A
 from tidegauge.operators import backtest as B
 from tidegauge.operators import features as X
-from tidegauge.operators import folds, lookups, outlook, scans
+from tidegauge.operators import channels, folds, lookups, outlook, scans
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
-from tidegauge.plans.analysis import labelled
+from tidegauge.plans.analysis import by_source, labelled
 from tidegauge.schema import BETTER_BY, EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, LO_BANDS, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
 from tidegauge.sources import bars as S
 from tidegauge.sources.sinks import daily_projection
@@ -762,3 +762,57 @@ register(
        FROM tn t LEFT JOIN (SELECT ts, list(x) OVER (ORDER BY ts ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS l FROM tx) USING (ts)""",
     TICKS + ",\ntx AS (SELECT ts, exp(-r * r / (8 * v) + r * r / v) / sqrt(8.0) AS x FROM tn, (SELECT round(var_samp(r), 6) AS v FROM tn) WHERE r IS NOT NULL)",
 )
+
+
+# --- volatility channel ------------------------------------------------------------------------------------------
+
+#: Stand-ins for symbols that have a volatility index, and for the indices: fixed values.
+TRADED = {"A": "SPY", "N": "QQQ", "R": "GLD"}
+QUOTED = {"1-URGENT": "^VIX", "2-HIGH": "^vxn ", "3-MEDIUM": "^GVZ"}
+
+
+def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars under the names of traded symbols; return flags without one keep their own."""
+    b = returns(spark, sf_dir)
+    return b.withColumn("symbol", F.coalesce(F.create_map(*[F.lit(x) for p in TRADED.items() for x in p])[F.col("symbol")], F.col("symbol")))
+
+
+def vol_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order prices as quotes of the volatility indices: several a day, none in the middle of a month."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.dayofmonth("o_orderdate").between(1, 9) | (F.dayofmonth("o_orderdate") > 20))
+    name = F.create_map(*[F.lit(x) for p in QUOTED.items() for x in p])[F.col("o_orderpriority")]
+    return o.select(name.alias("symbol"), F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") / 10000).alias("close")).where("symbol is not null")
+
+
+_TRADED_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TRADED.items())
+_QUOTED_SQL = " ".join(f"WHEN '{k}' THEN '{v.strip().upper()}'" for k, v in QUOTED.items())
+_INDEX_SQL = " ".join(f"WHEN '{v}' THEN '{VOL_INDEX[v]}'" for v in TRADED.values())
+register(
+    "vol_channel_asof", "symbol ts:t log_return:d implied_vol:d", lambda s, d: channels.implied_vol(traded(s, d), vol_quotes(s, d), 4),
+    "SELECT b.symbol, b.ts, b.log_return, CASE WHEN date_diff('day', q.day, b.day) <= 4 THEN q.v END AS implied_vol FROM vb b ASOF LEFT JOIN vq q ON b.idx = q.idx AND b.day >= q.day",
+    f"""vb AS (SELECT *, CASE symbol {_INDEX_SQL} END AS idx FROM (SELECT CASE symbol {_TRADED_SQL} ELSE symbol END AS symbol, ts, log_return, CAST(ts AS DATE) AS day FROM lab_a)),
+vq AS (SELECT idx, CAST(o_orderdate AS DATE) AS day, max(o_totalprice / 10000 / 100) AS v FROM (SELECT *, CASE o_orderpriority {_QUOTED_SQL} END AS idx FROM orders)
+       WHERE idx IS NOT NULL AND (day(o_orderdate) BETWEEN 1 AND 9 OR day(o_orderdate) > 20) GROUP BY 1, 2)""",
+)
+register("markov_vol_channel", "symbol ts:t markov_prob_high:d markov_state markov_model", lambda s, d: folds.markov(channels.implied_vol(traded(s, d), vol_quotes(s, d), 4), second="implied_vol"))
+
+
+# --- configuration by source -------------------------------------------------------------------------------------
+
+#: Return flags under the names of a stock and two crypto pairs: fixed values.
+MIXED = {"A": "SPY", "N": "BTCUSDT", "R": "ethbtc"}
+COINS = Config.crypto()
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = S.daily_bars(spark, sf_dir)
+    return b.withColumn("symbol", F.create_map(*[F.lit(x) for p in MIXED.items() for x in p])[F.col("symbol")])
+
+
+register(
+    "labels_by_source", "symbol ts:t trend_strength:d volatility:d volatility_percentile:d volatility_baseline:d regime regime_name", lambda s, d: by_source(mixed(s, d), labelled),
+    "SELECT * FROM ls UNION ALL SELECT * FROM lc",
+    "mx AS (SELECT CASE symbol " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIXED.items()) + " END AS symbol, ts, open, high, low, close, volume FROM li),\n"
+    "ms AS (SELECT * FROM mx WHERE symbol = 'SPY'), mc AS (SELECT * FROM mx WHERE symbol <> 'SPY'),\n"
+    + O.labelled("ls", "ms") + ",\n" + O.labelled("lc", "mc", COINS.trend_window, COINS.percentile_lookback, COINS.baseline_window, COINS.volatility_percentile),
+)

@@ -31,7 +31,7 @@ def bars(name: str, observed: str) -> str:
 {name} AS (SELECT symbol, ts, open, round(greatest(open, close) * exp(0.005 * abs(r) / 0.01), 6) AS high, round(least(open, close) / exp(0.005 * abs(r) / 0.01), 6) AS low, close, volume FROM {name}_o)"""
 
 
-def labelled(name: str, source: str, w: int = 20, look: int = 252, base: int = 100) -> str:
+def labelled(name: str, source: str, w: int = 20, look: int = 252, base: int = 100, high: float = 0.67) -> str:
     least_p, least_b, least_z = min(look, max(20, look // 10)), min(base, max(20, base // 5)), min(look, 20)
     names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGIME_NAMES.items())
     return f"""{name}_a AS (SELECT *, ln(close) AS log_price, ln(close) - lag(ln(close)) OVER ({P}) AS log_return, close / lag(close) OVER ({P}) - 1 AS ret, row_number() OVER ({P}) AS rn FROM {source}),
@@ -46,7 +46,7 @@ def labelled(name: str, source: str, w: int = 20, look: int = 252, base: int = 1
   {gate(f"stddev_samp(volatility) OVER {roll(w)}", "volatility", w // 2, roll(w))} AS vol_of_vol,
   volatility / nullif(lag(volatility) OVER ({P}), 0) - 1 AS volatility_change,
   {gate(f"(volatility - avg(volatility) OVER {roll(look)}) / nullif(stddev_samp(volatility) OVER {roll(look)}, 0)", "volatility", least_z, roll(look))} AS volatility_zscore FROM {name}_c),
-{name}_e AS (SELECT *, CASE WHEN volatility_percentile IS NULL THEN 'Unknown' WHEN volatility_percentile > 0.67 THEN 'High' ELSE 'Low' END AS volatility_regime FROM {name}_d),
+{name}_e AS (SELECT *, CASE WHEN volatility_percentile IS NULL THEN 'Unknown' WHEN volatility_percentile > {high} THEN 'High' ELSE 'Low' END AS volatility_regime FROM {name}_d),
 {name}_f AS (SELECT *, CASE WHEN trend_regime = 'Unknown' OR volatility_regime = 'Unknown' THEN 'Unknown' ELSE trend_regime || '-' || volatility_regime || 'Vol' END AS regime FROM {name}_e),
 {name} AS (SELECT *, CASE regime {names} ELSE 'Unknown' END AS regime_name FROM {name}_f)"""
 

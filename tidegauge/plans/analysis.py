@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegauge.config import Config
-from tidegauge.operators import analytics, backtest, features, folds, outlook, regimes
+from tidegauge.operators import analytics, backtest, channels, features, folds, outlook, regimes
 from tidegauge.schema import WALK_FORWARD_WINDOWS
-from tidegauge.sources.bars import clean, read_bars, require_rows, with_returns
+from tidegauge.sources.bars import clean, read_bars, require_rows, source_type, with_returns
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,10 @@ def run_features(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
     return features.tail_features(df, cfg)
 
 
-def run_analysis(bars: DataFrame, cfg: Config | None = None, overlays: Overlays | None = None, implied: DataFrame | None = None) -> DataFrame:
+def run_analysis(bars: DataFrame, cfg: Config | None = None, overlays: Overlays | None = None, implied: DataFrame | None = None, quotes: DataFrame | None = None, tolerance_days: int = 0) -> DataFrame:
     """Features, labels, memberships, overlays in their fixed order (adaptive, weighted, Markov, change points, consensus) and flags."""
+    if implied is not None and quotes is not None:
+        raise ValueError("give implied volatility or quotes of indices, not both")
     cfg, o = cfg or Config(), overlays or Overlays()
     df = run_features(bars, cfg)
     if o.fuzzy:
@@ -54,7 +58,11 @@ def run_analysis(bars: DataFrame, cfg: Config | None = None, overlays: Overlays
     if o.ewma:
         df = folds.ewma_trend(df, cfg)
     if o.markov or o.consensus:
-        df = folds.markov(folds.implied_vol(df, implied), second="implied_vol") if implied is not None else folds.markov(df)
+        if implied is not None:
+            df = folds.implied_vol(df, implied)
+        if quotes is not None:
+            df = channels.implied_vol(df, quotes, tolerance_days)
+        df = folds.markov(df, second="implied_vol" if "implied_vol" in df.columns else None)
     if o.bocpd or o.consensus:
         df = folds.dsm_bocpd(df, cfg) if o.bocpd == "dsm" else folds.bocpd(df, cfg)
     if o.consensus:
@@ -62,6 +70,16 @@ def run_analysis(bars: DataFrame, cfg: Config | None = None, overlays: Overlays
     return regimes.quality_flags(df, cfg)
 
 
+def by_source(bars: DataFrame, make: Callable[[DataFrame, Config], DataFrame], stock: Config | None = None, crypto: Config | None = None) -> DataFrame:
+    """``make`` over the bars of stocks and over those of crypto pairs, each under its own configuration, in one table.
+
+    The class follows from the symbol (see ``source_type``; without a symbol: stock). Every row goes through one of two
+    plans, which filter before any exchange, so that neither computes the other's frames.
+    """
+    is_crypto = F.coalesce(source_type(F.col("symbol")) == "crypto", F.lit(False))
+    return make(bars.where(~is_crypto), stock or Config()).unionByName(make(bars.where(is_crypto), crypto or Config.crypto()))
+
+
 def summaries(df: DataFrame, cfg: Config | None = None) -> dict[str, DataFrame]:
     """The tables of a report, each lazy."""
     cfg = cfg or Config()
@@ -93,8 +111,14 @@ class Engine:
         found = read_bars(self.spark, path, **limits)
         return clean(require_rows(found, limits.get("symbols")) if required else found, self.cfg.fill)
 
-    def analyse(self, bars: DataFrame, overlays: Overlays | None = None, implied: DataFrame | None = None) -> DataFrame:
-        return run_analysis(bars, self.cfg, overlays, implied)
+    def analyse(self, bars: DataFrame, overlays: Overlays | None = None, implied: DataFrame | None = None, quotes: DataFrame | None = None, tolerance_days: int = 0) -> DataFrame:
+        """``implied`` gives implied volatility by date (and symbol); or ``quotes`` are bars of volatility indices, which
+        reach a symbol through its own index, ``tolerance_days`` late at most."""
+        return run_analysis(bars, self.cfg, overlays, implied, quotes, tolerance_days)
+
+    def analyse_by_source(self, bars: DataFrame, crypto: Config | None = None, overlays: Overlays | None = None, **channel) -> DataFrame:
+        """Stocks under this engine's configuration and crypto pairs under ``crypto``, in one table."""
+        return by_source(bars, lambda df, cfg: run_analysis(df, cfg, overlays, **channel), self.cfg, crypto)
 
     def summaries(self, analysed: DataFrame) -> dict[str, DataFrame]:
         return summaries(analysed, self.cfg)

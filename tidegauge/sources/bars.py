@@ -74,6 +74,14 @@ def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
     return df
 
 
+def requested(period: str | None, start: str | None, end: str | None) -> None:
+    """Raises ValueError unless a request names a period, or both a start and an end, or nothing."""
+    if period and (start or end):
+        raise ValueError("give a period, or a start and an end, not both")
+    if bool(start) != bool(end):
+        raise ValueError("a start needs an end, and an end a start")
+
+
 def require_rows(df: DataFrame, symbols: list[str] | None = None) -> DataFrame:
     """The bars themselves if every requested symbol (without any: the table) has some; else NoData names what is missing."""
     if symbols is None:
