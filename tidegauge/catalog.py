@@ -217,18 +217,18 @@ register("min_dwell", "symbol ts:t trend_regime regime_dwell", lambda s, d: R.mi
 
 # --- tail risk and long memory -----------------------------------------------------------------------------------
 
-TAIL_CFG = Config(tail_window=60)
-tail = lambda s, d: X.tail_features(S.daily_bars(s, d), TAIL_CFG)
-_W = O.roll(60)
-TAIL = f"""tl1 AS (SELECT *, list(-log_return) FILTER (WHERE log_return IS NOT NULL) OVER {_W} AS ls, list(coalesce(log_return, 0.0)) OVER {_W} AS rs, count(log_return) OVER {_W} AS n, count(*) OVER {_W} AS nr,
-  quantile_cont(-log_return, 0.95) OVER {_W} AS v, kurtosis(log_return) OVER {_W} AS k FROM lab_a),
+tail = lambda s, d: X.tail_features(S.daily_bars(s, d), CFG)
+_W, _TMOST = O.roll(CFG.tail_window), CFG.tail_window // 2
+TAIL = f"""tl0 AS (SELECT *, product(1 + coalesce(log_return, 0.0)) OVER {O.ALL} AS level FROM lab_a),
+tl1 AS (SELECT *, list(-log_return) FILTER (WHERE log_return IS NOT NULL) OVER {_W} AS ls, list(level) OVER {_W} AS eq, count(log_return) OVER {_W} AS n, count(*) OVER {_W} AS nr,
+  quantile_cont(-log_return, 0.95) OVER {_W} AS v, kurtosis(log_return) OVER {_W} AS k FROM tl0),
 tl2 AS (SELECT *, list_reverse_sort(list_filter(ls, lambda x: x > 0)) AS pos FROM tl1),
 tl3 AS (SELECT *, least(len(pos), greatest(5, CAST(floor(len(pos) * 0.1) AS BIGINT))) AS hk FROM tl2),
 tl4 AS (SELECT *, list_avg(list_transform(pos[1:hk], lambda x: ln(x / pos[hk]))) AS hm FROM tl3),
-tl5 AS (SELECT symbol, ts, close, n, nr, v, k, ls, pos, hm, list_transform(generate_series(1, len(rs)), lambda i: list_product(list_transform(rs[1:i], lambda x: 1 + x))) AS eq FROM tl4),
-tl AS (SELECT *, CASE WHEN n >= 30 THEN v END AS loss_var, CASE WHEN n >= 30 THEN list_avg(list_filter(ls, lambda x: x >= v)) END AS loss_cvar, CASE WHEN n >= 30 AND len(pos) >= 5 AND hm > 0 THEN 1 / hm END AS tail_index,
-  CASE WHEN n >= 30 THEN k END AS excess_kurtosis, close / max(close) OVER {O.ALL} - 1 AS drawdown,
-  CASE WHEN nr >= 30 THEN least(0.0, list_min(list_transform(generate_series(1, len(eq)), lambda i: eq[i] / list_max(eq[1:i]) - 1))) END AS rolling_max_drawdown FROM tl5),
+tl5 AS (SELECT symbol, ts, close, n, nr, v, k, ls, pos, hm, eq FROM tl4),
+tl AS (SELECT *, CASE WHEN n >= {_TMOST} THEN v END AS loss_var, CASE WHEN n >= {_TMOST} THEN list_avg(list_filter(ls, lambda x: x >= v)) END AS loss_cvar, CASE WHEN n >= {_TMOST} AND len(pos) >= 5 AND hm > 0 THEN 1 / hm END AS tail_index,
+  CASE WHEN n >= {_TMOST} THEN k END AS excess_kurtosis, close / max(close) OVER {O.ALL} - 1 AS drawdown,
+  CASE WHEN nr >= {_TMOST} THEN least(0.0, list_min(list_transform(generate_series(1, len(eq)), lambda i: eq[i] / list_max(eq[1:i]) - 1))) END AS rolling_max_drawdown FROM tl5),
 sv AS (SELECT *, CASE WHEN loss_cvar IS NULL AND tail_index IS NULL AND rolling_max_drawdown IS NULL THEN 'Unknown'
   WHEN coalesce(loss_cvar >= 0.04, false) OR coalesce(tail_index <= 3, false) OR coalesce(rolling_max_drawdown <= -0.15, false) THEN 'Fragile'
   WHEN coalesce(loss_cvar >= 0.02, false) OR coalesce(tail_index <= 4, false) OR coalesce(rolling_max_drawdown <= -0.07, false) THEN 'Stressed' ELSE 'Resilient' END AS survival_regime,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidegauge.config import Config
-from tidegauge.functions.frames import order, past, whole, finite, gated, half, ratio, rolling, sliding_array
+from tidegauge.functions import sliding
+from tidegauge.functions.frames import order, past, whole, finite, gated, half, ratio, rolling, sliding_array  # noqa: F401
+from tidegauge.functions.grouped import doubles
 from tidegauge.schema import UNKNOWN
 from tidegauge.sources.bars import with_returns
 
@@ -109,6 +113,18 @@ def volatility_percentile(value: str, lookback: int) -> Column:
     return gated(F.when(F.col(value).isNull(), F.lit(0.0)).otherwise(lower / F.count(F.lit(1)).over(frame)), F.col(value), least, frame)
 
 
+#: Up to so many rows a window's values are compared as a list in the JVM; longer windows are kept sorted in a fold.
+LISTED_ROWS = 400
+
+
+def with_volatility_percentile(df: DataFrame, value: str, lookback: int, out: str = "volatility_percentile") -> DataFrame:
+    """Adds ``volatility_percentile``, at about the same cost for any lookback."""
+    if lookback <= LISTED_ROWS:
+        return df.withColumn(out, volatility_percentile(value, lookback))
+    least = min(lookback, max(20, lookback // 10))
+    return doubles(df, [out], lambda r: {out: sliding.lower_shares(r[value].to_numpy(float), lookback, least)}, [value])
+
+
 def volatility_label(cfg: Config, method: str = "percentile") -> Column:
     """Low, High or Unknown by percentile, by level, or against the baseline."""
     v, p, b = F.col("volatility"), F.col("volatility_percentile"), F.col("volatility_baseline")
@@ -125,11 +141,11 @@ def volatility_features(df: DataFrame, cfg: Config) -> DataFrame:
     df = df.withColumn("realized_variance", realized_variance(cfg.volatility_window))
     if cfg.volatility_method != "ewm":
         df = df.withColumn("volatility", volatility(cfg))
+    df = with_volatility_percentile(df, "volatility", look)
     frame, long = rolling(base), rolling(look)
     df = df.withColumns(
         {
             "realized_volatility": F.sqrt("realized_variance"),
-            "volatility_percentile": volatility_percentile("volatility", look),
             "volatility_baseline": gated(F.avg("volatility").over(frame), F.col("volatility"), min(base, max(20, base // 5)), frame),
             "vol_of_vol": gated(F.stddev_samp("volatility").over(rolling(cfg.volatility_window)), F.col("volatility"), half(cfg.volatility_window), rolling(cfg.volatility_window)),
             "volatility_change": F.try_divide(F.col("volatility"), F.lag("volatility").over(order())) - 1,
@@ -161,6 +177,9 @@ def volatility_clusters(df: DataFrame, threshold: float = 0.7) -> DataFrame:
 # --- tail risk ---------------------------------------------------------------------------------------------------
 
 
+# Of one frame as expressions; ``tail_features`` takes them over sliding windows.
+
+
 def value_at_risk(window: int, alpha: float) -> Column:
     """Linearly interpolated quantile of the losses in the window."""
     return F.percentile(-F.col("log_return"), F.lit(alpha)).over(rolling(window))
@@ -222,28 +241,22 @@ def survival_score(cfg: Config) -> Column:
 def tail_features(df: DataFrame, cfg: Config) -> DataFrame:
     """loss_var, loss_cvar, tail_index, excess_kurtosis, rolling_max_drawdown, drawdown, survival_regime, survival_score.
 
-    The window's returns are gathered once; every statistic of the tail is a function of that array.
+    The order statistics and the drawdown of the window are one fold, which costs about the same for any window.
     """
     df = _ready(df)
     w = cfg.tail_window
     least = min(w, max(20, w // 2))
-    frame = rolling(w)
-    count = F.count("log_return").over(frame)
-    df = df.withColumns({"_r": sliding_array(F.col("log_return"), w), "_n": count, "_all": F.collect_list(F.coalesce("log_return", F.lit(0.0))).over(frame)})
-    df = df.withColumn("_l", F.transform("_r", lambda x: -x)).withColumn("loss_var", F.when(F.col("_n") >= least, value_at_risk(w, cfg.var_alpha)))
-    limit = "loss_var"
-    if cfg.cvar_alpha != cfg.var_alpha:
-        df, limit = df.withColumn("_limit", value_at_risk(w, cfg.cvar_alpha)), "_limit"
-    df = df.withColumns(
-        {
-            "loss_cvar": F.when(F.col("_n") >= least, conditional_value_at_risk(F.col("_l"), F.col(limit))),
-            "tail_index": F.when(F.col("_n") >= least, hill_index(F.col("_l"), cfg.hill_fraction, cfg.hill_min)),
-            "excess_kurtosis": excess_kurtosis("log_return", w, least),
-            "rolling_max_drawdown": F.when(F.count(F.lit(1)).over(frame) >= min(w, max(5, w // 2)), window_drawdown(F.col("_all"))),
-            "drawdown": F.try_divide(F.col("close"), F.max("close").over(past())) - 1,
-        }
-    )
-    return df.withColumns({"survival_regime": survival_label(cfg), "survival_score": survival_score(cfg)}).drop("_r", "_n", "_all", "_l", "_limit")
+
+    def fold(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        x = rows["log_return"].to_numpy(float)
+        var, cvar, hill = sliding.tail_statistics(x, w, least, cfg.var_alpha, cfg.cvar_alpha, cfg.hill_fraction, cfg.hill_min)
+        fall = sliding.drawdowns(x, w)
+        fall[: min(w, max(5, w // 2)) - 1] = np.nan
+        return {"loss_var": var, "loss_cvar": cvar, "tail_index": hill, "rolling_max_drawdown": fall}
+
+    df = doubles(df, ["loss_var", "loss_cvar", "tail_index", "rolling_max_drawdown"], fold, ["log_return"])
+    df = df.withColumns({"excess_kurtosis": excess_kurtosis("log_return", w, least), "drawdown": F.try_divide(F.col("close"), F.max("close").over(past())) - 1})
+    return df.withColumns({"survival_regime": survival_label(cfg), "survival_score": survival_score(cfg)})
 
 
 # --- fractal filter ----------------------------------------------------------------------------------------------

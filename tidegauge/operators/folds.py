@@ -2,70 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegauge.config import Config
 from tidegauge.functions import kernels as K
 from tidegauge.functions.frames import order, half, ratio
+from tidegauge.functions.grouped import doubles, per_symbol
 from tidegauge.operators.analytics import with_segments
 from tidegauge.operators.features import numbered, ols_slope, trend_strength, true_range
 from tidegauge.operators.regimes import consensus_anchors
 from tidegauge.schema import HALFLIFE_GRID, UNKNOWN
 
 
-_ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-_SPARK = {"double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
-
-
-def per_symbol(df: DataFrame, made: dict[str, str], fold: Callable[[pd.DataFrame], dict[str, np.ndarray]], needs: list[str]) -> DataFrame:
-    """Adds the columns ``made`` (name -> SQL type) that ``fold`` computes from the columns ``needs``.
-
-    A symbol's bars are one Arrow table. Only ``needs`` become a pandas frame; all other columns pass through as they
-    are, so a chain of folds stays a chain and no fold is computed twice for a join. NaN comes out as NULL.
-    """
-    df = df.drop(*made)
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c, _SPARK[t]) for c, t in made.items()]])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("ts", "ascending")]))
-        found = fold(table.select(list(dict.fromkeys(["ts", *needs]))).to_pandas())
-        for name, kind in made.items():
-            table = table.append_column(name, pa.array(found[name], _ARROW[kind], from_pandas=True))
-        return table
-
-    return df.groupBy("symbol").applyInArrow(run, schema)
-
-
-def _doubles(df: DataFrame, names: list[str], fold, needs: list[str]) -> DataFrame:
-    return per_symbol(df, dict.fromkeys(names, "double"), fold, needs)
-
-
 def average_true_range(df: DataFrame, cfg: Config) -> DataFrame:
     """atr (Wilder's mean of the true range) and atr_pct."""
     df = df.withColumn("_tr", true_range())
-    out = _doubles(df, ["atr"], lambda r: {"atr": K.ema(r["_tr"].to_numpy(), 1 / cfg.atr_window)}, ["_tr"])
+    out = doubles(df, ["atr"], lambda r: {"atr": K.ema(r["_tr"].to_numpy(), 1 / cfg.atr_window)}, ["_tr"])
     return out.withColumn("atr_pct", ratio(F.col("atr"), F.col("close"))).drop("_tr")
 
 
 def ewm_volatility(df: DataFrame, cfg: Config) -> DataFrame:
     """volatility by exponential weights of the given span."""
     alpha = 2 / (cfg.volatility_window + 1)
-    return _doubles(df, ["volatility"], lambda r: {"volatility": K.ewm_std(r["log_return"].to_numpy(), alpha, True, half(cfg.volatility_window))}, ["log_return"])
+    return doubles(df, ["volatility"], lambda r: {"volatility": K.ewm_std(r["log_return"].to_numpy(), alpha, True, half(cfg.volatility_window))}, ["log_return"])
 
 
 def ewma_trend(df: DataFrame, cfg: Config, out: str = "trend_strength_ewma") -> DataFrame:
     """Slope per unit of exponentially weighted volatility."""
     alpha = K.halflife_alpha(cfg.ewma_halflife)
     df = numbered(df)
-    df = _doubles(df, ["_ewm"], lambda r: {"_ewm": K.ewm_std(r["log_return"].to_numpy(), alpha, False)}, ["log_return"])
+    df = doubles(df, ["_ewm"], lambda r: {"_ewm": K.ewm_std(r["log_return"].to_numpy(), alpha, False)}, ["log_return"])
     return df.withColumn(out, trend_strength(ols_slope("log_price", cfg.trend_window), F.col("_ewm"))).drop("_ewm")
 
 
@@ -92,7 +61,7 @@ def hurst(df: DataFrame, cfg: Config) -> DataFrame:
             return {"hurst": K.rolling_structure(x, w, max(20, w // 2))}
         return {"hurst": K.stepped(x, w, cfg.hurst_step, statistic) if cfg.hurst_step > 1 else K.rolling(x, w, max(20, w // 2), statistic)}
 
-    return _doubles(df, ["hurst"], fold, ["close"])
+    return doubles(df, ["hurst"], fold, ["close"])
 
 
 def segment_hurst(df: DataFrame, method: str = "rs", least: int = 20, regime: str = "regime", gap: str = "close") -> DataFrame:
@@ -120,13 +89,13 @@ def segment_hurst(df: DataFrame, method: str = "rs", least: int = 20, regime: st
 def lo_rescaled_range(df: DataFrame, cfg: Config) -> DataFrame:
     """lo_modified_rs of the log returns."""
     w = cfg.hurst_window
-    return _doubles(df, ["lo_modified_rs"], lambda r: {"lo_modified_rs": K.rolling_lo(r["log_return"].to_numpy(), w, max(20, w // 2), cfg.lo_lags)}, ["log_return"])
+    return doubles(df, ["lo_modified_rs"], lambda r: {"lo_modified_rs": K.rolling_lo(r["log_return"].to_numpy(), w, max(20, w // 2), cfg.lo_lags)}, ["log_return"])
 
 
 def bocpd(df: DataFrame, cfg: Config) -> DataFrame:
     """bocpd_run_length, bocpd_change_prob and bocpd_recent_prob (mass on runs of at most five bars)."""
     names = ["bocpd_run_length", "bocpd_change_prob", "bocpd_recent_prob"]
-    return _doubles(df, names, lambda r: dict(zip(names, K.bocpd(r["log_return"].to_numpy(), cfg.bocpd_run_length, df_cap=cfg.bocpd_df_cap, least_mass=cfg.bocpd_least_mass), strict=True)), ["log_return"])
+    return doubles(df, names, lambda r: dict(zip(names, K.bocpd(r["log_return"].to_numpy(), cfg.bocpd_run_length, df_cap=cfg.bocpd_df_cap, least_mass=cfg.bocpd_least_mass), strict=True)), ["log_return"])
 
 
 def dsm_bocpd(df: DataFrame, cfg: Config) -> DataFrame:
@@ -142,7 +111,7 @@ def dsm_bocpd(df: DataFrame, cfg: Config) -> DataFrame:
         run, change = K.dsm_bocpd(x, cfg.bocpd_run_length, varx, cfg.dsm_omega, cfg.dsm_bandwidth)
         return {"bocpd_run_length": run, "bocpd_change_prob": change}
 
-    return _doubles(df, ["bocpd_run_length", "bocpd_change_prob"], fold, ["log_return"])
+    return doubles(df, ["bocpd_run_length", "bocpd_change_prob"], fold, ["log_return"])
 
 
 def markov(df: DataFrame, threshold: float = 0.5, second: str | None = None) -> DataFrame:

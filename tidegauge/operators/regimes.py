@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidegauge.config import Config
+from tidegauge.functions import sliding
 from tidegauge.functions.frames import order, past, before, half, lookup
 from tidegauge.functions.frames import gated as gate
+from tidegauge.functions.grouped import doubles
 from tidegauge.operators.features import numbered, trend_label
 from tidegauge.schema import REGIME_NAMES, REGIMES, UNKNOWN
 
@@ -126,20 +128,36 @@ def quantile_thresholds(value: str, window: int, up: float, down: float, floor_u
     return F.when(upper.isNotNull(), F.greatest(upper, F.lit(floor_up))), F.when(lower.isNotNull(), F.least(lower, F.lit(-floor_down)))
 
 
+def with_quantile_thresholds(
+    df: DataFrame, value: str, window: int, up: float, down: float, floor_up: float = 0.0, floor_down: float = 0.0, least: int | None = None, names: tuple[str, str] = ("adaptive_upper", "adaptive_lower")
+) -> DataFrame:
+    """Adds ``quantile_thresholds``, at about the same cost for any window."""
+    if not 0 < down < up < 1:
+        raise ValueError("quantiles must satisfy 0 < down < up < 1")
+    df = earlier_quantiles(df, value, window, dict(zip(names, (up, down), strict=True)), half(window) if least is None else least)
+    upper, lower = map(F.col, names)
+    return df.withColumns({names[0]: F.when(upper.isNotNull(), F.greatest(upper, F.lit(floor_up))), names[1]: F.when(lower.isNotNull(), F.least(lower, F.lit(-floor_down)))})
+
+
+def earlier_quantiles(df: DataFrame, value: str, window: int, shares: dict[str, float], least: int) -> DataFrame:
+    """Adds a quantile (name -> share) of the ``window`` rows before each, from ``least`` values on: a sorted window in a fold."""
+    names = list(shares)
+    return doubles(df, names, lambda r: dict(zip(names, sliding.earlier_quantiles(r[value].to_numpy(float), window, list(shares.values()), least), strict=True)), [value])
+
+
 def adaptive_label(value: Column, upper: Column, lower: Column) -> Column:
     return F.when(value.isNull() | upper.isNull() | lower.isNull(), UNKNOWN).when(value > upper, "Up").when(value < lower, "Down").otherwise("Sideways")
 
 
 def adaptive_regime(df: DataFrame, cfg: Config, value: str = "trend_strength") -> DataFrame:
     """adaptive_upper, adaptive_lower and regime_adaptive."""
-    upper, lower = quantile_thresholds(value, cfg.adaptive_window, cfg.adaptive_up, cfg.adaptive_down, cfg.adaptive_floor, cfg.adaptive_floor)
-    return df.withColumns({"adaptive_upper": upper, "adaptive_lower": lower}).withColumn("regime_adaptive", adaptive_label(F.col(value), F.col("adaptive_upper"), F.col("adaptive_lower")))
+    df = with_quantile_thresholds(df, value, cfg.adaptive_window, cfg.adaptive_up, cfg.adaptive_down, cfg.adaptive_floor, cfg.adaptive_floor)
+    return df.withColumn("regime_adaptive", adaptive_label(F.col(value), F.col("adaptive_upper"), F.col("adaptive_lower")))
 
 
 def adaptive_volatility(df: DataFrame, window: int = 252, high: float = 0.67) -> DataFrame:
     """High or Low against the quantile of the values before."""
-    frame = before(window)
-    df = df.withColumn("adaptive_vol_threshold", gate(F.percentile("volatility", F.lit(high)).over(frame), F.col("volatility"), half(window), frame))
+    df = earlier_quantiles(df, "volatility", window, {"adaptive_vol_threshold": high}, half(window))
     v, t = F.col("volatility"), F.col("adaptive_vol_threshold")
     return df.withColumn("regime_vol_adaptive", F.when(v.isNull() | t.isNull(), UNKNOWN).when(v > t, "High").otherwise("Low"))
 
