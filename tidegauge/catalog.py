@@ -112,13 +112,17 @@ for _fill, _close in (
     register(f"bars_{_fill}_dedup", "symbol ts:t open:d close:e volume:d", lambda s, d, fill=_fill: S.clean(gappy(s, d), fill, "arrived"), _sql, GAPPY)
 register("log_returns", "symbol ts:t log_price:d log_return:d return:d", returns, 'SELECT *, ret AS "return" FROM lab_a')
 register("latest_price", "symbol ts:t close:d", lambda s, d: S.latest_price(S.daily_bars(s, d)), "SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS close FROM li GROUP BY 1")
-SYMBOLS = ("AAPL", "^GSPC", "BRL=X", "GC=F", "BTC-USD", "BTCUSDT", "ETHUSDT", "EUR-USD", "ETHBTC", "SOLUSD", "bad symbol", "USDT", " msft ")
+#: What the words of part names become, {} being the word or its number: stocks, indices, futures, currencies and pairs.
+FORMS = ("{}", "^{}", "{}=X", "{}=F", "{}-USD", "{}USDT", "btc{}", "EUR-{}", "ETHBTC", "SOLUSD", "bad {}", "USDT", " {} ", "BTC-USD", "GBP-EUR")
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
+    """Names of parts in the forms of symbols, each with its source, whether it is valid, and how it is written."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    word = F.element_at(F.split("p_name", " "), (F.col("p_partkey") % 2 + 1).cast("int"))
+    form = F.get(F.array(*map(F.lit, FORMS)), (F.col("p_partkey") % len(FORMS)).cast("int"))
     s = F.col("symbol")
-    return df.select("symbol", S.source_type(s).alias("source"), S.valid_symbol(s).alias("valid"), S.normalise_symbol(s).alias("normalised"))
+    return parts.select(F.replace(form, F.lit("{}"), word).alias("symbol")).distinct().select("symbol", S.source_type(s).alias("source"), S.valid_symbol(s).alias("valid"), S.normalise_symbol(s).alias("normalised"))
 
 
 _T = "|".join(S.CRYPTO_TICKERS)
@@ -128,7 +132,7 @@ register(
     f"""SELECT symbol, source, CASE source WHEN 'crypto' THEN regexp_full_match(u, '[A-Z]{{2,10}}(USDT|BUSD|BTC|ETH|BNB|USD)') ELSE regexp_full_match(u, '[\\^]?[A-Z0-9.\\-]{{1,10}}(=[XF])?') END AS valid,
        CASE WHEN len(string_split(u, '-')) = 2 AND split_part(u, '-', 1) <> '' AND split_part(u, '-', 2) IN ({_F}) AND NOT regexp_full_match(split_part(u, '-', 1), '{_T}') THEN replace(u, '-', '') || '=X' ELSE u END AS normalised
        FROM (SELECT symbol, upper(trim(symbol)) AS u, CASE WHEN regexp_matches(upper(trim(symbol)), '(USDT|BUSD)$') OR regexp_full_match(upper(trim(symbol)), '({_T})USD') OR regexp_full_match(upper(trim(symbol)), '({_T})({_T})') THEN 'crypto' ELSE 'stock' END AS source
-       FROM (SELECT unnest([{",".join(f"'{s}'" for s in SYMBOLS)}]) AS symbol))""",
+       FROM (SELECT DISTINCT replace(([{",".join(f"'{f}'" for f in FORMS)}])[1 + p_partkey % {len(FORMS)}], '{{}}', split_part(p_name, ' ', CAST(1 + p_partkey % 2 AS INT))) AS symbol FROM part))""",
 )
 
 # --- trend and volatility ----------------------------------------------------------------------------------------
@@ -611,13 +615,17 @@ register(
 
 # --- lookups and detectors ---------------------------------------------------------------------------------------
 
-CLASSES = (("equity", "SPY"), ("fx", "eurusd"), ("crypto", "BTCUSDT"), ("commodity", " gc=f "), ("bond", "TLT"))
+#: What stands for a customer's market segment and nation: fixed values, some of them unknown to the tables.
+CLASSES = {"BUILDING": "equity", "AUTOMOBILE": "fx", "MACHINERY": "crypto", "HOUSEHOLD": " Commodity", "FURNITURE": "bond"}
+HELD = ("SPY", "eurusd", "BTCUSDT", " gc=f ", "TLT", "qqq", "^RUT")
 
 
 def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(list(CLASSES), "asset_class string, symbol string")
+    held = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey", F.create_map(*[F.lit(x) for p in CLASSES.items() for x in p])[F.col("c_mktsegment")].alias("asset_class"), F.get(F.array(*map(F.lit, HELD)), (F.col("c_nationkey") % len(HELD)).cast("int")).alias("symbol")
+    )
     c, s = F.col("asset_class"), F.col("symbol")
-    return df.select("asset_class", "symbol", lookups.default_halflife(c).alias("halflife"), lookups.default_run_length(c).alias("run_length"), lookups.vol_channel(s).alias("vol_index"))
+    return held.select("c_custkey", "asset_class", "symbol", lookups.default_halflife(c).alias("halflife"), lookups.default_run_length(c).alias("run_length"), lookups.vol_channel(s).alias("vol_index"))
 
 
 def _case(column: str, table: dict) -> str:
@@ -625,8 +633,9 @@ def _case(column: str, table: dict) -> str:
 
 
 register(
-    "asset_lookups", "asset_class symbol halflife:d run_length:d vol_index", looked_up,
-    f"SELECT *, {_case('asset_class', HALFLIFE)} AS halflife, {_case('asset_class', RUN_LENGTH)} AS run_length, {_case('upper(trim(symbol))', VOL_INDEX)} AS vol_index FROM (VALUES {', '.join(f"('{c}', '{s}')" for c, s in CLASSES)}) v(asset_class, symbol)",
+    "asset_lookups", "c_custkey:i asset_class symbol halflife:d run_length:d vol_index", looked_up,
+    f"""SELECT *, {_case('lower(trim(asset_class))', HALFLIFE)} AS halflife, {_case('lower(trim(asset_class))', RUN_LENGTH)} AS run_length, {_case('upper(trim(symbol))', VOL_INDEX)} AS vol_index
+       FROM (SELECT c_custkey, {_case('c_mktsegment', CLASSES)} AS asset_class, ({list(HELD)})[1 + c_nationkey % {len(HELD)}] AS symbol FROM customer)""",
 )
 register("detector_report", "symbol observations:i sigma:d max_abs_sigma:d std_resets:i std_last_run:d dsm_resets:i dsm_last_run:d", lambda s, d: lookups.detector_report(returns(s, d)))
 
@@ -651,29 +660,33 @@ register(
     "compare_classifiers", "classifier symbol stability:d entropy:d n_labels:i information_ratio:d", lambda s, d: A.compare_classifiers(R.min_dwell(labels(s, d), "trend_regime", 5), "trend_regime", "regime_dwell", 5),
     classifier_sql("baseline", "trend_regime", "b0") + " UNION ALL " + classifier_sql("candidate", "regime_dwell", "b1"), COMPARED,
 )
-_PATHS = [f"({p}, {a}, {b})" for p, (a, b) in enumerate(A.cpcv_paths(6, 2))]
-register(
-    "cpcv_folds", "path_id:i rn:i role", lambda s, d: A.cpcv_folds(s, 300, 6, 2, 5, 3),
-    f"""SELECT path_id, rn, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM (SELECT path_id, rn, rn // 50 IN (a, b) AS test, (rn >= a * 50 - 5 AND rn < a * 50 + 53) OR (rn >= b * 50 - 5 AND rn < b * 50 + 53) AS shut
-       FROM range(300) t(rn) CROSS JOIN (VALUES {", ".join(_PATHS)}) v(path_id, a, b)) WHERE test OR NOT shut""",
-)
+_FOLDS, _TESTED, _AHEAD, _EMBARGO = 6, 2, 5, 3
+_PATHS = [f"({p}, {a}, {b})" for p, (a, b) in enumerate(A.cpcv_paths(_FOLDS, _TESTED))]
+_TW = {"bull": {"Bull Quiet": 1.0, "Bull Volatile": 1.0}, "bear": {"Bear Quiet": 1.0, "Bear Volatile": 1.0}, "quiet": {"Bull Quiet": 1.0, "Sideways Quiet": 1.0, "Bear Quiet": 1.0}, **{k: EXPOSURE_MAPS[k] for k in ("current", "aggressive")}}
 
 
-def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sharpe ratios of five weightings of the labels in the odd and even bars of each symbol's years."""
-    base = labels(spark, sf_dir).withColumn("path", F.concat_ws("-", "symbol", F.year("ts").cast("string"))).withColumn("_next", F.lead("log_return").over(order()))
-    weights = {"bull": {"Bull Quiet": 1.0, "Bull Volatile": 1.0}, "bear": {"Bear Quiet": 1.0, "Bear Volatile": 1.0}, "quiet": {"Bull Quiet": 1.0, "Sideways Quiet": 1.0, "Bear Quiet": 1.0}, **{k: EXPOSURE_MAPS[k] for k in ("current", "aggressive")}}
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("trial"), (B.exposure(F.col("regime_name"), w) * F.col("_next")).alias("r")) for n, w in weights.items()])).alias("x")
-    long = base.withColumn("odd", F.col("rn") % 2).select("path", "odd", pairs).select("path", "odd", "x.*")
-    ratio = lambda side: F.coalesce(F.try_divide(F.avg(F.when(F.col("odd") == side, F.col("r"))), F.stddev_samp(F.when(F.col("odd") == side, F.col("r")))), F.lit(0.0))
-    return long.groupBy("path", "trial").agg(F.round(ratio(1), 9).alias("is_sharpe"), F.round(ratio(0), 9).alias("oos_sharpe"))
+def path_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five weightings of the labels, each by the return of the bar that follows, on every path of the purged folds."""
+    base = labels(spark, sf_dir).withColumn("_next", F.lead("log_return").over(order()))
+    return A.path_sharpes(base, {n: B.exposure(F.col("regime_name"), w) * F.col("_next") for n, w in _TW.items()}, _FOLDS, _TESTED, _AHEAD, _EMBARGO)
 
 
-_TW = {"bull": {"Bull Quiet": 1.0, "Bull Volatile": 1.0}, "bear": {"Bear Quiet": 1.0, "Bear Volatile": 1.0}, "quiet": {"Bull Quiet": 1.0, "Sideways Quiet": 1.0, "Bear Quiet": 1.0}, **{k: EXPOSURE_MAPS[k] for k in ("current", "aggressive")}}
-TRIALS = f"pb0 AS (SELECT symbol || '-' || CAST(year(ts) AS VARCHAR) AS path, rn % 2 AS odd, regime_name, lead(log_return) OVER ({O.P}) AS nx FROM lab),\npb1 AS (" + " UNION ALL ".join(f"SELECT path, odd, '{n}' AS trial, {O.exposure('regime_name', w)} * nx AS r FROM pb0" for n, w in _TW.items()) + """),
-pb2 AS (SELECT path, trial, round(coalesce(avg(CASE WHEN odd = 1 THEN r END) / nullif(stddev_samp(CASE WHEN odd = 1 THEN r END), 0), 0), 9) AS is_sharpe, round(coalesce(avg(CASE WHEN odd = 0 THEN r END) / nullif(stddev_samp(CASE WHEN odd = 0 THEN r END), 0), 0), 9) AS oos_sharpe FROM pb1 GROUP BY 1, 2),
-pb3 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY oos_sharpe, trial) - 1 AS place, row_number() OVER (PARTITION BY path ORDER BY is_sharpe DESC, trial) AS best, count(*) OVER (PARTITION BY path) AS n FROM pb2)"""
-register("pbo", "pbo:d paths:i", lambda s, d: A.backtest_overfitting(trials(s, d)), "SELECT avg(CAST(place < n / 2.0 AS INT)) AS pbo, count(*) AS paths FROM pb3 WHERE best = 1", TRIALS)
+CPCV = f"""cv0 AS (SELECT *, rn - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, lead(log_return) OVER ({O.P}) AS nx FROM lab),
+cv1 AS (SELECT *, least(i // (n // {_FOLDS}), {_FOLDS - 1}) AS fold, n // {_FOLDS} AS size FROM cv0),
+cv2 AS (SELECT c.*, p.path_id, fold IN (a, b) AS test,
+  (i >= a * size - {_AHEAD} AND i < CASE WHEN a = {_FOLDS - 1} THEN n ELSE (a + 1) * size END + {_EMBARGO}) OR (i >= b * size - {_AHEAD} AND i < CASE WHEN b = {_FOLDS - 1} THEN n ELSE (b + 1) * size END + {_EMBARGO}) AS shut
+  FROM cv1 c CROSS JOIN (VALUES {", ".join(_PATHS)}) p(path_id, a, b)),
+cv AS (SELECT *, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM cv2 WHERE test OR NOT shut)"""
+register("cpcv_folds", "symbol ts:t rn:i path_id:i role", lambda s, d: A.cpcv_roles(labels(s, d), _FOLDS, _TESTED, _AHEAD, _EMBARGO), "SELECT * FROM cv", CPCV)
+TRIALS = CPCV + ",\npb1 AS (" + " UNION ALL ".join(f"SELECT symbol, path_id AS path, role, '{n}' AS trial, {O.exposure('regime_name', w)} * nx AS r FROM cv" for n, w in _TW.items()) + """),
+pb2 AS (SELECT symbol, path, trial, coalesce(avg(r) FILTER (WHERE role = 'train') / nullif(stddev_samp(r) FILTER (WHERE role = 'train'), 0), 0.0) AS is_sharpe,
+  coalesce(avg(r) FILTER (WHERE role = 'test') / nullif(stddev_samp(r) FILTER (WHERE role = 'test'), 0), 0.0) AS oos_sharpe FROM pb1 GROUP BY 1, 2, 3),
+pb3 AS (SELECT *, row_number() OVER (PARTITION BY symbol, path ORDER BY round(oos_sharpe, 9), trial) - 1 AS place, row_number() OVER (PARTITION BY symbol, path ORDER BY round(is_sharpe, 9) DESC, trial) AS best, count(*) OVER (PARTITION BY symbol, path) AS n FROM pb2)"""
+register("path_sharpes", "symbol path:i trial is_sharpe:d oos_sharpe:d", path_trials, "SELECT * FROM pb2", TRIALS)
+register(
+    "pbo", "symbol pbo:d paths:i", lambda s, d: A.backtest_overfitting(path_trials(s, d).withColumns({c: F.round(c, 9) for c in ("is_sharpe", "oos_sharpe")}), ("symbol",)),
+    "SELECT symbol, avg(CAST(place < (n - 1) / 2.0 AS INT)) AS pbo, count(*) AS paths FROM pb3 WHERE best = 1 GROUP BY 1", TRIALS,
+)
 PHASES = ", ".join(f"arg_max({f}, ts) AS {f}" for f in FUZZY)
 register(
     "market_summary", "symbol ts:t trend_phase volatility_phase", lambda s, d: outlook.market_summary(fuzzy(s, d)),
@@ -689,10 +702,10 @@ register(
              FROM (SELECT *, avg(volatility) OVER {O.roll(20)} AS lately FROM lab) GROUP BY 1)), LATERAL (SELECT x.insight AS insight, x.value AS value) WHERE x IS NOT NULL""",
 )
 register("segment_hurst", "symbol seg:i regime length:i hurst:d", lambda s, d: folds.segment_hurst(labels(s, d)))
+INDICATORS = ["trend_strength", "volatility", "volatility_percentile", "log_return", "vol_of_vol", "volume"]
 register(
-    "indicator_correlation", "symbol trend_vol:d trend_return:d vol_percentile:d",
-    lambda s, d: labels(s, d).groupBy("symbol").agg(F.corr("trend_strength", "volatility").alias("trend_vol"), F.corr("trend_strength", "log_return").alias("trend_return"), F.corr("volatility", "volatility_percentile").alias("vol_percentile")),
-    "SELECT symbol, corr(trend_strength, volatility) AS trend_vol, corr(trend_strength, log_return) AS trend_return, corr(volatility, volatility_percentile) AS vol_percentile FROM lab GROUP BY 1",
+    "indicator_correlation", "symbol first second n:i r:d", lambda s, d: A.correlations(labels(s, d), INDICATORS),
+    " UNION ALL ".join(f"SELECT symbol, '{a}' AS first, '{b}' AS second, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM lab GROUP BY symbol" for i, a in enumerate(INDICATORS) for b in INDICATORS[i + 1 :]),
 )
 register(
     "moving_averages", "symbol ts:t sma_50:e sma_200:e", lambda s, d: returns(s, d).withColumns({f"sma_{n}": F.when(F.count("close").over(rolling(n)) >= n, F.avg("close").over(rolling(n))) for n in (50, 200)}),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidegauge.functions.frames import order, past, finite
+from tidegauge.functions.frames import order, past, finite, whole
 from tidegauge.operators.features import numbered
 from tidegauge.operators.regimes import fuzzy_name
 from tidegauge.schema import REGIMES, UNKNOWN
@@ -58,9 +58,10 @@ def distribution(r: Column) -> list[Column]:
 
 def forward_stats(df: DataFrame, horizons: tuple[int, ...] = (5, 10), regime: str = "regime") -> DataFrame:
     """Per horizon and known regime, and over all bars as regime 'Overall': the distribution of forward returns."""
-    long = long_returns(df, horizons, regime)
-    both = F.explode(F.array_compact(F.array(F.lit("Overall"), F.when(F.col(regime) != UNKNOWN, F.col(regime))))).alias("regime")
-    return long.select("horizon", "r", both).groupBy("horizon", "regime").agg(*distribution(F.col("r")))
+    long = long_returns(df, horizons, regime).select("horizon", "r", F.col(regime).alias("regime"))
+    got = long.groupingSets([["horizon", "regime"], ["horizon"]], "horizon", "regime").agg(*distribution(F.col("r")), F.grouping("regime").alias("_all"))
+    got = got.where((F.col("_all") == 1) | (F.col("regime") != UNKNOWN))
+    return got.withColumn("regime", F.when(F.col("_all") == 1, "Overall").otherwise(F.col("regime"))).drop("_all")
 
 
 def conditional_forward(df: DataFrame, condition: Column, horizons: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -322,11 +323,77 @@ def cpcv_folds(spark: SparkSession, n: int, folds: int = 6, tests: int = 2, hori
     return rows.select("path_id", "rn", F.when(test, "test").when(~shut, "train").alias("role")).where("role is not null")
 
 
-def backtest_overfitting(trials: DataFrame) -> DataFrame:
-    """Share of paths on which the best trial in sample ranks below the median out of sample, from (path, trial, is_sharpe, oos_sharpe).
+def fold_masks(df: DataFrame, folds: int = 6, horizon: int = 0, embargo: int = 0) -> DataFrame:
+    """Adds fold (from 0) and shut, the set of folds, as bits, that keep a bar out of training when they are tested.
 
-    Ranks count from 0; equal values rank by trial.
+    A symbol's bars are cut into equal folds, the last of which takes the rest. A tested fold shuts out itself, the
+    ``horizon`` bars before it, whose labels look into it, and the ``embargo`` bars behind it. Symbols of fewer bars
+    than folds are left out.
     """
-    w = W.partitionBy("path")
+    if not 1 < folds < 63 or horizon < 0 or embargo < 0:
+        raise ValueError("there must be 2 to 62 folds, and horizon and embargo must not be negative")
+    size, at = F.expr(f"_n div {folds}"), F.col("rn") - 1
+    df = numbered(df).withColumn("_n", F.count(F.lit(1)).over(whole())).where(F.col("_n") >= folds)
+    shut = F.lit(0).cast("long")
+    for f in range(folds):
+        end = size * (f + 1) if f < folds - 1 else F.col("_n")
+        shut = shut.bitwiseOR(F.when((at >= size * f - horizon) & (at < end + embargo), 1 << f).otherwise(0))
+    return df.withColumns({"fold": F.least(F.floor(at / size), F.lit(folds - 1)).cast("int"), "shut": shut}).drop("_n")
+
+
+def _roles(df: DataFrame, folds: int, tests: int) -> DataFrame:
+    """Every row once per path, as path_id and role, unless the path purges it; the paths are few and known beforehand."""
+    masks = [sum(1 << f for f in path) for path in cpcv_paths(folds, tests)]
+    each = df.select("*", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("path_id", "_tested"))
+    test, shut = F.getbit("_tested", F.col("fold")) == 1, F.col("shut").bitwiseAND(F.col("_tested")) != 0
+    return each.withColumn("role", F.when(test, "test").when(~shut, "train")).where("role is not null").drop("_tested")
+
+
+def cpcv_roles(df: DataFrame, folds: int = 6, tests: int = 2, horizon: int = 0, embargo: int = 0) -> DataFrame:
+    """(symbol, ts, rn, path_id, role) of combinatorial purged cross-validation; purged and embargoed bars have no role."""
+    return _roles(fold_masks(df, folds, horizon, embargo).select("symbol", "ts", "rn", "fold", "shut"), folds, tests).drop("fold", "shut")
+
+
+def path_sharpes(df: DataFrame, returns: dict[str, Column], folds: int = 6, tests: int = 2, horizon: int = 0, embargo: int = 0) -> DataFrame:
+    """(symbol, path, trial, is_sharpe, oos_sharpe) of every trial (name -> its return of a bar) on every path.
+
+    Bars are summed up once, by fold and by the folds that shut them out; the paths then only add such sums, so no bar
+    is repeated per path. A side without two returns, or without spread, has 0.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("trial"), r.cast("double").alias("r")) for n, r in returns.items()])).alias("x")
+    long = fold_masks(df, folds, horizon, embargo).select("symbol", "fold", "shut", each).select("symbol", "fold", "shut", "x.*").where("r is not null")
+    sums = long.groupBy("symbol", "trial", "fold", "shut").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    sides = []
+    for role, out in (("train", "is_sharpe"), ("test", "oos_sharpe")):
+        n, s, q = (F.sum(F.when(F.col("role") == role, F.col(c))) for c in "nsq")
+        spread = F.try_divide(q - s * s / n, n - 1)
+        sides.append(F.coalesce(F.when(spread > 1e-12 * q / n, s / n / F.sqrt(spread)), F.lit(0.0)).alias(out))
+    return _roles(sums, folds, tests).groupBy("symbol", F.col("path_id").alias("path"), "trial").agg(*sides)
+
+
+def backtest_overfitting(trials: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Share of paths on which the best trial in sample ranks below the median out of sample, from (path, trial, is_sharpe,
+    oos_sharpe), and per ``keys`` if there are any.
+
+    Ranks count from 0, so the median of n is (n - 1) / 2; equal values rank by trial.
+    """
+    w = W.partitionBy(*keys, "path")
     ranked = trials.withColumns({"place": F.row_number().over(w.orderBy("oos_sharpe", "trial")) - 1, "best": F.row_number().over(w.orderBy(F.desc("is_sharpe"), "trial")), "n": F.count(F.lit(1)).over(w)})
-    return ranked.where("best = 1").agg(F.avg((F.col("place") < F.col("n") / 2).cast("double")).alias("pbo"), F.count("*").alias("paths"))
+    return ranked.where("best = 1").groupBy(*keys).agg(F.avg((F.col("place") < (F.col("n") - 1) / 2).cast("double")).alias("pbo"), F.count("*").alias("paths"))
+
+
+def correlations(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, first, second, n, r): the correlation of every two columns, first before second in the list, over the rows
+    that have both; one aggregate. Pairs without spread have a null."""
+    if len(set(columns)) < len(columns):
+        raise ValueError("a column is named twice")
+    pairs = list(combinations(columns, 2))
+
+    def paired(a: str, b: str, i: int) -> list[Column]:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        spread = F.sqrt(F.var_pop(F.when(both, F.col(a)))) * F.sqrt(F.var_pop(F.when(both, F.col(b))))
+        return [F.try_divide(F.covar_pop(a, b), spread).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+
+    sums = df.groupBy(*keys).agg(*[x for i, (a, b) in enumerate(pairs) for x in paired(a, b, i)])
+    listed = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"n{i}").alias("n"), finite(F.col(f"r{i}")).alias("r")) for i, (a, b) in enumerate(pairs)])
+    return sums.select(*keys, F.explode(listed).alias("x")).select(*keys, "x.*")
