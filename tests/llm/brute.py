@@ -45,6 +45,51 @@ def pii(text: str | None) -> tuple:
     return (*map(len, found.values()), sha(listed), listed)
 
 
+def all_personal(docs: list[tuple], generalise: float = 0.9, remove: float = 0.98, doubt: float | None = None) -> list[str]:
+    """The spans of every row, base ones and those of telling terms, from counts over all rows."""
+    import math
+    from collections import Counter, defaultdict
+
+    import regex
+
+    total = len(docs)
+    if doubt is None:
+        needed = total ** (generalise - 1)
+        doubt = 1.001 * (1 - needed) / (needed - 1 / total)
+    bases, seen, entities = [], [], []
+    for _, text in docs:
+        text = text or ""
+        spans = [s.split(":") for s in pii(text)[5].split(",") if s]
+        bases.append(spans)
+        covered = list(text)
+        for _, a, b in spans:
+            covered[int(a) : int(b)] = " " * (int(b) - int(a))
+        seen.append("".join(covered))
+        values = ((k, text[int(a) : int(b)]) for k, a, b in spans)
+        entities.append({(k, v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)) for k, v in values})
+    words = [[(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"\p{L}+", t)] for t in seen]
+    terms = [{w for _, _, w in ws} for ws in words]
+    df, c = Counter(w for ts in terms for w in ts), Counter(e for es in entities for e in es)
+    both, texts = Counter(), defaultdict(set)
+    for (_, text), ts, es in zip(docs, terms, entities, strict=True):
+        for e in es:
+            for w in ts:
+                both[w, e] += 1
+                texts[w, e].add(text)
+    strength: dict = {}
+    for (w, e), n in both.items():
+        known = -math.log(c[e] / total)
+        k = len(texts[w, e])
+        sure = (k * n / df[w] + doubt * c[e] / total) / (k + doubt)
+        if known > 0:
+            strength[w] = max(strength.get(w, 0.0), (math.log(sure) + known) / known)
+    out = []
+    for spans, ws in zip(bases, words, strict=True):
+        found = [f"{'cut' if strength[w] >= remove else 'term'}:{a}:{b}" for a, b, w in ws if strength.get(w, 0.0) >= generalise]
+        out.append(",".join([":".join(s) for s in spans] + found))
+    return out
+
+
 def secrets(text: str | None) -> tuple:
     text = text or ""
     found = {

@@ -206,9 +206,52 @@ def test_terms_far_from_mentions(spark):
 def test_terms_of_rare_entities(spark):
     once = [(1, "plain words by Quillfeather of rare.one@mail.example go on"), (2, "plain words go on, call +1 (386) 555-3733 and ask for Bo")]
     rest = [(100 + i, f"plain words of note by number {i} go on, call and ask for more") for i in range(100)]
-    got = {r["doc_id"]: r["found"] for r in rows(pii.find_pii(spark.createDataFrame(once + rest, DOC)))}
+    got = {r["doc_id"]: r["found"] for r in rows(pii.find_pii(spark.createDataFrame(once + rest, DOC), doubt=0.5))}
     assert [[x["m"] for x in got[i] if x["kind"] == "term"] for i in (1, 2)] == [["quillfeather"], ["bo"]]
     assert all(len(got[i]) == 0 for i, _ in rest)
+    # by default a single text proves nothing, and a second, different one does
+    got = {r["doc_id"]: r["found"] for r in rows(pii.find_pii(spark.createDataFrame(once + rest, DOC)))}
+    assert all(x["kind"] not in {"term", "cut"} for found in got.values() for x in found)
+    more = [(3, "more of rare.one@mail.example, by Quillfeather"), *[(200 + i, f"note {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}") for i in range(1000)]]
+    got = {r["doc_id"]: r["found"] for r in rows(pii.find_pii(spark.createDataFrame(once + rest + more, DOC)))}
+    assert {x["m"] for found in got.values() for x in found if x["kind"] in {"term", "cut"}} == {"quillfeather"}
+
+
+def test_term_spans_equal_brute_force(spark):
+    """Random texts about a few people, some under other names: every span of every text, and how well names are found."""
+    g = np.random.default_rng(8)
+    common = [f"w{a}{b}".translate(str.maketrans("0123456789", "abcdefghij")) for a in range(10) for b in range(10)]
+    people = {f"p{i}@mail.example": (f"alias{'abcdefghij'[i]}", f"Town{'abcdefghij'[i]}") for i in range(8)}
+    docs = []
+    for i in range(1500):
+        parts = [str(w) for w in g.choice(common, int(g.integers(3, 30)))]
+        if i % 9 == 0:
+            mail, names = list(people.items())[int(g.integers(8))]
+            parts += [mail if g.random() < 0.9 else mail.upper(), *(n for n in names if g.random() < 0.8), f"once{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]}"]
+            g.shuffle(parts)
+        docs.append((i, ", ".join(parts)))
+    docs += docs[:40] + [(5000, "no one says aliasa or Towna, townb"), (5001, None), (None, "aliasb")]
+    df = spark.createDataFrame(docs, DOC)
+    for options in ({}, {"doubt": 0.5}, {"generalise": 0.7, "remove": 0.9}):
+        got = sorted((str(r["doc_id"]), r["spans"]) for r in rows(pii.digest(pii.find_pii(df, **options))))
+        assert got == sorted((str(d), s) for (d, _), s in zip(docs, brute.all_personal(docs, **options), strict=True)), options
+    marked = [t[x["s"] : x["e"]].lower() for r, t in ((r, dict(docs)[r["doc_id"]]) for r in rows(pii.find_pii(df))) for x in r["found"] if x["kind"] in {"term", "cut"}]
+    names = {n.lower() for pair in people.values() for n in pair}
+    assert len(marked) > 200 and set(marked) == names  # every name, and no other word
+
+
+def test_one_long_text_about_one_person_stays_readable(spark):
+    import time
+
+    letters = str.maketrans("0123456789", "abcdefghij")
+    long = " ".join(f"word{i}".translate(letters) for i in range(20_000)) + " only.one@mail.example"
+    rest = [(i, f"other text number {i}") for i in range(1, 2000)]
+    began = time.time()
+    clean = {r["doc_id"]: r["text"] for r in rows(pii.sanitise(spark.createDataFrame([(0, long), *rest], DOC)))}
+    assert clean[0] == long.replace("only.one@mail.example", "<email>") and all(clean[i] == t for i, t in rest)
+    # and with every word of it marked, still in linear time
+    marked = rows(pii.find_pii(spark.createDataFrame([(0, long), *rest], DOC), doubt=0.1).where("doc_id = 0"))[0]["found"]
+    assert len(marked) == 20_001 and time.time() - began < 60
 
 
 def test_repeated_rows_of_personal_data(spark):

@@ -7,7 +7,7 @@ import gc
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -55,9 +55,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """A broadcast hint if the rows of a table that was ``cut`` stay below ``limit`` bytes; the planner's choice otherwise."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = 32 << 20) -> DataFrame:
+    """A broadcast hint if the rows of a table that was ``cut`` stay below ``limit`` bytes; the planner's choice otherwise.
+
+    ``row_bytes`` is what a row takes, or an expression of it where rows hold arrays or texts of any size.
+    """
+    taken = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if taken <= limit else df
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m", scanned: int = 512) -> None:

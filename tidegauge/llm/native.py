@@ -17,16 +17,30 @@ def spans(text: Column, pattern: str, only_if: Column | None = None) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda part: F.length(part))
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    start = F.struct(F.lit(0).alias("pos"), F.expr(NO_SPANS).alias("out"))
+    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap"), (gap + F.length(m)).alias("step")))
+    placed = F.zip_with(steps, offsets(F.transform(steps, lambda x: x["step"])), lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["step"]).alias("e"), x["m"].alias("m")))
+    made = F.when(F.size(found) > 0, placed).otherwise(F.expr(NO_SPANS))
+    return made if only_if is None else F.when(only_if, made).otherwise(F.expr(NO_SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + x["gap"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    made = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return made if only_if is None else F.when(only_if, made).otherwise(F.expr(NO_SPANS))
+#: Elements that are summed up together; arrays are copied per element within such a piece, and per piece beyond.
+_PIECE = 256
+
+
+def offsets(lengths: Column) -> Column:
+    """For each element of an array of integers the sum of those before it; an array of any length in nearly linear time."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / _PIECE).cast("int")), lambda p: F.slice(lengths, p * _PIECE + 1, F.lit(_PIECE)))
+    none = lambda kind: F.struct(F.lit(0).alias("sum"), F.expr(f"cast(array() as {kind})").alias("out"))
+
+    def within(acc: Column, x: Column) -> Column:
+        return F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
+
+    def across(acc: Column, piece: Column) -> Column:
+        moved = F.transform(piece["out"], lambda x: x + acc["sum"])
+        return F.struct((acc["sum"] + piece["sum"]).alias("sum"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    folded = F.transform(pieces, lambda p: F.aggregate(p, none("array<int>"), within))
+    return F.flatten(F.aggregate(folded, none("array<array<int>>"), across, lambda acc: acc["out"]))
 
 
 def named(found: Column, kind: str, order: int) -> Column:

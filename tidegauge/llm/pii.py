@@ -3,9 +3,12 @@
 A protected entity is any value that the patterns find (one mail address, say). Terms are all words of all texts,
 outside the values found. How strongly a term t reveals an entity c is its pointwise mutual information as a share of
 the entity's own information, PMI(c; t) / IC(c), which is 1 if whoever sees t can be sure of c; all probabilities are
-document counts over whole texts of the whole corpus. No entity is left out for being rare: P(c | t) is smoothed
-towards P(c) by the weight of half a text, so that few texts speak less surely than many. Every occurrence of a term
-is replaced by a category mark from ``generalise`` on, and deleted from ``remove`` on, in whatever text it stands.
+document counts over whole texts of the whole corpus. P(c | t) is drawn to P(c) by the weight of ``doubt`` texts, so
+that few texts speak less surely than many; by default that weight is the least that keeps a single text from passing
+``generalise`` alone, in a corpus of any size: a word that stands beside an entity once is as likely a typo, while two
+different texts that agree are enough. Entities of any number of mentions are judged by the same measure. Every
+occurrence of a term is replaced by a category mark from ``generalise`` on, and deleted from ``remove`` on, in whatever
+text it stands.
 Only SQL functions are used, and nothing but aggregates is gathered: counts per (entity, term) and per term, both
 summed within tasks before they move.
 """
@@ -25,7 +28,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-NO_WORD = r"[^\p{L}]+"
+NO_WORD, WORD = r"[^\p{L}]+", r"\p{L}+"
+#: What a row of a few numbers takes in a broadcast relation, and the most that one relation may take.
+ROW_BYTES, MOST_BYTES = 160, 8 << 20
 
 
 def _digits(value: Column) -> Column:
@@ -85,23 +90,27 @@ def candidates(rows: DataFrame, least_share: float) -> DataFrame:
     return counts.where((F.col("some") > 0) & (F.col("some") >= F.col("df") * F.lit(least_share * (1 - 1e-9)))).select("term", "df")
 
 
-def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt: float = 0.5) -> DataFrame:
-    """Per row: doc_id, th (xxhash64 of the text), base and found, array<struct<s,o,e,kind,m>> each.
-
-    ``base`` are the pattern spans by kind, then start; ``found`` adds spans of kind ``term`` (to generalise) and
-    ``cut`` (to remove) behind them, by start. Code points, end exclusive. Null text is empty. Repeated rows get the
-    same spans each; they count as documents, but not as different texts. Other columns are dropped; an empty table
-    gives no rows.
-    """
+def _located(docs: DataFrame) -> DataFrame:
+    """(own, th, base, doc_id, text): every row as a struct, with the hash of its text and its base spans; written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    read = docs.select(F.col("doc_id"), text.alias("_text"))
-    marked = read.withColumn("base", base_spans(F.col("_text")))
-    rows = cut(marked.select("doc_id", F.xxhash64("_text").alias("th"), "base", _visible(F.col("_text"), F.col("base")).alias("seen")), "pii-base")
-    total = float(rows.count() or 1)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    return cut(docs.select(own, F.xxhash64(text).alias("th"), base_spans(text).alias("base")), "pii-base").select("*", F.col("own.doc_id").alias("doc_id"), F.coalesce(F.col("own.text").cast("string"), F.lit("")).alias("text"))
+
+
+def least_doubt(total: float, generalise: float) -> float:
+    """The weight, in texts, under which the word of one text that holds an entity no other text holds just fails."""
+    needed = total ** (generalise - 1)
+    return 1.001 * (1 - needed) / (needed - 1 / total) if needed > 1 / total else 0.0
+
 
+def telling_terms(located: DataFrame, generalise: float = 0.9, doubt: float | None = None) -> DataFrame:
+    """(term, strength): the words, by hash, that reveal some entity to ``generalise`` of its information or more."""
+    rows = located.select("th", "base", _visible(F.col("text"), F.col("base")).alias("seen"))
+    total = float(rows.count() or 1)
+    doubt = least_doubt(total, generalise) if doubt is None else doubt
     known = cut(candidates(rows, total ** (generalise - 1) if generalise > 0 else 0.0), "pii-candidates")
     holding = rows.where(F.size("base") > 0).select("th", "seen", F.array_distinct(F.transform("base", lambda x: F.xxhash64(_entity(x)))).alias("entities"))
-    beside = holding.select("th", "entities", F.explode(_terms(_words(F.col("seen")))).alias("term")).join(broadcast_if_small(known, row_bytes=32), "term")
+    beside = holding.select("th", "entities", F.explode(_terms(_words(F.col("seen")))).alias("term")).join(broadcast_if_small(known, ROW_BYTES, MOST_BYTES), "term")
     # one row per text and pair, then sums within tasks; texts are told apart by their hash
     per_text = beside.select("th", "term", "df", F.explode("entities").alias("entity")).groupBy("entity", "term", "df", "th").agg(F.count("*").alias("n"))
     pairs = per_text.groupBy("entity", "term", "df").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
@@ -111,19 +120,46 @@ def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, dou
     information = -F.log(share(F.col("c"), F.lit(total)))
     # the share of a term's rows that hold the entity, drawn to the entity's share of all rows by ``doubt`` texts
     sure = (F.col("texts") * share(F.col("both"), F.col("df")) + doubt * share(F.col("c"), F.lit(total))) / (F.col("texts") + doubt)
-    mutual = F.log(sure) + information
-    scored = scored.withColumn("strength", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
-    telling = cut(scored.where(F.col("strength") >= generalise).groupBy("term").agg(F.max("strength").alias("strength")), "pii-telling")
+    scored = scored.withColumn("strength", F.when(information > 0, (F.log(sure) + information) / information).otherwise(F.lit(0.0)))
+    return cut(scored.where(F.col("strength") >= generalise).groupBy("term").agg(F.max("strength").alias("strength")), "pii-telling")
+
+
+def _term_spans(located: DataFrame, telling: DataFrame, remove: float) -> DataFrame:
+    """(doc_id, th, more): for each different row that holds telling terms all their places, by start.
+
+    Rows that hold any are found by their distinct words; only those are gone through word by word, each word once.
+    """
+    listed = broadcast_if_small(telling, ROW_BYTES, MOST_BYTES)
+    rows = located.select("doc_id", "th", _visible(F.col("text"), F.col("base")).alias("seen"))
+    every = rows.select("doc_id", "th", F.explode(_terms(_words(F.col("seen")))).alias("term"))
+    hit = cut(every.join(listed, "term", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "pii-hit")
+    same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    told = rows.join(broadcast_if_small(hit, ROW_BYTES, MOST_BYTES), same, "left_semi").dropDuplicates(["doc_id", "th"])
+    places = told.select("doc_id", "th", F.explode(spans(F.col("seen"), WORD)).alias("x")).withColumn("term", F.xxhash64(F.lower("x.m"))).join(listed, "term")
+    kind = F.when(F.col("strength") >= remove, "cut").otherwise("term")
+    found = F.struct(F.col("x.s").alias("s"), F.lit(len(KINDS)).alias("o"), F.col("x.e").alias("e"), kind.alias("kind"), F.lower("x.m").alias("m"))
+    return cut(places.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(found)).alias("more")), "pii-terms")
+
+
+def _found(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt: float | None = None) -> DataFrame:
+    """``_located`` with found, the base spans and behind them those of terms."""
+    located = _located(docs)
+    more = _term_spans(located, telling_terms(located, generalise, doubt), remove)
+    size = F.lit(ROW_BYTES) + F.aggregate("more", F.lit(0), lambda a, x: a + 96 + F.octet_length(x["m"]))
+    more = broadcast_if_small(more, size, MOST_BYTES).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return located.join(more, same, "left").withColumn("found", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")))
+
+
+def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt: float | None = None) -> DataFrame:
+    """Per row: doc_id, th (xxhash64 of the text), base and found, array<struct<s,o,e,kind,m>> each.
 
-    # a telling term is marked wherever it stands, in whatever text: rows learn which of their words are such
-    every = rows.select("doc_id", "th", F.explode(_words(F.col("seen"))).alias("word")).withColumn("term", F.xxhash64(F.lower("word")))
-    hits = every.join(broadcast_if_small(telling, row_bytes=32), "term").select("doc_id", "th", "word", "strength")
-    told = hits.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.map_from_entries(F.collect_set(F.struct("word", "strength"))).alias("told"))
-    joined = rows.join(broadcast_if_small(cut(told, "pii-told"), row_bytes=512), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("told"), "|"), F.lit(r")(?!\p{L})"))
-    kind = lambda x: F.when(F.element_at("told", x["m"]) >= remove, "cut").otherwise("term")
-    more = F.transform(spans(F.col("seen"), pattern, F.col("told").isNotNull()), lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), x["e"].alias("e"), kind(x).alias("kind"), F.lower(x["m"]).alias("m")))
-    return joined.select("doc_id", "th", "base", F.concat("base", more).alias("found"))
+    ``base`` are the pattern spans by kind, then start; ``found`` adds spans of kind ``term`` (to generalise) and
+    ``cut`` (to remove) behind them, by start. Code points, end exclusive. Null text is empty. Repeated rows get the
+    same spans each; they count as documents, but not as different texts. Other columns are dropped; an empty table
+    gives no rows.
+    """
+    return _found(docs, generalise, remove, doubt).select("doc_id", "th", "base", "found")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -135,13 +171,10 @@ def digest(found: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """The same rows and columns, whatever those are called; spans in ``text`` become <email>, <ip>, <card>, <phone> or
     <term>, or go (cut)."""
-    found = find_pii(docs, **options).where(F.size("found") > 0).dropDuplicates(["doc_id", "th"])
-    found = broadcast_if_small(cut(found.select("doc_id", "th", "found"), "pii-found"), row_bytes=512)
-    text = docs["text"]
-    same = (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == found["th"]) & docs["doc_id"].eqNullSafe(found["doc_id"])
     mark = lambda x: F.when(x["kind"] == "cut", "").otherwise(F.concat(F.lit("<"), x["kind"], F.lit(">")))
-    clean = F.when(found["found"].isNull(), text).otherwise(masked(text, found["found"], mark))
-    return docs.join(found, same, "left").select(*[clean.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    found = _found(docs, **options)
+    clean = F.when(F.size("found") > 0, masked(F.col("text"), F.col("found"), mark)).otherwise(F.col("own.text"))
+    return found.select(*[(clean if c == "text" else F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
 
 
 __all__ = ["KINDS", "base_spans", "digest", "find_pii", "sanitise"]
