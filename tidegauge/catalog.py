@@ -6,6 +6,7 @@ to eight places (e: ten, f: six), i a long, anything else as it is.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import oracles as O
 from tidegauge.config import Config
+from tidegauge.functions.durable import shared_dir
 from tidegauge.functions.frames import order, rolling
 from tidegauge.operators import analytics as A
 from tidegauge.operators import backtest as B
@@ -21,6 +23,7 @@ from tidegauge.operators import channels, folds, lookups, outlook, scans
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
 from tidegauge.plans.analysis import by_source, labelled
+from tidegauge.plans.refresh import Refresher
 from tidegauge.schema import BETTER_BY, EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, LO_BANDS, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
 from tidegauge.sources import bars as S
 from tidegauge.sources.sinks import daily_projection
@@ -829,3 +832,18 @@ register(
     "ms AS (SELECT * FROM mx WHERE symbol = 'SPY'), mc AS (SELECT * FROM mx WHERE symbol <> 'SPY'),\n"
     + O.labelled("ls", "ms") + ",\n" + O.labelled("lc", "mc", COINS.trend_window, COINS.percentile_lookback, COINS.baseline_window, COINS.volatility_percentile),
 )
+
+
+# --- append-only refresh -----------------------------------------------------------------------------------------
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the daily bars from three batches, each going on from the states of the one before."""
+    bars = S.daily_bars(spark, sf_dir)
+    table = Refresher(spark, f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}", CFG)
+    for batch in ("ts < '1997-03-01'", "ts >= '1997-03-01' and ts < '1997-03-02'", "ts >= '1997-03-02'"):
+        table.apply(bars.where(batch))
+    return table.labels()
+
+
+register("refreshed_labels", "symbol ts:t rn:i trend_strength:d volatility_percentile:d volatility_zscore:d regime atr:d", refreshed, "SELECT l.*, e.atr FROM lab l JOIN ema e ON l.symbol = e.symbol AND l.ts = e.ts", ATR)

@@ -1,9 +1,10 @@
 """Recurrences as operators that can be composed, so that blocks of one series are folded apart and put together later.
 
 Each has three methods on plain arrays. ``summary`` folds a block into a few numbers without knowing what came before;
-``apply`` takes a state over a block of which only the summary is known; ``replay`` goes through a block from the state
-before it and gives the values of every row. A state is None before the first present value. The first value of a
-series often has a weight of its own, so a summary keeps the block's first value apart from the rest.
+``apply`` takes a state over a block of which only the summary is known; ``run`` goes through a block from the state
+before it and gives the values of every row and the state behind it, so that a series may go on where it was left. A
+state is None before the first present value. The first value of a series often has a weight of its own, so a summary
+keeps the block's first value apart from the rest.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ class Mean:
             return state
         return np.array([(first if state is None else state[0]) * (1.0 - self.alpha) ** n + end])
 
-    def replay(self, state: State, values: np.ndarray) -> np.ndarray:
+    def run(self, state: State, values: np.ndarray) -> tuple[np.ndarray, State]:
         at, x = _present(values)
         out, last = np.empty(len(x)), None if state is None else float(state[0])
         for i, v in enumerate(x.tolist()):
             last = v if last is None else last + self.alpha * (v - last)
             out[i] = last
-        return _spread(at, out, len(values))
+        return _spread(at, out, len(values)), None if last is None else np.array([last])
 
 
 class Deviation:
@@ -80,7 +81,7 @@ class Deviation:
         begun = first if state is None else self._joined(state, first)
         return self._joined(begun, summary[2:]) if summary[2] else begun
 
-    def replay(self, state: State, values: np.ndarray) -> np.ndarray:
+    def run(self, state: State, values: np.ndarray) -> tuple[np.ndarray, State]:
         at, x = _present(values)
         n, weight, squares, mean, second = (0.0,) * 5 if state is None else state.tolist()
         out = np.full(len(x), np.nan)
@@ -94,8 +95,8 @@ class Deviation:
             weight, squares, n = total, squares + w * w, n + 1
             room = weight * weight - squares
             if n >= self.least and room > 0:
-                out[i] = math.sqrt(max(0.0, second * weight / room))
-        return _spread(at, out, len(values))
+                out[i] = math.sqrt(max(0.0, second / weight * weight * weight / room))
+        return _spread(at, out, len(values)), np.array([n, weight, squares, mean, second]) if n else None
 
 
 class Forward:
@@ -127,7 +128,7 @@ class Forward:
         p = (self.start if state is None else state @ self.transition) * summary[1:3] @ summary[3:].reshape(2, 2)
         return p / max(p.sum(), _TINY)
 
-    def replay(self, state: State, values: np.ndarray) -> np.ndarray:
+    def run(self, state: State, values: np.ndarray) -> tuple[np.ndarray, State]:
         at, x = _present(values)
         (a, b), (c, e) = self.transition.tolist()
         p, q = (self.start if state is None else state).tolist()
@@ -139,7 +140,7 @@ class Forward:
             total = p + q or _TINY
             p, q = p / total, q / total
             out[i] = q
-        return _spread(at, out, len(values))
+        return _spread(at, out, len(values)), np.array([p, q]) if begun else None
 
 
 def starts(recurrence, summaries: list[np.ndarray], width: int) -> list[np.ndarray]:

@@ -108,7 +108,7 @@ def scan(blocks: DataFrame, needs: str, out: str, recurrence: Callable[[dict], o
         found = np.full(rows.num_rows, np.nan)
         if side.num_rows and rows.num_rows:
             state = np.array(side.column("state")[0].as_py(), float)
-            found = recurrence(known(side)).replay(None if np.isnan(state).any() else state, values(rows))
+            found = recurrence(known(side)).run(None if np.isnan(state).any() else state, values(rows))[0]
         return rows.append_column(out, pa.array(found, pa.float64(), from_pandas=True))
 
     narrow = blocks.select(*KEYS, "ts", needs)
