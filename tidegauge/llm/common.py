@@ -64,6 +64,25 @@ def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = 32 <
     return F.broadcast(df) if taken <= limit else df
 
 
+#: A key with at least one of so many rows is heavy; there are no more of them than that.
+HEAVY_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, side: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of ``side``, which was ``cut`` and has each of their keys once and, as ``weight``, how many
+    rows have it.
+
+    Heavy keys are broadcast, which bounds what is sent by their number; the rows of all others are dealt by key, so
+    that no key brings a task more than a thousandth of the rows.
+    """
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.broadcast(side.where(F.col(weight) * HEAVY_SHARE >= total).drop(weight))
+    light = side.where(F.col(weight) * HEAVY_SHARE < total).drop(weight)
+    if not light.take(1):
+        return rows.join(heavy, key)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m", scanned: int = 512) -> None:
     """Smaller batches than Spark's defaults, which long texts make too large for a small executor: of Arrow (10,000
     rows, no limit of bytes) and of the Parquet reader (4,096 rows).

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, space_words, tidy
+from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, join_spread, space_words, tidy
 
 K = 40
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -290,12 +290,12 @@ def centre_links(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     """
     drawn = [F.min(F.struct(F.xxhash64("cid", F.lit(i)), "cid"))["cid"] for i in range(CENTRES)]
     centres = cut(hot.groupBy("bkey").agg(F.array_distinct(F.array(*drawn)).alias("centres")), "neardup-centres")
-    members = hot.select("bkey", "cid", "blocks").join(broadcast_if_small(centres, row_bytes=64), "bkey")
+    members = hot.select("bkey", "cid", "blocks").join(broadcast_if_small(centres, RELATION_ROW, RELATION_BYTES), "bkey")
     pairs = members.select("cid", "blocks", F.explode("centres").alias("centre")).where("cid <> centre")
     pairs = pairs.groupBy("centre", "cid").agg(F.max("blocks").alias("blocks"))
     pairs = cut(pairs, "neardup-tested")
     parts = pairs.groupBy("centre").agg(F.max("blocks").alias("parts"))
-    parts = broadcast_if_small(cut(parts, "neardup-parts"), row_bytes=16)
+    parts = broadcast_if_small(cut(parts, "neardup-parts"), RELATION_ROW, RELATION_BYTES)
     sides = pairs.join(parts, "centre").select("centre", _block("cid", "parts").alias("part"), "cid", F.lit(1).alias("side"))
     sides = sides.unionByName(parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("cid"), F.lit(0).alias("side")))
     ready = sides.join(sets, "cid").select("centre", "part", "side", "cid", "set").repartition("centre", "part").sortWithinPartitions("centre", "part", "side", "cid")
@@ -309,14 +309,14 @@ def centre_links(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     for _ in range(CENTRES - 1):
         reach = grow(reach)
     reached = marked.groupBy("bkey").agg(F.collect_set("bits").alias("sets")).select("bkey", reach.alias("reach"))
-    left = marked.join(broadcast_if_small(cut(reached, "neardup-reach"), row_bytes=16), "bkey").where(F.col("bits").bitwiseAND(F.col("reach")) == 0)
+    left = marked.join(broadcast_if_small(cut(reached, "neardup-reach"), RELATION_ROW, RELATION_BYTES), "bkey").where(F.col("bits").bitwiseAND(F.col("reach")) == 0)
     return found, cut(left.select("bkey", "cid"), "neardup-left")
 
 
 def hot_rows(hot: DataFrame, left: DataFrame) -> DataFrame:
     """Rows of the groups in which the members left over meet all members of their bucket, one pair of blocks each."""
     some = left.groupBy("bkey").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("few"))
-    sized = hot.join(broadcast_if_small(cut(some, "neardup-left-sizes"), row_bytes=16), "bkey")
+    sized = hot.join(broadcast_if_small(cut(some, "neardup-left-sizes"), RELATION_ROW, RELATION_BYTES), "bkey")
     rest = [F.col(c) for c in ("cid", "n", "mask", "sig")]
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     all_of = sized.select("bkey", spread("few").alias("b1"), _block("cid", "blocks").alias("b2"), F.lit(1).alias("block"), *rest)
@@ -358,7 +358,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     many = not large.isEmpty()
     beside = rows
     if many:
-        large = broadcast_if_small(large, row_bytes=24)
+        large = broadcast_if_small(large, RELATION_ROW, RELATION_BYTES)
         beside = rows.join(large, "bkey", "left_anti")
     plain = beside.join(small, "bkey").select("bkey", F.lit(0).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("block"), "cid", "n", "mask", "sig")
     flagged = cut(_by_group(plain).mapInArrow(_flag(percent), _GROUP), "neardup-flagged")
@@ -410,13 +410,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bound_batches(docs.sparkSession)
     rows = cut(sketch(docs, words), "neardup-sketch")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "th")).alias("rep")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), rep, F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     classes = cut(classes, "neardup-classes")
     joined = components(links(docs, classes, words, percent))
-    mine = classes.select("key", "cid", "rep").join(joined, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    lows = mine.groupBy("root").agg(F.min("rep").alias("low"))
-    mine = cut(mine.join(lows, "root").select("key", F.col("root").alias("class_id"), "low"), "neardup-components")
-    out = rows.join(mine, "key", "left")
+    # classes that are linked with any other; the rest are components of their own
+    nodes = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    linked = cut(classes.select("cid", "rep").join(nodes, F.col("cid") == F.col("node")).drop("node"), "neardup-linked")
+    lows = cut(linked.groupBy("root").agg(F.min("rep").alias("low"), F.count("*").alias("members")), "neardup-lows")
+    told = join_spread(linked.select("cid", "root"), lows, "root", "members")
+    mine = classes.select("key", "cid", "rep", "copies").join(told, "cid", "left")
+    mine = cut(mine.select("key", F.coalesce("root", "cid").alias("class_id"), F.coalesce("low", "rep").alias("low"), "copies"), "neardup-components")
+    # texts without words belong to no class and meet nowhere
+    lone = rows.where("key is null").withColumns({"class_id": F.lit(None).cast("long"), "low": F.lit(None).cast(mine.schema["low"].dataType)})
+    out = join_spread(rows.where("key is not null"), mine, "key", "copies").unionByName(lone)
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id"))
     return out.select(
         "doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("class_id", "rid").alias("class_id"), component.alias("component_id"),

@@ -185,7 +185,7 @@ def scan_secrets(docs: DataFrame, base: list[Rule] | None = None, more: list[Rul
     grams = sorted({g for q in queries for clause in q for wanted in clause for g in wanted})
     read = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.xxhash64("text").alias("_th"))
     if grams:
-        candidates = broadcast_if_small(look_up(build_index(docs, grams), queries), row_bytes=32)
+        candidates = broadcast_if_small(look_up(build_index(docs, grams), queries), 160, 8 << 20)
         read = read.join(candidates, F.col("_th") == F.col("th"), "left")
     else:
         read = read.withColumn("rules", F.lit(None).cast("long"))
