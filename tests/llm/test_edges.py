@@ -126,6 +126,26 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_split_otherwise_between_reads(spark, monkeypatch):
+    """The second read of lines with a magic in their payload may find other splits than the first."""
+    pages = [(i, "u", f"page {i} {'filler ' * 40}" + (f"{RECORD}tail {i}" if i % 3 == 0 else "")) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    sizes, read = iter(["1m", "700b"]), warc.candidates
+
+    def candidates(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return read(*args)
+
+    monkeypatch.setattr(warc, "candidates", candidates)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        got = {r["page_id"]: r for r in rows(warc.round_trip(df))}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert next(sizes, None) is None and len(got) == len(pages)
+    assert all(got[i]["verified"] and got[i]["payload_digest"] == hashlib.sha256(t.encode()).hexdigest() for i, _, t in pages)
+
+
 def test_broken_archives(spark, tmp_path):
     end = "\r\n\r\n"
     good = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: {}\r\nContent-Length: 5\r\n\r\nhello" + end

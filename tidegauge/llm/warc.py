@@ -99,7 +99,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     # The reader ends a line at each magic, so the first line of a file is what stands before the first one: nothing.
     lines = lines.withColumn("head", F.expr("substring_index(chunk, '\r\n\r\n', 1)"))
     stated = F.expr(r"try_cast(regexp_extract(concat('\r\n', head), '(?i)\r\nContent-Length: *([0-9]+)', 1) as bigint)")
-    lines = lines.withColumns({"size": F.octet_length("chunk").cast("long"), "length": F.when(stated <= F.col("file_size"), stated), "body_at": F.octet_length("head").cast("long") + 4})
+    lines = lines.withColumns({"size": F.octet_length("chunk").cast("long"), "th": F.xxhash64("chunk"), "length": F.when(stated <= F.col("file_size"), stated), "body_at": F.octet_length("head").cast("long") + 4})
     whole = F.col("length").isNotNull() & (F.col("body_at") + F.col("length") + 4 == F.col("size"))
     payload = F.expr("substring(cast(chunk as binary), try_cast(body_at + 1 as int), try_cast(length as int))")
     lines = lines.withColumn("whole", whole).withColumn("digest", F.when(F.col("whole"), F.sha2(payload, 256)))
@@ -184,14 +184,16 @@ def read_warc(spark: SparkSession, path: str, segment_bytes: int = 64 << 20) ->
     found = cut(_with_offsets(spark, path), "warc-candidates")
     records = found.join(reachable(found, segment_bytes), ["file", "offset"])
     # Payloads that hold a magic reach over several lines; only those lines are read again, and only those are gathered.
+    # They are told by what they hold: how files are split, and so how lines are numbered, may differ between two reads.
     broken = cut(records.where(~F.col("whole") & (F.col("length") > 0) & F.col("succ").isNotNull()).select("file", F.col("offset").alias("record"), "succ", "body_at", "length"), "warc-broken")
     digest = F.col("digest")
     if not broken.isEmpty():
         bucket = lambda c: F.expr(f"{c} div {1 << 20}")
         spread = broken.withColumn("mib", F.explode(F.sequence(bucket("record"), bucket("succ"))))
         parts = found.withColumn("mib", bucket("offset")).join(spread.select("file", "record", F.col("succ").alias("end"), "mib"), ["file", "mib"])
-        parts = parts.where("offset >= record and offset < end").select("file", "rid", "offset", "record")
-        texts = candidates(spark, path).select("file", "rid", "chunk").join(parts, ["file", "rid"])
+        parts = cut(parts.where("offset >= record and offset < end").select("file", "th", "size", "offset", "record"), "warc-parts")
+        wanted = candidates(spark, path).select("th", "size", "chunk").join(parts.select("th", "size").distinct(), ["th", "size"], "left_semi")
+        texts = parts.join(wanted.groupBy("th", "size").agg(F.first("chunk").alias("chunk")), ["th", "size"])
         whole = texts.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("offset", "chunk"))).alias("lines"))
         whole = whole.withColumn("text", F.array_join(F.col("lines.chunk"), MAGIC)).join(broken, ["file", "record"])
         payload = F.expr("substring(cast(text as binary), try_cast(body_at + 1 as int), try_cast(length as int))")
