@@ -76,3 +76,37 @@ def test_forward_statistics_by_grouping_sets(spark):
     got = {r["regime"]: r["n"] if "n" in stats.columns else r["count"] for r in stats.collect()}
     assert got == {"Overall": 5, "Up": 2, "Down": 1}
     assert "Expand" in stats._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_transition_summaries(spark):
+    df = bars(spark, [1.0] * 9, regime=["Up", "Up", "Down", "Unknown", "Up", "Down", "Down", "Up", "Side"])
+    row = A.transition_summary(df).first()
+    # Up: Up 1, Down 2, Side 1; Down: Down 1, Up 1; Side: nothing follows
+    assert (row["total_count"], row["unique_transitions"], row["n_transitions"], row["bars"]) == (4, 3, 2, 9)
+    of = lambda *p: -sum(x * np.log(x) for x in p)
+    assert row["overall_entropy"] == pytest.approx((of(0.25, 0.5, 0.25) + of(0.5, 0.5)) / 3) and row["transitions_per_period"] == pytest.approx(4 / 9)
+    matrix = A.transition_matrix(df)
+    assert [tuple(r)[:2] for r in A.likely_transitions(matrix, 0.3).collect()] == [("Down", "Up"), ("Up", "Down")]
+    top = A.common_transitions(df, most=1).first()
+    assert tuple(top) == ("Up", "Down", 2, 50.0)
+    none = A.transition_summary(df.where("regime = 'Unknown'")).first()
+    assert (none["total_count"], none["unique_transitions"], none["n_transitions"], none["overall_entropy"], none["transitions_per_period"]) == (0, 0, 0, None, 0.0)
+
+
+def test_states_that_cannot_be_told_apart():
+    from tidegauge.functions.kernels import StateAlignmentError, fit_markov
+
+    with pytest.raises(StateAlignmentError):
+        fit_markov(np.zeros((60, 1)))
+
+
+def test_long_memory_outlook(spark):
+    from tidegauge.operators import folds
+
+    h = [0.7, 0.4, None]
+    labels = {"hurst_regime": ["Trending", "Mean-Reverting", "Unknown"], "hurst_confirmed_regime": ["a", "b", "c"], "lo_memory_regime": ["x", "y", "z"]}
+    df = bars(spark, [1.0] * 3, hurst=h, persistence_strength=[0.2, -0.1, None], **labels)
+    last = folds.hurst_outlook(df).first()
+    assert last["current"] is None and last["interpretation"] is None and last["current_regime"] == "Unknown" and last["share_trending"] == 0.5 and (last["min"], last["max"]) == (0.4, 0.7)
+    before = folds.hurst_outlook(df.where("rn < 3")).first()
+    assert before["interpretation"] == "moves revert (H = 0.400)" and before["current_confirmed_regime"] == "b" and before["current_persistence"] == -0.1

@@ -272,6 +272,12 @@ register(
     """SELECT symbol, avg(hurst) AS mean, stddev_samp(hurst) AS std, arg_max(hurst, ts) FILTER (WHERE hurst IS NOT NULL) AS current, coalesce(count(*) FILTER (WHERE hurst_regime = 'Trending') / nullif(count(*) FILTER (WHERE hurst_regime <> 'Unknown'), 0), 0) AS share_trending,
        coalesce(count(*) FILTER (WHERE hurst_regime = 'Mean-Reverting') / nullif(count(*) FILTER (WHERE hurst_regime <> 'Unknown'), 0), 0) AS share_reverting FROM hl GROUP BY 1""", HURST,
 )
+register(
+    "hurst_outlook", "symbol min:d max:d current:d share_random:d current_regime average_persistence:d current_persistence:d interpretation", lambda s, d: folds.hurst_outlook(folds.hurst_features(returns(s, d), CFG)),
+    """SELECT *, CASE WHEN current > 0.55 THEN format('trends persist (H = {:.3f})', current) WHEN current < 0.45 THEN format('moves revert (H = {:.3f})', current) WHEN current IS NOT NULL THEN format('close to a random walk (H = {:.3f})', current) END AS interpretation
+       FROM (SELECT symbol, min(hurst) AS min, max(hurst) AS max, arg_max_null(hurst, ts) AS current, coalesce(count(*) FILTER (WHERE hurst_regime = 'Random') / nullif(count(*) FILTER (WHERE hurst_regime <> 'Unknown'), 0), 0) AS share_random,
+               arg_max_null(hurst_regime, ts) AS current_regime, avg(hurst - 0.5) AS average_persistence, arg_max_null(hurst - 0.5, ts) AS current_persistence FROM hl GROUP BY 1)""", HURST,
+)
 register("hurst_rs_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="rs")))
 register("dfa_rolling", "symbol ts:t hurst:d", lambda s, d: folds.hurst(returns(s, d), Config(hurst_method="dfa")))
 
@@ -403,6 +409,16 @@ register(
 )
 register("transition_entropy", "from_regime entropy:d", lambda s, d: A.row_entropy(matrix(s, d)), "SELECT from_regime, sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) AS entropy FROM tm GROUP BY 1", TRANS)
 register("transition_counts", "from_regime to_regime n:i share:d", lambda s, d: A.transition_changes(labels(s, d)), "SELECT *, n / sum(n) OVER () AS share FROM tc WHERE from_regime <> to_regime", TRANS)
+register("likely_transitions", "from_regime to_regime p:d", lambda s, d: A.likely_transitions(matrix(s, d), 0.01), "SELECT from_regime, to_regime, p FROM tm WHERE from_regime <> to_regime AND p > 0.01 ORDER BY p DESC, 1, 2 LIMIT 10", TRANS)
+register(
+    "common_transitions", "from_regime to_regime n:i percentage:d", lambda s, d: A.common_transitions(labels(s, d)),
+    "SELECT from_regime, to_regime, n, 100 * n / sum(n) OVER () AS percentage FROM tc WHERE from_regime <> to_regime ORDER BY n DESC, 1, 2 LIMIT 10", TRANS,
+)
+register(
+    "transition_summary", "total_count:i unique_transitions:i n_transitions:i overall_entropy:d bars:i transitions_per_period:d", lambda s, d: A.transition_summary(labels(s, d)),
+    """SELECT *, total_count / bars AS transitions_per_period FROM (SELECT sum(n) FILTER (WHERE from_regime <> to_regime) AS total_count, count(*) FILTER (WHERE from_regime <> to_regime AND n > 0) AS unique_transitions,
+         count(*) FILTER (WHERE p > 0) - count(DISTINCT from_regime) AS n_transitions, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / count(DISTINCT from_regime) AS overall_entropy, (SELECT count(*) FROM lab) AS bars FROM tm)""", TRANS,
+)
 POWERS = TRANS + ",\nmp0 AS MATERIALIZED (SELECT from_regime AS i, to_regime AS j, p FROM tm)" + "".join(f",\nmp{k + 1} AS MATERIALIZED (SELECT a.i, b.j, sum(a.p * b.p) AS p FROM mp{k} a JOIN mp{k} b ON a.j = b.i GROUP BY 1, 2)" for k in range(12))
 register("stationary_distribution", "regime share:d", lambda s, d: A.stationary(matrix(s, d)), "SELECT j AS regime, sum(p) / sum(sum(p)) OVER () AS share FROM mp12 GROUP BY 1", POWERS)
 PASSAGE = TRANS + """,

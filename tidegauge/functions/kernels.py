@@ -309,6 +309,10 @@ def dsm_bocpd(
     return _spread(at, best, len(values)), _spread(at, change, len(values))
 
 
+class StateAlignmentError(ValueError):
+    """The states of a fit cannot be told apart, so neither is the wilder one."""
+
+
 class MarkovFit:
     """Two-state Gaussian model; state 1 has the larger variance of the first column."""
 
@@ -355,8 +359,8 @@ def fit_markov(x: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> Mar
             converged = True
             break
         last = loglik
-    if covs[0][0, 0] == covs[1][0, 0]:
-        raise ValueError("both states have the same variance")
+    if not np.isfinite(covs).all() or covs[0][0, 0] == covs[1][0, 0]:
+        raise StateAlignmentError("both states have the same variance")
     order = [0, 1] if covs[0][0, 0] < covs[1][0, 0] else [1, 0]
     return MarkovFit(filtered[:, order[1]], posterior[:, order[1]], means[order], covs[order], trans[np.ix_(order, order)], loglik, converged)
 

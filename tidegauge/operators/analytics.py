@@ -205,6 +205,33 @@ def transition_changes(df: DataFrame, regime: str = "regime") -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))))
 
 
+def likely_transitions(matrix: DataFrame, least: float = 0.1, most: int = 10) -> DataFrame:
+    """The ``most`` likeliest changes between different regimes of more than ``least`` probability, likeliest first."""
+    return matrix.where((F.col("from_regime") != F.col("to_regime")) & (F.col("p") > least)).orderBy(F.desc("p"), "from_regime", "to_regime").limit(most).select("from_regime", "to_regime", "p")
+
+
+def common_transitions(df: DataFrame, regime: str = "regime", most: int = 10) -> DataFrame:
+    """The ``most`` commonest changes that happened, with their share of all changes in per cent, commonest first."""
+    changes = transition_changes(df, regime).orderBy(F.desc("n"), "from_regime", "to_regime").limit(most)
+    return changes.select("from_regime", "to_regime", "n", (100 * F.col("share")).alias("percentage"))
+
+
+def transition_summary(df: DataFrame, regime: str = "regime") -> DataFrame:
+    """One row: changes that happened, how many different ones, per bar, different changes the matrix knows, and the mean
+    entropy of a regime's successors (natural logarithm). Without any change the counts are 0 and the entropy null."""
+    cells = transition_matrix(df, regime)
+    p, other = F.col("p"), F.col("from_regime") != F.col("to_regime")
+    rows = cells.groupBy("from_regime").agg(
+        F.sum(F.when(p > 0, -p * F.log(p)).otherwise(0.0)).alias("entropy"), F.sum(F.when(other, F.col("n")).otherwise(0)).alias("changes"), F.count_if(other & (p > 0)).alias("kinds"), F.count_if(p > 0).alias("cells")
+    )
+    found = rows.agg(
+        F.coalesce(F.sum("changes"), F.lit(0)).alias("total_count"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("unique_transitions"),
+        (F.coalesce(F.sum("cells"), F.lit(0)) - F.count(F.lit(1))).alias("n_transitions"), F.avg("entropy").alias("overall_entropy"),
+    )
+    bars = df.agg(F.count("*").alias("bars"))
+    return found.join(F.broadcast(bars), how="cross").withColumn("transitions_per_period", F.coalesce(F.try_divide("total_count", "bars"), F.lit(0.0)))  # one row by one row
+
+
 # --- segments ----------------------------------------------------------------------------------------------------
 
 

@@ -226,3 +226,21 @@ def hurst_summary(df: DataFrame) -> DataFrame:
     h, known = F.col("hurst"), F.col("hurst_regime") != UNKNOWN
     share = lambda label, name: F.coalesce(F.try_divide(F.count_if(F.col("hurst_regime") == label), F.count_if(known)), F.lit(0.0)).alias(name)
     return df.groupBy("symbol").agg(F.avg(h).alias("mean"), F.stddev_samp(h).alias("std"), F.max_by(h, F.when(h.isNotNull(), F.col("ts"))).alias("current"), share("Trending", "share_trending"), share("Mean-Reverting", "share_reverting"))
+
+
+def hurst_outlook(df: DataFrame, low: float = 0.45, high: float = 0.55) -> DataFrame:
+    """Per symbol: extremes of hurst, the shares of all known labels, the last labels and persistence, and their reading.
+
+    The last row counts, whether its exponent is known or not; without one there is no reading.
+    """
+    h, known = F.col("hurst"), F.col("hurst_regime") != UNKNOWN
+    share = lambda label, name: F.coalesce(F.try_divide(F.count_if(F.col("hurst_regime") == label), F.count_if(known)), F.lit(0.0)).alias(name)
+    last = lambda c: F.max_by(c, "ts")
+    found = df.groupBy("symbol").agg(
+        F.min(h).alias("min"), F.max(h).alias("max"), last("hurst").alias("current"), share("Trending", "share_trending"), share("Mean-Reverting", "share_reverting"), share("Random", "share_random"),
+        last("hurst_regime").alias("current_regime"), last("hurst_confirmed_regime").alias("current_confirmed_regime"), last("lo_memory_regime").alias("current_memory_regime"),
+        F.avg("persistence_strength").alias("average_persistence"), last("persistence_strength").alias("current_persistence"),
+    )
+    now = F.col("current")
+    reading = F.when(now > high, "trends persist").when(now < low, "moves revert").when(now.isNotNull(), "close to a random walk")
+    return found.withColumn("interpretation", F.when(reading.isNotNull(), F.format_string("%s (H = %.3f)", reading, now)))
