@@ -13,7 +13,7 @@ def _rows(df):
     return sorted(tuple("~" if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op3_urlfilter", "op6_decontaminate", "op8_topk", "op11_mixing", "op12_fim", "op13_trie"])
+@pytest.mark.parametrize("name", ["op1_warc", "op3_urlfilter", "op6_decontaminate", "op8_topk", "op11_mixing", "op12_fim", "op13_trie", "base_pii", "base_secrets", "base_licenses"])
 def test_equals_sql(spark, name):
     from tidegauge.llm import queries
 

@@ -203,6 +203,53 @@ SELECT a.conv_id, a.d AS depth, a.parent_conv_id, a.n_convs, a.n_children, u.n_l
 FROM a JOIN u ON u.e = a.d AND u.name = a.name
 """
 
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many personal data of each kind the patterns of op2_pii find."""
+    from tidegauge.llm.pii import KINDS, base_spans
+
+    found = table(spark, sf_dir, "documents").select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS))
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many secrets of each kind the base rules of op4_secrets find."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and labels of the base phrases of op5_licenses."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_ALL = "regexp_extract_all(t, '{}')"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) WHEN CAST(c AS INT) < 5 THEN 2 * CAST(c AS INT) ELSE 2 * CAST(c AS INT) - 9 END)) % 10 = 0"
+BASE_PII_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, {_ALL.format("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+")} AS email, {_ALL.format("[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)")} AS ip,
+      {_ALL.format("[0-9]([ -]?[0-9])+")} AS card, {_ALL.format("[+][0-9][ ().0-9-]+[0-9]")} AS phone FROM d)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+       CAST(len(list_filter(ip, lambda m: len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0)) AS BIGINT) AS n_ip,
+       CAST(len(list_filter(card, lambda m: length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN})) AS BIGINT) AS n_card,
+       CAST(len(list_filter(phone, lambda m: length({_DIGITS}) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone FROM f
+"""
+_ASSIGN = """(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)"""
+BASE_SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 1), lambda m: length(m) >= 6)) AS BIGINT) AS n_assign,
+       CAST(len(list_filter({_ALL.format("AKIA[A-Z0-9]+")}, lambda m: length(m) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter({_ALL.format("[0-9a-f]+")}, lambda m: length(m) >= 24)) AS BIGINT) AS n_hex FROM d
+"""
+_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+_STARTS = " UNION ALL ".join(f"SELECT rid, i AS place, '{label}' AS label FROM v WHERE " + " AND ".join(f"x{k} = '{w}'" for k, w in enumerate(p.split())) for p, label in _PHRASES.items())
+BASE_LICENSES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+v AS (SELECT rid, i, x0, lead(x0) OVER (PARTITION BY rid ORDER BY i) AS x1, lead(x0, 2) OVER (PARTITION BY rid ORDER BY i) AS x2 FROM (SELECT rid, unnest(w) AS x0, unnest(range(len(w))) AS i FROM d)),
+s AS ({_STARTS}),
+g AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM s GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN g USING (rid)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
@@ -217,6 +264,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_mixing": op11_mixing,
     "op12_fim": op12_fim,
     "op13_trie": op13_trie,
+    "base_pii": base_pii,
+    "base_secrets": base_secrets,
+    "base_licenses": base_licenses,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
@@ -226,4 +276,7 @@ ORACLES: dict[str, str] = {
     "op11_mixing": OP11_SQL,
     "op12_fim": OP12_SQL,
     "op13_trie": OP13_SQL,
+    "base_pii": BASE_PII_SQL,
+    "base_secrets": BASE_SECRETS_SQL,
+    "base_licenses": BASE_LICENSES_SQL,
 }
