@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold benchmark passages."""
+    """Documents of which benchmark passages cover less than 5 % of the words; those keep the passages they hold."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
