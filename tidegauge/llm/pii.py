@@ -124,31 +124,42 @@ def telling_terms(located: DataFrame, generalise: float = 0.9, doubt: float | No
     return cut(scored.where(F.col("strength") >= generalise).groupBy("term").agg(F.max("strength").alias("strength")), "pii-telling")
 
 
-def _term_spans(located: DataFrame, telling: DataFrame, remove: float) -> DataFrame:
-    """(doc_id, th, more): for each different row that holds telling terms all their places, by start.
+#: Told words of a row are dealt into so many lists at most, for a word to be looked up in one of them.
+_MOST_LISTS = 256
 
-    Rows that hold any are found by their distinct words; only those are gone through word by word, each word once.
-    """
-    listed = broadcast_if_small(telling, ROW_BYTES, MOST_BYTES)
+
+def _told(located: DataFrame, telling: DataFrame) -> DataFrame:
+    """(_id, _th, told): for each different row that holds telling terms, those terms with their strength, dealt by hash
+    into lists of some sixteen."""
     rows = located.select("doc_id", "th", _visible(F.col("text"), F.col("base")).alias("seen"))
-    every = rows.select("doc_id", "th", F.explode(_terms(_words(F.col("seen")))).alias("term"))
-    hit = cut(every.join(listed, "term", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "pii-hit")
-    same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    told = rows.join(broadcast_if_small(hit, ROW_BYTES, MOST_BYTES), same, "left_semi").dropDuplicates(["doc_id", "th"])
-    places = told.select("doc_id", "th", F.explode(spans(F.col("seen"), WORD)).alias("x")).withColumn("term", F.xxhash64(F.lower("x.m"))).join(listed, "term")
-    kind = F.when(F.col("strength") >= remove, "cut").otherwise("term")
-    found = F.struct(F.col("x.s").alias("s"), F.lit(len(KINDS)).alias("o"), F.col("x.e").alias("e"), kind.alias("kind"), F.lower("x.m").alias("m"))
-    return cut(places.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(found)).alias("more")), "pii-terms")
+    every = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.explode(_terms(_words(F.col("seen")))).alias("term"))
+    hits = every.join(broadcast_if_small(telling, ROW_BYTES, MOST_BYTES), "term").groupBy("_id", "_th").agg(F.collect_set(F.struct("term", "strength")).alias("terms"))
+    lists = F.least(F.floor(F.size("terms") / 16) + 1, F.lit(_MOST_LISTS)).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), lists - 1), lambda i: F.filter("terms", lambda t: F.pmod(t["term"], lists) == i))
+    return cut(hits.select("_id", "_th", dealt.alias("told"), F.size("terms").alias("n_told")), "pii-told")
+
+
+def _term_spans(seen: Column, told: Column, remove: float) -> Column:
+    """All places of told words, by start; the text is split once and every word looked up in one list."""
+
+    def judged(x: Column) -> Column:
+        term = F.xxhash64(F.lower(x["m"]))
+        listed = F.get(told, F.pmod(term, F.size(told)).cast("int"))
+        return F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), x["e"].alias("e"), F.get(F.filter(listed, lambda t: t["term"] == term), F.lit(0))["strength"].alias("strength"), F.lower(x["m"]).alias("m"))
+
+    kind = lambda x: F.when(x["strength"] >= remove, "cut").otherwise("term")
+    known = F.filter(F.transform(spans(seen, WORD, told.isNotNull()), judged), lambda x: x["strength"].isNotNull())
+    return F.transform(known, lambda x: F.struct(x["s"].alias("s"), x["o"].alias("o"), x["e"].alias("e"), kind(x).alias("kind"), x["m"].alias("m")))
 
 
 def _found(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt: float | None = None) -> DataFrame:
     """``_located`` with found, the base spans and behind them those of terms."""
     located = _located(docs)
-    more = _term_spans(located, telling_terms(located, generalise, doubt), remove)
-    size = F.lit(ROW_BYTES) + F.aggregate("more", F.lit(0), lambda a, x: a + 96 + F.octet_length(x["m"]))
-    more = broadcast_if_small(more, size, MOST_BYTES).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    told = _told(located, telling_terms(located, generalise, doubt))
+    told = broadcast_if_small(told, ROW_BYTES + 40 * F.col("n_told"), MOST_BYTES)
     same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return located.join(more, same, "left").withColumn("found", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")))
+    more = _term_spans(_visible(F.col("text"), F.col("base")), F.col("told"), remove)
+    return located.join(told, same, "left").withColumn("found", F.when(F.col("told").isNull(), F.col("base")).otherwise(F.concat("base", more)))
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt: float | None = None) -> DataFrame:
