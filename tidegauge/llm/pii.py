@@ -136,7 +136,7 @@ def _told(located: DataFrame, telling: DataFrame) -> DataFrame:
     hits = every.join(broadcast_if_small(telling, ROW_BYTES, MOST_BYTES), "term").groupBy("_id", "_th").agg(F.collect_set(F.struct("term", "strength")).alias("terms"))
     lists = F.least(F.floor(F.size("terms") / 16) + 1, F.lit(_MOST_LISTS)).cast("int")
     dealt = F.transform(F.sequence(F.lit(0), lists - 1), lambda i: F.filter("terms", lambda t: F.pmod(t["term"], lists) == i))
-    return cut(hits.select("_id", "_th", dealt.alias("told"), F.size("terms").alias("n_told")), "pii-told")
+    return cut(hits.select("_id", "_th", dealt.alias("told")), "pii-told")
 
 
 def _term_spans(seen: Column, told: Column, remove: float) -> Column:
@@ -156,10 +156,12 @@ def _found(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt
     """``_located`` with found, the base spans and behind them those of terms."""
     located = _located(docs)
     told = _told(located, telling_terms(located, generalise, doubt))
-    told = broadcast_if_small(told, ROW_BYTES + 40 * F.col("n_told"), MOST_BYTES)
     same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    # rows with told words go their own way: their lists may be long, and no other row's text should move for them
+    keys = broadcast_if_small(told.select("_id", "_th"), ROW_BYTES, MOST_BYTES)
     more = _term_spans(_visible(F.col("text"), F.col("base")), F.col("told"), remove)
-    return located.join(told, same, "left").withColumn("found", F.when(F.col("told").isNull(), F.col("base")).otherwise(F.concat("base", more)))
+    marked = located.join(keys, same, "left_semi").join(told, same).select(located["*"], F.concat("base", more).alias("found"))
+    return located.join(keys, same, "left_anti").withColumn("found", F.col("base")).unionByName(marked)
 
 
 def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, doubt: float | None = None) -> DataFrame:
