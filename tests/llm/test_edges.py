@@ -547,6 +547,28 @@ def test_growing_tables_stay_small_on_the_driver(spark, odd, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in rows(neardup.drop_near_duplicates(odd))) == sorted(["1", "2", "3", "4", "5", "7", "None"])
 
 
+def test_growing_tables_are_never_broadcast_by_the_planner(spark, monkeypatch):
+    """Beyond the limits every join is dealt by key, however small the planner takes a side to be."""
+    plans, written = {}, neardup.cut
+
+    def spy(df, label):
+        plans[label] = plans.get(label, "") + df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, label)
+
+    monkeypatch.setattr(neardup, "cut", spy)
+    monkeypatch.setattr(neardup, "RELATION_BYTES", -1)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 6)
+    docs = near_docs()[:40]
+    want = sorted(d for d, (_, _, kept) in brute.near_duplicates(docs, 5, 80).items() if kept)
+    left = neardup.drop_near_duplicates(spark.createDataFrame(docs, DOC))
+    assert sorted(r["doc_id"] for r in rows(left)) == want
+    joined = {label for label, plan in plans.items() if "SortMergeJoin" in plan}
+    assert {"neardup-prefixes", "neardup-hot", "neardup-marked", "neardup-wanted", "neardup-sets", "neardup-linked", "cc-edges"} <= joined
+    # heavy keys alone, which are few by their definition, may still be sent
+    assert {label for label, plan in plans.items() if "BroadcastHashJoin" in plan} <= {"neardup-components", "neardup-fate"}
+    assert "BroadcastHashJoin" not in left._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 100), (5, 5), (41, 40), (200, 150), (150, 175)]
     got = {r["node"]: r["root"] for r in rows(neardup.components(spark.createDataFrame(edges, "a long, b long")))}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, join_spread, space_words, tidy
+from tidegauge.llm.common import bound_batches, broadcast_if_small, cut, dealt, join_spread, space_words, tidy
 
 K = 40
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -261,12 +261,12 @@ def posted(classes: DataFrame, least_hits: int) -> DataFrame:
     pair = F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     postings = classes.select("cid", F.posexplode("sig").alias("c", "v")).select("cid", pair.alias("pair"))
     counts = postings.groupBy("pair").agg(F.count("*").alias("f")).where("f > 1")
-    mine = postings.join(counts, "pair").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "pair"))).alias("pairs")).where(F.size("pairs") >= least_hits)
+    mine = postings.join(dealt(counts), "pair").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "pair"))).alias("pairs")).where(F.size("pairs") >= least_hits)
     prefix = F.transform(F.slice("pairs", F.lit(1), F.size("pairs") - (least_hits - 1)), lambda x: x["pair"])
     bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p, 32).cast("int"))
     mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda bits, p: bits.bitwiseOR(bit(p)))
     heads = mine.select("cid", prefix.alias("prefix")).withColumn("mask", mask)
-    rows = heads.join(classes.select("cid", "n", "sig"), "cid")
+    rows = heads.join(dealt(classes.select("cid", "n", "sig")), "cid")
     return cut(rows.select(F.explode("prefix").alias("bkey"), "cid", "n", "mask", "sig"), "neardup-prefixes")
 
 
@@ -298,12 +298,12 @@ def centre_links(hot: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     parts = broadcast_if_small(cut(parts, "neardup-parts"), RELATION_ROW, RELATION_BYTES)
     sides = pairs.join(parts, "centre").select("centre", _block("cid", "parts").alias("part"), "cid", F.lit(1).alias("side"))
     sides = sides.unionByName(parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("cid"), F.lit(0).alias("side")))
-    ready = sides.join(sets, "cid").select("centre", "part", "side", "cid", "set").repartition("centre", "part").sortWithinPartitions("centre", "part", "side", "cid")
+    ready = sides.join(dealt(sets), "cid").select("centre", "part", "side", "cid", "set").repartition("centre", "part").sortWithinPartitions("centre", "part", "side", "cid")
     found = cut(ready.mapInArrow(_beside_centre(percent), "a long, b long"), "neardup-centre-links")
     # which of its bucket's centres each member is linked with, and which centres hang together over members
     own = found.groupBy(F.col("b").alias("cid")).agg(F.collect_set("a").alias("linked"))
     bits = F.aggregate(F.transform("centres", lambda c, i: F.when((c == F.col("cid")) | F.array_contains("linked", c), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda x, y: x.bitwiseOR(y))
-    marked = cut(members.join(own, "cid", "left").withColumn("linked", F.coalesce("linked", F.expr("cast(array() as array<long>)"))).select("bkey", "cid", bits.alias("bits")), "neardup-marked")
+    marked = cut(members.join(dealt(own), "cid", "left").withColumn("linked", F.coalesce("linked", F.expr("cast(array() as array<long>)"))).select("bkey", "cid", bits.alias("bits")), "neardup-marked")
     reach = F.lit(1)
     grow = lambda have: F.aggregate("sets", have, lambda r, b: F.when(r.bitwiseAND(b) != 0, r.bitwiseOR(b)).otherwise(r))
     for _ in range(CENTRES - 1):
@@ -320,7 +320,7 @@ def hot_rows(hot: DataFrame, left: DataFrame) -> DataFrame:
     rest = [F.col(c) for c in ("cid", "n", "mask", "sig")]
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     all_of = sized.select("bkey", spread("few").alias("b1"), _block("cid", "blocks").alias("b2"), F.lit(1).alias("block"), *rest)
-    few = sized.join(left, ["bkey", "cid"]).select("bkey", _block("cid", "few").alias("b1"), spread("blocks").alias("b2"), F.lit(0).alias("block"), *rest)
+    few = sized.join(dealt(left), ["bkey", "cid"]).select("bkey", _block("cid", "few").alias("b1"), spread("blocks").alias("b2"), F.lit(0).alias("block"), *rest)
     return few.unionByName(all_of)
 
 
@@ -360,17 +360,17 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     if many:
         large = broadcast_if_small(large, RELATION_ROW, RELATION_BYTES)
         beside = rows.join(large, "bkey", "left_anti")
-    plain = beside.join(small, "bkey").select("bkey", F.lit(0).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("block"), "cid", "n", "mask", "sig")
+    plain = beside.join(dealt(small), "bkey").select("bkey", F.lit(0).alias("b1"), F.lit(-1).alias("b2"), F.lit(0).alias("block"), "cid", "n", "mask", "sig")
     flagged = cut(_by_group(plain).mapInArrow(_flag(percent), _GROUP), "neardup-flagged")
     wanted = flagged.select("cid")
     if many:
         hot = cut(rows.join(large, "bkey"), "neardup-hot")
         wanted = wanted.union(hot.select("cid"))
-    full = full_sets(docs, cut(wanted.distinct().join(classes.select("cid", "rep.doc_id", "rep.th"), "cid"), "neardup-wanted"), words)
+    full = full_sets(docs, cut(wanted.distinct().join(dealt(classes.select("cid", "rep.doc_id", "rep.th")), "cid"), "neardup-wanted"), words)
     if many:
         found, left = centre_links(hot, full, percent)
         flagged = flagged.unionByName(cut(_by_group(hot_rows(hot, left)).mapInArrow(_flag(percent), _GROUP), "neardup-flagged-hot"))
-    ready = _by_group(flagged.join(full, "cid").select(*[c.split()[0] for c in _GROUP.split(", ")], "set"))
+    ready = _by_group(flagged.join(dealt(full), "cid").select(*[c.split()[0] for c in _GROUP.split(", ")], "set"))
     confirmed = ready.mapInArrow(_confirm(percent), "a long, b long")
     return cut((confirmed.union(found) if many else confirmed).distinct(), "neardup-links")
 
@@ -390,10 +390,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large-star: every greater neighbour moves to the least one
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.where("b > a").join(dealt(least), "a").select(F.col("m").alias("a"), "b").distinct()
         # small-star: the lesser neighbours and the node itself move to the least of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select("m", "a", "b")
+        small = large.join(dealt(low), "b").select("m", "a", "b")
         moved = small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b"))
         edges = cut(moved.where("a < b").distinct(), "cc-edges")
 
@@ -415,10 +415,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     joined = components(links(docs, classes, words, percent))
     # classes that are linked with any other; the rest are components of their own
     nodes = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
-    linked = cut(classes.select("cid", "rep").join(nodes, F.col("cid") == F.col("node")).drop("node"), "neardup-linked")
+    linked = cut(classes.select("cid", "rep").join(dealt(nodes), F.col("cid") == F.col("node")).drop("node"), "neardup-linked")
     lows = cut(linked.groupBy("root").agg(F.min("rep").alias("low"), F.count("*").alias("members")), "neardup-lows")
     told = join_spread(linked.select("cid", "root"), lows, "root", "members")
-    mine = classes.select("key", "cid", "rep", "copies").join(told, "cid", "left")
+    mine = classes.select("key", "cid", "rep", "copies").join(dealt(told), "cid", "left")
     mine = cut(mine.select("key", F.coalesce("root", "cid").alias("class_id"), F.coalesce("low", "rep").alias("low"), "copies"), "neardup-components")
     # texts without words belong to no class and meet nowhere
     lone = rows.where("key is null").withColumns({"class_id": F.lit(None).cast("long"), "low": F.lit(None).cast(mine.schema["low"].dataType)})
