@@ -138,3 +138,36 @@ def test_blocks_of_windows_equal_single_windows():
     assert np.allclose(K.rolling_structure(x, 100, 50), K.rolling(x, 100, 50, K.structure_exponent), equal_nan=True, atol=1e-10)
     for lags in (None, 0, 7):
         assert np.allclose(K.rolling_lo(r, 100, 50, lags), K.rolling(r, 100, 50, lambda v, lags=lags: K.lo_statistic(v, lags)), equal_nan=True, atol=1e-10)
+
+
+def test_robust_changes_of_many_series_are_those_of_each():
+    """Series of any lengths that go step by step together give, bit for bit, what each gives by itself."""
+    g = np.random.default_rng(11)
+    series = [g.normal(0, 0.01 * (1 + i % 3), int(n)) for i, n in enumerate([130, 0, 7, 60, 130, 51, 1])] + [np.full(4, np.nan), np.zeros(70)]
+    series[0][60:] *= 9
+    series[3][::5] = np.nan
+    levels = [1e-4 * (1 + i) for i in range(len(series))]
+    for x, varx, found in zip(series, levels, K.dsm_bocpd_many(series, 100.0, levels), strict=True):
+        want, state = [np.full(len(x), np.nan) for _ in range(2)], K.dsm_start((0.0, 1.0))
+        for t in np.flatnonzero(np.isfinite(x)):
+            want[0][t], want[1][t], state = K.dsm_step(float(x[t]), state, 1 / 100.0, varx, 1.0, 3.0, (0.0, 1.0), 50)
+        np.testing.assert_array_equal(found, want)
+    assert K.dsm_bocpd_many([], 100.0, []) == []
+
+
+def test_robust_changes_of_many_symbols(spark, monkeypatch):
+    """Symbols that share a call, a symbol longer than a call and one without a name, each in the order of its times."""
+    from tidegauge.config import Config
+    from tidegauge.functions import grouped
+    from tidegauge.operators import folds
+
+    g = np.random.default_rng(12)
+    data = {s: g.normal(0, 0.01, n) for s, n in (("a", 3), ("b", 40), (None, 9), ("c", 170), ("d", 1), ("e", 12))}
+    bars = [(s, t, float(v)) for s, x in data.items() for t, v in enumerate(x)]
+    df = spark.createDataFrame([bars[i] for i in g.permutation(len(bars))], "symbol string, ts long, log_return double")
+    monkeypatch.setattr(grouped, "TOGETHER_ROWS", 30)
+    got = {(r["symbol"], r["ts"]): (r["bocpd_run_length"], r["bocpd_change_prob"]) for r in folds.dsm_bocpd(df, Config()).collect()}
+    assert len(got) == len(bars)
+    for s, x in data.items():
+        want = K.dsm_bocpd(x, 100.0, max(float(np.var(x, ddof=1)), 1e-8) if len(x) > 1 else 1e-4)
+        assert [got[s, t] for t in range(len(x))] == list(zip(*[c.tolist() for c in want], strict=True))

@@ -300,13 +300,56 @@ def dsm_bocpd(
 
     Only survivors are stored, so state and time per value are bounded by ``keep``.
     """
-    at, x = _present(values)
-    prior = (prior_mean, prior_var)
-    state = dsm_start(prior)
-    best, change = np.empty(len(x)), np.empty(len(x))
-    for t, v in enumerate(x.tolist()):
-        best[t], change[t], state = dsm_step(v, state, 1 / run_length, varx, omega, bandwidth, prior, keep)
-    return _spread(at, best, len(values)), _spread(at, change, len(values))
+    return dsm_bocpd_many([values], run_length, [varx], omega, bandwidth, prior_mean, prior_var, keep)[0]
+
+
+def dsm_bocpd_many(
+    series: list[np.ndarray], run_length: float, varx: list[float], omega: float = 1.0, bandwidth: float = 3.0, prior_mean: float = 0.0, prior_var: float = 1.0, keep: int = 50
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``dsm_bocpd`` of several series, each with its own noise level: one ``dsm_step`` for a value of all of them at once.
+
+    All series that still run have seen as many values, and so have as many runs; longer ones come first.
+    """
+    present = [_present(values) for values in series]
+    sizes = np.array([len(x) for _, x in present], int)
+    order = np.argsort(-sizes, kind="stable")
+    values = np.full((len(series), sizes.max(initial=0)), np.nan)
+    for row, i in enumerate(order.tolist()):
+        values[row, : sizes[i]] = present[i][1]
+    live = np.searchsorted(-sizes[order], -np.arange(values.shape[1]), side="left").tolist()
+    level = [float(varx[i]) for i in order.tolist()]
+    noise, width, square = (np.array(c).reshape(-1, 1) for c in (level, [bandwidth**2 * v for v in level], [v**2 for v in level]))
+    hazard = 1 / run_length
+    leave, stay = math.log(hazard), math.log1p(-hazard)
+    runs, mean, prec, mass = (np.full((len(series), 1), c) for c in (0.0, float(prior_mean), 1 / prior_var, 0.0))
+    best, change = np.full_like(values, np.nan), np.full_like(values, np.nan)
+    logs = lambda x: np.array([math.log(v) for v in x.tolist()]).reshape(-1, 1)
+    for t, n in enumerate(live):
+        if n < len(mass):
+            runs, mean, prec, mass, noise, width, square = (c[:n] for c in (runs, mean, prec, mass, noise, width, square))
+        v, first = values[:n, t : t + 1], np.zeros((n, 1))
+        var, far = 1 / prec + noise, (v - mean) ** 2
+        joint = mass - 0.5 * (np.log(2 * math.pi * var) + far / var)
+        top = joint.max(axis=1, keepdims=True)
+        reset = top + logs(np.exp(joint - top).sum(axis=1)) + leave
+        gain = 2 * omega * np.exp(-far / width) / square
+        grown = prec + gain
+        mean = np.hstack([first + prior_mean, (prec * mean + gain * v) / grown])
+        prec, runs = np.hstack([first + 1 / prior_var, grown]), np.hstack([first, runs + 1])
+        mass = np.hstack([reset, joint + stay])
+        kept = np.argsort(-mass, axis=1, kind="stable")[:, :keep]
+        kept += np.arange(n)[:, None] * mass.shape[1]
+        reset = mass[:, :1]
+        runs, mean, prec, mass = (c.ravel()[kept] for c in (runs, mean, prec, mass))
+        top = mass[:, :1]
+        total = top + logs(np.exp(mass - top).sum(axis=1))
+        best[:n, t], change[:n, t] = runs[:, 0], [math.exp(p) for p in (reset - total)[:, 0].tolist()]
+        mass = mass - total
+    found: list = [None] * len(series)
+    for row, i in enumerate(order.tolist()):
+        at, x = present[i]
+        found[i] = tuple(_spread(at, c[row, : len(x)], len(series[i])) for c in (best, change))
+    return found
 
 
 class StateAlignmentError(ValueError):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import Config
 from tidegauge.functions import kernels as K
 from tidegauge.functions.frames import order, half, ratio
-from tidegauge.functions.grouped import doubles, per_symbol
+from tidegauge.functions.grouped import doubles, doubles_together, per_symbol
 from tidegauge.operators.analytics import with_segments
 from tidegauge.operators.features import numbered, ols_slope, trend_strength, true_range
 from tidegauge.operators.regimes import consensus_anchors
@@ -104,14 +104,15 @@ def dsm_bocpd(df: DataFrame, cfg: Config) -> DataFrame:
     Its noise level is given, or the variance of the whole series, or (``causal_varx``) that of the first 50 bars.
     """
 
-    def fold(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-        x = rows["log_return"].to_numpy(float)
+    def level(x: np.ndarray) -> float:
         seen = x[np.isfinite(x)][: 50 if cfg.causal_varx else None]
-        varx = cfg.dsm_varx or max(float(np.var(seen, ddof=1)) if len(seen) > 1 else 1e-4, 1e-8)
-        run, change = K.dsm_bocpd(x, cfg.bocpd_run_length, varx, cfg.dsm_omega, cfg.dsm_bandwidth)
-        return {"bocpd_run_length": run, "bocpd_change_prob": change}
+        return cfg.dsm_varx or max(float(np.var(seen, ddof=1)) if len(seen) > 1 else 1e-4, 1e-8)
+
+    def fold(series: list[np.ndarray]) -> dict[str, np.ndarray]:
+        found = K.dsm_bocpd_many(series, cfg.bocpd_run_length, [level(x) for x in series], cfg.dsm_omega, cfg.dsm_bandwidth)
+        return {name: np.concatenate(column) for name, column in zip(("bocpd_run_length", "bocpd_change_prob"), zip(*found, strict=True), strict=True)}
 
-    return doubles(df, ["bocpd_run_length", "bocpd_change_prob"], fold, ["log_return"])
+    return doubles_together(df, ["bocpd_run_length", "bocpd_change_prob"], fold, "log_return")
 
 
 def markov(df: DataFrame, threshold: float = 0.5, second: str | None = None) -> DataFrame:
