@@ -10,11 +10,13 @@ import pytest
 from helpers import bars, column
 from pyspark.sql import functions as F
 
+from tidegauge.catalog import QUERIES
 from tidegauge.config import Config
 from tidegauge.functions import sliding as S
 from tidegauge.functions.frames import rolling, sliding_array
 from tidegauge.operators import features as X
 from tidegauge.operators import regimes as R
+from tidegauge.plans.analysis import crisp_labels, labelled
 
 
 def noisy(n: int, seed: int, holes: float = 0.1) -> np.ndarray:
@@ -109,3 +111,30 @@ def test_long_windows_take_the_fold(spark, monkeypatch):
     for a, b in (("adaptive_upper", "u"), ("adaptive_lower", "d")):
         x, y = column(df, a), column(df, b)
         assert [v is None for v in x] == [v is None for v in y] and [v for v in x if v is not None] == pytest.approx([v for v in y if v is not None])
+
+
+@pytest.mark.parametrize("w, least", [(1, 1), (2, 1), (7, 3), (60, 20), (252, 25), (500, 50)])
+def test_lower_shares_of_many_symbols(w, least):
+    parts = [noisy(n, n + w, holes) for n, holes in ((1, 0.0), (300, 0.1), (2, 1.0), (1, 1.0), (700, 0.6), (30, 0.0), (3, 0.3))]
+    want = np.concatenate([S.lower_shares(x, w, least) for x in parts])
+    assert np.array_equal(S.lower_shares_together(parts, w, least), want, equal_nan=True)
+    assert len(S.lower_shares_together([], w, least)) == 0
+
+
+@pytest.mark.parametrize(
+    "cfg", [Config(), Config(volatility_window=9, percentile_lookback=30), Config(annualize=True), Config(volatility_method="realized"), Config(volatility_method="ewm"), Config(percentile_lookback=500)], ids=["default", "windows", "annual", "realized", "ewm", "long"]
+)
+def test_crisp_labels_alone(spark, cfg):
+    closes = {"A": 100 * np.exp(np.cumsum(np.nan_to_num(noisy(330, 3)))), "B": 10 + np.abs(np.nan_to_num(noisy(90, 4))), "C": np.full(40, 5.0), "D": np.array([1.0])}
+    closes["B"][[20, 21, 50]] = 0.0  # no price, so no return
+    frames = [bars(spark, x.tolist(), symbol=s).drop("rn") for s, x in closes.items()]
+    table = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+    names = ["symbol", "ts", "trend_strength", "volatility", "volatility_percentile", "trend_regime", "volatility_regime", "regime", "regime_name"]
+    found, want = ([tuple(r) for r in f(table, cfg).select(names).orderBy("symbol", "ts").collect()] for f in (crisp_labels, labelled))
+    assert len(found) == 461 and found == want
+
+
+def test_labels_of_many_symbols_list_no_windows(spark):
+    plan = QUERIES["regime_mix_many"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    assert plan.count("Exchange hashpartitioning") == 4  # items by symbol and day, bars by symbol, labels twice: none for the fold

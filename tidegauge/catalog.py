@@ -22,7 +22,7 @@ from tidegauge.operators import features as X
 from tidegauge.operators import channels, folds, lookups, outlook, scans
 from tidegauge.operators import regimes as R
 from tidegauge.plans import walk_forward
-from tidegauge.plans.analysis import by_source, labelled
+from tidegauge.plans.analysis import by_source, crisp_labels, labelled
 from tidegauge.plans.refresh import Refresher
 from tidegauge.schema import BETTER_BY, EXPOSURE_MAPS, HALFLIFE, HALFLIFE_GRID, LO_BANDS, NEIGHBOURS, REBOUND_PROFILES, REGIMES, RUN_LENGTH, VOL_INDEX, WALK_FORWARD_WINDOWS, ReboundProfile
 from tidegauge.sources import bars as S
@@ -481,7 +481,7 @@ register(
 )
 SUPPLIED = O.bars("ls", "SELECT CAST(l_suppkey AS VARCHAR) AS symbol, date_trunc('day', l_shipdate) AS ts, round(avg(l_extendedprice / l_quantity), 6) AS c, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2") + ",\n" + O.labelled("lsl", "ls")
 register(
-    "regime_mix_many", "symbol regime_name n:i share_pct:d", lambda s, d: B.regime_mix(labelled(S.daily_bars(s, d, "l_suppkey"), CFG)),
+    "regime_mix_many", "symbol regime_name n:i share_pct:d", lambda s, d: B.regime_mix(crisp_labels(S.daily_bars(s, d, "l_suppkey"), CFG)),
     "SELECT symbol, regime_name, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY symbol), 1) AS share_pct FROM lsl GROUP BY 1, 2", SUPPLIED,
 )
 register("dsm_bocpd_many", "symbol ts:t bocpd_run_length:d bocpd_change_prob:d", lambda s, d: folds.dsm_bocpd(X.numbered(S.with_returns(S.daily_bars(s, d, "l_suppkey"))), CFG))

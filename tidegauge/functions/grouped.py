@@ -50,11 +50,12 @@ def _starts(table: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
 
 
-def doubles_together(df: DataFrame, names: list[str], fold: Callable[[list[np.ndarray]], dict[str, np.ndarray]], need: str) -> DataFrame:
+def doubles_together(df: DataFrame, names: list[str], fold: Callable[[list[np.ndarray]], dict[str, np.ndarray]], need: str, timeless_first: bool = False) -> DataFrame:
     """``doubles`` from one column, with many symbols a call: ``fold`` takes their arrays and gives columns of all bars.
 
     A task's bars come sorted by symbol and time and are handed on in stretches of whole symbols, so that it holds
-    some ``TOGETHER_ROWS`` of them, or one symbol's bars if those are more.
+    some ``TOGETHER_ROWS`` of them, or one symbol's bars if those are more. Bars without a time stand last; with
+    ``timeless_first`` they stand first, as in a window's frame, whose exchange and sort then serve here too.
     """
     df = df.drop(*names)
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
@@ -82,4 +83,4 @@ def doubles_together(df: DataFrame, names: list[str], fold: Callable[[list[np.nd
         if n:
             yield from folded(pa.Table.from_batches(held).combine_chunks())
 
-    return df.repartition("symbol").sortWithinPartitions("symbol", F.col("ts").asc_nulls_last()).mapInArrow(run, schema)
+    return df.repartition("symbol").sortWithinPartitions("symbol", F.col("ts").asc() if timeless_first else F.col("ts").asc_nulls_last()).mapInArrow(run, schema)

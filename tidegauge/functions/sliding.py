@@ -41,6 +41,25 @@ def lower_shares(values: np.ndarray, window: int, least: int) -> np.ndarray:
     return out
 
 
+def lower_shares_together(parts: Sequence[np.ndarray], window: int, least: int) -> np.ndarray:
+    """``lower_shares`` of many symbols' values, one symbol after the other, for windows of a few hundred rows.
+
+    Every row is compared with the one d rows before, for each d of the window, in one step for all symbols; that grows
+    with the window, but by about a nanosecond a row and d.
+    """
+    x = np.concatenate([np.empty(0), *parts])
+    sizes = np.array([len(p) for p in parts], int)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    lower = np.zeros(len(x), np.int32)
+    for d in range(1, min(window, sizes.max(initial=0))):
+        lower[d:] += (x[:-d] < x[d:]) & (place[d:] >= d)
+    rows = np.minimum(place + 1, window)
+    present = np.concatenate([[0], np.cumsum(~np.isnan(x))])
+    ends = np.arange(1, len(x) + 1)
+    shares = np.where(np.isnan(x), 0.0, lower / rows)
+    return np.where(present[ends] - present[ends - rows] >= least, shares, np.nan)
+
+
 def earlier_quantiles(values: np.ndarray, window: int, shares: Sequence[float], least: int) -> list[np.ndarray]:
     """For each share, the quantile of the ``window`` rows before the current one; NaN below ``least`` values."""
     out = [np.full(len(values), np.nan) for _ in shares]

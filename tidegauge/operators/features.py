@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from tidegauge.config import Config
 from tidegauge.functions import sliding
 from tidegauge.functions.frames import order, past, whole, finite, gated, half, ratio, rolling, sliding_array  # noqa: F401
-from tidegauge.functions.grouped import doubles
+from tidegauge.functions.grouped import doubles, doubles_together
 from tidegauge.schema import UNKNOWN
 from tidegauge.sources.bars import with_returns
 
@@ -125,6 +125,32 @@ def with_volatility_percentile(df: DataFrame, value: str, lookback: int, out: st
     return doubles(df, [out], lambda r: {out: sliding.lower_shares(r[value].to_numpy(float), lookback, least)}, [value])
 
 
+def volatility_percentile_alone(df: DataFrame, value: str, lookback: int, out: str = "volatility_percentile") -> DataFrame:
+    """``with_volatility_percentile`` as one fold over many symbols at once.
+
+    All columns of ``df`` pass through it, used or not, so it pays where few are left; a frame's list takes each value of
+    the window for each row.
+    """
+    least = min(lookback, max(20, lookback // 10))
+
+    def fold(parts: list[np.ndarray]) -> dict[str, np.ndarray]:
+        if lookback <= LISTED_ROWS:
+            return {out: sliding.lower_shares_together(parts, lookback, least)}
+        return {out: np.concatenate([sliding.lower_shares(x, lookback, least) for x in parts])}
+
+    return doubles_together(df, [out], fold, value, timeless_first=True)
+
+
+def strength_and_volatility(df: DataFrame, cfg: Config) -> DataFrame:
+    """trend_strength and volatility alone, as the features have them: one frame serves both if they take the same."""
+    frame = rolling(cfg.trend_window)
+    shared = cfg.volatility_method == "std" and cfg.volatility_window == cfg.trend_window and not cfg.annualize
+    deviation = gated(F.stddev_samp("log_return").over(frame), F.col("log_return"), half(cfg.trend_window), frame)
+    df = _ready(df).withColumns({"slope": ols_slope("log_price", cfg.trend_window), "_dev": deviation})
+    level = F.col("_dev") if shared else volatility(cfg)
+    return df.withColumns({"trend_strength": trend_strength(F.col("slope"), F.col("_dev")), "volatility": level}).drop("slope", "_dev")
+
+
 def volatility_label(cfg: Config, method: str = "percentile") -> Column:
     """Low, High or Unknown by percentile, by level, or against the baseline."""
     v, p, b = F.col("volatility"), F.col("volatility_percentile"), F.col("volatility_baseline")

@@ -35,6 +35,20 @@ def labelled(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
     return regimes.classify(features.volatility_features(df, cfg), cfg)
 
 
+def crisp_labels(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """The crisp labels of ``labelled`` with the strength, volatility and percentile they follow from, and no other column.
+
+    For tables of very many bars of which only the labels are wanted: the percentile is a fold over these few columns.
+    """
+    cfg = cfg or Config()
+    if cfg.volatility_method == "ewm":
+        df = folds.ewm_volatility(features.trend_features(with_returns(bars), cfg), cfg)
+    else:
+        df = features.strength_and_volatility(with_returns(bars), cfg)
+    df = df.select("symbol", "ts", "trend_strength", "volatility")
+    return regimes.classify(features.volatility_percentile_alone(df, "volatility", cfg.percentile_lookback), cfg)
+
+
 def run_features(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
     """All features: trend, volatility, range, long memory, fractal filter, tail risk."""
     cfg = cfg or Config()
