@@ -41,17 +41,22 @@ def lower_shares(values: np.ndarray, window: int, least: int) -> np.ndarray:
     return out
 
 
+def _laid_out(parts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols' values in one array, and each one's place in its symbol, from 0."""
+    sizes = np.array([len(p) for p in parts], int)
+    x = np.concatenate([np.empty(0), *parts])
+    return x, np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def lower_shares_together(parts: Sequence[np.ndarray], window: int, least: int) -> np.ndarray:
     """``lower_shares`` of many symbols' values, one symbol after the other, for windows of a few hundred rows.
 
     Every row is compared with the one d rows before, for each d of the window, in one step for all symbols; that grows
     with the window, but by about a nanosecond a row and d.
     """
-    x = np.concatenate([np.empty(0), *parts])
-    sizes = np.array([len(p) for p in parts], int)
-    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x, place = _laid_out(parts)
     lower = np.zeros(len(x), np.int32)
-    for d in range(1, min(window, sizes.max(initial=0))):
+    for d in range(1, min(window, place.max(initial=-1) + 1)):
         lower[d:] += (x[:-d] < x[d:]) & (place[d:] >= d)
     rows = np.minimum(place + 1, window)
     present = np.concatenate([[0], np.cumsum(~np.isnan(x))])
@@ -60,6 +65,43 @@ def lower_shares_together(parts: Sequence[np.ndarray], window: int, least: int)
     return np.where(present[ends] - present[ends - rows] >= least, shares, np.nan)
 
 
+def _spread_over(window: int, x: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(d, the value d rows before each row, whether it is present), from the oldest row of the window to the newest."""
+    for d in range(min(window, place.max(initial=-1) + 1) - 1, -1, -1):
+        old = np.full(len(x), np.nan)
+        old[d:] = x[: len(x) - d]
+        old[place < d] = np.nan
+        yield d, old, ~np.isnan(old)
+
+
+def slopes_together(parts: Sequence[np.ndarray], window: int, least: int) -> np.ndarray:
+    """Least-squares slopes of the present values of each window on the row number, from ``least`` of them on."""
+    x, place = _laid_out(parts)
+    n, t_mean, t_square, mean, product = (np.zeros(len(x)) for _ in range(5))
+    for d, value, there in _spread_over(window, x, place):
+        n += there
+        away = place + 1.0 - d - t_mean
+        step = np.divide(away, n, out=np.zeros(len(x)), where=there)
+        np.add(t_mean, step, out=t_mean, where=there)
+        np.add(t_square, away * (away - step), out=t_square, where=there)
+        np.add(mean, np.divide(value - mean, n, out=np.zeros(len(x)), where=there), out=mean, where=there)
+        np.add(product, away * (value - mean), out=product, where=there)
+    return np.divide(product, t_square, out=np.full(len(x), np.nan), where=(n >= least) & (t_square != 0))
+
+
+def deviations_together(parts: Sequence[np.ndarray], window: int, least: int) -> np.ndarray:
+    """Sample deviations of the present values of each window, from ``least`` and two of them on."""
+    x, place = _laid_out(parts)
+    n, mean, square = (np.zeros(len(x)) for _ in range(3))
+    for _, value, there in _spread_over(window, x, place):
+        n += there
+        away = value - mean
+        step = np.divide(away, n, out=np.zeros(len(x)), where=there)
+        np.add(mean, step, out=mean, where=there)
+        np.add(square, away * (away - step), out=square, where=there)
+    return np.sqrt(np.divide(square, n - 1, out=np.full(len(x), np.nan), where=(n >= least) & (n > 1)))
+
+
 def earlier_quantiles(values: np.ndarray, window: int, shares: Sequence[float], least: int) -> list[np.ndarray]:
     """For each share, the quantile of the ``window`` rows before the current one; NaN below ``least`` values."""
     out = [np.full(len(values), np.nan) for _ in shares]

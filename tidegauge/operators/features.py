@@ -125,30 +125,40 @@ def with_volatility_percentile(df: DataFrame, value: str, lookback: int, out: st
     return doubles(df, [out], lambda r: {out: sliding.lower_shares(r[value].to_numpy(float), lookback, least)}, [value])
 
 
+def _lower_shares(parts: list[np.ndarray], lookback: int) -> np.ndarray:
+    least = min(lookback, max(20, lookback // 10))
+    if lookback <= LISTED_ROWS:
+        return sliding.lower_shares_together(parts, lookback, least)
+    return np.concatenate([sliding.lower_shares(x, lookback, least) for x in parts])
+
+
 def volatility_percentile_alone(df: DataFrame, value: str, lookback: int, out: str = "volatility_percentile") -> DataFrame:
     """``with_volatility_percentile`` as one fold over many symbols at once.
 
     All columns of ``df`` pass through it, used or not, so it pays where few are left; a frame's list takes each value of
     the window for each row.
     """
-    least = min(lookback, max(20, lookback // 10))
-
-    def fold(parts: list[np.ndarray]) -> dict[str, np.ndarray]:
-        if lookback <= LISTED_ROWS:
-            return {out: sliding.lower_shares_together(parts, lookback, least)}
-        return {out: np.concatenate([sliding.lower_shares(x, lookback, least) for x in parts])}
+    return doubles_together(df, [out], lambda parts: {out: _lower_shares(parts, lookback)}, value, timeless_first=True)
 
-    return doubles_together(df, [out], fold, value, timeless_first=True)
 
+def strength_and_volatility(bars: DataFrame, cfg: Config) -> DataFrame:
+    """symbol, ts, trend_strength, volatility (by standard deviation) and its percentile: one fold of the log prices.
 
-def strength_and_volatility(df: DataFrame, cfg: Config) -> DataFrame:
-    """trend_strength and volatility alone, as the features have them: one frame serves both if they take the same."""
-    frame = rolling(cfg.trend_window)
-    shared = cfg.volatility_method == "std" and cfg.volatility_window == cfg.trend_window and not cfg.annualize
-    deviation = gated(F.stddev_samp("log_return").over(frame), F.col("log_return"), half(cfg.trend_window), frame)
-    df = _ready(df).withColumns({"slope": ols_slope("log_price", cfg.trend_window), "_dev": deviation})
-    level = F.col("_dev") if shared else volatility(cfg)
-    return df.withColumns({"trend_strength": trend_strength(F.col("slope"), F.col("_dev")), "volatility": level}).drop("slope", "_dev")
+    The frames' sums are taken in the frames' order, so that every value is that of ``trend_features`` and ``volatility``.
+    """
+    w, v, look = cfg.trend_window, cfg.volatility_window, cfg.percentile_lookback
+
+    def fold(prices: list[np.ndarray]) -> dict[str, np.ndarray]:
+        returns = [np.diff(x, prepend=np.nan) for x in prices]
+        deviation = sliding.deviations_together(returns, w, half(w))
+        level = deviation if v == w else sliding.deviations_together(returns, v, half(v))
+        level = level * 252**0.5 if cfg.annualize else level
+        levels = np.split(level, np.cumsum([len(x) for x in prices])[:-1])
+        return {"slope": sliding.slopes_together(prices, w, half(w)), "_dev": deviation, "volatility": level, "volatility_percentile": _lower_shares(levels, look)}
+
+    df = bars.select("symbol", "ts", F.when(F.col("close") > 0, F.log("close")).alias("log_price"))
+    df = doubles_together(df, ["slope", "_dev", "volatility", "volatility_percentile"], fold, "log_price", timeless_first=True)
+    return df.select("symbol", "ts", trend_strength(F.col("slope"), F.col("_dev")).alias("trend_strength"), "volatility", "volatility_percentile")
 
 
 def volatility_label(cfg: Config, method: str = "percentile") -> Column:

@@ -38,13 +38,13 @@ def labelled(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
 def crisp_labels(bars: DataFrame, cfg: Config | None = None) -> DataFrame:
     """The crisp labels of ``labelled`` with the strength, volatility and percentile they follow from, and no other column.
 
-    For tables of very many bars of which only the labels are wanted: the percentile is a fold over these few columns.
+    For tables of very many bars of which only the labels are wanted: what takes a window of rows for every bar is a fold.
     """
     cfg = cfg or Config()
-    if cfg.volatility_method == "ewm":
-        df = folds.ewm_volatility(features.trend_features(with_returns(bars), cfg), cfg)
-    else:
-        df = features.strength_and_volatility(with_returns(bars), cfg)
+    if cfg.volatility_method == "std":
+        return regimes.classify(features.strength_and_volatility(bars, cfg), cfg)
+    df = features.trend_features(with_returns(bars), cfg)
+    df = folds.ewm_volatility(df, cfg) if cfg.volatility_method == "ewm" else df.withColumn("volatility", features.volatility(cfg))
     df = df.select("symbol", "ts", "trend_strength", "volatility")
     return regimes.classify(features.volatility_percentile_alone(df, "volatility", cfg.percentile_lookback), cfg)
 
